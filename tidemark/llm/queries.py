@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, shards
+from . import exact_dedup, mixing, packing, shards, syncmers
 
 N_SHARDS = 40
 
@@ -31,9 +31,25 @@ def op7_merge_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_best_fit_pack(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    pieces = packing.tokenize(documents(spark, sf_dir), tokenizer or default_tokenizer())
+    digests = pieces.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digests, ["doc_id", "piece", "start", "ids_crc32"])
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints_with_edits(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_entropy_mix, op5_histogram_shards, op7_merge_index_dedup)
+    for f in (op2_entropy_mix, op5_histogram_shards, op7_merge_index_dedup, op9_best_fit_pack, op10_closed_syncmers)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,0 +1,220 @@
+"""Document fingerprints from closed syncmers.
+
+A k-mer of characters is a closed syncmer if the smallest hash among its inner
+s-mers stands at its first or last place.  Whether it is one depends on its own
+characters only, so an edit changes no anchor outside the k-mers it touches.
+``anchors`` gives all anchors with their positions; a fingerprint keeps the
+smallest anchor hashes, and the likeness of two fingerprints estimates the
+share of anchors that two texts have in common.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import parallelism
+
+K, S = 24, 8
+#: Anchor hashes in a fingerprint.
+KEPT = 64
+_BASE = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
+_LEAST = -(1 << 63)
+#: Characters that are hashed at a time.
+GROUP_CHARS = 1 << 20
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def _rolling(codes: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial hash of the n codes from each place on, put together from powers of two."""
+    out, power, width, have = None, codes, 1, 0
+    while True:
+        if n & width:
+            if out is None:
+                out, have = power, width
+            else:
+                m = min(len(out), len(power) - have)
+                out = out[:m] * np.uint64(pow(_BASE, width, 1 << 64)) + power[have : have + m]
+                have += width
+        width *= 2
+        if width > n:
+            return out
+        half = width // 2
+        power = power[: len(power) - half] * np.uint64(pow(_BASE, half, 1 << 64)) + power[half:]
+
+
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """Smallest of the n values from each place on."""
+    width = 1
+    size = len(x) - n + 1
+    while width * 2 <= n:
+        x = np.minimum(x[: len(x) - width], x[width:])
+        width *= 2
+    return np.minimum(x[:size], x[n - width : n - width + size])
+
+
+def anchor_lists(texts: list[str], k: int = K, s: int = S) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(positions, hashes) of the closed syncmers of each text; a shorter text that isn't empty has itself as its one anchor."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    at = hashes = np.zeros(0, np.int64)
+    if len(texts) and ends[-1] >= k:
+        codes = _mix(np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1))
+        inner = _mix(_rolling(codes, s))
+        whole = _mix(_rolling(codes, k))
+        span = k - s + 1
+        low = _least(inner, span)
+        n = len(low)
+        at = np.flatnonzero((inner[:n] == low) | (inner[span - 1 : span - 1 + n] == low))
+        owner = np.searchsorted(ends, at, side="right")
+        inside = at + k <= ends[owner]
+        at, owner = at[inside], owner[inside]
+        hashes = whole[at]
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    else:
+        bounds = np.zeros(len(texts) + 1, np.int64)
+    for i, text in enumerate(texts):
+        if 0 < len(text) < k:
+            out.append((np.zeros(1, np.int64), np.array([xxhash.xxh64_intdigest(text.encode(), k)], np.uint64)))
+        else:
+            a, b = bounds[i], bounds[i + 1]
+            out.append((at[a:b] - (ends[i] - sizes[i]), hashes[a:b].astype(np.uint64)))
+    return out
+
+
+def sketch(hashes: np.ndarray, kept: int = KEPT) -> np.ndarray:
+    """The smallest distinct 32-bit hashes, ascending."""
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:kept]
+
+
+def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
+    """Share of the smallest hashes of both that are in each; 1 if both are empty."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    union = np.union1d(a, b)[:kept]
+    return float(np.isin(union, a, assume_unique=True) @ np.isin(union, b, assume_unique=True).astype(np.int64)) / len(union)
+
+
+def to_string(kept: np.ndarray) -> str:
+    return kept.astype(">u4").tobytes().hex()
+
+
+def anchors(df: DataFrame, text: str = "text", id: str = "doc_id", k: int = K, s: int = S) -> DataFrame:
+    """Rows (id, positions, hashes): all anchors of each text; null texts are empty and have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for group in _groups([t or "" for t in batch.column(1).to_pylist()]) for x in anchor_lists(group, k, s)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tolist() for p, _ in found], pa.list_(pa.int32())), pa.array([h.view(np.int64).tolist() for _, h in found], pa.list_(pa.int64()))], names=["id", "positions", "hashes"])
+
+    return df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, positions array<int>, hashes array<long>")
+
+
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    group, size = [], 0
+    for t in texts:
+        if group and size + len(t) > GROUP_CHARS:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group
+
+
+def sketches(texts: list[str], k: int, s: int, kept: int) -> list[np.ndarray]:
+    return [sketch(h, kept) for group in _groups(texts) for _, h in anchor_lists(group, k, s)]
+
+
+def _with_next(df: DataFrame, id: str, text: str) -> DataFrame:
+    """Rows (bucket, extra, id, text), dealt by ranges of ids and sorted, one exchange.
+
+    The first row of each range is also sent, as an extra row at the end, to the range
+    before it (that of the first range to the last), so each row's next row is in its task.
+    """
+    spark = df.sparkSession
+    n = 4 * parallelism(spark)
+    ids = df.select(F.coalesce(F.col(id).cast("long"), F.lit(_LEAST)).alias("id"))
+    # Quantiles are ids that occur, so each is the first of its range; 4 n numbers at most.
+    row = ids.agg(F.percentile_approx("id", [i / n for i in range(n)], 20 * n).alias("q"), F.min("id").alias("least")).first()
+    starts = np.unique(np.array([*(row.q or []), row.least if row.least is not None else 0], np.int64))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).fill_null(_LEAST).to_numpy()
+            bucket = np.searchsorted(starts, key, side="right") - 1
+            first = np.flatnonzero(starts[bucket] == key)
+            rows = np.concatenate([np.arange(len(key)), first])
+            to = np.concatenate([bucket, (bucket[first] - 1) % len(starts)])
+            extra = np.concatenate([np.zeros(len(key), np.int32), np.ones(len(first), np.int32)])
+            taken = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(extra), *taken.columns], names=["bucket", "extra", "id", "text"])
+
+    dealt = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(deal, "bucket int, extra int, id long, text string")
+    return dealt.repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket", "extra", "id", "text")
+
+
+def fingerprints_with_edits(df: DataFrame, text: str = "text", id: str = "doc_id", k: int = K, s: int = S, kept: int = KEPT) -> DataFrame:
+    """Fingerprints of each text and of the text with its last quarter replaced by the start of the next one.
+
+    Rows (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
+    The next text is that of the next larger id, after the last that of the first; rows with
+    the same id follow each other in order of their texts.  A null id comes first, a null text
+    is empty.  The only row of a table is its own next.  Two empty fingerprints have likeness 1.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for batch in batches:
+            ids, here, after = [], [], []
+            for bucket, extra, i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is not None and held[0] == bucket:
+                    ids.append(held[1]), here.append(held[2]), after.append(t)
+                held = None if extra else (bucket, i, t)
+            for lo, hi in _spans(here, after):
+                yield rows(ids[lo:hi], here[lo:hi], after[lo:hi])
+
+    def rows(ids: list, here: list[str], after: list[str]) -> pa.RecordBatch:
+        edited = [t[: len(t) - len(t) // 4] + u[: len(t) // 4] for t, u in zip(here, after, strict=True)]
+        own = sketches(here, k, s, kept)
+        new = sketches(edited, k, s, kept)
+        # A row's next is mostly the row after it, whose sketch is known.
+        odd = [j for j in range(len(here)) if j + 1 == len(here) or after[j] is not here[j + 1]]
+        nxt = own[1:] + [None]
+        for j, x in zip(odd, sketches([after[j] for j in odd], k, s, kept), strict=True):
+            nxt[j] = x
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids, pa.int64()), pa.array([len(t) for t in here], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
+                pa.array([to_string(x) for x in own]), pa.array([to_string(x) for x in new]),
+                pa.array([likeness(x, y, kept) for x, y in zip(own, new, strict=True)], pa.float64()), pa.array([likeness(x, y, kept) for x, y in zip(own, nxt, strict=True)], pa.float64()),
+            ],
+            names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        )
+
+    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return _with_next(df, id, text).mapInArrow(run, schema)
+
+
+def _spans(here: list[str], after: list[str]) -> Iterator[tuple[int, int]]:
+    lo, size = 0, 0
+    for j in range(len(here)):
+        size += len(here[j]) + len(after[j])
+        if size > 4 * GROUP_CHARS:
+            yield lo, j + 1
+            lo, size = j + 1, 0
+    if lo < len(here):
+        yield lo, len(here)
