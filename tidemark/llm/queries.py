@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, shards, syncmers
+from . import exact_dedup, mixing, packing, shards, simhash, syncmers
 
 N_SHARDS = 40
 
@@ -16,6 +16,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.fingerprint_groups(documents(spark, sf_dir), shingle=3, radius=2)
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -49,7 +54,7 @@ def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_entropy_mix, op5_histogram_shards, op7_merge_index_dedup, op9_best_fit_pack, op10_closed_syncmers)
+    for f in (op1_simhash_bitsliced, op2_entropy_mix, op5_histogram_shards, op7_merge_index_dedup, op9_best_fit_pack, op10_closed_syncmers)
 }
 
 ORACLE_SQL: dict[str, str] = {
