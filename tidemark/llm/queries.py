@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, shards, simhash, syncmers
+from . import exact_dedup, mixing, packing, shards, simhash, substrings, syncmers, url_filter
 
 N_SHARDS = 40
 
@@ -26,6 +26,40 @@ def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.repeated_spans(documents(spark, sf_dir))
+    return out.withColumnsRenamed({"id": "doc_id", "first_id": "first_doc_id"})
+
+
+def _number(col: F.Column) -> F.Column:
+    """A number from the MD5 of a string, the same in any engine."""
+    return F.conv(F.substring(F.md5(col), 1, 8), 16, 10).cast("long")
+
+
+def url_list(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of ``pages``: blocked hosts and parent domains, removals, returns, and paths that are allowed or blocked again."""
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).filter("host <> ''").distinct().withColumn("x", _number(F.col("host")))
+    day = (F.col("x") % 200).cast("int")
+    entry = lambda pattern, action, day: F.struct(pattern.alias("pattern"), F.lit(action).alias("action"), day.cast("int").alias("day"))
+    host, parent = F.concat(F.lit("d:"), F.col("host")), F.concat(F.lit("d:"), F.regexp_replace("host", r"^(blog|m|www)\.", ""))
+    some = lambda test, e: F.when(test, e)
+    entries = F.array(
+        some(F.col("x") % 3 == 0, entry(host, "block", day)),
+        some(F.col("x") % 6 == 0, entry(host, "remove", day + 60)),
+        some(F.col("x") % 12 == 0, entry(host, "block", day + 120)),
+        some(F.col("x") % 7 == 0, entry(parent, "block", day + 30)),
+        some(F.col("x") % 5 == 0, entry(F.concat(F.lit("p:"), F.col("host"), F.lit("/en")), "allow", day + 10)),
+        some(F.col("x") % 10 == 0, entry(F.concat(F.lit("p:"), F.col("host"), F.lit("/en")), "block", day + 90)),
+    )
+    return hosts.select(F.explode(F.array_compact(entries)).alias("e")).select("e.*").distinct()
+
+
+def op4_url_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    captures = pages.withColumn("fetched", (_number(F.col("page_id").cast("string")) % 365).cast("int"))
+    return url_filter.filter_urls(captures, url_list(pages))
+
+
 def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.shard(documents(spark, sf_dir), N_SHARDS)
     return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -54,10 +88,27 @@ def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_bitsliced, op2_entropy_mix, op5_histogram_shards, op7_merge_index_dedup, op9_best_fit_pack, op10_closed_syncmers)
+    for f in (op1_simhash_bitsliced, op2_entropy_mix, op3_chunk_dedup, op4_url_asof, op5_histogram_shards, op7_merge_index_dedup, op9_best_fit_pack, op10_closed_syncmers)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_asof": r"""
+        WITH p AS (SELECT page_id, url, CAST(CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) % 365 AS INTEGER) AS fetched,
+                regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.\-]*://([^/?#:]+)', 1) AS host,
+                regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+/([^?#]*)', 1) AS path FROM pages),
+        h AS (SELECT host, CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) AS x FROM (SELECT DISTINCT host FROM p WHERE host <> '')),
+        e AS (SELECT 'd:' || host AS pattern, 'block' AS action, x % 200 AS day FROM h WHERE x % 3 = 0
+            UNION SELECT 'd:' || host, 'remove', x % 200 + 60 FROM h WHERE x % 6 = 0
+            UNION SELECT 'd:' || host, 'block', x % 200 + 120 FROM h WHERE x % 12 = 0
+            UNION SELECT 'd:' || regexp_replace(host, '^(blog|m|www)\.', ''), 'block', x % 200 + 30 FROM h WHERE x % 7 = 0
+            UNION SELECT 'p:' || host || '/en', 'allow', x % 200 + 10 FROM h WHERE x % 5 = 0
+            UNION SELECT 'p:' || host || '/en', 'block', x % 200 + 90 FROM h WHERE x % 10 = 0),
+        one AS (SELECT pattern, day, max(action) AS action FROM e GROUP BY pattern, day),
+        span AS (SELECT pattern, action, day AS valid_from, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS valid_to FROM one),
+        met AS (SELECT p.page_id, s.action, s.pattern, row_number() OVER (PARTITION BY p.page_id ORDER BY length(s.pattern) DESC, s.action DESC, s.pattern DESC) AS rn
+            FROM p JOIN span s ON s.action <> 'remove' AND p.fetched >= s.valid_from AND (s.valid_to IS NULL OR p.fetched < s.valid_to)
+            AND ((starts_with(s.pattern, 'd:') AND ('d:' || p.host = s.pattern OR ends_with(p.host, '.' || substr(s.pattern, 3)))) OR (starts_with(s.pattern, 'p:') AND ('p:' || p.host || '/' || p.path = s.pattern OR starts_with('p:' || p.host || '/' || p.path, s.pattern || '/')))))
+        SELECT p.page_id, p.url, p.fetched, coalesce(m.action, 'none') AS decision, m.pattern FROM p LEFT JOIN met m ON m.page_id = p.page_id AND m.rn = 1""",
     "op7_merge_index_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
