@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, shards, simhash, substrings, syncmers, url_filter
+from . import class_lm, exact_dedup, mixing, packing, shards, simhash, substrings, syncmers, url_filter
 
 N_SHARDS = 40
 
@@ -65,6 +65,12 @@ def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 7) == 2
+    out = class_lm.score(documents(spark, sf_dir), ~held_out)
+    return out.withColumnRenamed("id", "doc_id").withColumn("held_out", held_out)
+
+
 def op7_merge_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_groups(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
@@ -88,7 +94,7 @@ def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_bitsliced, op2_entropy_mix, op3_chunk_dedup, op4_url_asof, op5_histogram_shards, op7_merge_index_dedup, op9_best_fit_pack, op10_closed_syncmers)
+    for f in (op1_simhash_bitsliced, op2_entropy_mix, op3_chunk_dedup, op4_url_asof, op5_histogram_shards, op6_class_bigrams, op7_merge_index_dedup, op9_best_fit_pack, op10_closed_syncmers)
 }
 
 ORACLE_SQL: dict[str, str] = {
