@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, exact_dedup, mixing, packing, shards, simhash, substrings, syncmers, url_filter
+from . import class_lm, exact_dedup, mixing, packing, shards, simhash, substrings, syncmers, toxicity, url_filter
 
 N_SHARDS = 40
 
@@ -76,6 +76,14 @@ def op7_merge_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 3) == 1
+    net = toxicity.fit(toxicity.labelled(docs, labels, ~held_out))
+    out = toxicity.score(docs.select("doc_id", "text"), net)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_best_fit_pack(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     pieces = packing.tokenize(documents(spark, sf_dir), tokenizer or default_tokenizer())
     digests = pieces.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -94,7 +102,7 @@ def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_bitsliced, op2_entropy_mix, op3_chunk_dedup, op4_url_asof, op5_histogram_shards, op6_class_bigrams, op7_merge_index_dedup, op9_best_fit_pack, op10_closed_syncmers)
+    for f in (op1_simhash_bitsliced, op2_entropy_mix, op3_chunk_dedup, op4_url_asof, op5_histogram_shards, op6_class_bigrams, op7_merge_index_dedup, op8_bigru_toxicity, op9_best_fit_pack, op10_closed_syncmers)
 }
 
 ORACLE_SQL: dict[str, str] = {
