@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, fresh, shared_dir
+from .common import SPACE, cut, fresh, if_small, shared_dir
 
 #: Hit digests that are broadcast at most, at 8 bytes each; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
@@ -98,10 +98,12 @@ def drop_copies(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFr
     Rows whose id is null stay only if their group has no other id; of rows that
     repeat both id and text, one stays.  All columns are kept.
     """
-    keep, size = fresh(df, "keep", "size")
-    groups = exact_groups(df, text, id)
-    mine = groups.filter("id <=> keep_id and group_size > 1").groupBy("id").agg(F.count("*").alias(size)).select(F.col("id").alias(keep), size)
-    alone = groups.filter("group_size = 1").select(F.col("id").alias(keep), F.lit(1).cast("long").alias(size))
-    stay = mine.unionByName(alone).groupBy(keep).agg(F.max(size).alias(size))
-    kept = df.join(stay, F.col(id).eqNullSafe(F.col(keep)))
+    digest, gone_id, gone_digest = fresh(df, "digest", "gone_id", "gone_digest")
+    groups = cut(exact_groups(df, text, id))
+    gone = groups.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias(gone_id), F.col("digest").alias(gone_digest)).distinct()
+    again = groups.filter(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("group_size") > 1)).groupBy("id", "digest").count().filter("count > 1")
+    hashed = df.withColumn(digest, sha256(normalised(F.col(text))))
+    kept = hashed.join(if_small(gone), (F.col(digest) == F.col(gone_digest)) & F.col(id).eqNullSafe(F.col(gone_id)), "left_anti")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates([id, digest])
     return kept.select(*df.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, word_count
+from .common import cut, fresh, word_count
 
 CAP = 3.0
 OFFSETS = 32
@@ -140,3 +140,11 @@ def _nearer(out: DataFrame, cap: int) -> DataFrame:
     )
     same = F.col("source").eqNullSafe(F.col("m_source")) & F.col("id").eqNullSafe(F.col("m_id")) & (F.col("size") == F.col("m_size")) & (F.col("copies") == F.col("m_copies"))
     return out.join(chosen, same, "left").select(*[c for c in out.columns if c != "copies"], (F.col("copies") + F.coalesce("move", F.lit(0))).cast("int").alias("copies"))
+
+
+def repeat_by_mix(df: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = CAP, text: str = "text", id: str = "doc_id", source: str = "source") -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it; rows that share an id each take the most copies of any of them.  All columns are kept."""
+    copies_id, copies = fresh(df, "copies_id", "copies")
+    taken = mix(df, weights, cap, text, id, source).groupBy(F.col("id").alias(copies_id)).agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
+    joined = df.join(taken, F.col(id).eqNullSafe(F.col(copies_id)))
+    return joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*df.columns)
