@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import each_part, within_groups
-from .common import cut, if_small, table
+from .common import cut, fresh, if_small, table
 from .graph import components
 
 BITS = 64
@@ -294,6 +294,7 @@ def set_links(values: np.ndarray, ends: np.ndarray, lo: int, hi: int, similarity
 
 def drop_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that stay: of each group of near duplicates the one with the smallest id; rows with a null id all stay."""
+    (name,) = fresh(df, "gone")
     groups = similar_groups(df, shingle, similarity, text, id)
-    gone = groups.filter("id <> component_id").select(F.col("id").alias("_gone")).distinct()
-    return df.join(if_small(gone), F.col(id) == F.col("_gone"), "left_anti")
+    gone = groups.filter("id <> component_id").select(F.col("id").alias(name)).distinct()
+    return df.join(if_small(gone), F.col(id) == F.col(name), "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import fresh, table
 
 #: Words of adjacent repeated chunks that make a passage.  A passage loses a few words of the chunks at its edges.
 MIN_WORDS = 34
@@ -106,9 +106,10 @@ def repeated_spans(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
 
 def remove_spans(df: DataFrame, spans: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """``df`` with the words of the spans that are not kept taken out, unless a kept span has them too; other texts stay as they are."""
+    other, cut = fresh(df, "other", "cut")
     some = spans.filter("not kept").select("id").distinct()
     span = F.struct("kept", "start_word", (F.col("start_word") + F.col("n_words")).alias("end_word"))
-    gone = spans.join(some, "id").groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list(span)).alias("_gone"))
+    gone = spans.join(some, "id").groupBy(F.col("id").alias(other)).agg(F.sort_array(F.collect_list(span)).alias(cut))
 
     @F.pandas_udf("string")
     def without(texts, gone):
@@ -124,5 +125,5 @@ def remove_spans(df: DataFrame, spans: DataFrame, text: str = "text", id: str =
             out.append(b" ".join(w for w, k in zip(words, keep, strict=True) if k).decode())
         return type(texts)(out)
 
-    joined = df.join(gone, F.col(id) == F.col("_id"), "left")
-    return joined.withColumn(text, without(F.col(text), F.col("_gone"))).select(*df.columns)
+    joined = df.join(gone, F.col(id) == F.col(other), "left")
+    return joined.withColumn(text, without(F.col(text), F.col(cut))).select(*df.columns)

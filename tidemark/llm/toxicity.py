@@ -310,8 +310,8 @@ def fit(labelled: DataFrame, per_label: int = SAMPLE) -> Network:
     return train(*sample(labelled, per_label))
 
 
-def score(df: DataFrame, net: Network, text: str = "text", threshold: float = THRESHOLD, name: str = "score") -> DataFrame:
-    """All rows and columns of ``df`` plus ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
+def score(df: DataFrame, net: Network, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All rows and columns of ``df`` plus, under ``names``, the score (0 to 1) and the prediction (1 from ``threshold`` on).
 
     Null and empty texts score as an empty window.  Columns with these names are replaced.
     """
@@ -322,11 +322,11 @@ def score(df: DataFrame, net: Network, text: str = "text", threshold: float = TH
 
         return pd.Series(score_texts(net, pa.array(texts, pa.string())))
 
-    kept = df.drop(name, "predicted")
-    return kept.withColumn(name, run(F.col(text))).withColumn("predicted", (F.col(name) >= threshold).cast("int"))
+    return df.drop(*names).withColumn(names[0], run(F.col(text))).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, use: Column, id: str = "doc_id") -> DataFrame:
     """Rows (text, label) of the documents with a label for which ``use`` holds; labels are few and their ids broadcast only if Spark finds them small."""
-    marks = labels.select(F.col(id).alias("_id"), F.col("toxic").alias("label")).filter("label is not null and _id is not null").dropDuplicates(["_id"])
-    return docs.filter(use).join(marks, F.col(id) == F.col("_id")).select("text", "label")
+    marks = labels.select(F.col(id).alias("marked"), F.col("toxic").alias("label")).dropna().groupBy("marked").agg(F.max("label").alias("label"))
+    texts = docs.filter(use).select(F.col(id).alias("named"), F.col("text").alias("text"))
+    return texts.join(marks, F.col("named") == F.col("marked")).select("text", "label")

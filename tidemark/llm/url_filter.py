@@ -56,7 +56,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id: str = "page_id", ur
     must share URL and day.  An empty list decides ``none`` everywhere.
     """
     spans = intervals(entries).filter(F.col("action") != "remove")
-    key, day, salt, who = fresh(captures, "key", "day", "salt", "who")
+    key, day, salt, who, action, found = fresh(captures, "key", "day", "salt", "who", "action", "found")
     keys = captures.select(F.col(id).alias(who), F.col(fetched).alias(day), F.explode(F.array_distinct(url_patterns(F.col(url)))).alias(key))
     if spans.count() <= BROADCAST_ROWS:
         met = keys.join(F.broadcast(spans), (F.col(key) == F.col("pattern")) & (F.col(day) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(day) < F.col("valid_to"))))
@@ -64,6 +64,6 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id: str = "page_id", ur
         salted = spans.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         keys = keys.withColumn(salt, F.pmod(F.xxhash64(who), F.lit(SALTS)).cast("int"))
         met = keys.join(salted, (keys[salt] == salted[salt]) & (F.col(key) == F.col("pattern")) & (F.col(day) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(day) < F.col("valid_to"))))
-    best = met.groupBy(who).agg(F.max(F.struct(F.length("pattern").alias("n"), "action", "pattern")).alias("best")).select(who, F.col("best.action").alias("_action"), F.col("best.pattern").alias("_pattern"))
+    best = met.groupBy(who).agg(F.max(F.struct(F.length("pattern").alias("n"), "action", "pattern")).alias("best")).select(who, F.col("best.action").alias(action), F.col("best.pattern").alias(found))
     out = captures.drop("decision", "pattern").join(best, F.col(id) == F.col(who), "left")
-    return out.select(*[c for c in captures.columns if c not in ("decision", "pattern")], F.coalesce("_action", F.lit("none")).alias("decision"), F.col("_pattern").alias("pattern"))
+    return out.select(*[c for c in captures.columns if c not in ("decision", "pattern")], F.coalesce(action, F.lit("none")).alias("decision"), F.col(found).alias("pattern"))
