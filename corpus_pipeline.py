@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, mixing, packing, simhash, toxicity
-from tidemark.llm.common import table
+from tidemark.llm.common import fresh, table
 from tidemark.llm.queries import default_tokenizer
 
 
@@ -19,8 +19,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score as toxic; the network learns from labelled documents outside the held-out third."""
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 3) == 1
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    names = tuple(fresh(docs, "score", "predicted"))
     net = toxicity.fit(toxicity.labelled(docs, labels, ~held_out))
-    return toxicity.score(docs, net, name="toxicity_score").filter("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, net, names=names).filter(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
