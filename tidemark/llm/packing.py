@@ -21,51 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bpe import encode
 from .common import cut, fresh, parallelism
+from .words import groups
 
 CAPACITY = 2048
-#: Words that a Python worker keeps the ids of.
-CACHED_WORDS = 400_000
-#: Texts are taken in groups of about so many bytes.
-GROUP_BYTES = 4 << 20
-
-_tokenizers: dict[str, tuple] = {}
-
-
-def _words(path: str):
-    """The tokenizer, the ids of words met so far, and the strings that force whole-text encoding; one per worker."""
-    if path not in _tokenizers:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        special = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
-        _tokenizers[path] = (tok, {}, special)
-    return _tokenizers[path]
-
-
-def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers.
-
-    White space separates tokens and is dropped by the vocabulary, so a text's ids are
-    those of its words, and most words occur again and again.
-    """
-    tok, known, special = _words(path)
-    split = [None if any(s in t for s in special) else t.split() for t in texts]
-    new = list({w for ws in split if ws for w in ws if w not in known})
-    if new and len(known) + len(new) > CACHED_WORDS:
-        known.clear()
-        new = list({w for ws in split if ws for w in ws})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    get = known.__getitem__
-    return [np.array(tok.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split, strict=True)]
-
-
 def tokenize(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text", id: str = "doc_id", end_id: int = 0) -> DataFrame:
     """Rows (id, piece, start, length, ids): the ids of each text and ``end_id``, cut only if longer than ``capacity``.
 
@@ -73,25 +33,19 @@ def tokenize(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = 4 * capacity
-        end = end_id.to_bytes(4, "little")
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
-            texts = [t or b"" for t in texts]
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= GROUP_BYTES):
-                    size += len(texts[hi])
-                    hi += 1
-                row, piece, start, length, out = [], [], [], [], []
-                for i, coded in enumerate(encode_texts(texts[lo:hi], tokenizer), lo):
-                    coded += end
-                    for k, at in enumerate(range(0, len(coded), step)):
-                        part = coded[at : at + step]
-                        row.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), out.append(part)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(out, pa.binary())], names=["id", "piece", "start", "length", "ids"])
-                lo = hi
+            for lo, texts in groups(batch.column(1)):
+                ids, sizes = encode(texts, tokenizer)
+                # One more id ends each text.
+                ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+                count = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(texts)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[row] - start)
+                ends = pa.array(np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int32))
+                data = pa.Array.from_buffers(pa.binary(), len(row), [None, ends.buffers()[1], pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), data], names=["id", "piece", "start", "length", "ids"])
 
     source = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     return source.mapInArrow(pieces, "id long, piece int, start long, length long, ids binary")
