@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import trim
 
@@ -31,9 +32,14 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def json_object(texts: pd.Series) -> pd.Series:
-    return texts.map(first_object)
+def json_object(text: Column) -> Column:
+    """:func:`first_object` of a column, in Arrow batches."""
+
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(first_object)
+
+    return run(text)
 
 
 def message_content(body: Column) -> Column:
