@@ -79,7 +79,7 @@ def op7_merge_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 3) == 1
-    net = toxicity.fit(toxicity.labelled(docs, labels, ~held_out))
+    net = toxicity.fit(docs, labels, ~held_out)
     out = toxicity.score(docs.select("doc_id", "text"), net)
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

@@ -28,7 +28,7 @@ CHAR_BUCKETS = 8192
 MIN_TEXTS = 4
 MARKS = ".,;:!?\"'()[]{}<>*%$&#|/\\_-+=~`…"
 #: Labelled texts of each label that training takes at most, and windows of each text.
-SAMPLE, SAMPLE_WINDOWS = 1500, 400
+SAMPLE, SAMPLE_WINDOWS = 1000, 200
 #: Epochs, more of them if they have few steps.
 EPOCHS, STEPS = 6, 250
 BATCH = 128
@@ -295,19 +295,24 @@ def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def sample(labelled: DataFrame, per_label: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most ``per_label`` texts of each label (columns text, label), those of smallest hash."""
-    rows = []
-    for label in (0, 1):
-        some = labelled.filter(F.col("label") == label).orderBy(F.xxhash64("text"), "text").limit(per_label)
-        # A very long text gives as many words as the windows that training takes of it.
-        words = (SAMPLE_WINDOWS - 1) * STRIDE + WINDOW
-        rows += some.select(F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), 1, words), " "), F.lit(label)).collect()
-    return [r[0] for r in rows], [r[1] for r in rows]
+def sample(docs: DataFrame, labels: DataFrame, use: Column, per_label: int = SAMPLE, id: str = "doc_id", text: str = "text") -> tuple[list[str], list[int]]:
+    """Texts and labels of at most ``per_label`` ids of each label, those of smallest hash among the rows of ``labels`` for which ``use`` holds.
+
+    Ids are picked on the labels alone, so the documents are only read, not exchanged.
+    Of labels that disagree the larger counts; nulls and ids without a document give nothing.
+    """
+    marks = labels.filter(use).select(F.col(id).alias("marked"), F.col("toxic").alias("label")).dropna().groupBy("marked").agg(F.max("label").alias("label"))
+    first = [marks.filter(F.col("label") == y).orderBy(F.xxhash64("marked"), "marked").limit(per_label) for y in (0, 1)]
+    # A very long text gives as many words as the windows that training takes of it.
+    words = (SAMPLE_WINDOWS - 1) * STRIDE + WINDOW
+    start = F.array_join(F.slice(F.split(F.coalesce("body", F.lit("")), r"[\x20\x09-\x0D]+"), 1, words), " ")
+    texts = docs.select(F.col(id).alias("named"), F.col(text).alias("body"))
+    rows = texts.join(F.broadcast(first[0].union(first[1])), F.col("named") == F.col("marked")).select(start.alias("start"), F.col("label").cast("int").alias("label")).toArrow()
+    return rows.column(0).to_pylist(), rows.column(1).to_pylist()
 
 
-def fit(labelled: DataFrame, per_label: int = SAMPLE) -> Network:
-    return train(*sample(labelled, per_label))
+def fit(docs: DataFrame, labels: DataFrame, use: Column, per_label: int = SAMPLE) -> Network:
+    return train(*sample(docs, labels, use, per_label))
 
 
 def score(df: DataFrame, net: Network, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
@@ -323,10 +328,3 @@ def score(df: DataFrame, net: Network, text: str = "text", threshold: float = TH
         return pd.Series(score_texts(net, pa.array(texts, pa.string())))
 
     return df.drop(*names).withColumn(names[0], run(F.col(text))).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
-
-
-def labelled(docs: DataFrame, labels: DataFrame, use: Column, id: str = "doc_id") -> DataFrame:
-    """Rows (text, label) of the documents with a label for which ``use`` holds; labels are few and their ids broadcast only if Spark finds them small."""
-    marks = labels.select(F.col(id).alias("marked"), F.col("toxic").alias("label")).dropna().groupBy("marked").agg(F.max("label").alias("label"))
-    texts = docs.filter(use).select(F.col(id).alias("named"), F.col("text").alias("text"))
-    return texts.join(marks, F.col("named") == F.col("marked")).select("text", "label")
