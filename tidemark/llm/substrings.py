@@ -54,7 +54,7 @@ def cut_points(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def chunks(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Rows (id, start, n, span, digest): each chunk of each text by its first word and number of words; digest of the window of chunks that begins here and its words.
+    """Rows (id, start, span, digest): each window of chunks of each text by its first word, its number of words and its digest.
 
     A text of fewer chunks than a window has one window.
     """
@@ -62,7 +62,7 @@ def chunks(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            row, start, size, span, out = [], [], [], [], []
+            row, start, span, out = [], [], [], []
             for i, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 norm, ends, cuts = cut_points(t or b"")
                 if len(cuts):
@@ -70,13 +70,13 @@ def chunks(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
                     place = np.concatenate([[0], ends[cuts] + 1]).tolist()
                     w = min(WINDOW, len(cuts))
                     m = len(cuts) - w + 1
-                    row.append(np.full(m, i)), start.append(first[:m]), size.append(np.diff(first)[:m]), span.append((first[w:] - first[:-w])[:m])
+                    row.append(np.full(m, i)), start.append(first[:m]), span.append((first[w:] - first[:-w])[:m])
                     out += [digest(norm[a:b]) for a, b in zip(place[:m], place[w:], strict=True)]
             if row:
-                columns = [pa.array(np.concatenate(x).astype(np.int32)) for x in (start, size, span)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(row))), *columns, pa.array(np.array(out, np.uint64).view(np.int64))], names=["id", "start", "n", "span", "digest"])
+                columns = [pa.array(np.concatenate(x).astype(np.int32)) for x in (start, span)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(row))), *columns, pa.array(np.array(out, np.uint64).view(np.int64))], names=["id", "start", "span", "digest"])
 
-    return df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, start int, n int, span int, digest long")
+    return df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, start int, span int, digest long")
 
 
 def repeated_spans(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -87,15 +87,21 @@ def repeated_spans(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
     have no words; rows with a null id are left out, as no result could name them.  Rows
     that repeat an id and text are one document.  An empty table gives an empty result.
     """
-    all_chunks = table(chunks(df.filter(F.col(id).isNotNull()), text, id))
-    found = all_chunks.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last")).filter("first.id < last")
-    marked = all_chunks.join(found.select("digest", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")), "digest").select(
-        "id", "start", "n", "span", "first_id", ((F.col("id") == F.col("first_id")) & (F.col("start") == F.col("first_start"))).alias("kept")
-    ).distinct()
+    # Most windows occur once.  They are told from the repeats by narrow rows: digest, id, and start and words in one number.
+    one = (F.shiftleft(F.col("start").cast("long"), 31) + F.col("span")).alias("place")
+    every = table(chunks(df.filter(F.col(id).isNotNull()), text, id)).select("digest", "id", one)
+    found = every.groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("digest")
+    repeats = every.join(found, "digest", "left_semi").select("digest", "id", F.shiftright("place", 31).cast("int").alias("start"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("span"))
+    dup = table(repeats)
+    first = dup.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first")).select("digest", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
+    kept = (F.col("id") == F.col("first_id")) & (F.col("start") == F.col("first_start"))
+    marked = dup.join(first, "digest").select("id", "start", "span", "first_id", kept.alias("kept")).distinct()
+    # Windows overlap; those that touch or overlap make a run.
     by = Window.partitionBy("id").orderBy("start")
-    runs = marked.withColumn("new", F.when(F.lag(F.col("start") + F.col("n")).over(by) == F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
-    whole = Window.partitionBy("id", "run")
     end = F.col("start") + F.col("span")
+    reached = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = marked.withColumn("new", F.when(F.col("start") <= reached, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
+    whole = Window.partitionBy("id", "run")
     runs = runs.withColumn("words", F.max(end).over(whole) - F.min("start").over(whole)).filter(F.col("words") >= min_words)
     in_run = whole.orderBy("start")
     parts = runs.withColumn("turn", F.when(F.lag("kept").over(in_run) == F.col("kept"), 0).otherwise(1)).withColumn("part", F.sum("turn").over(in_run))
