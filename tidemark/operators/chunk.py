@@ -1,41 +1,55 @@
-"""Chunking of block text, as built-in folds over each text."""
+"""Chunking of block text."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TERMINATORS, trim
 
-PIECE = "array<struct<s:int,e:int>>"
+PIECE = "struct<s:int,e:int,t:string>"
+SPANS = "array<struct<s:int,e:int>>"
+
+
+def fixed_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Windows [s, e) of ``size`` characters that end after a terminator within the last quarter, if there is one; the next begins ``overlap`` before."""
+    n, back, out, start = len(text), max(1, size // 4), [], 0
+    while start < n:
+        end = hard = min(start + size, n)
+        if hard < n:
+            # Exclusive bounds: the last quarter without its first place, and never the first of the window.
+            low = max(hard - back + 1, start + 1)
+            at = max((text.rfind(c, low, hard) for c in TERMINATORS), default=-1)
+            end = at + 1 if at >= 0 else hard
+        out.append((start, end))
+        if end >= n:
+            break
+        start = max(start + 1, end - overlap)
+    return out
 
 
 def fixed_pieces(text: Column, size: int = 240, overlap: int = 40) -> Column:
-    """Windows [s, e) of ``size`` characters that end after a terminator within the last quarter, if there is one."""
-    n = F.length(text)
-    back = max(1, size // 4)
-    least = max(1, size - back - overlap)
-
-    def step(state: Column, _: Column) -> Column:
-        start = state["start"]
-        hard = F.least(start + size, n)
-        # Exclusive bounds: places hard - back + 1 to hard - 1, and never the first of the window.
-        tail_from = F.greatest(hard - back + 1, start + 1)
-        tail = F.substring(text, tail_from + 1, F.greatest(hard - tail_from, F.lit(0)))
-        cut = F.length(F.regexp_extract(tail, f"(?s)^(.*[{TERMINATORS}])", 1))
-        end = F.when((hard < n) & (cut > 0), tail_from + cut).otherwise(hard)
-        piece = F.array(F.struct(start.alias("s"), end.alias("e")))
-        moved = F.struct(F.when(end >= n, n).otherwise(F.greatest(start + 1, end - overlap)).cast("int").alias("start"), F.concat(state["pieces"], piece).alias("pieces"))
-        return F.when((start >= n), state).otherwise(moved)
-
-    first = F.struct(F.lit(0).alias("start"), F.array().cast(PIECE).alias("pieces"))
-    folded = F.aggregate(F.sequence(F.lit(0), F.ceil(n / F.lit(float(least))).cast("int") + 1), first, step, lambda s: s["pieces"])
-    return F.when(n <= size, F.array(F.struct(F.lit(0).alias("s"), n.alias("e"))).cast(PIECE)).otherwise(folded)
+    """:func:`fixed_spans` of a column with their trimmed text, in Arrow batches.
+
+    A fold over built-in functions says the same, but looks up each window from the
+    start of the text, which takes quadratic time on long texts.
+    """
+
+    @F.pandas_udf(f"array<{PIECE}>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"s": s, "e": e, "t": t[s:e].strip(" \t\n\v\f\r")} for s, e in fixed_spans(t or "", size, overlap)])
+
+    return run(text)
+
+
+def _with_text(pieces: Column, text: Column, strip: bool = True) -> Column:
+    part = lambda p: F.substring(text, p["s"] + 1, p["e"] - p["s"])
+    return F.transform(pieces, lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), (trim(part(p)) if strip else text).alias("t")))
 
 
 def sentence_pieces(text: Column, size: int = 240) -> Column:
     """Whole sentences, as many as fit into ``size`` characters; a longer sentence stands alone."""
-    n = F.length(text)
     sentences = F.regexp_extract_all(text, F.lit(f"(?s)[^{TERMINATORS}]*[{TERMINATORS}]|[^{TERMINATORS}]+$"), F.lit(0))
 
     def step(state: Column, sentence: Column) -> Column:
@@ -44,12 +58,14 @@ def sentence_pieces(text: Column, size: int = 240) -> Column:
         done = F.concat(state["pieces"], F.array(F.struct(state["start"].alias("s"), state["end"].alias("e"))))
         return F.struct(F.when(split, state["end"]).otherwise(state["start"]).alias("start"), end.alias("end"), F.when(split, done).otherwise(state["pieces"]).alias("pieces"))
 
-    first = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.array().cast(PIECE).alias("pieces"))
-    return F.aggregate(sentences, first, step, lambda s: F.when(s["end"] > s["start"], F.concat(s["pieces"], F.array(F.struct(s["start"].alias("s"), s["end"].alias("e"))))).otherwise(s["pieces"]))
+    first = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.array().cast(SPANS).alias("pieces"))
+    spans = F.aggregate(sentences, first, step, lambda s: F.when(s["end"] > s["start"], F.concat(s["pieces"], F.array(F.struct(s["start"].alias("s"), s["end"].alias("e"))))).otherwise(s["pieces"]))
+    return _with_text(spans, text)
 
 
 def block_pieces(text: Column) -> Column:
-    return F.array(F.struct(F.lit(0).alias("s"), F.length(text).alias("e"))).cast(PIECE)
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.length(text).alias("e"))).cast(SPANS)
+    return _with_text(whole, text, strip=False)
 
 
 STRATEGIES = {"fixed": fixed_pieces, "sentence": sentence_pieces, "block": lambda text, *_: block_pieces(text)}
@@ -62,9 +78,8 @@ def chunk(blocks: DataFrame, strategy: str = "fixed", *parameters: int) -> DataF
     the untrimmed piece.  The id is note/block/number.
     """
     name = strategy if strategy == "block" else f"{strategy}-{'-'.join(map(str, parameters or ((240, 40) if strategy == 'fixed' else (240,))))}"
-    piece = lambda p: trim(F.substring(F.col("text"), p["s"] + 1, p["e"] - p["s"]))
-    cut = F.transform(STRATEGIES[strategy](F.col("text"), *parameters), lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), (F.col("text") if strategy == "block" else piece(p)).alias("t")))
-    rows = blocks.filter(F.length("text") > 0).select("*", F.posexplode(F.filter(cut, lambda p: p["t"] != "")).alias("chunk_index", "p"))
+    pieces = F.filter(STRATEGIES[strategy](F.col("text"), *parameters), lambda p: p["t"] != "")
+    rows = blocks.filter(F.length("text") > 0).select("*", F.posexplode(pieces).alias("chunk_index", "p"))
     return rows.select(
         F.concat_ws("/", "note_id", "block_id", F.col("chunk_index").cast("string")).alias("chunk_id"), "note_id", "block_id", "ord", "source", "chunk_index",
         F.col("p.t").alias("text"), F.col("p.s").alias("char_start"), F.col("p.e").alias("char_end"), "content_hash", F.lit(name).alias("strategy"),
