@@ -131,6 +131,14 @@ def test_small_edits_accumulate(spark):
     assert says(small) == [False] and says(large) == [True] and says(old) == [] and says(old.limit(0)) == [True]
 
 
+def test_snapshot_moves_on_only_if_significant(spark):
+    schema = "note_id string, block_id string, hash string, kind string, brief string, text_length int"
+    old = spark.createDataFrame([("a", "b", "h", "text", "t", 100), ("b", "b", "h", "text", "t", 100)], schema)
+    new = spark.createDataFrame([("a", "b", "i", "text", "t", 105), ("b", "b", "i", "text", "t", 150), ("c", "b", "i", "text", "t", 1)], schema)
+    after = diff.next_snapshot(new, old, diff.significance(diff.snapshot_diff(new, old)))
+    assert sorted((r.note_id, r.text_length) for r in after.collect()) == [("a", 100), ("b", 150), ("c", 1)]
+
+
 def test_counter_draws_equal_a_sequential_generator():
     state, mask, want = stats.SEED, (1 << 64) - 1, []
     for _ in range(500):

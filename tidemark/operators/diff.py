@@ -26,3 +26,12 @@ def significance(diff: DataFrame, min_chars: int = MIN_TEXT_CHARS) -> DataFrame:
     other = (F.col("change") == "deleted") | (F.col("kind") != "text")
     text = F.sum(F.when((F.col("change") != "deleted") & (F.col("kind") == "text"), F.col("delta")).otherwise(0))
     return diff.groupBy("note_id").agg((F.bool_or(other) | (text >= min_chars)).alias("significant"))
+
+
+def next_snapshot(current: DataFrame, snapshot: DataFrame, found: DataFrame) -> DataFrame:
+    """The snapshot after a run: current blocks of notes whose difference is significant or that had none; others keep theirs, so small edits add up."""
+    accepted = found.filter("significant").select("note_id")
+    first = current.select("note_id").distinct().join(snapshot.select("note_id").distinct(), "note_id", "left_anti")
+    renewed = accepted.union(first).distinct()
+    kept = snapshot.join(accepted, "note_id", "left_anti")
+    return kept.unionByName(current.join(renewed, "note_id", "left_semi").select(snapshot.columns))

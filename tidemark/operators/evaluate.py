@@ -155,3 +155,36 @@ def checksum(df: DataFrame, key: str, value: str) -> DataFrame:
     """One row: SHA-256 over the digests of all rows in order of ``key``."""
     rows = df.select(key, F.sha2(F.concat_ws("|", F.col(key).cast("string"), value), 256).alias("d"))
     return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "d"))), lambda x: x["d"]), ""), 256).alias("checksum"))
+
+
+def profile(df: DataFrame, by: list[str]) -> DataFrame:
+    """Counts and shares of each value of each column: (field, value, n, share).  One row of totals is broadcast."""
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in by])).alias("r")).select("r.*")
+    counts = rows.groupBy("field", "value").agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(df.agg(F.count("*").alias("total")))).select("field", "value", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
+def failure_breakdown(failed: DataFrame, kind: str) -> DataFrame:
+    """Failures by kind, the most frequent first, then by name; failures without a kind don't count."""
+    return failed.filter(F.col(kind).isNotNull()).groupBy(kind).agg(F.count("*").alias("n")).orderBy(F.desc("n"), kind)
+
+
+def regression_rate(of: DataFrame) -> DataFrame:
+    """One row: recall at 5 of the regression cases in scope, 1 if there are none."""
+    mine = F.col("is_positive") & (F.col("origin") == "regression") & (F.col("scope") == "in_scope") & (F.col("expected_count") <= 5)
+    any_case = F.count(F.when(F.col("is_positive") & (F.col("origin") == "regression") & (F.col("scope") == "in_scope"), 1)) > 0
+    rate = F.coalesce(F.avg(F.when(mine, F.col("hit_at5").cast("int"))), F.lit(0.0))
+    return of.agg(F.when(any_case, rate).otherwise(1.0).alias("regression_rate"))
+
+
+def leader(arms: DataFrame) -> DataFrame:
+    """One row: the arm with the highest recall at 5, by MRR if they tie, then by name."""
+    best = F.min_by("arm", F.struct(-F.col("recall_at5"), -F.col("mrr"), F.col("arm")))
+    return arms.agg(best.alias("leader"))
+
+
+def participation(cases: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows (scope, cases, with_hit, share): how many cases have a keyword hit at all."""
+    have = hits.select("case_id").distinct().withColumn("has", F.lit(1))
+    j = cases.join(have, "case_id", "left")
+    return j.groupBy("scope").agg(F.count("*").alias("cases"), F.count("has").alias("with_hit"), (F.count("has") / F.count("*")).alias("share"))

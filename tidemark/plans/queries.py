@@ -668,6 +668,33 @@ def dataset_checksum(spark, sf):
     return evaluate.checksum(M.read(spark, sf, "benchmark"), "item_id", "text")
 
 
+@query("""SELECT 'lang' AS field, lang AS value, count(*) AS n, round(count(*) / (SELECT count(*)::DOUBLE FROM documents), 6) AS share FROM documents GROUP BY lang
+    UNION ALL SELECT 'source', source, count(*), round(count(*) / (SELECT count(*)::DOUBLE FROM documents), 6) FROM documents GROUP BY source""")
+def quality_profile(spark, sf):
+    return _rounded(evaluate.profile(_docs(spark, sf), ["lang", "source"]))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY event_type")
+def failure_breakdown(spark, sf):
+    return evaluate.failure_breakdown(M.read(spark, sf, "events").filter("event_id % 3 = 0"), "event_type")
+
+
+@query(f"WITH {RESULTS} SELECT CASE WHEN count(*) FILTER (m) = 0 THEN 1.0 ELSE round(coalesce(avg(hit_at5::INT) FILTER (m AND expected_count <= 5), 0), 6) END AS regression_rate FROM (SELECT *, is_positive AND origin = 'regression' AND scope = 'in_scope' AS m FROM outcomes)")
+def regression_rate(spark, sf):
+    return _rounded(evaluate.regression_rate(_outcomes(spark, sf)))
+
+
+@query(f"WITH {RESULTS}, a AS (SELECT scope AS arm, {METRICS} FROM outcomes GROUP BY scope) SELECT arm AS leader FROM a ORDER BY recall_at5 DESC, mrr DESC, arm LIMIT 1")
+def experiment_leader(spark, sf):
+    arms = _rounded(evaluate.metrics(_outcomes(spark, sf), ["scope"])).withColumnRenamed("scope", "arm")
+    return evaluate.leader(arms)
+
+
+@query(f"WITH {RESULTS} SELECT scope, count(*) AS cases, count(r.case_id) AS with_hit, round(count(r.case_id) / count(*)::DOUBLE, 6) AS share FROM cases LEFT JOIN (SELECT DISTINCT case_id FROM results) r USING (case_id) GROUP BY scope")
+def keyword_participation(spark, sf):
+    return _rounded(evaluate.participation(M.cases(spark, sf), _case_results(spark, sf)))
+
+
 # Streams, in batch form
 
 
