@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fresh, word_count
+from .common import cut, fresh, if_small, word_count
 
 CAP = 3.0
 OFFSETS = 32
@@ -97,7 +97,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: floa
     # Cells of like size within a source; a large source has many, so no task gets all of it.
     cell = F.floor(F.log2(F.col("size") + 1) * 8).cast("int") * SALTS + F.pmod(F.col("h"), F.lit(SALTS)).cast("int")
     placed = docs.withColumn("cell", cell)
-    r = rates.select(F.col("source").alias("r_source"), F.col("prior").alias("r_prior"), "rate")
+    # A row for each source and prior: broadcast if these are few, so that a large source isn't dealt by its name.
+    r = if_small(rates.select(F.col("source").alias("r_source"), F.col("prior").alias("r_prior"), "rate"))
     with_rate = lambda d: d.join(r, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("prior") == F.col("r_prior"))).drop("r_source", "r_prior")
     cells = with_rate(placed.groupBy("source", "prior", "cell").agg(F.count("*").alias("n"))).groupBy("source", "cell").agg(F.sum(F.col("n") * F.col("rate")).alias("mass"))
     starts = cells.select(F.col("source").alias("c_source"), F.col("cell").alias("c_cell"), F.coalesce(F.sum("mass").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("start"))
@@ -117,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: floa
     )
     copies = F.least(F.lit(int(cap)), F.greatest(F.lit(0), copies_at(F.col("u")))).cast("int")
     out = cut(
-        run.join(best, F.col("source").eqNullSafe(F.col("t_source")))
+        run.join(if_small(cut(best)), F.col("source").eqNullSafe(F.col("t_source")))
         .withColumn("copies", copies)
         .select("id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", "copies")
     )
@@ -132,14 +133,14 @@ def _nearer(out: DataFrame, cap: int) -> DataFrame:
     move = F.when((F.col("off") > 0) & (F.col("copies") < cap), 1).when((F.col("off") < 0) & (F.col("copies") > 0), -1)
     left = F.abs(F.col("off") - move * F.col("size"))
     chosen = (
-        out.join(off, F.col("source").eqNullSafe(F.col("o_source")))
+        out.join(if_small(cut(off)), F.col("source").eqNullSafe(F.col("o_source")))
         .filter(move.isNotNull() & (left < F.abs("off")))
         .groupBy(F.col("source").alias("m_source"))
         .agg(F.min(F.struct(left.alias("left"), F.col("id").alias("m_id"), F.col("size").alias("m_size"), F.col("copies").alias("m_copies"), move.alias("move"))).alias("m"))
         .select("m_source", "m.*")
     )
     same = F.col("source").eqNullSafe(F.col("m_source")) & F.col("id").eqNullSafe(F.col("m_id")) & (F.col("size") == F.col("m_size")) & (F.col("copies") == F.col("m_copies"))
-    return out.join(chosen, same, "left").select(*[c for c in out.columns if c != "copies"], (F.col("copies") + F.coalesce("move", F.lit(0))).cast("int").alias("copies"))
+    return out.join(if_small(cut(chosen)), same, "left").select(*[c for c in out.columns if c != "copies"], (F.col("copies") + F.coalesce("move", F.lit(0))).cast("int").alias("copies"))
 
 
 def repeat_by_mix(df: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = CAP, text: str = "text", id: str = "doc_id", source: str = "source") -> DataFrame:
