@@ -71,8 +71,11 @@ def test_finds_toxic_texts(spark, docs):
 def test_fit_takes_a_bounded_sample(spark, docs):
     d = docs(*[(i, t) for i, (t, _) in enumerate(texts(80, 3))], (900, None))
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)] + [(900, 0), (901, 1), (None, 1), (3, None)], "doc_id long, toxic int")
-    found, y = T.sample(d, labels, F.lit(True), 15)
+    y = [r.label for r in T.sample(d, labels, F.lit(True), 15).collect()]
+    net = T.fit(d, labels, F.lit(True), 15)
+    assert len(net.vocabulary) == len(net.p["word"]) - 1 and set(net.p) == set(T.train([], []).p)
+    assert len(T.fit(d, labels.limit(0), F.lit(True)).vocabulary) == 0
     assert y.count(0) == 15 and y.count(1) in (14, 15)  # one id has no document
     lone = T.train(["a b", "c"], [0, 0])
     assert T.score_texts(lone, pa.array(["a b", "z"]))[0] < 0.01
-    assert len(T.train([], []).vocabulary) == 0 and found
+    assert len(T.train([], []).vocabulary) == 0

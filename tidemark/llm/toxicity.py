@@ -35,6 +35,8 @@ BATCH = 128
 #: Pull of the vectors of words and trigrams to zero.
 DECAY = 1e-4
 THRESHOLD = 0.7
+#: Texts are scored in groups of about so many bytes.
+SCORED_BYTES = 2 << 20
 _f = np.float32
 
 
@@ -78,14 +80,15 @@ class Network:
     vocabulary: pa.Array
     p: dict[str, np.ndarray]
 
-    def inputs(self, distinct: pa.Array) -> np.ndarray:
+    def inputs(self, distinct: pa.Array, part: int = 16_384) -> np.ndarray:
         """The input vector of each distinct word, and last that of no word."""
-        place = pc.fill_null(pc.index_in(distinct, value_set=self.vocabulary), len(self.vocabulary)).to_numpy(zero_copy_only=False)
-        buckets, starts = trigrams(distinct)
         x = np.zeros((len(distinct) + 1, WORD_DIM + CHAR_DIM), _f)
-        x[:-1, :WORD_DIM] = self.p["word"][place]
-        if len(distinct):
-            x[:-1, WORD_DIM:] = np.add.reduceat(self.p["char"][buckets], starts, axis=0) / np.diff(np.append(starts, len(buckets)))[:, None]
+        for lo in range(0, len(distinct), part):
+            words = distinct.slice(lo, part)
+            place = pc.fill_null(pc.index_in(words, value_set=self.vocabulary), len(self.vocabulary)).to_numpy(zero_copy_only=False)
+            buckets, starts = trigrams(words)
+            x[lo : lo + len(words), :WORD_DIM] = self.p["word"][place]
+            x[lo : lo + len(words), WORD_DIM:] = np.add.reduceat(self.p["char"][buckets], starts, axis=0) / np.diff(np.append(starts, len(buckets)))[:, None]
         return x
 
 
@@ -284,7 +287,7 @@ def _hottest(text: np.ndarray, value: np.ndarray, n: int, most: int) -> np.ndarr
 def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
     """The score of each text, that of its most toxic window; all windows are scored."""
     out = np.zeros(len(texts))
-    for lo, part in groups(texts):
+    for lo, part in groups(texts, SCORED_BYTES):
         codes, distinct, offsets = words_of(part)
         table = net.inputs(distinct)
         text, first, size = windows(offsets)
@@ -295,8 +298,8 @@ def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, use: Column, per_label: int = SAMPLE, id: str = "doc_id", text: str = "text") -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``per_label`` ids of each label, those of smallest hash among the rows of ``labels`` for which ``use`` holds.
+def sample(docs: DataFrame, labels: DataFrame, use: Column, per_label: int = SAMPLE, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (start, label): texts of at most ``per_label`` ids of each label, those of smallest hash among the rows of ``labels`` for which ``use`` holds.
 
     Ids are picked on the labels alone, so the documents are only read, not exchanged.
     Of labels that disagree the larger counts; nulls and ids without a document give nothing.
@@ -307,12 +310,25 @@ def sample(docs: DataFrame, labels: DataFrame, use: Column, per_label: int = SAM
     words = (SAMPLE_WINDOWS - 1) * STRIDE + WINDOW
     start = F.array_join(F.slice(F.split(F.coalesce("body", F.lit("")), r"[\x20\x09-\x0D]+"), 1, words), " ")
     texts = docs.select(F.col(id).alias("named"), F.col(text).alias("body"))
-    rows = texts.join(F.broadcast(first[0].union(first[1])), F.col("named") == F.col("marked")).select(start.alias("start"), F.col("label").cast("int").alias("label")).toArrow()
-    return rows.column(0).to_pylist(), rows.column(1).to_pylist()
+    return texts.join(F.broadcast(first[0].union(first[1])), F.col("named") == F.col("marked")).select(start.alias("start"), F.col("label").cast("int").alias("label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, per_label: int = SAMPLE) -> Network:
-    return train(*sample(docs, labels, use, per_label))
+    """Trains on the bounded sample, in one task; only the parameters come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((y, t) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if y is not None)
+        net = train([t for _, t in rows], [y for y, _ in rows])
+        names = list(net.p)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names), pa.array([list(net.p[k].shape) for k in names], pa.list_(pa.int64())), pa.array([net.p[k].tobytes() for k in names], pa.binary()), pa.array([net.vocabulary.to_pylist() if k == "word" else [] for k in names], pa.list_(pa.string()))],
+            names=["name", "shape", "data", "words"],
+        )
+
+    found = sample(docs, labels, use, per_label)
+    one_more = found.sparkSession.range(1).select(F.lit(None).cast("string").alias("start"), F.lit(None).cast("int").alias("label"))  # an empty sample trains as well
+    rows = found.union(one_more).repartition(1).mapInArrow(run, "name string, shape array<long>, data binary, words array<string>").collect()
+    return Network(pa.array(next(r["words"] for r in rows if r["name"] == "word"), pa.string()), {r["name"]: np.frombuffer(bytes(r["data"]), _f).reshape(r["shape"]).copy() for r in rows})
 
 
 def score(df: DataFrame, net: Network, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
