@@ -107,6 +107,33 @@ def test_similar_groups_equal_brute_force(spark, docs):
     assert kept == set(got.values())
 
 
+def test_similar_groups_count_shingles_once(spark, docs):
+    random.seed(9)
+    words = [[f"v{i}x{random.randrange(10**6)}" for _ in range(300)] for i in range(4)]
+    line = " ".join(f"line{i}" for i in range(10)) + " "
+    rows = list(enumerate([" ".join(words[i] + ["spam"] * n) for i in range(4) for n in (6, 400)] + [line * 2, line * 20, "spam " * 6, "spam " * 400]))
+    texts = dict(rows)
+    got = {r.id: r.component_id for r in simhash.similar_groups(docs(*rows)).collect()}
+    assert got == roots(range(len(rows)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8) == {i: i - i % 2 for i in texts}
+
+
+def test_similar_groups_beyond_the_radius(spark, docs, monkeypatch):
+    random.seed(10)
+    texts = []
+    for i in range(30):  # four and five shingles: exactly 0.8
+        words = [f"s{i}w{j}" for j in range(9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    for i in range(4):
+        words = [f"t{i}w{j}" for j in range(200)]
+        for k in (0, 1, 3, 8, 30):
+            texts.append(" ".join("new" + str(random.randrange(10**6)) if p in random.sample(range(200), k) else w for p, w in enumerate(words)))
+    rows = list(enumerate(texts))
+    want = roots(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    for block in (simhash.BLOCK, 4):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert {r.id: r.component_id for r in simhash.similar_groups(docs(*rows), radius=0).collect()} == want
+
+
 def test_empty_and_extra_columns(spark, docs):
     empty = docs((1, "a")).filter("false")
     assert simhash.fingerprint_groups(empty).count() == 0

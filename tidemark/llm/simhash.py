@@ -56,22 +56,25 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(df: DataFrame, shingle: int, bands: int = 0, rows: int = 4, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Rows (id, fp, bands): 64-bit fingerprint and, if asked for, min-hash band keys of each text.
+    """Rows (id, fp, bands, digest): 64-bit fingerprint and, if asked for, min-hash band keys of each text and a digest of its set of shingles.
 
-    A text without words (null too) has fingerprint zero and the band keys of no shingles.
+    With bands, the fingerprint counts each distinct shingle once, as the bands do.  A text
+    without words (null too) has fingerprint zero and the band keys of no shingles.
     """
     salts = np.random.default_rng(7).integers(1, 1 << 63, (2, bands * rows), np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys = [], []
+            fps, keys, digests = [], [], []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
                 h = shingle_hashes(t or b"", shingle)
+                h = np.unique(h) if bands else h
                 fps.append(fingerprint(h) if len(h) else 0)
                 keys.append(_bands(h, salts, bands, rows) if bands else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "bands"])
+                digests.append(xxhash.xxh64_intdigest(h.tobytes()) if bands else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(digests, np.uint64).view(np.int64))], names=["id", "fp", "bands", "digest"])
 
-    return df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, fp long, bands array<long>")
+    return df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, fp long, bands array<long>, digest long")
 
 
 def _bands(h: np.ndarray, salts: np.ndarray, bands: int, rows: int) -> list[int]:
@@ -189,6 +192,24 @@ def _linked(groups: DataFrame, key: list[str], radius: int) -> DataFrame:
     return each_part(groups, key, ["node", "fp"], run, "a long, b long", 20_000)
 
 
+def _linked_or_open(groups: DataFrame, key: list[str], radius: int) -> DataFrame:
+    """As :func:`_linked`, and rows (a, key, part), with b null, of all nodes of the parts that these links don't join into one."""
+    names = [*key, "part"]
+
+    def run(starts: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        node, fp = rows.column(0), rows.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        n = len(fp)
+        b = forest(n, links(fp, starts, radius))
+        edge = np.flatnonzero(b != np.arange(n))
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(edge)), node.take(pa.array(b[edge])), *[pa.nulls(len(edge), rows.column(k).type) for k in names]], names=["a", "b", *names])
+        apart = np.add.reduceat((b == np.arange(n)).astype(np.int64), starts) > 1
+        left = rows.filter(pa.array(np.repeat(apart, np.diff(np.append(starts, n)))))
+        yield pa.RecordBatch.from_arrays([left.column(0), pa.nulls(left.num_rows, pa.int64()), *[left.column(k) for k in names]], names=["a", "b", *names])
+
+    schema = ", ".join(["a long", "b long", *[f"{k} {groups.schema[k].dataType.simpleString()}" for k in names]])
+    return each_part(groups, key, ["node", "fp", *names], run, schema, 20_000)
+
+
 def block_keys(fp: str, radius: int, blocks: int) -> F.Column:
     """An array of keys, the bits of each choice of ``blocks - radius`` blocks: fingerprints within the radius share one at least."""
     edges = [BITS * i // blocks for i in range(blocks + 1)]
@@ -224,25 +245,28 @@ def similar_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, tex
     """Rows (id, component_id), one for each row of ``df``: texts link whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     Texts that share a min-hash band are compared bit-sliced within ``radius``; the
-    clusters this gives are then compared exactly by their shingles.  Bands of four
-    find a pair at 0.8 with 0.9994.  Equal shingle sets need no comparing: one stands
-    for all.  Texts without words link with each other.
+    clusters this gives are then compared exactly by their shingles, and so are, in their
+    blocks, texts that share a band but no cluster.  Bands of four find a pair at 0.8
+    with 0.9994.  Equal shingle sets need no comparing: one stands for all.  Texts without
+    words link with each other.
     """
     docs = table(fingerprints(df, shingle, bands, ROWS, text, id))
     keyed = docs.select(F.col("id").alias("node"), "fp", F.posexplode("bands").alias("band", "key")).filter("node is not null")
-    # Equal keys in all bands and equal fingerprints: one row stands for them in the blocks.
-    alike = docs.groupBy("fp", F.xxhash64("bands").alias("b")).agg(F.min("id").alias("node"))
+    # Equal sets of shingles: one row stands for them in the blocks.
+    alike = docs.groupBy("fp", "digest").agg(F.min("id").alias("node"))
     keyed = keyed.join(alike.select("node"), "node", "left_semi")
-    first = _linked(within_groups(keyed, ["band", "key"], "node", BLOCK), ["band", "key"], radius)
-    same = docs.withColumn("b", F.xxhash64("bands")).join(alike, ["fp", "b"]).filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    clusters = cut(components(first.unionByName(same)))
-    exact = _verified(df.select(F.col(id).cast("long").alias("node"), F.col(text).alias("text")).join(clusters, "node"), shingle, similarity)
-    roots = cut(components(exact))
+    first = table(_linked_or_open(within_groups(keyed, ["band", "key"], "node", BLOCK), ["band", "key"], radius))
+    same = docs.join(alike, ["fp", "digest"]).filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    clusters = cut(components(first.filter("b is not null").select("a", "b").unionByName(same)))
+    texts = df.select(F.col(id).cast("long").alias("node"), F.col(text).alias("text"))
+    exact = _verified(texts.join(clusters, "node"), shingle, similarity)
+    far = _far(first.filter("b is null").select("band", "key", "part", F.col("a").alias("node")), clusters, texts, shingle, similarity)
+    roots = cut(components(exact.unionByName(far)))
     return docs.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component_id"))
 
 
-def _verified(members: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Spanning edges (a, b) of the exact links within clusters; ``members``: node, text, root."""
+def _sets(members: DataFrame, shingle: int) -> DataFrame:
+    """Rows (root, node, set): the distinct shingle hashes of each text; ``members``: root, node, text."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,6 +275,12 @@ def _verified(members: DataFrame, shingle: int, similarity: float) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["root", "node", "set"])
 
+    return members.select("root", "node", "text").mapInArrow(hashes, "root long, node long, set array<long>")
+
+
+def _exact_links(parts: DataFrame, key: list[str], similarity: float) -> DataFrame:
+    """Spanning edges (a, b) of the exact links within the parts of ``parts`` (key, part, node, set)."""
+
     def run(starts: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         node, sets = rows.column(0).to_numpy(), rows.column(1)
         ends, values = sets.offsets.to_numpy(), sets.values.to_numpy(zero_copy_only=False).view(np.uint64)
@@ -260,8 +290,23 @@ def _verified(members: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 a.append(node[i]), b.append(node[j])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sets = members.select("root", "node", "text").mapInArrow(hashes, "root long, node long, set array<long>")
-    return each_part(within_groups(table(sets), ["root"], "node", BLOCK), ["root"], ["node", "set"], run, "a long, b long", 2_000)
+    return each_part(parts, key, ["node", "set"], run, "a long, b long", 2_000)
+
+
+def _verified(members: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Spanning edges (a, b) of the exact links within clusters; ``members``: node, text, root."""
+    return _exact_links(within_groups(table(_sets(members, shingle)), ["root"], "node", BLOCK), ["root"], similarity)
+
+
+def _far(open_parts: DataFrame, clusters: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Spanning edges (a, b) of the exact links within the parts (band, key, part, node) that hold texts of several clusters."""
+    by = ["band", "key", "part"]
+    named = open_parts.join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = named.groupBy(*by).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select(*by)
+    rows = table(open_parts.join(several, by, "left_semi"))
+    nodes = rows.select("node").distinct().withColumn("root", F.lit(0).cast("long"))
+    sets = table(_sets(texts.join(if_small(nodes), "node"), shingle)).select("node", "set")
+    return _exact_links(rows.join(sets, "node"), ["band", "key"], similarity)
 
 
 def set_links(values: np.ndarray, ends: np.ndarray, lo: int, hi: int, similarity: float) -> Iterator[tuple[int, int]]:
