@@ -136,7 +136,17 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
 
 
 def sketches(texts: list[str], k: int, s: int, kept: int) -> list[np.ndarray]:
-    return [sketch(h, kept) for group in _groups(texts) for _, h in anchor_lists(group, k, s)]
+    """The sketch of each text.  A text of k characters or more that has no syncmer (40 characters always hold one, with the default sizes) is known by its smallest k-mer, so that only an empty text has an empty sketch."""
+    out = []
+    for group in _groups(texts):
+        for text, (_, hashes) in zip(group, anchor_lists(group, k, s), strict=True):
+            out.append(sketch(hashes if len(hashes) or not text else _smallest(text, k), kept))
+    return out
+
+
+def _smallest(text: str, k: int) -> np.ndarray:
+    codes = _mix(np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1))
+    return _mix(_rolling(codes, k)).min(keepdims=True)
 
 
 def _with_next(df: DataFrame, id: str, text: str) -> DataFrame:
