@@ -68,6 +68,14 @@ def test_finds_toxic_texts(spark, docs):
     assert T.score(odd.limit(0), net).count() == 0
 
 
+def test_fit_takes_whole_texts(spark, docs):
+    lead = "word1 " * 6000
+    d = docs(*[(i, lead + ("vile scum" if i % 2 else "word2 word3")) for i in range(16)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(16)], "doc_id long, toxic int")
+    assert all(r[0].endswith("vile scum" if r.label else "word3") for r in T.sample(d, labels, F.lit(True)).collect())
+    assert {"vile", "scum"} <= set(T.fit(d, labels, F.lit(True)).vocabulary.to_pylist())
+
+
 def test_fit_takes_a_bounded_sample(spark, docs):
     d = docs(*[(i, t) for i, (t, _) in enumerate(texts(80, 3))], (900, None))
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)] + [(900, 0), (901, 1), (None, 1), (3, None)], "doc_id long, toxic int")

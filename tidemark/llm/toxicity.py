@@ -27,8 +27,8 @@ WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 CHAR_BUCKETS = 8192
 MIN_TEXTS = 4
 MARKS = ".,;:!?\"'()[]{}<>*%$&#|/\\_-+=~`…"
-#: Labelled texts of each label that training takes at most, and windows of each text.
-SAMPLE, SAMPLE_WINDOWS = 1000, 200
+#: Labelled texts of each label that training takes at most, each of them whole.
+SAMPLE = 1000
 #: Epochs, more of them if they have few steps.
 EPOCHS, STEPS = 6, 250
 BATCH = 128
@@ -299,18 +299,15 @@ def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, use: Column, per_label: int = SAMPLE, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (start, label): texts of at most ``per_label`` ids of each label, those of smallest hash among the rows of ``labels`` for which ``use`` holds.
+    """Rows (body, label): whole texts of at most ``per_label`` ids of each label, those of smallest hash among the rows of ``labels`` for which ``use`` holds.
 
     Ids are picked on the labels alone, so the documents are only read, not exchanged.
     Of labels that disagree the larger counts; nulls and ids without a document give nothing.
     """
     marks = labels.filter(use).select(F.col(id).alias("marked"), F.col("toxic").alias("label")).dropna().groupBy("marked").agg(F.max("label").alias("label"))
     first = [marks.filter(F.col("label") == y).orderBy(F.xxhash64("marked"), "marked").limit(per_label) for y in (0, 1)]
-    # A very long text gives as many words as the windows that training takes of it.
-    words = (SAMPLE_WINDOWS - 1) * STRIDE + WINDOW
-    start = F.array_join(F.slice(F.split(F.coalesce("body", F.lit("")), r"[\x20\x09-\x0D]+"), 1, words), " ")
     texts = docs.select(F.col(id).alias("named"), F.col(text).alias("body"))
-    return texts.join(F.broadcast(first[0].union(first[1])), F.col("named") == F.col("marked")).select(start.alias("start"), F.col("label").cast("int").alias("label"))
+    return texts.join(F.broadcast(first[0].union(first[1])), F.col("named") == F.col("marked")).select(F.coalesce("body", F.lit("")).alias("body"), F.col("label").cast("int").alias("label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, per_label: int = SAMPLE) -> Network:
@@ -326,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, per_label: int = SAMPLE
         )
 
     found = sample(docs, labels, use, per_label)
-    one_more = found.sparkSession.range(1).select(F.lit(None).cast("string").alias("start"), F.lit(None).cast("int").alias("label"))  # an empty sample trains as well
+    one_more = found.sparkSession.range(1).select(F.lit(None).cast("string").alias("body"), F.lit(None).cast("int").alias("label"))  # an empty sample trains as well
     rows = found.union(one_more).repartition(1).mapInArrow(run, "name string, shape array<long>, data binary, words array<string>").collect()
     return Network(pa.array(next(r["words"] for r in rows if r["name"] == "word"), pa.string()), {r["name"]: np.frombuffer(bytes(r["data"]), _f).reshape(r["shape"]).copy() for r in rows})
 
