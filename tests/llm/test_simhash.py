@@ -78,15 +78,40 @@ def test_large_groups_are_split_without_loss(spark, monkeypatch):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "node long, fp long").withColumn("key", F.lit(1))
     edges = simhash._linked(simhash.within_groups(df, ["key"], "fp", 16), ["key"], 2)
     assert {r.root for r in graph.components(edges).collect()} == {0}
+    # Fingerprints that all share their upper 32 bits crowd one key; with finer keys no link is lost.
+    rng = np.random.default_rng(4)
+    fps = sorted({int(x) << 3 & 0xFFFFFFF for x in rng.integers(0, 1 << 12, 90)} | {int(x) for x in rng.integers(0, 1 << 9, 60)})
+    text = spark.createDataFrame([(x, x) for x in fps], "node long, fp long")
+    keyed = text.select("node", "fp", F.explode(simhash.block_keys("fp", 2, 4)).alias("key"))
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    fine = simhash._finer_keys(keyed, 2)
+    assert fine.groupBy("key").count().agg(F.max("count")).first()[0] <= 64
+    got = {r.node: r.root for r in graph.components(simhash._linked(fine.withColumn("part", F.lit(0)), ["key"], 2)).collect()}
+    want = roots(fps, lambda a, b: (a ^ b).bit_count() <= 2)
+    assert {x: got.get(x, x) for x in fps} == want
+
+
+def test_hubs_and_unfinished_components(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(graph, "SMALL_EDGES", 10)
+    monkeypatch.setattr(graph, "HOT_ROWS", 20)
+    edges = [(1000, i) for i in range(60)] + [(2000, i) for i in range(55, 120)] + [(300 + i, 301 + i) for i in range(20)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.root for r in graph.components(df).collect()}
+    pairs = {frozenset(e) for e in edges}
+    assert got == roots(sorted({x for e in edges for x in e}), lambda a, b: frozenset((a, b)) in pairs)
+    with pytest.raises(RuntimeError):
+        graph.components(df, max_rounds=1)
 
 
-def jaccard(a, b, n=5):
+def likeness(a, b, n=5):
     sets = []
     for t in (a, b):
         w = (t or "").lower().split()
         sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
     x, y = sets
-    return len(x & y) / len(x | y) if x | y else 1.0
+    return 2 * len(x & y) / (len(x) + len(y)) if x | y else 1.0
 
 
 def test_similar_groups_equal_brute_force(spark, docs):
@@ -99,12 +124,15 @@ def test_similar_groups_equal_brute_force(spark, docs):
             for p in random.sample(range(200), k):
                 w[p] = f"new{random.randrange(10**6)}"
             texts.append(" ".join(w))
-    texts += ["", None, "one two", "one two", "One TWO", "three"]
+    texts += ["", None, "one two", "one two", "One TWO", "three", "q " * 60_000, "q " * 59_000]
     rows = list(enumerate(texts))
     got = {r.id: r.component_id for r in simhash.similar_groups(docs(*rows)).collect()}
-    assert got == roots(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
-    kept = {r.doc_id for r in simhash.drop_near(docs(*rows, (None, "three"), (None, "three"))).collect() if r.doc_id is not None}
-    assert kept == set(got.values())
+    assert got == roots(range(len(texts)), lambda a, b: likeness(texts[a], texts[b]) >= 0.8)
+    kept = [r.doc_id for r in simhash.drop_near(docs(*rows, (None, "three"), (None, "three"), (None, "none like it"), (None, "none like it"))).collect()]
+    assert sorted(kept, key=str) == sorted([*set(got.values()), None], key=str)
+    # Rows that share an id are told apart by their texts.
+    odd = simhash.drop_near(docs((1, texts[0]), (2, texts[0]), (2, "something else here"), (3, "x " * 40), (3, "x " * 40)))
+    assert sorted((r.doc_id, r.text[:5]) for r in odd.collect()) == sorted([(1, texts[0][:5]), (2, "somet"), (3, "x x x")])
 
 
 def test_similar_groups_count_shingles_once(spark, docs):
@@ -114,21 +142,21 @@ def test_similar_groups_count_shingles_once(spark, docs):
     rows = list(enumerate([" ".join(words[i] + ["spam"] * n) for i in range(4) for n in (6, 400)] + [line * 2, line * 20, "spam " * 6, "spam " * 400]))
     texts = dict(rows)
     got = {r.id: r.component_id for r in simhash.similar_groups(docs(*rows)).collect()}
-    assert got == roots(range(len(rows)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8) == {i: i - i % 2 for i in texts}
+    assert got == roots(range(len(rows)), lambda a, b: likeness(texts[a], texts[b]) >= 0.8) == {i: i - i % 2 for i in texts}
 
 
 def test_similar_groups_beyond_the_radius(spark, docs, monkeypatch):
     random.seed(10)
     texts = []
-    for i in range(30):  # four and five shingles: exactly 0.8
-        words = [f"s{i}w{j}" for j in range(9)]
-        texts += [" ".join(words[:8]), " ".join(words)]
+    for i in range(30):  # three and four shingles: 0.857
+        words = [f"s{i}w{j}" for j in range(8)]
+        texts += [" ".join(words[:7]), " ".join(words)]
     for i in range(4):
         words = [f"t{i}w{j}" for j in range(200)]
         for k in (0, 1, 3, 8, 30):
             texts.append(" ".join("new" + str(random.randrange(10**6)) if p in random.sample(range(200), k) else w for p, w in enumerate(words)))
     rows = list(enumerate(texts))
-    want = roots(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    want = roots(range(len(texts)), lambda a, b: likeness(texts[a], texts[b]) >= 0.8)
     for block in (simhash.BLOCK, 4):
         monkeypatch.setattr(simhash, "BLOCK", block)
         assert {r.id: r.component_id for r in simhash.similar_groups(docs(*rows), radius=0).collect()} == want
@@ -142,3 +170,22 @@ def test_empty_and_extra_columns(spark, docs):
     assert {r.component_id for r in simhash.fingerprint_groups(odd).collect()} == {1}
     kept = simhash.drop_near(odd)
     assert kept.columns == odd.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_recall_on_the_corpus(spark):
+    """Of all pairs of documents that share 0.8 of their shingles, found by brute force over an inverted index, 0.9 are linked at least."""
+    import os
+
+    import pytest
+
+    path = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001") + "/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(path)
+    sets = {r.doc_id: np.unique(simhash.shingle_hashes((r.text or "").encode(), 5)) for r in df.collect()}
+    got = {r.id: r.component_id for r in simhash.similar_groups(df).collect()}
+    ids = sorted(sets)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(sets[a]) and len(sets[b]) and 2 * len(np.intersect1d(sets[a], sets[b], assume_unique=True)) >= 0.8 * (len(sets[a]) + len(sets[b]))]
+    assert pairs and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    linked = {frozenset(p) for p in pairs}
+    assert got == roots(ids, lambda a, b: frozenset((a, b)) in linked)

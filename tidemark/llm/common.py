@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -49,6 +52,27 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of one key from which on a join treats the key as hot.
+HOT_ROWS = 10_000
+
+
+def join_hot(df: DataFrame, side: DataFrame, on: list[str], hot: Column, how: str = "inner") -> DataFrame:
+    """``df`` joined to ``side``, which has one row for each key of ``on`` (no nulls); ``how``: inner or left.
+
+    Rows of ``df`` whose key is ``hot`` (a condition on ``side``) stay where they are: the
+    rows of ``side`` for those keys, at most one for each ``HOT_ROWS`` rows of ``df``, are
+    broadcast if their number allows.  All other rows are exchanged by the key.
+    """
+    (seen,) = fresh(df, "seen")
+    few = side.filter(hot).withColumn(seen, F.lit(True))
+    if few.isEmpty():
+        return df.join(side, on, how)
+    marked = df.join(if_small(few), on, "left")
+    met = marked.filter(F.col(seen)).drop(seen)
+    rest = marked.filter(F.col(seen).isNull()).select(*df.columns).join(side.filter(~hot), on, how)
+    return met.unionByName(rest)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,12 +20,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import each_part, within_groups
-from .common import cut, fresh, if_small, table
+from .common import HOT_ROWS, cut, fresh, if_small, join_hot, table
 from .graph import components
+from .words import groups
 
 BITS = 64
 #: Rows of a group that are compared in one task; larger groups are split.
@@ -55,31 +56,33 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, shingle: int, bands: int = 0, rows: int = 4, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Rows (id, fp, bands, digest): 64-bit fingerprint and, if asked for, min-hash band keys of each text and a digest of its set of shingles.
+def fingerprints(df: DataFrame, shingle: int, bands: int = 0, rows: int = 4, text: str = "text", id: str = "doc_id", node: Column | None = None) -> DataFrame:
+    """Rows (id, node, fp, bands, digest): 64-bit fingerprint and, if asked for, min-hash band keys of each text and a digest of its set of shingles.
 
     With bands, the fingerprint counts each distinct shingle once, as the bands do.  A text
     without words (null too) has fingerprint zero and the band keys of no shingles.
+    ``node`` is carried along.
     """
     salts = np.random.default_rng(7).integers(1, 1 << 63, (2, bands * rows), np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, keys, digests = [], [], []
-            for t in batch.column(1).cast(pa.binary()).to_pylist():
+            for t in batch.column(2).cast(pa.binary()).to_pylist():
                 h = shingle_hashes(t or b"", shingle)
                 h = np.unique(h) if bands else h
                 fps.append(fingerprint(h) if len(h) else 0)
                 keys.append(_bands(h, salts, bands, rows) if bands else [])
                 digests.append(xxhash.xxh64_intdigest(h.tobytes()) if bands else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(digests, np.uint64).view(np.int64))], names=["id", "fp", "bands", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(digests, np.uint64).view(np.int64))], names=["id", "node", "fp", "bands", "digest"])
 
-    return df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, fp long, bands array<long>, digest long")
+    source = df.select(F.col(id).cast("long").alias("id"), (F.lit(None) if node is None else node).cast("long").alias("node"), F.col(text).alias("text"))
+    return source.mapInArrow(run, "id long, node long, fp long, bands array<long>, digest long")
 
 
 def _bands(h: np.ndarray, salts: np.ndarray, bands: int, rows: int) -> list[int]:
+    """A key of each band of ``rows`` min-hashes of the distinct hashes ``h``."""
     least = np.full(bands * rows, _ONES)
-    h = np.unique(h)
     for at in range(0, len(h), 4096):
         x = h[at : at + 4096, None] * salts[0] + salts[1]
         least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0))
@@ -213,8 +216,10 @@ def _linked_or_open(groups: DataFrame, key: list[str], radius: int) -> DataFrame
 def block_keys(fp: str, radius: int, blocks: int) -> F.Column:
     """An array of keys, the bits of each choice of ``blocks - radius`` blocks: fingerprints within the radius share one at least."""
     edges = [BITS * i // blocks for i in range(blocks + 1)]
-    part = [F.shiftrightunsigned(F.col(fp), edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) for i in range(blocks)]
-    return F.array(*[F.xxhash64(F.lit(k), *[part[i] for i in c]) for k, c in enumerate(combinations(range(blocks), blocks - radius))])
+    block = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(blocks)]
+    masks = [sum(block[i] for i in c) for c in combinations(range(blocks), blocks - radius)]
+    signed = F.array(*[F.lit(m - (m >> 63 << 64)).cast("long") for m in masks])
+    return F.transform(signed, lambda m, k: F.xxhash64(k, F.col(fp).bitwiseAND(m)))
 
 
 def fingerprint_groups(df: DataFrame, shingle: int = 3, radius: int = 2, blocks: int = 4, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -226,56 +231,159 @@ def fingerprint_groups(df: DataFrame, shingle: int = 3, radius: int = 2, blocks:
     empty table gives an empty result.
     """
     docs = cut(fingerprints(df, shingle, text=text, id=id).select("id", "fp"))
-    nodes = cut(docs.groupBy("fp").agg(F.min("id").alias("least")))
+    nodes = cut(docs.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     keyed = nodes.select(F.col("fp").alias("node"), "fp", F.explode(block_keys("fp", radius, blocks)).alias("key"))
-    edges = _linked(within_groups(keyed, ["key"], "fp", BLOCK), ["key"], radius)
+    keyed = _finer_keys(keyed, radius)
+    edges = _linked(keyed.withColumn("part", F.lit(0)), ["key"], radius)
     roots = cut(components(edges))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return docs.join(by_fp, "fp").select("id", "fp", "component_id")
+    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    by_fp = join_hot(named.select("fp", "root", "n"), least, ["root"], F.col("members") > HOT_ROWS).select("fp", "component_id", "n")
+    return join_hot(docs, cut(by_fp), ["fp"], F.col("n") > HOT_ROWS).select("id", "fp", "component_id")
 
 
-#: Of 64 bits, how many may differ in two texts whose shingles have a Jaccard similarity of 0.8 or more (10 are expected, 20 are 3.6 deviations more).
-WIDE = 20
-BANDS, ROWS = 14, 4
+def _finer_keys(keyed: DataFrame, radius: int) -> DataFrame:
+    """``keyed`` (node, fp, key) without the groups of over ``BLOCK`` fingerprints, whose members get finer keys instead.
 
-
-def similar_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id", radius: int = WIDE, bands: int = BANDS) -> DataFrame:
-    """Rows (id, component_id), one for each row of ``df``: texts link whose shingle sets have a Jaccard similarity of ``similarity`` or more.
-
-    Texts that share a min-hash band are compared bit-sliced within ``radius``; the
-    clusters this gives are then compared exactly by their shingles, and so are, in their
-    blocks, texts that share a band but no cluster.  Bands of four find a pair at 0.8
-    with 0.9994.  Equal shingle sets need no comparing: one stands for all.  Texts without
-    words link with each other.
+    Finer keys leave so few bits open that a group of distinct fingerprints cannot
+    exceed ``BLOCK``, so the work on a crowded group stays in proportion to its size.
     """
-    docs = table(fingerprints(df, shingle, bands, ROWS, text, id))
-    keyed = docs.select(F.col("id").alias("node"), "fp", F.posexplode("bands").alias("band", "key")).filter("node is not null")
-    # Equal sets of shingles: one row stands for them in the blocks.
-    alike = docs.groupBy("fp", "digest").agg(F.min("id").alias("node"))
-    keyed = keyed.join(alike.select("node"), "node", "left_semi")
-    first = table(_linked_or_open(within_groups(keyed, ["band", "key"], "node", BLOCK), ["band", "key"], radius))
-    same = docs.join(alike, ["fp", "digest"]).filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    clusters = cut(components(first.filter("b is not null").select("a", "b").unionByName(same)))
-    texts = df.select(F.col(id).cast("long").alias("node"), F.col(text).alias("text"))
-    exact = _verified(texts.join(clusters, "node"), shingle, similarity)
-    far = _far(first.filter("b is null").select("band", "key", "part", F.col("a").alias("node")), clusters, texts, shingle, similarity)
-    roots = cut(components(exact.unionByName(far)))
-    return docs.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component_id"))
-
-
-def _sets(members: DataFrame, shingle: int) -> DataFrame:
-    """Rows (root, node, set): the distinct shingle hashes of each text; ``members``: root, node, text."""
+    open_bits = max(1, (BLOCK.bit_length() - 1) // max(radius, 1))
+    crowded = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("key"))
+    if crowded.isEmpty():
+        return keyed
+    few = if_small(crowded)
+    inside = keyed.join(few, "key", "left_semi").select("node", "fp").distinct()
+    fine = inside.select("node", "fp", F.explode(block_keys("fp", radius, -(-BITS // open_bits))).alias("key"))
+    return keyed.join(few, "key", "left_anti").select("node", "fp", "key").unionByName(fine)
+
+
+#: Of 64 bits, how many may differ in two texts that share 0.8 of their shingles (13 are expected, 24 are 3.4 deviations more).
+WIDE = 24
+#: Min-hash bands of so many rows: two texts that share 0.8 of their shingles meet in one with probability 0.995.
+BANDS, ROWS = 24, 4
+#: How often a crowded band group is held against one of its own texts before it is compared in blocks.
+LEADERS = 12
+
+
+def similar_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id", radius: int = WIDE, bands: int = BANDS, salt: int = 0) -> DataFrame:
+    """Rows (id, node, component_id, stays, salt), one for each row of ``df``.
+
+    Texts link if they share ``similarity`` or more of their distinct shingles, which is
+    twice the shingles in common over the shingles of both (Dice).  Candidates share a min-hash
+    band.  Within a band's group they are compared bit-sliced within ``radius``; the links
+    of this are held against the shingles themselves.  Where that leaves a cluster in
+    parts, or texts of a group in several clusters, these are compared exactly.  Groups of
+    over ``BLOCK`` texts are held exactly against one text after the other.
+
+    Equal texts are one ``node``, the hash of the text (should two texts share a hash,
+    another ``salt`` is taken).  Texts without words, null ones too, link with each other.
+    Rows that share an id but not the text are told apart.  ``component_id`` is the smallest
+    id that can be reached, null only if all are null; ``stays`` marks the row to keep, the one
+    of smallest id (null last, then by node), and rows that repeat both id and text alike.
+    """
+    name = lambda t: F.xxhash64(F.lit(salt), F.coalesce(t, F.lit("")))
+    docs = table(fingerprints(df, shingle, bands, ROWS, text, id, name(F.col(text))))
+    if not docs.groupBy("node").agg(F.min("digest").alias("x"), F.max("digest").alias("y"), F.min("fp").alias("u"), F.max("fp").alias("v")).filter("x <> y or u <> v").isEmpty():
+        return similar_groups(df, shingle, similarity, text, id, radius, bands, salt + 1)
+    uniq = table(docs.drop("id").dropDuplicates(["node"]))
+    # Equal sets of shingles: one text stands for them.
+    alike = cut(uniq.groupBy("fp", "digest").agg(F.min("node").alias("rep"), F.count("*").alias("texts")))
+    same = join_hot(uniq.select("node", "fp", "digest"), alike, ["fp", "digest"], F.col("texts") > HOT_ROWS).filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    reps = uniq.join(alike.select(F.col("rep").alias("node")), "node", "left_semi")
+    keyed = reps.select("node", "fp", F.posexplode("bands").alias("band", "key"))
+    crowded = cut(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("band", "key"))
+    hot = None if crowded.isEmpty() else if_small(crowded)
+    light = keyed if hot is None else keyed.join(hot, ["band", "key"], "left_anti")
+    first = table(_linked_or_open(light.withColumn("part", F.lit(0)), ["band", "key"], radius))
+    pairs = table(first.filter("b is not null").select("a", "b").distinct())
+    clusters = cut(components(pairs))
+    far = _far_rows(first.filter("b is null").select("band", "key", "part", F.col("a").alias("node")), clusters)
+    crowd = None if hot is None else table(keyed.join(hot, ["band", "key"]).select("band", "key", "node"))
+
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(far.select("node"))
+    needed = cut((needed if crowd is None else needed.union(crowd.select("node"))).distinct())
+    texts = df.select(name(F.col(text)).alias("node"), F.col(text).alias("text")).join(if_small(needed), "node", "left_semi")
+    if docs.count() > uniq.count():
+        texts = texts.dropDuplicates(["node"])
+    sets = table(_sets(texts, shingle))
+
+    exact = table(_verified(pairs, sets, similarity))
+    edges = exact.unionByName(same).unionByName(_inside(clusters, exact, sets, similarity)).unionByName(_exact_links(far.join(sets, "node"), ["band", "key"], similarity))
+    if crowd is not None:
+        edges = edges.unionByName(_by_leaders(crowd, sets, similarity))
+    roots = cut(components(edges)).withColumn("grouped", F.lit(True))
+    named = cut(docs.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root")))
+    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("node"))
+    kept = cut(named.groupBy("root").agg(F.min(rank).alias("kept"), F.count("*").alias("members")))
+    whole = join_hot(named, kept, ["root"], F.col("members") > HOT_ROWS)
+    return whole.select("id", "node", F.col("kept.id").alias("component_id"), (rank == F.col("kept")).alias("stays"), F.lit(salt).alias("salt"))
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """Rows (node, set): the distinct shingle hashes of each text."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t or b"", shingle)).view(np.int64) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)])
-            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["root", "node", "set"])
+            for lo, part in groups(batch.column(1)):
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in part.cast(pa.binary()).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)])
+                flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), flat], names=["node", "set"])
+
+    return texts.select("node", "text").mapInArrow(hashes, "node long, set array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are similar.  The set of a node that is the b of many pairs is sent to several tasks."""
+    counts = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")))
+    wide = if_small(cut(counts.filter("k > 1")))
+    dealt = pairs.join(wide, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("k", F.lit(1))).cast("int")).select("a", "b", "salt")
+    right = sets.join(counts.withColumnRenamed("b", "node"), "node").select(F.col("node").alias("b"), F.col("set").alias("b_set"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
+    both = dealt.join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a").join(right, ["b", "salt"])
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    return both.filter(2 * shared >= similarity * (F.size("a_set") + F.size("b_set")) - 1e-9).select("a", "b")
+
+
+def _inside(clusters: DataFrame, exact: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Spanning edges (a, b) of the exact links within the clusters that the exact links so far don't join into one."""
+    now = components(exact).select("node", F.col("root").alias("part"))
+    named = clusters.join(now, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    split = named.groupBy("root").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("root")
+    members = cut(clusters.join(if_small(cut(split)), "root", "left_semi"))
+    return _exact_links(within_groups(table(members.join(sets, "node")), ["root"], "node", BLOCK), ["root"], similarity)
+
+
+def _far_rows(open_parts: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The rows of those parts (band, key, part, node) that hold texts of several clusters."""
+    by = ["band", "key", "part"]
+    named = open_parts.join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = named.groupBy(*by).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select(*by)
+    return table(open_parts.join(several, by, "left_semi"))
 
-    return members.select("root", "node", "text").mapInArrow(hashes, "root long, node long, set array<long>")
+
+def _by_leaders(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that join whatever is exactly linked within the crowded groups ``rows`` (band, key, node).
+
+    In each round, a group's smallest node without a link so far is held against the whole
+    group.  A group of near copies is done after a round or two; one that still has unlinked
+    nodes after ``LEADERS`` rounds is compared in blocks.
+    """
+    by = ["band", "key"]
+    state, edges = rows.withColumn("open", F.lit(True)), None
+    for _ in range(LEADERS):
+        leaders = cut(state.filter("open").groupBy(*by).agg(F.min("node").alias("b")))
+        if leaders.isEmpty():
+            return edges
+        held = state.join(if_small(leaders), by)
+        met = table(_verified(held.filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), sets, similarity))
+        edges = met if edges is None else edges.unionByName(met)
+        linked = met.select(F.col("a").alias("node"), "b", F.lit(True).alias("met"))
+        state = table(held.join(linked, ["node", "b"], "left").select(*by, "node", (F.col("open") & F.col("met").isNull() & (F.col("node") != F.col("b"))).alias("open")))
+    rest = state.filter("open").select(*by).distinct()
+    left = table(state.join(if_small(cut(rest)), by, "left_semi").select(*by, "node"))
+    dealt = within_groups(left, by, "node", BLOCK)
+    return edges.unionByName(_exact_links(dealt.join(sets, "node"), by, similarity))
 
 
 def _exact_links(parts: DataFrame, key: list[str], similarity: float) -> DataFrame:
@@ -293,22 +401,6 @@ def _exact_links(parts: DataFrame, key: list[str], similarity: float) -> DataFra
     return each_part(parts, key, ["node", "set"], run, "a long, b long", 2_000)
 
 
-def _verified(members: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Spanning edges (a, b) of the exact links within clusters; ``members``: node, text, root."""
-    return _exact_links(within_groups(table(_sets(members, shingle)), ["root"], "node", BLOCK), ["root"], similarity)
-
-
-def _far(open_parts: DataFrame, clusters: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Spanning edges (a, b) of the exact links within the parts (band, key, part, node) that hold texts of several clusters."""
-    by = ["band", "key", "part"]
-    named = open_parts.join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = named.groupBy(*by).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select(*by)
-    rows = table(open_parts.join(several, by, "left_semi"))
-    nodes = rows.select("node").distinct().withColumn("root", F.lit(0).cast("long"))
-    sets = table(_sets(texts.join(if_small(nodes), "node"), shingle)).select("node", "set")
-    return _exact_links(rows.join(sets, "node"), ["band", "key"], similarity)
-
-
 def set_links(values: np.ndarray, ends: np.ndarray, lo: int, hi: int, similarity: float) -> Iterator[tuple[int, int]]:
     """Spanning links among the sets lo to hi, by breadth-first search: each set met is held against those not yet met."""
     left = np.arange(lo, hi)
@@ -318,7 +410,7 @@ def set_links(values: np.ndarray, ends: np.ndarray, lo: int, hi: int, similarity
             i = queue.pop()
             own = values[ends[i] : ends[i + 1]]
             sizes = ends[left + 1] - ends[left]
-            near = (np.minimum(sizes, len(own)) >= similarity * np.maximum(sizes, len(own))).nonzero()[0]
+            near = (2 * np.minimum(sizes, len(own)) >= similarity * (sizes + len(own))).nonzero()[0]
             if not len(near):
                 continue
             some = left[near]
@@ -328,7 +420,7 @@ def set_links(values: np.ndarray, ends: np.ndarray, lo: int, hi: int, similarity
             place = np.minimum(np.searchsorted(own, x), max(len(own) - 1, 0))
             found = own[place] == x if len(own) else np.zeros(len(x), bool)
             shared = np.bincount(np.repeat(np.arange(len(some)), m), weights=found, minlength=len(some))
-            joined = shared >= similarity * (m + len(own) - shared) - 1e-9
+            joined = 2 * shared >= similarity * (m + len(own)) - 1e-9
             for j in some[joined]:
                 yield i, int(j)
                 queue.append(int(j))
@@ -338,8 +430,20 @@ def set_links(values: np.ndarray, ends: np.ndarray, lo: int, hi: int, similarity
 
 
 def drop_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that stay: of each group of near duplicates the one with the smallest id; rows with a null id all stay."""
-    (name,) = fresh(df, "gone")
-    groups = similar_groups(df, shingle, similarity, text, id)
-    gone = groups.filter("id <> component_id").select(F.col("id").alias(name)).distinct()
-    return df.join(if_small(gone), F.col(id) == F.col(name), "left_anti")
+    """The rows of ``df`` that stay: of each group of near duplicates the one with the smallest id (null last).
+
+    Rows that share an id but not the text are judged each for itself; of rows that repeat
+    both, one stays.  All columns are kept; an empty table stays empty.
+    """
+    gone_id, gone_node, node = fresh(df, "gone_id", "gone_node", "node")
+    found = cut(similar_groups(df, shingle, similarity, text, id))
+    one = found.select("salt").first()
+    if one is None:
+        return df
+    gone = found.filter("not stays").select(F.col("id").alias(gone_id), F.col("node").alias(gone_node)).distinct()
+    again = found.filter("stays").groupBy("id", "node").count().filter("count > 1")
+    named = df.withColumn(node, F.xxhash64(F.lit(one.salt), F.coalesce(F.col(text), F.lit(""))))
+    kept = named.join(if_small(cut(gone)), (F.col(node) == F.col(gone_node)) & F.col(id).cast("long").eqNullSafe(F.col(gone_id)), "left_anti")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates([id, node])
+    return kept.select(*df.columns)
