@@ -28,7 +28,7 @@ def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.repeated_spans(documents(spark, sf_dir))
-    return out.withColumnsRenamed({"id": "doc_id", "first_id": "first_doc_id"})
+    return out.drop("doc").withColumnsRenamed({"id": "doc_id", "first_id": "first_doc_id"})
 
 
 def _number(col: F.Column) -> F.Column:
