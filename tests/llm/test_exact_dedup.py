@@ -33,15 +33,38 @@ def test_texts_with_one_digest_stay_apart(spark, docs):
     assert {r.id: (r.keep_id, r.group_size) for r in out.collect()} == groups(TEXTS)
 
 
-def test_index_takes_more_runs(spark, docs):
+def test_a_second_batch_is_looked_up(spark, docs, monkeypatch):
+    entries = lambda rows: docs(*rows).select(F.col("doc_id").alias("id"), exact_dedup.sha256(exact_dedup.normalised(F.col("text"))).alias("digest"))
     index = exact_dedup.MergeIndex(spark)
-    for part in (TEXTS[:6], TEXTS[6:]):
-        index.flush(docs(*part).select(F.col("doc_id").alias("id"), exact_dedup.sha256(exact_dedup.normalised(F.col("text"))).alias("digest")))
+    assert index.lookup(entries(TEXTS)).count() == 0
+    index.flush(entries(TEXTS[:4]))
+    index.flush(entries(TEXTS[4:6]))
     assert len(index.runs) == 2
+    index.compact()
+    assert not index.runs
+    for bits, hot in ((exact_dedup.FILTER_BITS, exact_dedup.HOT_ROWS), (64, 1)):  # a filter that lets everything through changes nothing
+        monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
+        monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot)
+        index.compact()
+        have = groups(TEXTS[:6])
+        by = {norm(t): have[i] for i, t in TEXTS[:6]}
+        assert {r.id: (r.keep, r.n) for r in index.lookup(entries(TEXTS[6:])).collect()} == {i: by[norm(t)] for i, t in TEXTS[6:] if norm(t) in by}
+    index.flush(entries(TEXTS[6:]))
     merged = {bytes(r.digest).hex(): (r.keep, r.n) for r in index.compact().collect()}
-    assert len(index.runs) == 1
     want = groups(TEXTS)
     assert merged == {hashlib.sha256(norm(t).encode()).hexdigest(): want[i] for i, t in TEXTS}
+    # Files of the level are sorted and don't overlap.
+    files = [[bytes(r.digest) for r in spark.read.parquet(f).collect()] for f in index.level.inputFiles()]
+    assert all(f == sorted(f) for f in files) and all(a[-1] < b[0] for a, b in zip(sorted(filter(None, files)), sorted(filter(None, files))[1:]))
+
+
+def test_filters_miss_nothing(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", 1 << 14)
+    df = spark.range(3000).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
+    bits = exact_dedup.filter_of(df.filter("id < 500"))
+    passed = {r.id for r in df.join(F.broadcast(bits)).filter(exact_dedup.may_hold(F.col("bits"), F.col("digest"))).collect()}
+    assert passed >= set(range(500)) and len(passed) < 700
+    assert df.join(exact_dedup.filter_of(df.limit(0))).filter(exact_dedup.may_hold(F.col("bits"), F.col("digest"))).count() == 0
 
 
 def test_drop_copies(spark, docs):

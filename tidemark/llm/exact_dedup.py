@@ -1,11 +1,13 @@
 """Exact dedup with a log-structured merge index.
 
-Each scan task is a memtable: it flushes its (digest, id) entries as one sorted
-run, a Parquet file with a Bloom filter on the digest.  Compaction merges runs
-into one sorted level that keeps the smallest id and the number of rows of
-each digest.  A digest that occurs more than once is only a hit: its texts are
-compared byte for byte before any row is dropped, so two texts that share a
-digest stay apart.
+Each scan task is a memtable: it flushes its (digest, id) entries as one run,
+sorted by digest.  Compaction merges the runs, and the level that was there, into one
+level of files that are sorted and apart in their digests, and keeps the smallest id and the
+number of rows of each digest.  Beside it stands a filter, an array of bits on
+hashes of digests.  A lookup asks the filter first, so that most digests that the index
+doesn't hold never leave their task, and then the level.  A digest that occurs
+more than once is only a hit: its texts are compared byte for byte before any row is
+dropped, so two texts that share a digest stay apart.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, fresh, if_small, shared_dir
+from .common import HOT_ROWS, SPACE, cut, fresh, if_small, join_hot, parallelism, shared_dir, table
 
-#: Hit digests that are broadcast at most, at 8 bytes each; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bits of a filter: 2 MB in 64-bit words, whatever the number of digests; a fuller one lets more digests through, never fewer.
+FILTER_BITS = 1 << 24
 
 
 def normalised(text: Column) -> Column:
@@ -31,31 +33,69 @@ def sha256(norm: Column) -> Column:
     return F.unhex(F.sha2(norm, 256))
 
 
+def _bit(digest: Column) -> Column:
+    return F.xxhash64(digest).bitwiseAND(F.lit(FILTER_BITS - 1))
+
+
+def filter_of(digests: DataFrame) -> DataFrame:
+    """One row (bits): an array of ``FILTER_BITS / 64`` words with a bit set for each digest."""
+    at = _bit(F.col("digest"))
+    words = digests.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
+    every = digests.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("word", F.coalesce("b", F.lit(0).cast("long")).alias("b"))))
+    return every.agg(F.transform(ordered, lambda x: x["b"]).alias("bits"))
+
+
+def may_hold(bits: Column, digest: Column) -> Column:
+    """Whether a filter may hold the digest; false only if it doesn't."""
+    word = F.get(bits, F.shiftright(_bit(digest), 6).cast("int"))
+    return F.call_function("shiftrightunsigned", word, _bit(digest).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 class MergeIndex:
-    """Digest index in a shared folder: ``flush`` adds runs, ``compact`` merges them."""
+    """Digest index in a shared folder: ``flush`` adds runs, ``compact`` merges them, ``lookup`` asks for digests."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         self.runs: list[str] = []
+        self.level: DataFrame | None = None
+        self.filter: DataFrame | None = None
 
-    def _write(self, df: DataFrame, level: str) -> str:
+    def _write(self, df: DataFrame, level: str) -> DataFrame:
         to = f"{self.path}/{level}-{uuid.uuid4().hex}"
-        df.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled#digest", "true").parquet(to)
-        return to
+        df.sortWithinPartitions("digest").write.parquet(to)
+        self.last = to
+        return self.spark.read.schema(df.schema).parquet(to)
 
     def flush(self, entries: DataFrame) -> DataFrame:
         """Writes ``entries`` (id, digest), one sorted run for each task; returns them as stored."""
-        to = self._write(entries.select("digest", "id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n")), "run")
-        self.runs.append(to)
-        return self.spark.read.parquet(to).select("id", "digest")
+        found = self._write(entries.select("digest", "id"), "run")
+        self.runs.append(self.last)
+        return found.select("id", "digest")
 
     def compact(self) -> DataFrame:
-        """Merges all runs into one level: (digest, keep, n)."""
-        merged = self.spark.read.parquet(*self.runs).groupBy("digest").agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
-        to = self._write(merged.withColumn("id", F.col("keep")), "level")
-        self.runs = [to]
-        return self.spark.read.parquet(to).select("digest", "keep", "n")
+        """Merges all runs and the level into one level, (digest, keep, n), dealt by ranges of digests, and renews the filter."""
+        runs = self.spark.read.schema("digest binary, id long").parquet(*self.runs) if self.runs else self.spark.createDataFrame([], "digest binary, id long")
+        rows = runs.select("digest", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"))
+        if self.level is not None:
+            rows = rows.unionByName(self.level)
+        merged = rows.groupBy("digest").agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
+        self.level = self._write(merged.repartitionByRange(parallelism(self.spark), "digest"), "level")
+        self.runs = []
+        self.filter = table(filter_of(self.level))
+        return self.level
+
+    def lookup(self, entries: DataFrame) -> DataFrame:
+        """Rows (id, digest, keep, n) of those ``entries`` (id, digest) whose digest the compacted level holds.
+
+        The filter, of fixed size, goes to all tasks; only what passes it is joined to the level.
+        """
+        if self.level is None:
+            return entries.select("id", "digest", F.lit(None).cast("long").alias("keep"), F.lit(None).cast("long").alias("n")).limit(0)
+        passed = table(entries.join(F.broadcast(self.filter)).filter(may_hold(F.col("bits"), F.col("digest"))).select("id", "digest"))
+        often = passed.groupBy("digest").agg(F.count("*").alias("times"))
+        return join_hot(passed, cut(self.level.join(often, "digest")), ["digest"], F.col("times") > HOT_ROWS).select("id", "digest", "keep", "n")
 
 
 def exact_groups(df: DataFrame, text: str = "text", id: str = "doc_id", digest: Callable[[Column], Column] = sha256, index: MergeIndex | None = None) -> DataFrame:
@@ -70,24 +110,22 @@ def exact_groups(df: DataFrame, text: str = "text", id: str = "doc_id", digest:
     base = df.select(F.col(id).alias("id"), normalised(F.col(text)).alias("norm"))
     hashed = base.withColumn("digest", digest(F.col("norm")))
     entries = index.flush(hashed.select("id", "digest"))
-    hits = index.compact().filter("n > 1").select("digest", F.xxhash64("digest").alias("h"))
+    hits = index.compact().filter("n > 1").select("digest")
 
-    narrow = hits.select("h")
-    if hits.count() <= BROADCAST_ROWS:
-        narrow = F.broadcast(narrow)
-    suspects = hashed.withColumn("h", F.xxhash64("digest")).join(narrow, "h", "left_semi").drop("h")
+    # The texts of hits, and of the few others that pass the filter on hits, are read again.
+    passed = hashed.join(F.broadcast(table(filter_of(hits))), may_hold(F.col("bits"), F.col("digest"))).select("id", "norm", "digest")
     # Grouping by the text itself compares all bytes; copies combine before the exchange.
-    checked = suspects.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-    by_digest = cut(checked.groupBy("digest").agg(F.count("*").alias("variants"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
+    checked = passed.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    by_digest = cut(checked.groupBy("digest").agg(F.count("*").alias("variants"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).filter("group_size > 1"))
 
-    out = entries.join(by_digest, "digest", "left")
+    out = join_hot(entries, by_digest, ["digest"], F.col("group_size") > HOT_ROWS, "left")
     plain = out.filter("variants is null or variants = 1").select(
         "id", "digest", F.when(F.col("group_size") > 1, F.col("keep_id")).otherwise(F.col("id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size")
     )
     clash = by_digest.filter("variants > 1").select("digest")
     if clash.isEmpty():
         return plain
-    apart = suspects.join(clash, "digest", "left_semi")
+    apart = passed.join(if_small(clash), "digest", "left_semi")
     groups = apart.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     return plain.unionByName(apart.join(groups, ["digest", "norm"]).select("id", "digest", "keep_id", "group_size"))
 
