@@ -8,8 +8,9 @@ bin.  Only bin sums, whose number is bounded by the parameters, reach the
 driver.  Then rows go to their shard in one exchange.
 
 Equal texts share the first half of the key, so a group of copies stays in one
-shard unless leaving it whole would miss the size by more than ``group_slack``;
-a larger group is divided by the hash of the id.
+shard unless leaving it whole would miss the size by more than ``group_slack``
+of a shard or by more than the largest row, which no boundary can divide; a
+larger group is divided by the hash of the id.
 """
 
 from __future__ import annotations
@@ -82,14 +83,14 @@ class _Range:
 def find_cuts(keys: DataFrame, n_shards: int, tolerance: float = 0.001, group_slack: float = 0.01) -> list[tuple[int, int]]:
     """Boundaries that split ``keys`` (columns u, v, size) into shards of near-equal size.
 
-    ``tolerance`` and ``group_slack`` are shares of the mean shard.
+    ``tolerance`` and ``group_slack`` are shares of the mean shard; rows alike in u are a group.
     """
     u, v, size = F.col("u"), F.col("v"), F.col("size")
     open_ranges: dict[tuple, tuple[_Range, list[int]]] = {}
     first = _Range(0, 0, TOP, FIRST_BINS)
     open_ranges[first.key()] = (first, list(range(1, n_shards)))
     found: dict[int, tuple[int, int]] = {}
-    total = None
+    total, largest = None, 0
     while open_ranges:
         ranges = [r for r, _ in open_ranges.values()]
         which, where = F.lit(None).cast("int"), F.lit(None).cast("int")
@@ -102,7 +103,7 @@ def find_cuts(keys: DataFrame, n_shards: int, tolerance: float = 0.001, group_sl
             .filter("r is not null")
             .withColumn("b", where)
             .groupBy("r", "b")
-            .agg(F.sum(size).alias("size"), F.min(u).alias("u0"), F.max(u).alias("u1"), F.min(v).alias("v0"), F.max(v).alias("v1"))
+            .agg(F.sum(size).alias("size"), F.max(size).alias("most"), F.min(u).alias("u0"), F.max(u).alias("u1"), F.min(v).alias("v0"), F.max(v).alias("v1"))
             .collect()
         )
         by: dict[int, list] = {}
@@ -110,6 +111,7 @@ def find_cuts(keys: DataFrame, n_shards: int, tolerance: float = 0.001, group_sl
             by.setdefault(row.r, []).append(row)
         if total is None:
             total = sum(row["size"] for row in bins)
+            largest = max((row.most for row in bins), default=0)
         mean = max(total / n_shards, 1)
         todo: dict[tuple, tuple[_Range, list[int]]] = {}
         for i, (r, targets) in enumerate(open_ranges.values()):
@@ -128,7 +130,7 @@ def find_cuts(keys: DataFrame, n_shards: int, tolerance: float = 0.001, group_sl
                 near = r.cut(row.b) if goal - lo <= hi - goal else r.cut(row.b + 1)
                 off = min(goal - lo, abs(hi - goal)) / mean
                 alone = row.u0 == row.u1
-                if off <= tolerance or (alone and r.at is None and off <= group_slack) or (alone and row.v0 == row.v1):
+                if off <= tolerance or (alone and r.at is None and off <= max(group_slack, largest / mean)) or (alone and row.v0 == row.v1):
                     found[t] = near
                     continue
                 if alone and r.at is None:
