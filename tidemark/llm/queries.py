@@ -109,7 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_url_asof": r"""
         WITH p AS (SELECT page_id, url, CAST(CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) % 365 AS INTEGER) AS fetched,
-                regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.\-]*://([^/?#:]+)', 1) AS host,
+                regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.\-]*://(?:[^/?#]*@)?([^/?#:@]+)', 1) AS host,
                 regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+/([^?#]*)', 1) AS path FROM pages),
         h AS (SELECT host, CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) AS x FROM (SELECT DISTINCT host FROM p WHERE host <> '')),
         e AS (SELECT 'd:' || host AS pattern, 'block' AS action, x % 200 AS day FROM h WHERE x % 3 = 0

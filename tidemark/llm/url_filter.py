@@ -13,15 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh
+from .common import HOT_ROWS, cut, fresh, join_hot, parallelism, table
 
 #: Intervals that are broadcast at most (about 100 bytes each); beyond it the join is salted and shuffles.
 BROADCAST_ROWS = 200_000
-SALTS = 16
 
 
 def host_of(url: Column) -> Column:
-    return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.\-]*://([^/?#:]+)", 1)
+    """The host in lower case, without a user's name and a port; empty if there is none."""
+    return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#]*@)?([^/?#:@]+)", 1)
 
 
 def path_of(url: Column) -> Column:
@@ -49,21 +49,28 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.select("pattern", "action", F.col("day").alias("valid_from"), F.lead("day").over(Window.partitionBy("pattern").orderBy("day")).alias("valid_to"))
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, id: str = "page_id", url: str = "url", fetched: str = "fetched") -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """All rows and columns of ``captures`` plus ``decision`` (block, allow or none) and ``pattern`` (null for none).
 
-    A null or unreadable URL and a null fetch day match nothing.  Rows that share an id
-    must share URL and day.  An empty list decides ``none`` everywhere.
+    A null or unreadable URL and a null fetch day match nothing.  A decision depends on URL
+    and day alone, so it is found once for each pair of them; columns named like the two
+    that are added are replaced.  An empty list decides ``none`` everywhere.
     """
-    spans = intervals(entries).filter(F.col("action") != "remove")
-    key, day, salt, who, action, found = fresh(captures, "key", "day", "salt", "who", "action", "found")
-    keys = captures.select(F.col(id).alias(who), F.col(fetched).alias(day), F.explode(F.array_distinct(url_patterns(F.col(url)))).alias(key))
+    captures = captures.drop("decision", "pattern")
+    spans = cut(intervals(entries).filter(F.col("action") != "remove"))
+    seen = table(captures.filter(F.col(url).isNotNull() & F.col(fetched).isNotNull()).groupBy(F.col(url).alias("url"), F.col(fetched).cast("long").alias("day")).agg(F.count("*").alias("times")))
+    keys = seen.select("url", "day", F.explode(F.array_distinct(url_patterns(F.col("url")))).alias("key"))
+    holds = (F.col("key") == F.col("pattern")) & (F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
     if spans.count() <= BROADCAST_ROWS:
-        met = keys.join(F.broadcast(spans), (F.col(key) == F.col("pattern")) & (F.col(day) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(day) < F.col("valid_to"))))
+        met = keys.join(F.broadcast(spans), holds)
     else:
-        salted = spans.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keys = keys.withColumn(salt, F.pmod(F.xxhash64(who), F.lit(SALTS)).cast("int"))
-        met = keys.join(salted, (keys[salt] == salted[salt]) & (F.col(key) == F.col("pattern")) & (F.col(day) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(day) < F.col("valid_to"))))
-    best = met.groupBy(who).agg(F.max(F.struct(F.length("pattern").alias("n"), "action", "pattern")).alias("best")).select(who, F.col("best.action").alias(action), F.col("best.pattern").alias(found))
-    out = captures.drop("decision", "pattern").join(best, F.col(id) == F.col(who), "left")
-    return out.select(*[c for c in captures.columns if c not in ("decision", "pattern")], F.coalesce(action, F.lit("none")).alias("decision"), F.col(found).alias("pattern"))
+        # A host with many captures is met in as many places as there are tasks.
+        n = parallelism(captures.sparkSession)
+        salted = spans.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        met = keys.withColumn("salt", F.pmod(F.xxhash64("url", "day"), F.lit(n)).cast("int")).join(salted, (F.col("salt") == F.col("s_salt")) & holds)
+    best = met.groupBy("url", "day").agg(F.max(F.struct(F.length("pattern").alias("n"), "action", "pattern")).alias("best"))
+    k_url, k_day, decision, pattern, times = fresh(captures, "k_url", "k_day", "k_decision", "k_pattern", "k_times")
+    side = seen.join(best, ["url", "day"]).select(F.col("url").alias(k_url), F.col("day").alias(k_day), F.col("best.action").alias(decision), F.col("best.pattern").alias(pattern), F.col("times").alias(times))
+    keyed = captures.withColumns({k_url: F.col(url), k_day: F.col(fetched).cast("long")})
+    out = join_hot(keyed, cut(side), [k_url, k_day], F.col(times) > HOT_ROWS, "left")
+    return out.select(*captures.columns, F.coalesce(decision, F.lit("none")).alias("decision"), F.col(pattern).alias("pattern"))
