@@ -54,12 +54,12 @@ def test_probabilities_add_up(spark, docs):
     words = [r.word for r in counts.collect()]
     import pyarrow as pa
 
-    units = L.units_of(pa.array(words), m.head.slice(0, L.OWN_UNITS))
+    units, k = L.units_of(pa.array(words), m.own), len(m.transition) - 1
     n = {r.word: r.n for r in counts.collect()}
-    for previous in (L.CLASSES, m.unit_class[0]):
-        total = 10 ** m.transition[previous, L.CLASSES]
+    for previous in (k, m.unit_class[0]):
+        total = 10 ** m.transition[previous, k]
         for w, u in zip(words, units, strict=True):
-            total += 10 ** (m.transition[previous, m.unit_class[u]] + m.unit[u] + (math.log10(n[w] + 1) if u >= L.OWN_UNITS else 0))
+            total += 10 ** (m.transition[previous, m.unit_class[u]] + m.unit[u] + (math.log10(n[w] + 1) if u >= len(m.own) else 0))
         assert 0.8 < total <= 1 + 1e-9
     assert np.allclose((10**m.transition).sum(1), 1)
 
@@ -68,3 +68,52 @@ def test_edges(spark, docs):
     assert L.score(docs((1, "a")).limit(0), F.lit(True)).count() == 0
     none = L.score(docs((1, "a b"), (2, None)), F.lit(False)).orderBy("id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in none] == [(3, 0, 0), (1, 0, 0)]
+
+
+def test_the_most_frequent_words_are_found_at_any_count(spark):
+    rows = [(f"w{i}", n) for i, n in enumerate([10**9, 10**9, 10**12, 5, 5, 5, 1, 200_000, 150_000, 150_001])]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    order = sorted((n for _, n in rows), reverse=True)
+    for most in range(1, 11):
+        for bins in (2, 1024):
+            assert sorted((r.n for r in L.most_frequent(counts, most, bins).collect()), reverse=True) == order[:most]
+    assert L.most_frequent(counts, 0).count() == 0
+
+
+def test_exchange_gains_equal_brute_force():
+    rng = np.random.default_rng(3)
+    n, k = 12, 4
+    big = rng.integers(0, 6, (n + 1, n + 1)).astype(float)
+    np.fill_diagonal(big, 0)  # a unit beside itself is counted by its class of before
+    of = np.append(rng.integers(0, k, n), k)
+
+    def table(of):
+        c = np.zeros((k + 1, k + 1))
+        np.add.at(c, (of[:, None].repeat(n + 1, 1), of[None, :].repeat(n + 1, 0)), big)
+        return c
+
+    def likelihood(c):
+        return L._xlogx(c).sum() - L._xlogx(c.sum(1)).sum() - L._xlogx(c.sum(0)).sum()
+
+    hot = np.eye(k + 1)[of]
+    got = L.gains((big @ hot)[:n], (big.T @ hot)[:n], of[:n], table(of))
+    for u in range(n):
+        for b in range(k):
+            moved = of.copy()
+            moved[u] = b
+            want = likelihood(table(moved)) - likelihood(table(of))
+            assert abs(got[u, b] - got[u, of[u]] - want) < 1e-6
+
+
+def test_classes_beat_frequencies_on_held_out_text(spark, docs):
+    rows = rows_of(5, 300)
+    out = [r for r in L.score(docs(*rows), F.col("doc_id") % 7 != 2).collect() if r.id % 7 == 2]
+    assert sum(r.score for r in out) > 0.97 * sum(r.base_score for r in out)
+
+
+def test_edge_texts(spark, docs):
+    long = "alpha beta " * 60_000
+    df = docs((1, long), (2, None), (3, ""), (4, "Alpha"), (4, "Alpha")).withColumns({"row": F.lit(1), "word": F.lit("x"), "n": F.lit(2), "words": F.lit(3), "times": F.lit(4)})
+    out = L.score(df, F.lit(True)).collect()
+    assert sorted((r.id, r.n_tokens) for r in out) == [(1, 120_001), (2, 1), (3, 1), (4, 2), (4, 2)] and all(r.score < 0 for r in out)
+
