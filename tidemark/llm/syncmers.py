@@ -3,14 +3,17 @@
 A k-mer of characters is a closed syncmer if the smallest hash among its inner
 s-mers stands at its first or last place.  Whether it is one depends on its own
 characters only, so an edit changes no anchor outside the k-mers it touches.
-``anchors`` gives all anchors with their positions; a fingerprint keeps the
-smallest anchor hashes, and the likeness of two fingerprints estimates the
-share of anchors that two texts have in common.
+A fingerprint is the list of all anchors, each by its distance from the one before
+and its hash, so it grows with the text and leaves nothing out.  Two fingerprints are
+matched by position: equal anchors are paired, the first with the first, and the longest chain
+of pairs that goes forward in both texts counts, by its share in the anchors of both.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +25,6 @@ from pyspark.sql import functions as F
 from .common import parallelism
 
 K, S = 24, 8
-#: Anchor hashes in a fingerprint.
-KEPT = 64
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _LEAST = -(1 << 63)
@@ -95,21 +96,46 @@ def anchor_lists(texts: list[str], k: int = K, s: int = S) -> list[tuple[np.ndar
     return out
 
 
-def sketch(hashes: np.ndarray, kept: int = KEPT) -> np.ndarray:
-    """The smallest distinct 32-bit hashes, ascending."""
-    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:kept]
-
-
-def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
-    """Share of the smallest hashes of both that are in each; 1 if both are empty."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    union = np.union1d(a, b)[:kept]
-    return float(np.isin(union, a, assume_unique=True) @ np.isin(union, b, assume_unique=True).astype(np.int64)) / len(union)
-
-
-def to_string(kept: np.ndarray) -> str:
-    return kept.astype(">u4").tobytes().hex()
+def matched(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Anchors in the longest chain of equal anchors that goes forward in both lists (positions, hashes)."""
+    keys, places = [], []
+    for at, hashes in (a, b):
+        order = np.argsort(hashes, kind="stable")
+        h = hashes[order].astype(np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        turn = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+        keys.append(h << np.uint64(32) | turn.astype(np.uint64)), places.append(at[order])
+    _, i, j = np.intersect1d(*keys, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0
+    there = places[1][j][np.argsort(places[0][i])]
+    if (np.diff(there) > 0).all():
+        return len(there)
+    ends: list[int] = []  # the least last place of a chain of each length
+    for x in there.tolist():
+        k = bisect_left(ends, x)
+        ends[k : k + 1] = [x]
+    return len(ends)
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The matched anchors' share in those of both; 1 if neither has any."""
+    n = len(a[0]) + len(b[0])
+    return 2 * matched(a, b) / n if n else 1.0
+
+
+def to_string(found: tuple[np.ndarray, np.ndarray]) -> str:
+    """Five bytes for each anchor, in base 64: the distance to the anchor before (255 at most) and the hash."""
+    at, hashes = found
+    out = np.zeros(len(at), [("gap", "u1"), ("hash", ">u4")])
+    out["gap"], out["hash"] = np.minimum(np.diff(at, prepend=0), 255), hashes
+    return base64.b64encode(out.tobytes()).decode()
+
+
+def from_string(s: str) -> tuple[np.ndarray, np.ndarray]:
+    """The (positions, hashes) of a fingerprint."""
+    found = np.frombuffer(base64.b64decode(s), [("gap", "u1"), ("hash", ">u4")])
+    return np.cumsum(found["gap"].astype(np.int64)), found["hash"].astype(np.uint32)
 
 
 def anchors(df: DataFrame, text: str = "text", id: str = "doc_id", k: int = K, s: int = S) -> DataFrame:
@@ -135,18 +161,25 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield group
 
 
-def sketches(texts: list[str], k: int, s: int, kept: int) -> list[np.ndarray]:
-    """The sketch of each text.  A text of k characters or more that has no syncmer (40 characters always hold one, with the default sizes) is known by its smallest k-mer, so that only an empty text has an empty sketch."""
+def fingerprints(texts: list[str], k: int = K, s: int = S) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(positions, 32-bit hashes) of the anchors of each text.
+
+    A text of k characters or more that has no syncmer (40 characters always hold one, with
+    the default sizes) is known by its smallest k-mer, so that only an empty text has no anchor.
+    """
     out = []
     for group in _groups(texts):
-        for text, (_, hashes) in zip(group, anchor_lists(group, k, s), strict=True):
-            out.append(sketch(hashes if len(hashes) or not text else _smallest(text, k), kept))
+        for text, (at, hashes) in zip(group, anchor_lists(group, k, s), strict=True):
+            at, hashes = (at, hashes) if len(hashes) or not text else _smallest(text, k)
+            out.append((at, (hashes >> np.uint64(32)).astype(np.uint32)))
     return out
 
 
-def _smallest(text: str, k: int) -> np.ndarray:
+def _smallest(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     codes = _mix(np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1))
-    return _mix(_rolling(codes, k)).min(keepdims=True)
+    hashes = _mix(_rolling(codes, k))
+    at = hashes.argmin(keepdims=True)
+    return at, hashes[at]
 
 
 def _with_next(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -177,7 +210,7 @@ def _with_next(df: DataFrame, id: str, text: str) -> DataFrame:
     return dealt.repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket", "extra", "id", "text")
 
 
-def fingerprints_with_edits(df: DataFrame, text: str = "text", id: str = "doc_id", k: int = K, s: int = S, kept: int = KEPT) -> DataFrame:
+def fingerprints_with_edits(df: DataFrame, text: str = "text", id: str = "doc_id", k: int = K, s: int = S) -> DataFrame:
     """Fingerprints of each text and of the text with its last quarter replaced by the start of the next one.
 
     Rows (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
@@ -199,18 +232,18 @@ def fingerprints_with_edits(df: DataFrame, text: str = "text", id: str = "doc_id
 
     def rows(ids: list, here: list[str], after: list[str]) -> pa.RecordBatch:
         edited = [t[: len(t) - len(t) // 4] + u[: len(t) // 4] for t, u in zip(here, after, strict=True)]
-        own = sketches(here, k, s, kept)
-        new = sketches(edited, k, s, kept)
-        # A row's next is mostly the row after it, whose sketch is known.
+        own = fingerprints(here, k, s)
+        new = fingerprints(edited, k, s)
+        # A row's next is mostly the row after it, whose fingerprint is known.
         odd = [j for j in range(len(here)) if j + 1 == len(here) or after[j] is not here[j + 1]]
         nxt = own[1:] + [None]
-        for j, x in zip(odd, sketches([after[j] for j in odd], k, s, kept), strict=True):
+        for j, x in zip(odd, fingerprints([after[j] for j in odd], k, s), strict=True):
             nxt[j] = x
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()), pa.array([len(t) for t in here], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
                 pa.array([to_string(x) for x in own]), pa.array([to_string(x) for x in new]),
-                pa.array([likeness(x, y, kept) for x, y in zip(own, new, strict=True)], pa.float64()), pa.array([likeness(x, y, kept) for x, y in zip(own, nxt, strict=True)], pa.float64()),
+                pa.array([likeness(x, y) for x, y in zip(own, new, strict=True)], pa.float64()), pa.array([likeness(x, y) for x, y in zip(own, nxt, strict=True)], pa.float64()),
             ],
             names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
