@@ -72,12 +72,7 @@ def test_fingerprint_groups_equal_brute_force(spark, docs):
     assert {i: c for i, (_, c) in out.items()} == roots(want, lambda a, b: (want[a] ^ want[b]).bit_count() <= 2)
 
 
-def test_large_groups_are_split_without_loss(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 16)
-    rows = [(1 << (i % 60)) for i in range(60)] + [0]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "node long, fp long").withColumn("key", F.lit(1))
-    edges = simhash._linked(simhash.within_groups(df, ["key"], "fp", 16), ["key"], 2)
-    assert {r.root for r in graph.components(edges).collect()} == {0}
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
     # Fingerprints that all share their upper 32 bits crowd one key; with finer keys no link is lost.
     rng = np.random.default_rng(4)
     fps = sorted({int(x) << 3 & 0xFFFFFFF for x in rng.integers(0, 1 << 12, 90)} | {int(x) for x in rng.integers(0, 1 << 9, 60)})
@@ -159,7 +154,24 @@ def test_similar_groups_beyond_the_radius(spark, docs, monkeypatch):
     want = roots(range(len(texts)), lambda a, b: likeness(texts[a], texts[b]) >= 0.8)
     for block in (simhash.BLOCK, 4):
         monkeypatch.setattr(simhash, "BLOCK", block)
-        assert {r.id: r.component_id for r in simhash.similar_groups(docs(*rows), radius=0).collect()} == want
+        for radius in (0, simhash.WIDE):
+            assert {r.id: r.component_id for r in simhash.similar_groups(docs(*rows), radius=radius).collect()} == want
+
+
+def test_crowded_groups_of_near_copies(spark, docs, monkeypatch):
+    """Copies that are like their origin but not like each other, chains, and lone texts, all in crowded bands."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    random.seed(11)
+    rows = []
+    for g in range(3):
+        origin = [f"g{g}w{i}" for i in range(40)]
+        rows.append(" ".join(origin))
+        for p in range(2, 38):
+            rows.append(" ".join(origin[:p] + [f"n{g}x{p}"] + origin[p + 1 :]))
+        rows += [" ".join(origin[: 40 - k]) for k in range(1, 25)]
+    rows = list(enumerate(rows))
+    got = {r.id: r.component_id for r in simhash.similar_groups(docs(*rows)).collect()}
+    assert got == roots(range(len(rows)), lambda a, b: likeness(rows[a][1], rows[b][1]) >= 0.8)
 
 
 def test_empty_and_extra_columns(spark, docs):

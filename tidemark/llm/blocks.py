@@ -1,4 +1,4 @@
-"""Groups of rows that are compared among themselves, cut into blocks of bounded size."""
+"""Groups of rows that are compared among themselves, many at a time."""
 
 from __future__ import annotations
 
@@ -7,26 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import cut, join_hot, parallelism
-
-
-def within_groups(df: DataFrame, key: list[str], spread: str, block: int) -> DataFrame:
-    """``df`` dealt so that any two rows with the same ``key`` (no nulls) meet in some (key, part) of about two blocks at most.
-
-    Groups of one row are left out.  A group of up to ``block`` rows is one part.  A
-    larger one is split into k blocks by the hash of ``spread``, and a part holds two
-    blocks, so that each row goes to k - 1 parts.  Rows of such a group are never
-    gathered in one task: its size reaches them by a broadcast.
-    """
-    k = F.when(F.col("_n") <= block, 1).otherwise(F.ceil(F.col("_n") / block) + 1).cast("int")
-    sizes = cut(df.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1"))
-    b = F.pmod(F.xxhash64(spread), F.col("_k")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: j != F.col("_b"))
-    parts = F.when(F.col("_k") == 1, F.array(F.lit(0))).otherwise(F.transform(others, lambda j: F.least(j, F.col("_b")) * F.col("_k") + F.greatest(j, F.col("_b"))))
-    sized = join_hot(df, sizes, key, F.col("_n") > block).withColumn("_k", k)
-    return sized.withColumn("_b", b).withColumn("part", F.explode(parts)).drop("_n", "_k", "_b")
+from .common import parallelism
 
 
 def each_part(df: DataFrame, key: list[str], columns: list[str], run: Callable[[np.ndarray, pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, batch_rows: int) -> DataFrame:

@@ -15,6 +15,7 @@ the forests.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import each_part, within_groups
+from .blocks import each_part
 from .common import HOT_ROWS, cut, fresh, if_small, join_hot, table
 from .graph import components
 from .words import groups
@@ -195,22 +196,21 @@ def _linked(groups: DataFrame, key: list[str], radius: int) -> DataFrame:
     return each_part(groups, key, ["node", "fp"], run, "a long, b long", 20_000)
 
 
-def _linked_or_open(groups: DataFrame, key: list[str], radius: int) -> DataFrame:
-    """As :func:`_linked`, and rows (a, key, part), with b null, of all nodes of the parts that these links don't join into one."""
-    names = [*key, "part"]
+def _linked_and_met(groups: DataFrame, key: list[str], radius: int) -> DataFrame:
+    """As :func:`_linked`, and rows (a, key), with b null, of all nodes of the parts that have several."""
 
     def run(starts: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         node, fp = rows.column(0), rows.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
         n = len(fp)
         b = forest(n, links(fp, starts, radius))
         edge = np.flatnonzero(b != np.arange(n))
-        yield pa.RecordBatch.from_arrays([node.take(pa.array(edge)), node.take(pa.array(b[edge])), *[pa.nulls(len(edge), rows.column(k).type) for k in names]], names=["a", "b", *names])
-        apart = np.add.reduceat((b == np.arange(n)).astype(np.int64), starts) > 1
-        left = rows.filter(pa.array(np.repeat(apart, np.diff(np.append(starts, n)))))
-        yield pa.RecordBatch.from_arrays([left.column(0), pa.nulls(left.num_rows, pa.int64()), *[left.column(k) for k in names]], names=["a", "b", *names])
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(edge)), node.take(pa.array(b[edge])), *[pa.nulls(len(edge), rows.column(k).type) for k in key]], names=["a", "b", *key])
+        sizes = np.diff(np.append(starts, n))
+        met = rows.filter(pa.array(np.repeat(sizes > 1, sizes)))
+        yield pa.RecordBatch.from_arrays([met.column(0), pa.nulls(met.num_rows, pa.int64()), *[met.column(k) for k in key]], names=["a", "b", *key])
 
-    schema = ", ".join(["a long", "b long", *[f"{k} {groups.schema[k].dataType.simpleString()}" for k in names]])
-    return each_part(groups, key, ["node", "fp", *names], run, schema, 20_000)
+    schema = ", ".join(["a long", "b long", *[f"{k} {groups.schema[k].dataType.simpleString()}" for k in key]])
+    return each_part(groups, key, ["node", "fp", *key], run, schema, 20_000)
 
 
 def block_keys(fp: str, radius: int, blocks: int) -> F.Column:
@@ -262,8 +262,8 @@ def _finer_keys(keyed: DataFrame, radius: int) -> DataFrame:
 WIDE = 24
 #: Min-hash bands of so many rows: two texts that share 0.8 of their shingles meet in one with probability 0.995.
 BANDS, ROWS = 24, 4
-#: How often a crowded band group is held against one of its own texts before it is compared in blocks.
-LEADERS = 12
+#: How often a crowded band group is held against one of its own texts.
+LEADERS = 3
 
 
 def similar_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id", radius: int = WIDE, bands: int = BANDS, salt: int = 0) -> DataFrame:
@@ -271,10 +271,10 @@ def similar_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, tex
 
     Texts link if they share ``similarity`` or more of their distinct shingles, which is
     twice the shingles in common over the shingles of both (Dice).  Candidates share a min-hash
-    band.  Within a band's group they are compared bit-sliced within ``radius``; the links
-    of this are held against the shingles themselves.  Where that leaves a cluster in
-    parts, or texts of a group in several clusters, these are compared exactly.  Groups of
-    over ``BLOCK`` texts are held exactly against one text after the other.
+    band.  Within a band's group they are compared bit-sliced within ``radius``, and the links
+    of this are held against the shingles themselves; a group of over ``BLOCK`` texts is first
+    held against those in its middle.  Wherever a group is not joined into one by then, all
+    its texts but those of its largest cluster are compared exactly with the whole group.
 
     Equal texts are one ``node``, the hash of the text (should two texts share a hash,
     another ``salt`` is taken).  Texts without words, null ones too, link with each other.
@@ -295,24 +295,23 @@ def similar_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, tex
     crowded = cut(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("band", "key"))
     hot = None if crowded.isEmpty() else if_small(crowded)
     light = keyed if hot is None else keyed.join(hot, ["band", "key"], "left_anti")
-    first = table(_linked_or_open(light.withColumn("part", F.lit(0)), ["band", "key"], radius))
+    first = table(_linked_and_met(light.withColumn("part", F.lit(0)), ["band", "key"], radius))
     pairs = table(first.filter("b is not null").select("a", "b").distinct())
-    clusters = cut(components(pairs))
-    far = _far_rows(first.filter("b is null").select("band", "key", "part", F.col("a").alias("node")), clusters)
-    crowd = None if hot is None else table(keyed.join(hot, ["band", "key"]).select("band", "key", "node"))
+    rows = first.filter("b is null").select("band", "key", F.col("a").alias("node"))
+    crowd = None if hot is None else table(keyed.join(hot, ["band", "key"]).select("band", "key", "node", "fp"))
+    rows = rows if crowd is None else rows.unionByName(crowd.drop("fp"))
 
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(far.select("node"))
-    needed = cut((needed if crowd is None else needed.union(crowd.select("node"))).distinct())
+    needed = cut(rows.select("node").distinct())
     texts = df.select(name(F.col(text)).alias("node"), F.col(text).alias("text")).join(if_small(needed), "node", "left_semi")
     if docs.count() > uniq.count():
         texts = texts.dropDuplicates(["node"])
     sets = table(_sets(texts, shingle))
 
-    exact = table(_verified(pairs, sets, similarity))
-    edges = exact.unionByName(same).unionByName(_inside(clusters, exact, sets, similarity)).unionByName(_exact_links(far.join(sets, "node"), ["band", "key"], similarity))
+    edges = table(_verified(pairs, sets, similarity))
     if crowd is not None:
         edges = edges.unionByName(_by_leaders(crowd, sets, similarity))
-    roots = cut(components(edges)).withColumn("grouped", F.lit(True))
+    edges = edges.unionByName(table(_asked(rows, components(edges), sets, similarity)))
+    roots = cut(components(edges.unionByName(same)))
     named = cut(docs.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root")))
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("node"))
     kept = cut(named.groupBy("root").agg(F.min(rank).alias("kept"), F.count("*").alias("members")))
@@ -345,88 +344,89 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.filter(2 * shared >= similarity * (F.size("a_set") + F.size("b_set")) - 1e-9).select("a", "b")
 
 
-def _inside(clusters: DataFrame, exact: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Spanning edges (a, b) of the exact links within the clusters that the exact links so far don't join into one."""
-    now = components(exact).select("node", F.col("root").alias("part"))
-    named = clusters.join(now, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    split = named.groupBy("root").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("root")
-    members = cut(clusters.join(if_small(cut(split)), "root", "left_semi"))
-    return _exact_links(within_groups(table(members.join(sets, "node")), ["root"], "node", BLOCK), ["root"], similarity)
-
-
-def _far_rows(open_parts: DataFrame, clusters: DataFrame) -> DataFrame:
-    """The rows of those parts (band, key, part, node) that hold texts of several clusters."""
-    by = ["band", "key", "part"]
-    named = open_parts.join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = named.groupBy(*by).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select(*by)
-    return table(open_parts.join(several, by, "left_semi"))
-
-
 def _by_leaders(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that join whatever is exactly linked within the crowded groups ``rows`` (band, key, node).
+    """Exact links (a, b) of the crowded groups ``rows`` (band, key, node, fp) with the texts in their middle.
 
-    In each round, a group's smallest node without a link so far is held against the whole
-    group.  A group of near copies is done after a round or two; one that still has unlinked
-    nodes after ``LEADERS`` rounds is compared in blocks.
+    In each round the nodes without a link so far have a middle, the bits that most of
+    their fingerprints have; the one nearest to it is held against the whole group.  So a
+    group of copies of one text, each with its own changes, is joined in a round or two.
     """
     by = ["band", "key"]
     state, edges = rows.withColumn("open", F.lit(True)), None
     for _ in range(LEADERS):
-        leaders = cut(state.filter("open").groupBy(*by).agg(F.min("node").alias("b")))
-        if leaders.isEmpty():
-            return edges
+        free = state.filter("open")
+        bit = lambda i: F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))
+        most = free.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(bit(i)).alias(f"s{i}") for i in range(BITS)])
+        middle = [F.when(2 * F.col(f"s{i}") > F.col("n"), F.lit((1 << i) - (1 << i >> 63 << 64)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(BITS)]
+        centre = cut(most.select(*by, reduce(lambda x, y: x.bitwiseOR(y), middle).alias("centre")))
+        if centre.isEmpty():
+            break
+        near = F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("off"), "node"))
+        leaders = cut(free.join(if_small(centre), by).groupBy(*by).agg(near.alias("x")).select(*by, F.col("x.node").alias("b")))
         held = state.join(if_small(leaders), by)
         met = table(_verified(held.filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), sets, similarity))
         edges = met if edges is None else edges.unionByName(met)
         linked = met.select(F.col("a").alias("node"), "b", F.lit(True).alias("met"))
-        state = table(held.join(linked, ["node", "b"], "left").select(*by, "node", (F.col("open") & F.col("met").isNull() & (F.col("node") != F.col("b"))).alias("open")))
-    rest = state.filter("open").select(*by).distinct()
-    left = table(state.join(if_small(cut(rest)), by, "left_semi").select(*by, "node"))
-    dealt = within_groups(left, by, "node", BLOCK)
-    return edges.unionByName(_exact_links(dealt.join(sets, "node"), by, similarity))
+        state = table(held.join(linked, ["node", "b"], "left").select(*by, "node", "fp", (F.col("open") & F.col("met").isNull() & (F.col("node") != F.col("b"))).alias("open")))
+    return edges
+
 
+def _asked(rows: DataFrame, clusters: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Exact links (a, b) that join clusters within the groups ``rows`` (band, key, node); ``clusters``: node, root.
 
-def _exact_links(parts: DataFrame, key: list[str], similarity: float) -> DataFrame:
-    """Spanning edges (a, b) of the exact links within the parts of ``parts`` (key, part, node, set)."""
+    Groups of one cluster have none to find, and of groups with the same nodes one is enough.
+    All nodes outside the largest cluster ask the whole group, in blocks: the cost is that of
+    the group's size times the number of those nodes.
+    """
+    by = ["band", "key"]
+    named = table(rows.join(clusters.withColumnRenamed("root", "label"), "node", "left").select(*by, "node", F.coalesce("label", "node").alias("label")))
+    mark = F.xxhash64("node")
+    per = named.groupBy(*by, "label").agg(F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("s"), F.bit_xor(mark).alias("x"))
+    sizes = per.groupBy(*by).agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("largest")).filter("labels > 1")
+    one = sizes.groupBy("size", "s", "x").agg(F.min(F.struct(*by, "largest", "top")).alias("g")).select("g.*", "size")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    chosen = cut(one.select(*by, "largest", "size", blocks(F.col("size")).alias("wide"), blocks(F.col("size") - F.col("top")).alias("high")))
+    place = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    at = lambda part, asks: F.struct(part.alias("part"), F.lit(asks).alias("asks"))
+    j, i = place(1, F.col("wide")), place(2, F.col("high"))
+    asks = F.col("label") != F.col("largest")
+    member = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda h: at(h * F.col("wide") + j, False))
+    asker = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda w: at(i * F.col("wide") + w, True))
+    small = (F.col("wide") == 1) & (F.col("high") == 1)
+    copies = F.when(small, F.array(F.struct(F.lit(0).alias("part"), asks.alias("asks")))).when(asks, F.concat(member, asker)).otherwise(member)
+    dealt = join_hot(named, chosen, by, F.col("size") > BLOCK).withColumn("copy", F.explode(copies)).select(*by, "copy.part", "copy.asks", "node", "label")
 
     def run(starts: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        node, sets = rows.column(0).to_numpy(), rows.column(1)
+        node, sets, asks, label = rows.column(0).to_numpy(), rows.column(1), rows.column(2).to_numpy(zero_copy_only=False), rows.column(3).to_numpy()
         ends, values = sets.offsets.to_numpy(), sets.values.to_numpy(zero_copy_only=False).view(np.uint64)
         a, b = [], []
         for lo, hi in zip(starts, np.append(starts[1:], len(node)), strict=True):
-            for i, j in set_links(values, ends, int(lo), int(hi), similarity):
-                a.append(node[i]), b.append(node[j])
+            for i, k in links_of(values, ends, np.arange(lo, hi), asks[lo:hi], label[lo:hi], similarity):
+                a.append(node[i]), b.append(node[k])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return each_part(parts, key, ["node", "set"], run, "a long, b long", 2_000)
-
-
-def set_links(values: np.ndarray, ends: np.ndarray, lo: int, hi: int, similarity: float) -> Iterator[tuple[int, int]]:
-    """Spanning links among the sets lo to hi, by breadth-first search: each set met is held against those not yet met."""
-    left = np.arange(lo, hi)
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            own = values[ends[i] : ends[i + 1]]
-            sizes = ends[left + 1] - ends[left]
-            near = (2 * np.minimum(sizes, len(own)) >= similarity * (sizes + len(own))).nonzero()[0]
-            if not len(near):
-                continue
-            some = left[near]
-            m = sizes[near]
-            at = np.repeat(ends[some] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-            x = values[at]
-            place = np.minimum(np.searchsorted(own, x), max(len(own) - 1, 0))
-            found = own[place] == x if len(own) else np.zeros(len(x), bool)
-            shared = np.bincount(np.repeat(np.arange(len(some)), m), weights=found, minlength=len(some))
-            joined = 2 * shared >= similarity * (m + len(own)) - 1e-9
-            for j in some[joined]:
-                yield i, int(j)
-                queue.append(int(j))
-            keep = np.ones(len(left), bool)
-            keep[near[joined]] = False
-            left = left[keep]
+    return each_part(dealt.join(sets, "node"), by, ["node", "set", "asks", "label"], run, "a long, b long", 2_000)
+
+
+def links_of(values: np.ndarray, ends: np.ndarray, rows: np.ndarray, asks: np.ndarray, label: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links that join sets with different labels, found by holding each set that asks against all; sets once joined count as one."""
+    label = label.copy()
+    for k in np.flatnonzero(asks):
+        own = values[ends[rows[k]] : ends[rows[k] + 1]]
+        sizes = ends[rows + 1] - ends[rows]
+        near = np.flatnonzero((label != label[k]) & (2 * np.minimum(sizes, len(own)) >= similarity * (sizes + len(own))))
+        if not len(near):
+            continue
+        m = sizes[near]
+        at = np.repeat(ends[rows[near]] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+        x = values[at]
+        place = np.minimum(np.searchsorted(own, x), max(len(own) - 1, 0))
+        found = own[place] == x if len(own) else np.zeros(len(x), bool)
+        shared = np.bincount(np.repeat(np.arange(len(near)), m), weights=found, minlength=len(near))
+        for q in near[2 * shared >= similarity * (m + len(own)) - 1e-9]:
+            if label[q] != label[k]:
+                yield int(rows[k]), int(rows[q])
+                label[label == label[q]] = label[k]
 
 
 def drop_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id") -> DataFrame:
