@@ -2,8 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import TERMINATORS
@@ -37,9 +35,12 @@ def test_fixed_pieces(spark, size, overlap):
     random.seed(size)
     texts = [random_text(n) for n in (0, 1, 6, 7, 8, 19, 20, 21, 100, 500, 700)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = {r.i: [(p.s, p.e) for p in r.p] for r in df.select("i", chunk.fixed_pieces(F.col("t"), size, overlap).alias("p")).collect()}
+    got = {}
+    for r in chunk.fixed_chunks(df, size, overlap, "t").orderBy("i", "chunk_index").collect():
+        got.setdefault(r.i, []).append((r.chunk_index, r.s, r.e, r.t))
     for i, t in enumerate(texts):
-        assert [p for p in got[i] if p[1] > p[0]] == plain_fixed(t, size, overlap)
+        want = [(s, e, t[s:e].strip()) for s, e in plain_fixed(t, size, overlap) if t[s:e].strip()]
+        assert got.get(i, []) == [(k, *w) for k, w in enumerate(want)]
 
 
 def test_sentences_and_dense_numbers(spark):
@@ -62,6 +63,89 @@ def test_tf_does_not_overlap(spark):
     df = spark.createDataFrame([("aaaa",)], "h string")
     assert df.select(lexical.term_frequency(F.col("h"), "aa")).first()[0] == 2
     assert [tuple(r) for r in df.select(lexical.match_ranges(F.col("h"), ["aa", "a"]).alias("r")).first().r] == [(0, 4)]
+    assert lexical.merged_places("ab ab xab", ["ab", "b x"]) == [(0, 2), (3, 9)]
+
+
+def test_batch_search_equals_single_searches(spark):
+    random.seed(12)
+    letters = "组会改到周四下午讨论abc de"
+    texts = ["".join(random.choices(letters, k=random.randrange(60))) for _ in range(120)] + ["", "aaaa"]
+    chunks = spark.createDataFrame([(f"c{i:03}", f"n{i}", "b", random.choice(list(lexical.SOURCE_WEIGHT)), t) for i, t in enumerate(texts)], "chunk_id string, note_id string, block_id string, source string, text string").repartition(3)
+    queries = ["组会改到周四", "周四 ab", "a b c de", "讨", "讨 a", "aa a", "", None, "ab", "会改 下午讨论", "，四下"]
+    q = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    for k in (3, 200):
+        got = {}
+        for r in lexical.keyword_batch(chunks, q, k).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.chunk_id, round(r.score, 9)))
+        for i, text in enumerate(queries):
+            want = [(r.rank, r.chunk_id, round(r.score, 9)) for r in lexical.keyword_search(chunks, text or "", k).collect()]
+            assert sorted(got.get(i, [])) == sorted(want), text
+    assert lexical.keyword_batch(chunks, q.limit(0), 3).count() == 0
+
+
+def test_containing(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "she sells hers"), (2, None), (3, ""), (4, "he")], "text_id long, text string")
+    patterns = spark.createDataFrame([("a", "he"), ("b", "hers"), ("c", "he"), ("d", ""), ("e", None), ("f", "x")], "pattern_id string, pattern string")
+    for most in (lexical.PATTERN_CHARS, 2):
+        monkeypatch.setattr(lexical, "PATTERN_CHARS", most)
+        assert {tuple(r) for r in lexical.containing(texts, patterns).collect()} == {("a", 1), ("c", 1), ("b", 1), ("a", 4), ("c", 4)}
+    assert lexical.containing(texts, patterns.limit(0)).count() == 0
+
+
+def test_nearest_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 8)).round(1))] + [(100, [0.0] * 8), (101, []), (102, None), (103, [1.0, 2.0]), (104, rng.normal(size=8).tolist())]
+    rows += [(200 + i, rows[3][1]) for i in range(4)]
+    index = spark.createDataFrame(rows, "id long, vector array<float>")
+    queries = index.filter("id % 20 = 3 or id in (100, 103)").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+
+    def cos(a, b):
+        a, b = np.array(a or [], np.float32).astype(float), np.array(b or [], np.float32).astype(float)
+        return 0.0 if len(a) != len(b) or not len(a) or not a.any() or not b.any() else float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+
+    for block in (vector.BLOCK, 10):
+        monkeypatch.setattr(vector, "BLOCK", block)
+        got = {(r.query_id, r.rank): (r.id, round(r.similarity, 9)) for r in vector.nearest(index, queries, 7).collect()}
+        for q, v in rows:
+            if q % 20 == 3 or q in (100, 103):
+                want = sorted(((-round(cos(v, w), 12), i) for i, w in rows))[:7]
+                assert [got[q, r + 1] for r in range(7)] == [(i, pytest.approx(-s, abs=1e-6)) for s, i in want]
+
+
+def test_percentiles_and_calibration(spark, monkeypatch):
+    random.seed(13)
+    rows = [(random.choice(["a", "b", None]), random.choice([float(random.randrange(20)), random.random(), None])) for _ in range(900)] + [("hot", 1.0)] * 500 + [("one", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.x, r.y, r.z) for r in evaluate.group_percentiles(df, ["g"], "v", {"x": 0.5, "y": 0.95, "z": 1.0}).collect()}
+    for g in {g for g, _ in rows}:
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        assert got.get(g) == (tuple(v[min(len(v) - 1, int(len(v) * s))] for s in (0.5, 0.95, 1.0)) if v else None)
+    assert evaluate.group_percentiles(df, [], "v", {"m": 0.5}).first().m == sorted(x for _, x in rows if x is not None)[sum(x is not None for _, x in rows) // 2]
+    s = spark.createDataFrame([(True, 0.9), (True, 0.5), (False, 0.7), (False, 0.4), (False, 0.1)], "is_positive boolean, top1 double")
+    r = evaluate.calibration(s).first()
+    assert (r.positive_min, r.negative_max, r.negatives_below, r.positive_median, r.negative_median) == (0.5, 0.7, 2, 0.9, 0.4) and r.safety_margin == pytest.approx(0.1)
+
+
+def test_peak_of_running_jobs(spark, monkeypatch):
+    monkeypatch.setattr(derive, "SLICE", 4)
+    log = [(0, "a", "submitted"), (1, "a", "attempt"), (2, "b", "attempt"), (3, "a", "attempt"), (5, "a", "succeeded"), (5, "c", "attempt"), (6, "b", "failed"), (9, "c", "cancelled"), (9, "d", "cancelled")]
+    r = derive.job_statistics(spark.createDataFrame(log, "at long, job_key string, event string")).first()
+    assert (r.attempt, r.succeeded, r.cancelled, r.peak) == (4, 1, 2, 2)
+
+
+def test_startup_reconciles_before_it_scans(spark):
+    live = spark.createDataFrame([("a",)], "note_id string")
+    have = [("a", "x"), ("gone", "y")]
+    deleted = []
+
+    def delete(gone):
+        deleted.extend(r.note_id for r in gone.collect())
+        have[:] = [h for h in have if h[0] not in deleted]
+
+    load = lambda: spark.createDataFrame(have, "note_id string, chunk_id string")
+    assert [r.chunk_id for r in derive.start(load, live, delete, lambda stored: stored).collect()] == ["x"] and deleted == ["gone"]
+    have[:], deleted[:] = [("a", "x")], []
+    assert derive.start(load, live.limit(0), delete, lambda stored: stored).count() == 1 and not deleted
 
 
 def test_cosine_edges(spark):
@@ -80,31 +164,51 @@ def test_fusion_ties_and_dead_ids(spark):
     assert fuse.candidates(20) == 60 and fuse.candidates(3) == 13
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab ,.\n", max_size=150), st.lists(st.tuples(st.integers(0, 150), st.integers(1, 12)), max_size=8), st.integers(1, 60))
-def test_excerpt_invariants(text, raw, budget):
-    spans = [(s, min(len(text), s + n)) for s, n in raw if s < len(text)]
-    out, marks = present.make_excerpt(text, spans, budget)
-    body = out.strip("…")
-    assert body in " ".join(text.split()) and "\n" not in out
-    assert len(marks) <= present.MAX_HIGHLIGHTS and all(0 <= s < e <= len(out) for s, e in marks)
-    assert all(a[1] < b[0] for a, b in zip(marks, marks[1:], strict=False))
-    if len(" ".join(text.split())) <= max(present.LEAST_BUDGET, budget):
-        assert "…" not in out
-
-
-def test_excerpt_windows():
+def excerpts_of(spark, rows, budget):
+    df = spark.createDataFrame([(i, t, [{"s": a, "e": b} for a, b in sp]) for i, (t, sp) in enumerate(rows)], "i int, text string, spans array<struct<s:int,e:int>>")
+    return [(r.excerpt, [(h.s, h.e) for h in r.highlights]) for r in present.excerpts(df, budget=budget).orderBy("i").collect()]
+
+
+def test_excerpt_invariants(spark):
+    random.seed(9)
+    for budget in (1, 10, 44):
+        rows = []
+        for _ in range(150):
+            text = "".join(random.choices("ab ,.\n", k=random.randrange(150)))
+            spans = [(s, min(len(text), s + random.randrange(1, 12))) for s in (random.randrange(150) for _ in range(random.randrange(9))) if s < len(text)]
+            rows.append((text, spans))
+        for (text, spans), (out, marks) in zip(rows, excerpts_of(spark, rows, budget), strict=True):
+            flat = " ".join(text.split())
+            body = out.strip("…")
+            assert body in flat and "\n" not in out
+            assert len(marks) <= present.MAX_HIGHLIGHTS and all(0 <= s < e <= len(out) for s, e in marks)
+            assert all(a[1] < b[0] for a, b in zip(marks, marks[1:], strict=False))
+            if len(flat) <= max(present.LEAST_BUDGET, budget):
+                assert out == flat
+            hit = [text[s:e].split() for s, e in spans]
+            assert not hit or marks or not any(hit) or len(flat) > len(out)
+
+
+def test_excerpt_windows(spark):
     text = "x" * 60 + " needle " + "y" * 60
-    out, marks = present.make_excerpt(text, [(61, 67)], 30)
+    ((out, marks), short, none) = excerpts_of(spark, [(text, [(61, 67)]), ("  a \n b  ", [(2, 3)]), (None, [])], 30)
     assert out.startswith("…") and out.endswith("…") and out[slice(*marks[0])] == "needle"
-    assert present.make_excerpt("  a \n b  ", [(2, 3)], 44) == ("a b", [(0, 1)])
+    assert short == ("a b", [(0, 1)]) and none == ("", [])
+    # Edges go to the end of a clause nearby, and never through a hit.
+    text = "a" * 45 + ", b needles " + "c" * 8 + "." + "d" * 40
+    ((snapped, at),) = excerpts_of(spark, [(text, [(49, 56)])], 30)
+    assert snapped == "… b needles cccccccc.…" and snapped[slice(*at[0])] == "needles"
+    text = "one two three four five six seven. eight nine ten needles eleven twelve, thirteen fourteen"
+    ((grown, at),) = excerpts_of(spark, [(text, [(0, 3), (25, 40)])], 30)
+    assert grown.startswith("one") and grown.rstrip("…").endswith(text[25:40])
 
 
 def test_tags(spark):
     df = spark.createDataFrame([(["A  b", "é", "a B", " ", "E"], ["x", "É"])], "a array<string>, b array<string>")
     r = df.select(notes.sanitize_tags(F.col("a")).alias("s"), notes.merge_tags(F.col("a"), F.col("b")).alias("m"), notes.remove_tag(F.col("a"), F.lit("e")).alias("r"), notes.has_tag(F.col("a"), F.lit("a b")).alias("h")).first()
     assert r.s == ["A b", "é"] and r.m == ["A b", "é", "x"] and "é" not in r.r and "E" not in r.r
-    assert not r.h  # only white space at the ends is dropped from keys
+    assert r.h  # by "a B"
+    assert not spark.createDataFrame([(["A  b"],)], "a array<string>").select(notes.has_tag(F.col("a"), F.lit("a b"))).first()[0]  # keys keep white space inside
 
 
 def test_work_plan_is_idempotent(spark):

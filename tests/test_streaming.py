@@ -77,12 +77,16 @@ def test_run_jobs(spark):
             raise ConnectionError
         return [[float(len(t))] for t in texts]
 
-    out = edits.run_jobs(jobs, flaky, wait=0.01).collect()
+    out = edits.run_jobs(jobs, flaky, wait=0.01, running=None).collect()
     assert {r.tries for r in out} == {3} and all(r.vector == [2.0] for r in out)
 
     def refused(texts):
         raise ValueError
 
+    def busy(texts):
+        raise edits.RateLimitedError
+
+    assert {(r.tries, r.error) for r in edits.run_jobs(jobs, busy, wait=0.01).collect()} == {(3, "RateLimitedError")}
     assert {(r.tries, r.vector) for r in edits.run_jobs(jobs, refused).select("tries", F.col("vector").cast("string").alias("vector")).collect()} == {(1, None)}
 
 
@@ -112,3 +116,27 @@ def test_ocr_overlay(spark):
 def test_store_mutations(spark):
     df = spark.createDataFrame([("a", "n"), ("b", "m")], "chunk_id string, note_id string")
     assert derive.remove(df, df.filter("note_id = 'n'"), "note_id").count() == 1
+
+
+def test_store_touches_only_the_buckets_of_its_notes(spark, tmp_path):
+    import os
+
+    schema = "chunk_id string, note_id string, block_id string, content_hash string, embedding_version string, vector array<double>, created_at int"
+    rows = lambda *x: spark.createDataFrame([(c, n, "b" + c, "h", v, [1.0], t) for c, n, v, t in x], schema)
+    path = str(tmp_path / "store")
+    store = io.DerivedStore(spark, path, rows(("x", "n", "e1", 1)).schema, buckets=8)
+    assert store.load().count() == 0
+    store.upsert(rows(*[(f"c{i}", f"n{i % 20}", "e1", 1) for i in range(60)]))
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+    before = files()
+    store.upsert(rows(("c3", "n3", "e2", 2), ("new", "n3", "e1", 2)))
+    assert len(before - files()) < len(before) / 2 and before & files()
+    have = {(r.chunk_id, r.embedding_version) for r in store.load().collect()}
+    assert len(have) == 61 and ("c3", "e2") in have and ("c3", "e1") not in have and store.load("e2").count() == 1
+    assert {r.chunk_id for r in store.load(note_id="n3").collect()} == {"c3", "c23", "c43", "new"}
+    store.delete(spark.createDataFrame([("c3",), ("c4",)], "chunk_id string"))
+    store.delete(spark.createDataFrame([("n5",)], "note_id string"), "note_id")
+    assert store.load("e2").count() == 0 and store.load().count() == 56 and "n5" not in {r.note_id for r in store.note_ids().collect()}
+    assert [r.chunk_id for r in store.chunk_ids("bnew").collect()] == ["new"]
+    store.clear()
+    assert store.load().count() == 0

@@ -64,6 +64,19 @@ def list_field(body: Column, name: str) -> Column:
     return F.when(one != "", F.array(one)).otherwise(F.filter(F.transform(many, lambda x: trim(x)), lambda x: x != ""))
 
 
+def service_error(body: Column) -> Column:
+    """The message of a service's error answer; null if it is none."""
+    return F.try_variant_get(F.try_parse_json(body), "$.error.message", "string")
+
+
+def transcript(body: Column) -> Column:
+    """struct(text, error) of a transcription answer: its trimmed text, the service's message, or ``invalid_response``."""
+    parsed = F.try_parse_json(body)
+    text = F.when(F.schema_of_variant(F.try_variant_get(parsed, "$.text", "variant")) == "STRING", F.try_variant_get(parsed, "$.text", "string"))
+    error = F.coalesce(service_error(body), F.when(text.isNull(), "invalid_response"))
+    return F.struct(F.when(error.isNull(), trim(text)).alias("text"), error.alias("error"))
+
+
 def embeddings_in_order(body: Column, dimension: int) -> Column:
     """Vectors of an embedding answer by their index; null if one has another dimension."""
     rows = F.from_json(body, "data array<struct<index:int,embedding:array<float>>>")["data"]

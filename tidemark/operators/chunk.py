@@ -2,45 +2,66 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TERMINATORS, trim
 
-PIECE = "struct<s:int,e:int,t:string>"
 SPANS = "array<struct<s:int,e:int>>"
 
 
-def fixed_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Windows [s, e) of ``size`` characters that end after a terminator within the last quarter, if there is one; the next begins ``overlap`` before."""
-    n, back, out, start = len(text), max(1, size // 4), [], 0
-    while start < n:
-        end = hard = min(start + size, n)
-        if hard < n:
-            # Exclusive bounds: the last quarter without its first place, and never the first of the window.
-            low = max(hard - back + 1, start + 1)
-            at = max((text.rfind(c, low, hard) for c in TERMINATORS), default=-1)
-            end = at + 1 if at >= 0 else hard
-        out.append((start, end))
-        if end >= n:
-            break
-        start = max(start + 1, end - overlap)
-    return out
-
-
-def fixed_pieces(text: Column, size: int = 240, overlap: int = 40) -> Column:
-    """:func:`fixed_spans` of a column with their trimmed text, in Arrow batches.
-
-    A fold over built-in functions says the same, but looks up each window from the
-    start of the text, which takes quadratic time on long texts.
-    """
+def fixed_chunks(df: DataFrame, size: int = 240, overlap: int = 40, text: str = "text") -> DataFrame:
+    """``df`` with a row for each piece of its text that isn't blank: columns chunk_index, s, e and t (trimmed) in place of the text.
 
-    @F.pandas_udf(f"array<{PIECE}>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"s": s, "e": e, "t": t[s:e].strip(" \t\n\v\f\r")} for s, e in fixed_spans(t or "", size, overlap)])
+    Pieces are windows [s, e) of ``size`` characters that end after a terminator within the
+    last quarter, if there is one; the next begins ``overlap`` before.
 
-    return run(text)
+    One pass of Arrow batches emits the rows.  A fold over built-in functions says the same,
+    but looks up each window from the start of the text, which takes quadratic time on long texts.
+    """
+    rest = [c for c in df.columns if c != text]
+    ends = re.compile(f"[{re.escape(TERMINATORS)}]")
+    back = max(1, size // 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(rest))
+            lo, held = 0, 0
+            for i in range(len(texts)):
+                held += len(texts[i].as_py() or "") if len(texts) > 1 else 0
+                if held > 1 << 20:
+                    yield rows(batch.slice(lo, i + 1 - lo))
+                    lo, held = i + 1, 0
+            if lo < len(texts):
+                yield rows(batch.slice(lo))
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        owner, index, starts, stops, pieces = [], [], [], [], []
+        for i, text in enumerate(batch.column(len(rest)).to_pylist()):
+            n, start, k = len(text or ""), 0, 0
+            while start < n:
+                stop = hard = min(start + size, n)
+                if hard < n:
+                    # Exclusive bounds: the last quarter without its first place, and never the first of the window.
+                    low = max(hard - back + 1, start + 1)
+                    at = [m.end() for m in ends.finditer(text, low, hard)]
+                    stop = at[-1] if at else hard
+                piece = text[start:stop].strip(" \t\n\v\f\r")
+                if piece:
+                    owner.append(i), index.append(k), starts.append(start), stops.append(stop), pieces.append(piece)
+                    k += 1
+                if stop >= n:
+                    break
+                start = max(start + 1, stop - overlap)
+        kept = batch.take(pa.array(owner, pa.int64())).columns[: len(rest)]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(index, pa.int32()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(pieces, pa.string())], names=[*rest, "chunk_index", "s", "e", "t"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text)
+    return df.select(*rest, text).mapInArrow(run, fields + ", chunk_index int, s int, e int, t string")
 
 
 def _with_text(pieces: Column, text: Column, strip: bool = True) -> Column:
@@ -68,7 +89,7 @@ def block_pieces(text: Column) -> Column:
     return _with_text(whole, text, strip=False)
 
 
-STRATEGIES = {"fixed": fixed_pieces, "sentence": sentence_pieces, "block": lambda text, *_: block_pieces(text)}
+STRATEGIES = {"sentence": sentence_pieces, "block": lambda text, *_: block_pieces(text)}
 
 
 def chunk(blocks: DataFrame, strategy: str = "fixed", *parameters: int) -> DataFrame:
@@ -78,9 +99,13 @@ def chunk(blocks: DataFrame, strategy: str = "fixed", *parameters: int) -> DataF
     the untrimmed piece.  The id is note/block/number.
     """
     name = strategy if strategy == "block" else f"{strategy}-{'-'.join(map(str, parameters or ((240, 40) if strategy == 'fixed' else (240,))))}"
-    pieces = F.filter(STRATEGIES[strategy](F.col("text"), *parameters), lambda p: p["t"] != "")
-    rows = blocks.filter(F.length("text") > 0).select("*", F.posexplode(pieces).alias("chunk_index", "p"))
+    some = blocks.filter(F.length("text") > 0).select("note_id", "block_id", "ord", "source", "content_hash", "text")
+    if strategy == "fixed":
+        rows = fixed_chunks(some, *parameters)
+    else:
+        pieces = F.filter(STRATEGIES[strategy](F.col("text"), *parameters), lambda p: p["t"] != "")
+        rows = some.select("*", F.posexplode(pieces).alias("chunk_index", "p")).select("note_id", "block_id", "ord", "source", "content_hash", "chunk_index", "p.s", "p.e", "p.t")
     return rows.select(
         F.concat_ws("/", "note_id", "block_id", F.col("chunk_index").cast("string")).alias("chunk_id"), "note_id", "block_id", "ord", "source", "chunk_index",
-        F.col("p.t").alias("text"), F.col("p.s").alias("char_start"), F.col("p.e").alias("char_end"), "content_hash", F.lit(name).alias("strategy"),
+        F.col("t").alias("text"), F.col("s").alias("char_start"), F.col("e").alias("char_end"), "content_hash", F.lit(name).alias("strategy"),
     )

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import has_han, has_latin
+
+#: Units of time in a slice of a job log.
+SLICE = 3600
+
 
 def work_plan(chunks: DataFrame, stored: DataFrame, version: str) -> DataFrame:
     """Rows (chunk_id, state): pending, up_to_date or orphan.
@@ -67,6 +74,51 @@ def remove(stored: DataFrame, gone: DataFrame, by: str) -> DataFrame:
     return stored.join(gone.select(by).distinct(), by, "left_anti")
 
 
+def cascade(gone: DataFrame, **derived: DataFrame) -> dict[str, DataFrame]:
+    """What stays of each derived table (chunks, recognised text, index and so on) once the notes ``gone`` (note_id) are deleted."""
+    return {name: remove(df, gone, "note_id") for name, df in derived.items()}
+
+
+def start(load: Callable[[], DataFrame], live: DataFrame, delete: Callable[[DataFrame], None], scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The plan at startup: load what is stored, remove what belongs to no note (if that is safe), then scan what is left.
+
+    Scanning first would take what is merely not loaded for pending work.
+    """
+    stored = load()
+    lost = orphans(live, embeddings=stored)
+    if consistency(live, lost).first().is_safe:
+        delete(lost.select("note_id"))
+        stored = load()
+    return scan(stored)
+
+
+def state_totals(plans: DataFrame, running: DataFrame) -> DataFrame:
+    """One row (total, pending, running) over the work plans (note_id, state) of all notes and the running jobs."""
+    live = plans.filter("state <> 'orphan'")
+    one = live.agg(F.count("*").alias("total"), F.count(F.when(F.col("state") == "pending", 1)).alias("pending"))
+    return one.join(F.broadcast(running.agg(F.count("*").alias("running"))))
+
+
+def script_flags(notes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (note_id, has_han, has_latin) over titles (the user's and the model's, not a placeholder), tags and all texts, recognised ones too.
+
+    ``notes``: note_id, user_title, ai_title, tags; ``texts``: note_id, text.  A ``bool_or`` over the rows speaks for the corpus.
+    """
+    own = notes.select("note_id", F.explode(F.concat(F.array("user_title", "ai_title"), F.coalesce("tags", F.array().cast("array<string>")))).alias("text"))
+    return own.unionByName(texts.select("note_id", "text")).groupBy("note_id").agg(F.bool_or(has_han(F.col("text"))).alias("has_han"), F.bool_or(has_latin(F.col("text"))).alias("has_latin"))
+
+
+def provider(route: Column, local_ready: Column, cloud_ready: Column) -> Column:
+    """The provider of a route, null where there is none: consent that is missing, or a service or model that isn't there."""
+    return F.when(route.isin("local_chinese", "local_english") & local_ready, route).when((route == "cloud") & cloud_ready, "cloud")
+
+
+def write_context(blocks: DataFrame, notes: DataFrame) -> DataFrame:
+    """Rows (note_id, block_id, note_exists, current_hash) for blocks (note_id, block_id, text, content_hash); no hash without text."""
+    known = notes.select("note_id", F.lit(True).alias("note_exists"))
+    return blocks.join(known, "note_id", "left").select("note_id", "block_id", F.coalesce("note_exists", F.lit(False)).alias("note_exists"), F.when(F.coalesce("text", F.lit("")) != "", F.col("content_hash")).alias("current_hash"))
+
+
 def index_state(total: Column, pending: Column, running: Column, has_embeddings: Column, failure: Column) -> Column:
     """struct(state, progress)."""
     of = lambda s, p=None: F.struct(F.lit(s).alias("state"), (F.lit(None).cast("double") if p is None else p).alias("progress"))
@@ -113,7 +165,24 @@ def retryable(error: Column) -> Column:
     return error.isin("rate_limited", "transport")
 
 
+def allows_keyword(state: Column) -> Column:
+    return F.lit(True)
+
+
 def job_statistics(log: DataFrame) -> DataFrame:
-    """One row of counts over a job log (job_key, event): submitted, deduplicated, attempts, succeeded, failed, cancelled, retried."""
+    """One row of counts over a job log (at, job_key, event): submitted, deduplicated, attempts, succeeded, failed, cancelled, retried, and how many ran at most at once.
+
+    A job runs from its first attempt until it has succeeded, failed or been cancelled.  The
+    running number is cumulated within time slices and slices over the log, not in one task.
+    """
+    from pyspark.sql.window import Window
+
     names = ("submitted", "deduplicated", "attempt", "succeeded", "failed", "cancelled", "retried")
-    return log.agg(*[F.count(F.when(F.col("event") == n, 1)).alias(n) for n in names])
+    counts = log.agg(*[F.count(F.when(F.col("event") == n, 1)).alias(n) for n in names])
+    began = log.filter("event = 'attempt'").groupBy("job_key").agg(F.min("at").alias("at")).select("at", F.lit(1).alias("step"))
+    ended = log.filter(F.col("event").isin("succeeded", "failed", "cancelled")).groupBy("job_key").agg(F.max("at").alias("at")).join(log.filter("event = 'attempt'").select("job_key").distinct(), "job_key", "left_semi").select("at", F.lit(-1).alias("step"))
+    steps = began.unionByName(ended).groupBy("at").agg(F.sum("step").alias("step")).withColumn("slice", F.floor(F.col("at") / SLICE))
+    slices = steps.groupBy("slice").agg(F.sum("step").alias("net"))
+    base = slices.select("slice", F.coalesce(F.sum("net").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    peak = steps.join(base, "slice").select((F.col("base") + F.sum("step").over(Window.partitionBy("slice").orderBy("at"))).alias("running")).agg(F.coalesce(F.max("running"), F.lit(0)).alias("peak"))
+    return counts.join(F.broadcast(peak))

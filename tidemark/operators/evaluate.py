@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lexical import containing
+
 KS = (1, 3, 5)
 
 
@@ -29,19 +31,36 @@ def outcomes(cases: DataFrame, returned: DataFrame) -> DataFrame:
     return j.select("case_id", "scope", "origin", positive.alias("is_positive"), F.size("expected").alias("expected_count"), *[hit(k).alias(f"hit_at{k}") for k in KS], rr.alias("reciprocal_rank"), (F.size("returned") == 0).alias("returned_none"))
 
 
-def index_percentile(values: Column, share: float) -> Column:
-    """The value at place int(share * n) of the sorted values, the last one at most; no interpolation."""
-    sorted_values = F.array_sort(F.collect_list(values))
-    n = F.size(sorted_values)
-    return F.get(sorted_values, F.least(n - 1, F.floor(n * F.lit(share)).cast("int")))
+#: Bounds that split a group's values for counting.
+SPLITS = 64
 
 
 def group_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """:func:`index_percentile` for large groups: by row number instead of a list in memory."""
-    w = Window.partitionBy(*by)
-    ranked = df.filter(F.col(value).isNotNull()).withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(value)) - 1})
-    at = lambda s: F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(s)))
-    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == at(s), F.col(value))).alias(name) for name, s in shares.items()])
+    """The value at place int(share * n) of the n sorted values of each group, the last one at most; no interpolation; nulls don't count.
+
+    Values are counted first; the counts are cumulated within ranges of values and ranges
+    within groups, so that no group is sorted in one task, however large.
+    """
+    key = by or ["_all"]
+    base = df.filter(F.col(value).isNotNull()).select(*by, *([] if by else [F.lit(0).alias("_all")]), F.col(value).alias("_v"))
+    counts = base.groupBy(*key, "_v").agg(F.count("*").alias("_n"))
+    bounds = base.groupBy(*key).agg(F.percentile_approx("_v", [i / SPLITS for i in range(1, SPLITS)], 1000).alias("_b"), F.count("*").alias("_total"))
+    match = lambda right, names: [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(names, right, strict=True)]
+    named = bounds.select(*[F.col(k).alias("b" + k) for k in key], "_b", "_total")
+    placed = counts.join(named, match(["b" + k for k in key], key)).withColumn("_r", F.size(F.filter("_b", lambda x: x <= F.col("_v")))).select(*key, "_v", "_n", "_total", "_r")
+    ranges = placed.groupBy(*key, "_r").agg(F.sum("_n").alias("_in"))
+    before = Window.partitionBy(*key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_base", F.coalesce(F.sum("_in").over(before), F.lit(0))).select(*[F.col(k).alias("r" + k) for k in key], F.col("_r").alias("r_r"), "_base", "_in")
+    at = [F.least(F.col("_total") - 1, F.floor(F.col("_total") * F.lit(s))) for s in shares.values()]
+    holds = F.lit(False)
+    for x in at:
+        holds = holds | ((x >= F.col("_base")) & (x < F.col("_base") + F.col("_in")))
+    # Only the ranges that hold a sought place are cumulated.
+    some = placed.join(ranges, [*match(["r" + k for k in key], key), F.col("_r") == F.col("r_r")]).filter(holds)
+    upto = F.col("_base") + F.sum("_n").over(Window.partitionBy(*key, "_r").orderBy("_v"))
+    found = some.withColumn("_upto", upto)
+    picks = [F.max(F.when((x < F.col("_upto")) & (x >= F.col("_upto") - F.col("_n")), F.col("_v"))).alias(name) for x, name in zip(at, shares, strict=True)]
+    return found.groupBy(*key).agg(*picks).select(*by, *shares)
 
 
 def metrics(of: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -72,9 +91,30 @@ def failures(of: DataFrame) -> DataFrame:
     return of.filter(F.when(F.col("is_positive"), ~F.col("hit_at5")).otherwise(~F.col("returned_none")))
 
 
+def failure_ranks(failed: DataFrame, cases: DataFrame, results: DataFrame) -> DataFrame:
+    """``failed`` with the best rank that each arm gives the first expected note: keyword_rank, vector_rank and hybrid_rank, null where it has none.
+
+    ``results``: case_id, note_id, keyword_rank, vector_rank, rank (of all, by note); hybrid_rank is that of the first relevant note.
+    """
+    first = cases.select("case_id", F.get("expected", F.lit(0)).alias("note_id"))
+    arms = first.join(results, ["case_id", "note_id"]).groupBy("case_id").agg(F.min("keyword_rank").alias("keyword_rank"), F.min("vector_rank").alias("vector_rank"))
+    any_of = cases.select("case_id", F.explode("expected").alias("note_id")).join(results, ["case_id", "note_id"]).groupBy("case_id").agg(F.min("rank").alias("hybrid_rank"))
+    return failed.join(arms, "case_id", "left").join(any_of, "case_id", "left")
+
+
+def by_category(of: DataFrame, categories: DataFrame) -> DataFrame:
+    """Rows (category, cases, hits_at1, hits_at3, hits_at5, recall_at1) of the positives in each category; ``categories``: case_id, category."""
+    hits = [F.count(F.when(F.col(f"hit_at{k}"), 1)).alias(f"hits_at{k}") for k in KS]
+    return of.filter("is_positive").join(categories, "case_id").groupBy("category").agg(F.count("*").alias("cases"), *hits, F.avg(F.col("hit_at1").cast("int")).alias("recall_at1"))
+
+
+# Metrics in their order with their label, unit and whether lower is better.
+METRICS = (("recall_at1", "Recall@1", "", False), ("recall_at3", "Recall@3", "", False), ("recall_at5", "Recall@5", "", False), ("mrr", "MRR", "", False), ("p50", "P50", "ms", True), ("p95", "P95", "ms", True))
+
+
 def metric_deltas(current: DataFrame, baseline: DataFrame, epsilon: float = 1e-9) -> DataFrame:
     """Rows (metric, current, baseline, delta, direction) of two one-row metric tables; latencies are better if lower."""
-    lower = ("p50", "p95")
+    lower = {name for name, _, _, low in METRICS if low}
     names = [c for c in current.columns if c in baseline.columns]
     both = current.select([F.col(c).cast("double").alias(c) for c in names]).join(F.broadcast(baseline.select([F.col(c).cast("double").alias("b_" + c) for c in names])))
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("current"), F.col("b_" + c).alias("baseline"), F.lit(c in lower).alias("low")) for c in names]))
@@ -83,6 +123,36 @@ def metric_deltas(current: DataFrame, baseline: DataFrame, epsilon: float = 1e-9
     return d.select("metric", "current", "baseline", "delta", F.when(F.abs("delta") < epsilon, "unchanged").when(better, "better").otherwise("worse").alias("direction"))
 
 
+def tradeoff(deltas: DataFrame) -> DataFrame:
+    """One row (summary): in a sentence what got better and what worse; ``deltas`` are at most the six metrics."""
+    order = F.lit(None).cast("int")
+    text = F.lit(None).cast("string")
+    for i, (name, label, unit, _) in enumerate(METRICS):
+        size = F.concat(F.round(F.abs("delta")).cast("long").cast("string"), F.lit(" " + unit)) if unit else F.format_string("%.3f", F.abs("delta"))
+        mine = F.col("metric") == name
+        order = F.when(mine, i).otherwise(order)
+        text = F.when(mine, F.concat(F.lit(label + " "), F.when(F.col("delta") > 0, "+").when(F.col("delta") < 0, "−").otherwise(""), size)).otherwise(text)
+    low = F.col("metric").isin([name for name, _, _, lower in METRICS if lower])
+    is_ = lambda d: F.col("direction") == d
+    some = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
+    found = deltas.select("*", order.alias("_o"), text.alias("_t")).agg(
+        some(~low & is_("better")).alias("up"), some(~low & is_("worse")).alias("down"), some(low & is_("worse")).alias("slow"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("direction") != "unchanged", F.struct("_o", "_t")))), lambda x: x["_t"]), " · ").alias("detail"),
+    )
+    c = F.col
+    quality = F.when(c("up") & ~c("down"), "质量提升").when(c("down") & ~c("up"), "质量下降").when(c("up"), "质量有涨有跌")
+    said = F.concat(F.concat_ws("，", quality, F.when(c("slow"), "延迟回退").otherwise("延迟未回退")), F.lit("。"), c("detail"), F.lit("。是否上线由 Release Gate 判定。"))
+    return found.select(F.when(c("up") | c("down") | c("slow"), said).otherwise("与基线基本一致，没有可观察的差异。").alias("summary"))
+
+
+def arms_table(arms: DataFrame, title: str) -> DataFrame:
+    """One row (report): a Markdown table of experiment arms (place, arm, recall_at1, recall_at3, recall_at5, mrr, p50, p95, build_ms), a few rows."""
+    line = F.format_string("| %s | %.3f | %.3f | %.3f | %.3f | %.2f ms | %.2f ms | %.0f ms |", "arm", "recall_at1", "recall_at3", "recall_at5", "mrr", "p50", "p95", "build_ms")
+    head = f"| {title} | Recall@1 | Recall@3 | Recall@5 | MRR | P50 | P95 | 建索引 |\n|---|---|---|---|---|---|---|---|"
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"])
+    return arms.agg(F.concat_ws("\n", F.lit(head), lines).alias("report"))
+
+
 def abstention_signals(results: DataFrame) -> DataFrame:
     """Rows (query_id, top1, margin, top1_to_mean, has_keyword, n) of results (query_id, similarity, keyword_rank); results without a similarity don't count for the first three."""
     by = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"))
@@ -107,11 +177,14 @@ def abstain(floor: float = 0, min_margin: float = 0, min_ratio: float = 0, floor
 
 
 def calibration(signals: DataFrame) -> DataFrame:
-    """One row from (is_positive, top1): lowest positive, highest negative, their gap, how many negatives lie below, and the medians at n // 2."""
+    """One row from (is_positive, top1): lowest positive, highest negative, their gap, how many negatives lie below it, the margin to the nearest of those (0 if none), and the medians at n // 2."""
     pos, neg = F.when(F.col("is_positive"), F.col("top1")), F.when(~F.col("is_positive"), F.col("top1"))
-    low = signals.agg(F.min(pos).alias("positive_min"), F.max(neg).alias("negative_max"), index_percentile(pos, 0.5).alias("positive_median"), index_percentile(neg, 0.5).alias("negative_median"))
-    below = signals.join(F.broadcast(low.select("positive_min"))).agg(F.count(F.when(~F.col("is_positive") & (F.col("top1") < F.col("positive_min")), 1)).alias("negatives_below"))
-    return low.join(F.broadcast(below)).withColumn("gap", F.col("positive_min") - F.col("negative_max"))
+    low = signals.agg(F.min(pos).alias("positive_min"), F.max(neg).alias("negative_max"))
+    middle = group_percentiles(signals, ["is_positive"], "top1", {"m": 0.5}).agg(F.max(F.when(F.col("is_positive"), F.col("m"))).alias("positive_median"), F.max(F.when(~F.col("is_positive"), F.col("m"))).alias("negative_median"))
+    under = ~F.col("is_positive") & (F.col("top1") < F.col("positive_min"))
+    below = signals.join(F.broadcast(low.select("positive_min"))).agg(F.count(F.when(under, 1)).alias("negatives_below"), F.max(F.when(under, F.col("top1"))).alias("nearest"))
+    one = low.join(F.broadcast(middle)).join(F.broadcast(below))
+    return one.select("positive_min", "negative_max", "positive_median", "negative_median", "negatives_below", (F.col("positive_min") - F.col("negative_max")).alias("gap"), F.coalesce(F.col("positive_min") - F.col("nearest"), F.lit(0.0)).alias("safety_margin"))
 
 
 def add_cases(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -134,27 +207,50 @@ def stratified_split(cases: DataFrame, by: str, order: str = "case_id") -> DataF
     return cases.withColumn("split", F.when((i % 10).isin(0, 4, 7), "holdout").otherwise("development"))
 
 
-def leakage(cases: DataFrame, notes: DataFrame, least: int = 12) -> DataFrame:
-    """Rows (case_id, note_id): notes that contain a whole query of at least ``least`` characters, white space and case apart.  Cases are the small side."""
+def split_overlap(cases: DataFrame, key: str) -> DataFrame:
+    """Rows (key, splits): values of ``key`` that occur in more than one split; none if the splits are apart."""
+    return cases.groupBy(key).agg(F.countDistinct("split").alias("splits")).filter("splits > 1")
+
+
+def leakage(cases: DataFrame, notes: DataFrame, least: int = 12, exempt: Column | None = None) -> DataFrame:
+    """Rows (case_id, note_id): notes that contain a whole query of at least ``least`` characters, white space and case apart; cases that are ``exempt`` aside."""
     squeeze = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
-    q = cases.select("case_id", squeeze(F.col("query")).alias("q")).filter(F.length("q") >= least)
-    return notes.select("note_id", squeeze(F.col("text")).alias("h")).join(F.broadcast(q), F.contains("h", "q")).select("case_id", "note_id")
+    some = cases if exempt is None else cases.filter(~exempt)
+    q = some.select(F.col("case_id").alias("pattern_id"), squeeze(F.col("query")).alias("pattern")).filter(F.length("pattern") >= least)
+    found = containing(notes.select(F.col("note_id").alias("text_id"), squeeze(F.col("text")).alias("text")), q)
+    return found.select(F.col("pattern_id").alias("case_id"), F.col("text_id").alias("note_id"))
 
 
 def trigram_similarity(queries: DataFrame, least: float = 0.6) -> DataFrame:
-    """Rows (a, b, similarity): pairs of queries whose trigram sets have a Jaccard similarity of ``least`` or more."""
+    """Rows (a, b, similarity): pairs of queries whose trigram sets have a Jaccard similarity of ``least`` or more.
+
+    Two such sets share one of their rarest trigrams, all but the first ``least`` share of each
+    set in order of frequency; only pairs that do are compared, so that common trigrams pair nothing.
+    """
     s = queries.select("id", F.regexp_replace(F.lower("query"), r"\s+", "").alias("s")).filter("s <> ''")
     n = F.length("s")
     grams = F.when(n < 3, F.array("s")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring("s", i, 3))))
-    g = s.select("id", grams.alias("g")).select("id", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    shared = g.alias("x").join(g.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id"))).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("m"), F.first("x.n").alias("n"), F.first("y.n").alias("k"))
-    return shared.select("a", "b", (F.col("m") / (F.col("n") + F.col("k") - F.col("m"))).alias("similarity")).filter(F.col("similarity") >= least)
+    g = s.select("id", grams.alias("g")).withColumn("n", F.size("g"))
+    each = g.select("id", "n", F.explode("g").alias("gram"))
+    rare = each.join(each.groupBy("gram").agg(F.count("*").alias("f")), "gram").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("f", "gram")))
+    prefix = rare.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("id", "n", "gram")
+    near = (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n"))
+    pairs = prefix.alias("x").join(prefix.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    sets = lambda side: g.select(F.col("id").alias(side), F.col("g").alias("g_" + side))
+    shared = F.size(F.array_intersect("g_a", "g_b"))
+    both = pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", (shared / (F.size("g_a") + F.size("g_b") - shared)).alias("similarity"))
+    return both.filter(F.col("similarity") >= least)
 
 
 def checksum(df: DataFrame, key: str, value: str) -> DataFrame:
-    """One row: SHA-256 over the digests of all rows in order of ``key``."""
-    rows = df.select(key, F.sha2(F.concat_ws("|", F.col(key).cast("string"), value), 256).alias("d"))
-    return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "d"))), lambda x: x["d"]), ""), 256).alias("checksum"))
+    """One row: SHA-256 over the digests of all rows, whatever their order.
+
+    Rows are dealt by the first four digits of their digests; a bucket's digests in order
+    make one digest, and those of the 65,536 buckets at most make the checksum.
+    """
+    rows = df.select(F.sha2(F.concat_ws("|", F.col(key).cast("string"), value), 256).alias("d"))
+    parts = rows.groupBy(F.substring("d", 1, 4).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
+    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("checksum"))
 
 
 def profile(df: DataFrame, by: list[str]) -> DataFrame:
@@ -164,6 +260,22 @@ def profile(df: DataFrame, by: list[str]) -> DataFrame:
     return counts.join(F.broadcast(df.agg(F.count("*").alias("total")))).select("field", "value", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
+def clusters(df: DataFrame, by: str, shown: int = 5) -> DataFrame:
+    """Rows (cluster, n, beyond): the sizes of clusters, and whether one is too large to be shown whole among the first ``shown``."""
+    return df.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias("cluster")).agg(F.count("*").alias("n")).withColumn("beyond", F.col("n") > shown)
+
+
+def duplicates(df: DataFrame, column: str) -> DataFrame:
+    """Rows (value, n): values that occur more than once."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def token_totals(calls: DataFrame) -> DataFrame:
+    """One row (tokens, reported_calls, unreported_calls) from the ``prompt_tokens`` of calls, null where a service didn't say."""
+    said = F.count("prompt_tokens")
+    return calls.agg(F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("tokens"), said.alias("reported_calls"), (F.count("*") - said).alias("unreported_calls"))
+
+
 def failure_breakdown(failed: DataFrame, kind: str) -> DataFrame:
     """Failures by kind, the most frequent first, then by name; failures without a kind don't count."""
     return failed.filter(F.col(kind).isNotNull()).groupBy(kind).agg(F.count("*").alias("n")).orderBy(F.desc("n"), kind)

@@ -13,6 +13,8 @@ KINDS = ("text", "image", "audio", "file", "link")
 KIND_UNIT = {"text": "段文字", "image": "张图片", "audio": "段录音", "file": "个文档", "link": "个链接"}
 DOCUMENT_CHARS, LINE_CHARS, EXPORT_CHARS, PREVIEW_CHARS = 8000, 80, 500, 60
 UNTITLED = "未命名笔记"
+GONE = "未知笔记（已删除）"
+BLOCK_LABEL = {"text": "文字", "image": "图片", "audio": "录音", "file": "文档", "link": "链接"}
 
 
 def _clip(c: Column, n: int) -> Column:
@@ -61,6 +63,21 @@ def empty_notes(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("note_id").agg(F.bool_and(empty_block(cols(blocks))).alias("e")).filter("e").select("note_id")
 
 
+def meaningful_notes(blocks: DataFrame, notes: DataFrame, derived: DataFrame | None = None) -> DataFrame:
+    """Rows (note_id, meaningful): a title, a tag, a block that isn't empty, or derived text; ``notes``: note_id, title, tags; ``derived``: note_id, text."""
+    some = blocks.groupBy("note_id").agg(F.bool_or(~empty_block(cols(blocks))).alias("has_block"))
+    out = notes.join(some, "note_id", "left")
+    if derived is not None:
+        out = out.join(derived.groupBy("note_id").agg(F.bool_or(trim(F.col("text")) != "").alias("has_derived")), "note_id", "left")
+    own = (trim(F.col("title")) != "") | F.coalesce(F.exists("tags", lambda t: trim(t) != ""), F.lit(False))
+    return out.select("note_id", (own | F.coalesce("has_block", F.lit(False)) | (F.coalesce("has_derived", F.lit(False)) if derived is not None else F.lit(False))).alias("meaningful"))
+
+
+def discard_on_exit(is_new: Column, meaningful: Column) -> Column:
+    """Only a new draft without content goes; a note that was emptied stays."""
+    return is_new & ~meaningful
+
+
 def section(b: dict[str, Column]) -> Column:
     """A block as a labelled section of text; null for blocks that have none."""
     t = {k: trim(v) for k, v in b.items() if k not in ("kind", "extraction_unavailable")}
@@ -91,6 +108,37 @@ def aggregate_text(blocks: DataFrame, titles: DataFrame) -> DataFrame:
     return made.join(titles, "note_id", "left").select("note_id", F.concat_ws("\n\n", head, F.nullif("body", F.lit(""))).alias("text"))
 
 
+def change_set_text(changed: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Rows (note_id, text): what was added, then modified, each in order of the blocks, then deleted.
+
+    ``changed``: a block's columns with ``change``; ``deleted``: note_id, block_id, kind and brief.
+    """
+    mark = F.when(F.col("change") == "added", "【新增】\n").otherwise("【修改】\n")
+    made = changed.withColumn("s", section(cols(changed))).filter("s is not null").select("note_id", F.when(F.col("change") == "added", 1).otherwise(2).alias("place"), "ord", F.lit("").alias("id"), F.concat(mark, "s").alias("line"))
+    gone = deleted.select("note_id", F.lit(3).alias("place"), F.lit(0).alias("ord"), F.col("block_id").alias("id"), F.concat(F.lit("【删除】"), _by_kind(F.col("kind"), BLOCK_LABEL), F.lit(":"), F.col("brief")).alias("line"))
+    lines = F.array_sort(F.collect_list(F.struct("place", "ord", "id", "line")))
+    return made.unionByName(gone).groupBy("note_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("text"))
+
+
+def _by_kind(kind: Column, names: dict[str, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for k, v in names.items():
+        out = F.when(kind == k, v).otherwise(out)
+    return out
+
+
+def previous_summary(title: Column, one_liner: Column, kind: Column, topics: Column, points: Column, summary: Column) -> Column:
+    """The summary so far as labelled lines; parts that are empty are left out."""
+    part = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
+    many = lambda label, c, sep: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, sep)))
+    return F.concat_ws("\n", part("标题:", title), part("一句话:", one_liner), part("类型:", kind), many("主题:", topics, "、"), many("要点:\n- ", points, "\n- "), part("总结:", summary))
+
+
+def titles(ids: DataFrame, notes: DataFrame) -> DataFrame:
+    """Rows (note_id, title) for ``ids``; notes that are gone have a title that says so."""
+    return ids.select("note_id").join(notes.select("note_id", "title"), "note_id", "left").select("note_id", F.coalesce("title", F.lit(GONE)).alias("title"))
+
+
 def export_section(b: dict[str, Column], markdown: bool = True) -> Column:
     t = {k: trim(v) for k, v in b.items() if k not in ("kind", "extraction_unavailable")}
     lit = F.lit
@@ -145,11 +193,20 @@ def has_tag(tags: Column, tag: Column) -> Column:
     return F.exists(tags, lambda t: tag_key(t) == tag_key(tag))
 
 
-def in_scope(folder: str | None = None, pinned: bool = False, tags: tuple[str, ...] = ()) -> Column:
-    """Scope of a search: folder, pinned notes only, and all of some tags."""
+#: As the folder of a scope: notes in no folder.
+UNFILED = object()
+
+
+def in_scope(folder: str | object | None = None, pinned: bool = False, tags: tuple[str, ...] = ()) -> Column:
+    """Scope of a search: a folder (or ``UNFILED``), pinned notes only, and all of some tags.
+
+    A list applies it after its limit; filter notes first where a full list of the scope is wanted.
+    """
     out = F.lit(True)
-    if folder is not None:
-        out = out & F.col("folder").eqNullSafe(F.lit(folder))
+    if folder is UNFILED:
+        out = out & F.col("folder").isNull()
+    elif folder is not None:
+        out = out & (F.col("folder") == folder)
     if pinned:
         out = out & F.col("is_pinned")
     for t in tags:

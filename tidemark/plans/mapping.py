@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, retrievable
 from ..operators.chunk import chunk
-from ..operators.lexical import with_hay
+from ..operators.lexical import containing, with_hay
+from ..sources.io import stored
 
 BLOCK_COLUMNS = ("text", "image_caption", "image_asset_ref", "transcript", "audio_asset_ref", "file_name", "file_type", "extracted_text", "url", "link_title", "link_description")
 
@@ -54,15 +55,17 @@ def texts(blocks: DataFrame) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str, strategy: str = "fixed", *parameters: int) -> DataFrame:
-    """Chunks of all documents with their folded text."""
-    return with_hay(chunk(texts(document_blocks(spark, sf_dir)), strategy, *parameters))
+    """The chunk table: chunks of all documents with their folded text, made once in a session and then scanned."""
+    files = read(spark, sf_dir, "documents").inputFiles()
+    return stored(spark, ("corpus", strategy, *parameters), files, lambda: with_hay(chunk(texts(document_blocks(spark, sf_dir)), strategy, *parameters)))
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A case for each benchmark item: its first five words as query, expected the notes that contain it whole."""
     items = read(spark, sf_dir, "benchmark").select("item_id", "text")
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    held = docs.join(F.broadcast(items), F.contains("body", "text")).groupBy("item_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("n"), F.col("doc_id").cast("string")))).alias("expected"))
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("text_id"), "text")
+    met = containing(docs, items.select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern")))
+    held = met.groupBy(F.col("pattern_id").alias("item_id")).agg(F.array_sort(F.collect_list("text_id")).alias("expected"))
     words = F.slice(F.split("text", r"\s+"), 1, 5)
     return items.join(held, "item_id", "left").select(
         F.col("item_id").cast("string").alias("case_id"), F.array_join(words, " ").alias("query"), F.coalesce("expected", F.array().cast("array<string>")).alias("expected"),

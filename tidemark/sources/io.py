@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -26,6 +31,32 @@ def table(spark: SparkSession, path: str, columns: list[str] | None = None) -> D
     return df.select(*columns) if columns else df
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; only local sessions may do without."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+_stored: dict[tuple, tuple[str, t.StructType]] = {}
+
+
+def stored(spark: SparkSession, key: tuple, files: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written as Parquet once in a session for ``key`` and the files it is made from, and read from there by all later queries."""
+    at = (spark.sparkContext.applicationId, *key, *sorted(files))
+    if at not in _stored:
+        df = make()
+        path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _stored[at] = (path, df.schema)
+    path, schema = _stored[at]
+    return spark.read.schema(schema).parquet(path)
+
+
 def point(df: DataFrame, key: str, value: object) -> DataFrame:
     """One row by its id; the filter reaches the scan."""
     return df.filter(F.col(key) == F.lit(value)).limit(1)
@@ -86,40 +117,69 @@ def ocr_text(blocks: DataFrame, overlay: DataFrame, check_hash: bool = True) ->
 
 
 class DerivedStore:
-    """Embedding records as Parquet, partitioned by version, so that a load of one version reads no other.
+    """Embedding records as Parquet, partitioned by bucket of the note and by version.
 
-    A write goes to a new folder first and becomes current by one small pointer
-    table; a failed write leaves the store as it was.
+    A load of one version reads no other, and a write touches only the buckets of the notes
+    it is about: their partitions are overwritten together when the job commits, all others stay.
+    One writer at a time.  A partition that loses all its rows keeps an empty mark, a row without a chunk id.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: t.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def _versions(self) -> list[int]:
-        try:
-            return sorted(r[0] for r in self.spark.read.schema("v int").json(f"{self.path}/current").collect())
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return []
-            raise
-
-    def load(self, version: str | None = None) -> DataFrame:
-        found = self._versions()
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        df = self.spark.read.schema(self.schema).parquet(f"{self.path}/data-{found[-1]}")
-        return df if version is None else df.filter(F.col("embedding_version") == version)
-
-    def _store(self, df: DataFrame) -> None:
-        n = (self._versions() or [0])[-1] + 1
-        df.select([f.name for f in self.schema]).write.partitionBy("embedding_version").parquet(f"{self.path}/data-{n}")
-        self.spark.range(1).select(F.lit(n).alias("v")).write.mode("append").json(f"{self.path}/current")
+    def __init__(self, spark: SparkSession, path: str, schema: t.StructType, buckets: int = 64):
+        self.spark, self.path, self.schema, self.buckets = spark, path, schema, buckets
+
+    def _bucket(self, note_id: Column) -> Column:
+        return F.pmod(F.xxhash64(note_id), F.lit(self.buckets)).cast("int")
+
+    def _exists(self) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def _rows(self, buckets: list[int] | None = None) -> DataFrame:
+        """Rows with their bucket, marks too."""
+        schema = t.StructType([*[f for f in self.schema if f.name != "embedding_version"], t.StructField("bucket", t.IntegerType()), t.StructField("embedding_version", t.StringType())])
+        if not self._exists():
+            return self.spark.createDataFrame([], schema)
+        df = self.spark.read.schema(schema).parquet(self.path)
+        return df if buckets is None else df.filter(F.col("bucket").isin(buckets))
+
+    def load(self, version: str | None = None, note_id: str | None = None) -> DataFrame:
+        """All records, those of a version, or those of a note; other partitions are not read."""
+        df = self._rows() if note_id is None else self._rows([self.spark.range(1).select(self._bucket(F.lit(note_id))).first()[0]]).filter(F.col("note_id") == note_id)
+        df = df if version is None else df.filter(F.col("embedding_version") == version)
+        return df.filter("chunk_id is not null").select([f.name for f in self.schema])
+
+    def _replace(self, touched: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
+        """Overwrites the partitions of the touched buckets by what ``change`` makes of their rows."""
+        if not touched:
+            return
+        old = self._rows(touched)
+        columns = [f.name for f in self.schema]
+        new = change(old.filter("chunk_id is not null").select(columns)).select(columns).withColumn("bucket", self._bucket(F.col("note_id")))
+        marks = old.select("bucket", "embedding_version").distinct().select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema if f.name != "embedding_version"], "bucket", "embedding_version")
+        rows = new.unionByName(marks).repartition("bucket", "embedding_version")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "embedding_version").parquet(self.path)
+
+    def _touched(self, rows: DataFrame) -> list[int]:
+        """The buckets of the rows' notes, at most ``buckets`` numbers."""
+        return [r[0] for r in rows.select(self._bucket(F.col("note_id"))).distinct().collect()]
 
     def upsert(self, new: DataFrame) -> None:
-        self._store(upsert(self.load(), new))
+        """Writes records, each in place of what its chunk had, of any version."""
+        self._replace(self._touched(new), lambda old: upsert(old, new.select([f.name for f in self.schema])))
 
     def delete(self, gone: DataFrame, by: str = "chunk_id") -> None:
-        self._store(self.load().join(gone.select(by).distinct(), by, "left_anti"))
+        """Removes records by chunk_id, block_id or note_id."""
+        mine = self.load().join(gone.select(by).distinct(), by, "left_semi")
+        self._replace(self._touched(mine), lambda old: old.join(gone.select(by).distinct(), by, "left_anti"))
 
     def clear(self) -> None:
-        self._store(self.load().limit(0))
+        """Removes everything, as after a change of strategy or provider."""
+        self._replace(self._touched(self.load()), lambda old: old.limit(0))
+
+    def chunk_ids(self, block_id: str | None = None) -> DataFrame:
+        """Chunk ids in the store, or those of a block, in order."""
+        df = self.load()
+        return (df if block_id is None else df.filter(F.col("block_id") == block_id)).select("chunk_id").orderBy("chunk_id")
+
+    def note_ids(self) -> DataFrame:
+        return self.load().select("note_id").distinct()

@@ -92,10 +92,21 @@ def last_traces_by_batch(traces: DataFrame, n: int = 20) -> DataFrame:
     return traces.select("key", place.alias("place"), "at", "payload").filter(F.col("place") <= n)
 
 
-def run_jobs(jobs: DataFrame, work: Callable[[list[str]], list[list[float] | None]], attempts: int = 3, wait: float = 0.2, size: int = 64) -> DataFrame:
-    """Rows (chunk_id, vector, tries): texts in batches of ``size``, tried again after doubling waits where ``work`` raises a ConnectionError.
+class RateLimitedError(Exception):
+    """A service asks to come back later."""
 
-    Other errors fail the batch's rows at once (null vector).
+
+#: What is worth another try: the way to the service failed, or it was too busy.  Anything else fails at once.
+RETRYABLE = (ConnectionError, TimeoutError, RateLimitedError)
+#: Tries, first wait in seconds, and how many tasks call a service at once.
+ATTEMPTS, WAIT, RUNNING = 3, 0.2, 2
+
+
+def run_jobs(jobs: DataFrame, work: Callable[[list[str]], list[list[float] | None]], attempts: int = ATTEMPTS, wait: float = WAIT, size: int = 64, running: int | None = RUNNING) -> DataFrame:
+    """Rows (chunk_id, vector, tries, error): texts in batches of ``size``, tried again after doubling waits where ``work`` raises one of ``RETRYABLE``.
+
+    Other errors fail the batch's rows at once; failed rows have no vector and the error's name.
+    At most ``running`` tasks call the service at once; None leaves that to the cluster.
     """
     import time
 
@@ -104,16 +115,19 @@ def run_jobs(jobs: DataFrame, work: Callable[[list[str]], list[list[float] | Non
             for lo in range(0, len(batch), size):
                 part = batch.iloc[lo : lo + size]
                 out: list[list[float] | None] = [None] * len(part)
-                tried = 0
+                tried, error = 0, None
                 for tried in range(1, attempts + 1):
                     try:
-                        out = work(part["text"].tolist())
+                        out, error = work(part["text"].tolist()), None
                         break
-                    except ConnectionError:
+                    except RETRYABLE as e:
+                        error = type(e).__name__
                         if tried < attempts:
                             time.sleep(wait * 2 ** (tried - 1))
-                    except Exception:
+                    except Exception as e:
+                        error = type(e).__name__
                         break
-                yield pd.DataFrame({"chunk_id": part["chunk_id"].tolist(), "vector": out, "tries": tried})
+                yield pd.DataFrame({"chunk_id": part["chunk_id"].tolist(), "vector": out, "tries": tried, "error": error})
 
-    return jobs.select("chunk_id", "text").mapInPandas(run, "chunk_id string, vector array<double>, tries int")
+    some = jobs.select("chunk_id", "text")
+    return (some if running is None else some.repartition(running)).mapInPandas(run, "chunk_id string, vector array<double>, tries int, error string")
