@@ -68,14 +68,16 @@ def fingerprints(df: DataFrame, shingle: int, bands: int = 0, rows: int = 4, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys, digests = [], [], []
-            for t in batch.column(2).cast(pa.binary()).to_pylist():
-                h = shingle_hashes(t or b"", shingle)
-                h = np.unique(h) if bands else h
-                fps.append(fingerprint(h) if len(h) else 0)
-                keys.append(_bands(h, salts, bands, rows) if bands else [])
-                digests.append(xxhash.xxh64_intdigest(h.tobytes()) if bands else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(digests, np.uint64).view(np.int64))], names=["id", "node", "fp", "bands", "digest"])
+            for lo, part in groups(batch.column(2)):
+                fps, keys, digests = [], [], []
+                for t in part.cast(pa.binary()):
+                    h = shingle_hashes(t.as_py(), shingle)
+                    h = np.unique(h) if bands else h
+                    fps.append(fingerprint(h) if len(h) else 0)
+                    keys.append(_bands(h, salts, bands, rows) if bands else [])
+                    digests.append(xxhash.xxh64_intdigest(h.tobytes()) if bands else 0)
+                named = [batch.column(c).slice(lo, len(part)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*named, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(digests, np.uint64).view(np.int64))], names=["id", "node", "fp", "bands", "digest"])
 
     source = df.select(F.col(id).cast("long").alias("id"), (F.lit(None) if node is None else node).cast("long").alias("node"), F.col(text).alias("text"))
     return source.mapInArrow(run, "id long, node long, fp long, bands array<long>, digest long")
@@ -325,7 +327,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, part in groups(batch.column(1)):
-                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in part.cast(pa.binary()).to_pylist()]
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.cast(pa.binary())]
                 ends = np.cumsum([0, *map(len, sets)])
                 flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), flat], names=["node", "set"])

@@ -36,7 +36,7 @@ BATCH = 128
 DECAY = 1e-4
 THRESHOLD = 0.7
 #: Texts are scored in groups of about so many bytes.
-SCORED_BYTES = 2 << 20
+SCORED_BYTES = 1 << 20
 _f = np.float32
 
 
@@ -334,10 +334,8 @@ def score(df: DataFrame, net: Network, text: str = "text", threshold: float = TH
     Null and empty texts score as an empty window.  Columns with these names are replaced.
     """
 
-    @F.pandas_udf("double")
-    def run(texts):
-        import pandas as pd
-
-        return pd.Series(score_texts(net, pa.array(texts, pa.string())))
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(score_texts(net, texts))
 
     return df.drop(*names).withColumn(names[0], run(F.col(text))).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
