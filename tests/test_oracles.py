@@ -52,4 +52,4 @@ def test_query_without_sql_runs(spark, name):
 
 def test_plans_push_down_and_prune(spark):
     plan = QUERIES["scope_filter"](spark, DATA)._jdf.queryExecution().toString()
-    assert "EqualTo(source,src3)" in plan and "ReadSchema: struct<doc_id:bigint,lang:string,source:string>" in plan
+    assert "EqualTo(source,src4)" in plan and "ReadSchema: struct<doc_id:bigint,lang:string,source:string>" in plan

@@ -65,6 +65,19 @@ def keyword_search(chunks: DataFrame, query: str, k: int, wanted: list[Group] |
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
 
 
+def query_groups(queries: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Rows (query_id, group, terms, min_matched, is_bigram): the groups of terms of each query (query_id, query), as :func:`groups` makes them."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, k, g) for i, q in enumerate(batch.column(1).to_pylist()) for k, g in enumerate(groups(q or "", policy))]
+            columns = [pa.array([k for _, k, _ in found], pa.int32()), pa.array([list(g.terms) for *_, g in found], pa.list_(pa.string())), pa.array([g.min_matched for *_, g in found], pa.int32()), pa.array([g.is_bigram for *_, g in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, *_ in found], pa.int64())), *columns], names=["query_id", "group", "terms", "min_matched", "is_bigram"])
+
+    return queries.select("query_id", "query").mapInArrow(run, f"query_id {kind}, `group` int, terms array<string>, min_matched int, is_bigram boolean")
+
+
 #: Queries that one pass over the chunks answers; more take several passes.
 QUERIES_A_PASS = 2048
 #: Characters of patterns that one pass over the texts looks for.

@@ -13,6 +13,7 @@ KINDS = ("text", "image", "audio", "file", "link")
 KIND_UNIT = {"text": "段文字", "image": "张图片", "audio": "段录音", "file": "个文档", "link": "个链接"}
 DOCUMENT_CHARS, LINE_CHARS, EXPORT_CHARS, PREVIEW_CHARS = 8000, 80, 500, 60
 UNTITLED = "未命名笔记"
+NO_TEXT = "（无可检索文本）"
 GONE = "未知笔记（已删除）"
 BLOCK_LABEL = {"text": "文字", "image": "图片", "audio": "录音", "file": "文档", "link": "链接"}
 
@@ -226,8 +227,8 @@ def folder_chips(folders: DataFrame, notes: DataFrame) -> DataFrame:
 
 def note_summaries(texts: DataFrame, notes: DataFrame) -> DataFrame:
     """Rows (note_id, title, preview, updated_at) with the first 60 characters of each note, latest first; ``texts``: note_id, ord, text."""
-    first = texts.filter("text <> ''").groupBy("note_id").agg(F.substring(F.min_by("text", "ord"), 1, PREVIEW_CHARS).alias("preview"))
-    return notes.join(first, "note_id", "left").select("note_id", "title", F.coalesce("preview", F.lit("")).alias("preview"), "updated_at").orderBy(F.desc("updated_at"), "note_id")
+    first = texts.filter("text <> ''").groupBy("note_id").agg(_clip(F.min_by("text", "ord"), PREVIEW_CHARS).alias("preview"))
+    return notes.join(first, "note_id", "left").select("note_id", "title", F.coalesce("preview", F.lit(NO_TEXT)).alias("preview"), "updated_at").orderBy(F.desc("updated_at"), "note_id")
 
 
 def next_order(blocks: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from ..functions import text as T
 from ..functions.segment import groups
 from ..operators import derive, diff, evaluate, fuse, lexical, notes, present, stats, vector
 from ..operators.chunk import chunk
+from ..sources import io
+from ..streaming import edits
 from . import mapping as M
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,7 +142,11 @@ def markdown_plain(spark, sf):
     return _docs(spark, sf).select("doc_id", F.sha2(plain, 256).alias("plain_hash"), F.length(plain).cast("long").alias("n"))
 
 
-@query()
+_FORMATTED = r"^\s{0,3}#{1,6}\s+|^\s*([-*+]\s+|\d+[.)]\s+)|(\*\*|__).+?(\*\*|__)|\*([^*\s]|[^*\s][^*\n]*[^*\s])\*|\[[^\]]+\]\([^)]*\)"
+
+
+@query(rf"""SELECT doc_id, bool_or(regexp_matches(line, '{_FORMATTED}') OR regexp_matches(regexp_replace(line, '^[ \t]+|[ \t]+$', '', 'g'), '^(-{{3,}}|\*{{3,}}|_{{3,}})$')) AS formatted
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""")
 def has_formatting(spark, sf):
     return _docs(spark, sf).select("doc_id", T.has_formatting(F.col("text")).alias("formatted"))
 
@@ -150,10 +156,12 @@ def script_detect(spark, sf):
     return _docs(spark, sf).groupBy("lang").agg(F.bool_or(T.has_han(F.col("text"))).alias("has_han"), F.bool_or(T.has_latin(F.col("text"))).alias("has_latin"))
 
 
-@query(r"""SELECT doc_id, length(m) > 0 AND length(m) >= CASE WHEN (length(m) - length(regexp_replace(m, '[㐀-䶿一-鿿豈-﫿぀-ヿ]', '', 'g'))) * 2 > length(m) THEN 2 ELSE 3 END AS runs
-    FROM (SELECT doc_id, regexp_replace(substr(text, 1, doc_id % 5), '[ \t\n\v\f\r]', '', 'g') AS m FROM documents)""")
+@query(r"""SELECT word, length(m) > 0 AND length(m) >= CASE WHEN (length(m) - length(regexp_replace(m, '[㐀-䶿一-鿿豈-﫿぀-ヿ]', '', 'g'))) * 2 > length(m) THEN 2 ELSE 3 END AS runs
+    FROM (SELECT DISTINCT word, word AS m FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\v\f\r]+')) AS word FROM documents))""")
 def semantic_gate(spark, sf):
-    return _docs(spark, sf).select("doc_id", T.runs_semantic(F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 5).cast("int"))).alias("runs"))
+    """Every different word of the corpus as a query."""
+    words = _docs(spark, sf).select(F.explode(F.split("text", r"\s+")).alias("word")).distinct()
+    return words.select("word", T.runs_semantic(F.col("word")).alias("runs"))
 
 
 @query(f"WITH b AS ({_CB}) SELECT block_id, CASE kind WHEN 'text' THEN clip WHEN 'audio' THEN CASE WHEN clip = '' THEN '录音' ELSE '录音:' || clip END ELSE '文档:system.txt' END AS brief, CASE WHEN kind = 'text' THEN length(t) ELSE 0 END AS text_length FROM (SELECT *, CASE WHEN length(t) > 40 THEN substr(t, 1, 40) || '…' ELSE t END AS clip FROM b)")
@@ -202,12 +210,52 @@ def keyword_batch(spark, sf):
 
 
 def _case_results(spark, sf):
-    """The five best notes of each case over whole blocks; scores are rounded before ranking, so that any engine breaks ties alike."""
+    """The five best notes of each case over whole blocks, kept for all queries of a session; scores are rounded before ranking, so that any engine breaks ties alike."""
+    files = [f for t in ("documents", "benchmark") for f in M.read(spark, sf, t).inputFiles()]
     c = M.corpus(spark, sf, "block")
-    q = M.cases(spark, sf).select(F.col("case_id").alias("query_id"), "query")
-    found = lexical.keyword_batch(c, q, 1 << 30).withColumn("score", F.round("score", 9))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "note_id"))
-    return found.withColumn("rank", rank).filter("rank <= 5").select(F.col("query_id").alias("case_id"), "note_id", "rank")
+    found = lambda: lexical.keyword_batch(c, M.cases(spark, sf).select(F.col("case_id").alias("query_id"), "query"), 5, digits=9)
+    return io.stored(spark, ("case results",), files, lambda: found().select(F.col("query_id").alias("case_id"), "note_id", "rank"))
+
+
+# Han queries: letters become Han characters, by place in the alphabet, in texts and queries alike.
+_LETTERS, _HAN = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + 37 * i) for i in range(26))
+# Of a run of Han characters all pairs, in order and once each; other words are Latin terms.  A query of both needs one pair of each run.
+HAN_RESULTS = rf"""docs AS (SELECT doc_id, 'n' || doc_id || '/b/0' AS chunk_id, translate(lower(text), '{_LETTERS}', '{_HAN}') AS text FROM documents),
+    hays AS (SELECT doc_id, chunk_id, strip_accents(text) AS hay, length(text) AS len FROM docs WHERE text <> ''),
+    queries AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN q || ' src' ELSE q END AS query FROM (SELECT item_id, translate(lower(array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 2, 3), ' ')), '{_LETTERS}', '{_HAN}') AS q FROM benchmark)),
+    tokens AS (SELECT query_id, unnest(string_split(query, ' ')) AS token, generate_subscripts(string_split(query, ' '), 1) AS t FROM queries),
+    runs AS (SELECT query_id, t, unnest(regexp_extract_all(token, '[一-鿿]+|[^一-鿿]+')) AS run, generate_subscripts(regexp_extract_all(token, '[一-鿿]+|[^一-鿿]+'), 1) AS r FROM tokens WHERE token <> ''),
+    latin AS (SELECT DISTINCT query_id, strip_accents(run) AS term FROM runs WHERE NOT regexp_matches(run, '^[一-鿿]')),
+    pairs AS (SELECT DISTINCT query_id, t, r, substr(run, i::INT, 2) AS term FROM (SELECT query_id, t, r, run, unnest(generate_series(1, length(run) - 1)) AS i FROM runs WHERE regexp_matches(run, '^[一-鿿]') AND length(run) >= 2)),
+    terms AS (SELECT query_id, t * 1000 + r AS g, true AS is_pair, term FROM pairs UNION ALL SELECT query_id, -1, false, term FROM latin),
+    sizes AS (SELECT query_id, g, is_pair, count(*) AS n, CASE WHEN NOT is_pair THEN CASE WHEN count(*) > 2 THEN ceil(0.5 * count(*)) ELSE count(*) END
+        WHEN query_id IN (SELECT query_id FROM latin) THEN 1 ELSE least(greatest(3, ceil(0.15::DOUBLE * count(*))), count(*)) END AS need FROM terms GROUP BY query_id, g, is_pair),
+    hit AS (SELECT terms.query_id, g, doc_id, chunk_id, any_value(len) AS len, count(*) AS m, sum(least((length(hay) - length(replace(hay, term, ''))) // length(term), 3)) AS tf FROM hays JOIN terms ON contains(hay, term) GROUP BY terms.query_id, g, doc_id, chunk_id),
+    whole AS (SELECT query_id, doc_id, any_value(chunk_id) AS chunk_id, count(*) AS met, sum(tf) AS tf, any_value(len) AS len, coalesce(avg(m::DOUBLE / n) FILTER (is_pair), 1.0) AS coverage FROM hit JOIN sizes USING (query_id, g) WHERE m >= need GROUP BY query_id, doc_id),
+    scored AS (SELECT query_id, doc_id, chunk_id, coverage, round(tf / sqrt(len::DOUBLE) * coverage, 9) AS score FROM whole WHERE met = (SELECT count(*) FROM sizes s WHERE s.query_id = whole.query_id)),
+    han AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)"""
+
+
+def _han_results(spark, sf, k):
+    han = lambda c: F.translate(F.lower(c), _LETTERS, _HAN)
+    note = F.concat(F.lit("n"), F.col("doc_id").cast("string"))
+    c = _docs(spark, sf).select(F.concat(note, F.lit("/b/0")).alias("chunk_id"), note.alias("note_id"), F.lit("b").alias("block_id"), F.lit("text").alias("source"), han(F.col("text")).alias("text")).filter("text <> ''")
+    words = han(F.array_join(F.slice(F.split("text", r"\s+"), 2, 2), " "))
+    q = M.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, F.concat(words, F.lit(" src"))).otherwise(words).alias("query"))
+    return lexical.keyword_batch(c, q, k, digits=9)
+
+
+@query(f"WITH {HAN_RESULTS} SELECT query_id, 'n' || doc_id AS note_id, rank, round(score, 6) AS score FROM han WHERE rank <= 10")
+def keyword_batch_han(spark, sf):
+    return _han_results(spark, sf, 10).select("query_id", "note_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(rf"WITH {HAN_RESULTS} SELECT query_id, g = -1 AS latin, n AS terms, need::BIGINT AS min_matched FROM sizes")
+def query_groups(spark, sf):
+    """How the queries with Han characters fall into groups of terms, and how many of each must match."""
+    words = F.translate(F.lower(F.array_join(F.slice(F.split("text", r"\s+"), 2, 2), " ")), _LETTERS, _HAN)
+    q = M.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, F.concat(words, F.lit(" src"))).otherwise(words).alias("query"))
+    return lexical.query_groups(q).select("query_id", (~F.col("is_bigram")).alias("latin"), F.size("terms").cast("long").alias("terms"), F.col("min_matched").cast("long").alias("min_matched"))
 
 
 @query("SELECT doc_id, (contains(h, 'src1'))::INT + (contains(h, 'en'))::INT >= 2 AS matches FROM (SELECT doc_id, strip_accents(lower(source || ' ' || lang)) AS h FROM documents)")
@@ -216,22 +264,22 @@ def title_tag_match(spark, sf):
     return _docs(spark, sf).select("doc_id", lexical.matches(hay, groups("src1 en")).alias("matches"))
 
 
-@query("SELECT doc_id FROM documents WHERE source = 'src3' AND doc_id % 2 = 0 AND lower(lang) = 'en'")
+@query("SELECT doc_id FROM documents WHERE source = 'src4' AND doc_id % 2 = 0 AND lower(lang) = 'en'")
 def scope_filter(spark, sf):
     d = _docs(spark, sf).select("doc_id", F.col("source").alias("folder"), (F.col("doc_id") % 2 == 0).alias("is_pinned"), F.array(F.upper("lang")).alias("tags"))
-    return d.filter(notes.in_scope("src3", True, ("en",))).select("doc_id")
+    return d.filter(notes.in_scope("src4", True, ("en",))).select("doc_id")
 
 
-@query(r"""WITH h AS (SELECT doc_id, strip_accents(lower(substr(text, 1, 400))) AS hay FROM documents),
-    p AS (SELECT doc_id, hay, unnest(generate_series(1, greatest(length(hay) - 1, 1))) AS i FROM h),
-    m AS (SELECT doc_id, i - 1 AS s, i + 1 AS e FROM p WHERE substr(hay, i, 2) = 'th' UNION SELECT doc_id, i - 1, i + 1 FROM p WHERE substr(hay, i, 2) = 'he'),
+@query(r"""WITH h AS (SELECT doc_id, strip_accents(lower(text)) AS hay FROM documents), v AS (SELECT unnest(['th', 'he']) AS t),
+    p AS (SELECT doc_id, t, unnest(string_split(hay, t)) AS part, generate_subscripts(string_split(hay, t), 1) AS i FROM h, v),
+    o AS (SELECT doc_id, t, i, sum(length(part)) OVER (PARTITION BY doc_id, t ORDER BY i) + (i - 1) * 2 AS s, count(*) OVER (PARTITION BY doc_id, t) AS n FROM p),
+    m AS (SELECT DISTINCT doc_id, s, s + 2 AS e FROM o WHERE i < n),
     w AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m),
     g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM w)
-    SELECT doc_id, min(s) AS range_start, max(e) AS range_end FROM g GROUP BY doc_id, island""")
+    SELECT doc_id, min(s)::BIGINT AS range_start, max(e)::BIGINT AS range_end FROM g GROUP BY doc_id, island""")
 def match_ranges(spark, sf):
-    hay = T.haystack(F.substring("text", 1, 400))
-    r = _docs(spark, sf).select("doc_id", F.explode(lexical.match_ranges(hay, ["th", "he"])).alias("r"))
-    return r.select("doc_id", F.col("r.s").alias("range_start"), F.col("r.e").alias("range_end"))
+    r = _docs(spark, sf).select("doc_id", F.explode(lexical.match_ranges(T.haystack(F.col("text")), ["th", "he"])).alias("r"))
+    return r.select("doc_id", F.col("r.s").cast("long").alias("range_start"), F.col("r.e").cast("long").alias("range_end"))
 
 
 # Vectors and fusion
@@ -254,32 +302,48 @@ def vector_label_precision(spark, sf):
     return found.groupBy("query_label").agg(F.count("*").alias("pairs"), F.round(F.avg((F.col("label") == F.col("query_label")).cast("int")), 6).alias("precision_at10"))
 
 
-# For fusion, one ranking of all vectors by similarity to vector 0 and one by label and id.
-ARMS = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings), q AS (SELECT e FROM v WHERE id = 0),
-    vec AS (SELECT id, row_number() OVER (ORDER BY round(list_cosine_similarity(v.e, q.e), 9) DESC, id) AS vector_rank FROM v, q QUALIFY vector_rank <= 60),
-    kw AS (SELECT id, row_number() OVER (ORDER BY label, id) AS keyword_rank FROM v WHERE id % 3 = 0 QUALIFY keyword_rank <= 60),
-    both_arms AS (SELECT id, keyword_rank, vector_rank FROM kw FULL JOIN vec USING (id))"""
+# Hybrid search: of each vector whose id is divisible by 20, its neighbours among all vectors, and the notes found by the first five words of the document of that id.
+_WORDS5 = r"array_to_string(list_slice(regexp_split_to_array(" + _T + r", '[ \t\n\v\f\r]+'), 1, 5), ' ')"
+ARMS = TEXTS + f""", asked AS (SELECT vec_id AS query_id, {_WORDS5} AS query FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0),
+    terms AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(string_split(strip_accents(lower(query)), ' ')) AS term FROM asked) WHERE term <> ''),
+    need AS (SELECT query_id, CASE WHEN count(*) > 2 THEN ceil(count(*) / 2.0) ELSE count(*) END AS least FROM terms GROUP BY query_id),
+    hays AS (SELECT *, strip_accents(lower(text)) AS hay FROM texts WHERE length(text) > 0),
+    hit AS (SELECT query_id, note_id, count(*) AS m, sum(least((length(hay) - length(replace(hay, term, ''))) // length(term), 3)) AS tf, any_value(length(text)) AS len, any_value(source) AS source FROM hays JOIN terms ON contains(hay, term) GROUP BY query_id, note_id),
+    kw AS (SELECT query_id, note_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(tf / sqrt(len::DOUBLE) * {WEIGHT}, 9) DESC, note_id) AS keyword_rank FROM hit JOIN need USING (query_id) WHERE m >= least QUALIFY keyword_rank <= 60),
+    v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    vec AS (SELECT q.vec_id AS query_id, 'n' || v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.e, q.e), 9) DESC, v.vec_id) AS vector_rank FROM v, v AS q WHERE q.vec_id % 20 = 0 QUALIFY vector_rank <= 60),
+    both_arms AS (SELECT query_id, id, keyword_rank, vector_rank FROM kw FULL JOIN vec USING (query_id, id))"""
 
 
 def _arms(spark, sf):
-    v = M.vectors(spark, sf)
-    q = v.filter("id = 0").select(F.lit(0).alias("query_id"), F.col("vector").alias("query_vector"))
-    near = vector.nearest(v.select("id", "vector"), q, fuse.candidates(K)).select("id", F.col("rank").alias("vector_rank"))
-    kw = v.filter("id % 3 = 0").orderBy("label", "id").limit(fuse.candidates(K)).withColumn("keyword_rank", F.row_number().over(Window.orderBy("label", "id"))).select("id", "keyword_rank")
-    return kw, near
+    """(query_id, id, keyword_rank) and (query_id, id, vector_rank), made once in a session."""
+    files = [f for t in ("documents", "embeddings") for f in M.read(spark, sf, t).inputFiles()]
+    n = fuse.candidates(K)
+
+    def keyword():
+        words = F.array_join(F.slice(F.split(T.trim(F.col("text")), r"\s+"), 1, 5), " ")
+        ids = M.vectors(spark, sf).filter("id % 20 = 0").select(F.col("id").alias("doc_id"))
+        asked = _docs(spark, sf).join(ids, "doc_id").select(F.col("doc_id").alias("query_id"), words.alias("query"))
+        return lexical.keyword_batch(M.corpus(spark, sf, "block"), asked, n, digits=9).select("query_id", F.col("note_id").alias("id"), F.col("rank").alias("keyword_rank"))
+
+    def near():
+        return _near(spark, sf, n).select("query_id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.col("rank").alias("vector_rank"))
+
+    return io.stored(spark, ("keyword arm", n), files, keyword), io.stored(spark, ("vector arm", n), files, near)
 
 
 _RRF = "round(coalesce(1.0::DOUBLE / (60 + keyword_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0), 9)"
 _WEIGHTED = "round(coalesce(0.7::DOUBLE / keyword_rank, 0) + coalesce(0.3::DOUBLE / vector_rank, 0), 9)"
+_BY = ["query_id"]
 
 
 def _fused(spark, sf, method):
     kw, near = _arms(spark, sf)
-    return fuse.fuse(kw, near, F.round(method(F.col("keyword_rank"), F.col("vector_rank")), 9))
+    return fuse.fuse(kw, near, F.round(method(F.col("keyword_rank"), F.col("vector_rank")), 9), _BY)
 
 
 def _fuse_sql(score: str) -> str:
-    return f"WITH {ARMS} SELECT id, keyword_rank, vector_rank, {score} AS fused_score, row_number() OVER (ORDER BY {score} DESC, id) AS fused_rank FROM both_arms"
+    return f"WITH {ARMS} SELECT query_id, id, keyword_rank, vector_rank, {score} AS fused_score, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, id) AS fused_rank FROM both_arms"
 
 
 @query(_fuse_sql(_RRF))
@@ -292,26 +356,52 @@ def fuse_weighted(spark, sf):
     return _fused(spark, sf, fuse.weighted)
 
 
-@query(f"WITH {ARMS}, f AS (SELECT id, {_WEIGHTED} AS s, CASE WHEN keyword_rank IS NULL THEN 'vector_only' WHEN vector_rank IS NULL THEN 'keyword_only' ELSE 'both' END AS arm FROM both_arms) SELECT arm, count(*) AS n FROM (SELECT arm, row_number() OVER (ORDER BY s DESC, id) AS r FROM f) WHERE r <= {K} GROUP BY arm")
+@query(f"WITH {ARMS}, f AS (SELECT query_id, {_WEIGHTED} AS s, id, CASE WHEN keyword_rank IS NULL THEN 'vector_only' WHEN vector_rank IS NULL THEN 'keyword_only' ELSE 'both' END AS arm FROM both_arms) SELECT query_id, arm, count(*) AS n FROM (SELECT query_id, arm, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM f) WHERE r <= {K} GROUP BY query_id, arm")
 def hybrid_unique_hits(spark, sf):
     f = _fused(spark, sf, fuse.weighted).filter(F.col("fused_rank") <= K)
-    return f.groupBy(fuse.arm(F.col("keyword_rank"), F.col("vector_rank")).alias("arm")).agg(F.count("*").alias("n"))
+    return f.groupBy("query_id", fuse.arm(F.col("keyword_rank"), F.col("vector_rank")).alias("arm")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {ARMS}, f AS (SELECT id, row_number() OVER (ORDER BY {_WEIGHTED} DESC, id) AS fused_rank FROM both_arms) SELECT id, fused_rank, final_rank FROM (SELECT id, fused_rank, row_number() OVER (ORDER BY fused_rank) AS final_rank FROM f WHERE id % 7 <> 0) WHERE final_rank <= {K}")
+@query(f"WITH {ARMS}, f AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {_WEIGHTED} DESC, id) AS fused_rank FROM both_arms) SELECT query_id, id, fused_rank, final_rank FROM (SELECT query_id, id, fused_rank, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS final_rank FROM f WHERE id IN (SELECT 'n' || doc_id FROM documents WHERE lang <> 'fr')) WHERE final_rank <= {K}")
 def live_topk(spark, sf):
-    live = M.vectors(spark, sf).filter("id % 7 <> 0").select("id")
-    return fuse.live_top(_fused(spark, sf, fuse.weighted), live, K).select("id", "fused_rank", "final_rank")
+    """French notes were deleted: they use up candidates, but no results."""
+    live = _docs(spark, sf).filter("lang <> 'fr'").select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("id"))
+    return fuse.live_top(_fused(spark, sf, fuse.weighted), live, K, _BY).select("query_id", "id", "fused_rank", "final_rank")
+
+
+@query(f"WITH {ARMS} SELECT query_id, count(DISTINCT id) AS candidates FROM both_arms GROUP BY query_id")
+def candidate_counts(spark, sf):
+    return fuse.candidate_count(*_arms(spark, sf), _BY)
+
+
+def _mode_sql(mode: str, rank: str) -> str:
+    return f"SELECT '{mode}' AS mode, query_id, id, round(1.0::DOUBLE / {rank}, 9) AS score FROM both_arms WHERE {rank} <= {K}"
 
 
-@query(f"WITH {ARMS}, p AS (SELECT unnest([1, 5, 10, 30, 60, 100, 200]) AS k), f AS (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY round(coalesce(1.0::DOUBLE / (k + keyword_rank), 0) + coalesce(1.0::DOUBLE / (k + vector_rank), 0), 9) DESC, id) AS r FROM both_arms, p) SELECT k, sum(id) AS id_sum, count(*) AS n FROM f WHERE r <= {K} GROUP BY k")
+@query(f"WITH {ARMS} {_mode_sql('keyword', 'keyword_rank')} UNION ALL {_mode_sql('vector', 'vector_rank')}")
+def single_mode_ranks(spark, sf):
+    parts = [df.filter(F.col(f"{m}_rank") <= K).select(F.lit(m).alias("mode"), "query_id", "id", F.round(fuse.by_mode(m, F.col(f"{m}_rank"), F.col(f"{m}_rank")), 9).alias("score")) for m, df in zip(("keyword", "vector"), _arms(spark, sf), strict=True)]
+    return parts[0].unionByName(parts[1])
+
+
+_SWEEP = [("rrf", k, 0.0, 0.0) for k in (1, 5, 10, 30, 60, 100, 200)] + [("weighted", 0, w, round(1 - w, 1)) for w in (0.5, 0.6, 0.7, 0.8, 0.9)]
+_SWEEP_SQL = ", ".join(f"('{m}', {k}, {a}::DOUBLE, {b}::DOUBLE)" for m, k, a, b in _SWEEP)
+
+
+@query(f"""WITH {ARMS}, p(method, k, a, b) AS (VALUES {_SWEEP_SQL}), f AS (SELECT method, k, a, query_id, id, row_number() OVER (PARTITION BY method, k, a, query_id ORDER BY round(CASE method WHEN 'rrf'
+    THEN coalesce(1.0::DOUBLE / (k + keyword_rank), 0) + coalesce(1.0::DOUBLE / (k + vector_rank), 0) ELSE coalesce(a / keyword_rank, 0) + coalesce(b / vector_rank, 0) END, 9) DESC, id) AS r FROM both_arms, p)
+    SELECT method, k, a AS keyword_weight, sum(CASE WHEN id = 'n' || query_id THEN 1.0::DOUBLE / r ELSE 0 END) / count(DISTINCT query_id) AS mrr, count(*) AS n FROM f WHERE r <= {K} GROUP BY method, k, a""")
 def fusion_sweep(spark, sf):
+    """Both methods over their parameters in one job; the mean reciprocal rank of the note that each query is taken from."""
     kw, near = _arms(spark, sf)
-    params = spark.createDataFrame([(k,) for k in (1, 5, 10, 30, 60, 100, 200)], "k int")
+    params = spark.createDataFrame(_SWEEP, "method string, k int, a double, b double")  # a dozen rows
     part = lambda r: F.coalesce(F.lit(1.0) / (F.col("k") + F.col(r)), F.lit(0.0))
-    f = kw.join(near, "id", "full").crossJoin(F.broadcast(params)).withColumn("s", F.round(part("keyword_rank") + part("vector_rank"), 9))
-    top = f.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("s"), "id"))).filter(F.col("r") <= K)
-    return top.groupBy("k").agg(F.sum("id").alias("id_sum"), F.count("*").alias("n"))
+    weight = lambda w, r: F.coalesce(F.col(w) / F.col(r), F.lit(0.0))
+    score = F.when(F.col("method") == "rrf", part("keyword_rank") + part("vector_rank")).otherwise(weight("a", "keyword_rank") + weight("b", "vector_rank"))
+    f = kw.join(near, ["query_id", "id"], "full").crossJoin(F.broadcast(params)).withColumn("s", F.round(score, 9))
+    top = f.withColumn("r", F.row_number().over(Window.partitionBy("method", "k", "a", "query_id").orderBy(F.desc("s"), "id"))).filter(F.col("r") <= K)
+    own = F.when(F.col("id") == F.concat(F.lit("n"), F.col("query_id").cast("string")), F.lit(1.0) / F.col("r")).otherwise(0.0)
+    return top.groupBy("method", "k", F.col("a").alias("keyword_weight")).agg((F.sum(own) / F.countDistinct("query_id")).alias("mrr"), F.count("*").alias("n"))
 
 
 # Presentation
@@ -324,24 +414,50 @@ def note_rows(spark, sf):
     return present.note_rows(hits).select("note_id", "chunk_id", "rank")
 
 
-@query("""WITH r AS (SELECT doc_id AS note_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE doc_id % 50 = 0 QUALIFY rank <= 10),
-    x AS (SELECT doc_id AS note_id, n_chars FROM documents WHERE source = 'src1' AND doc_id NOT IN (SELECT note_id FROM r)),
-    a AS (SELECT note_id, (SELECT max(rank) FROM r) + row_number() OVER (ORDER BY n_chars DESC, note_id) AS rank FROM x)
+@query(f"""WITH RECURSIVE {KEYWORD}, r AS (SELECT note_id, place AS rank FROM (SELECT note_id, row_number() OVER (ORDER BY rank) AS place FROM (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY rank) AS n FROM keyword WHERE rank <= 200) WHERE n = 1) WHERE place <= 30),
+    x AS (SELECT 'n' || doc_id AS note_id, n_chars FROM documents WHERE contains(strip_accents(lower(source || ' ' || lang)), 'src1') AND 'n' || doc_id NOT IN (SELECT note_id FROM r)),
+    a AS (SELECT note_id, (SELECT coalesce(max(rank), 0) FROM r) + row_number() OVER (ORDER BY n_chars DESC, note_id) AS rank FROM x)
     SELECT note_id, rank, by_title FROM (SELECT note_id, rank, false AS by_title FROM r UNION ALL SELECT note_id, rank, true FROM a) WHERE rank <= 50""")
 def lexical_append(spark, sf):
-    d = _docs(spark, sf)
-    rows = d.filter("doc_id % 50 = 0").orderBy("doc_id").limit(10).select(F.col("doc_id").alias("note_id"), F.row_number().over(Window.orderBy("doc_id")).alias("rank"))
-    lex = d.filter("source = 'src1'").select(F.col("doc_id").alias("note_id"), F.col("n_chars").alias("updated_at"))
-    return present.append_lexical(rows, lex)
+    """Thirty rows of the search, then notes whose title or tag matches."""
+    hits = lexical.keyword_search(M.corpus(spark, sf), QUERY, 200).withColumnRenamed("rank", "fused_rank")
+    rows = present.note_rows(hits, 30)
+    hay = T.haystack(F.concat_ws(" ", "source", "lang"))
+    lex = _docs(spark, sf).filter(lexical.matches(hay, groups("src1"))).select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("note_id"), F.col("n_chars").alias("updated_at"))
+    return present.append_lexical(rows.select("note_id", "rank"), lex)
 
 
-@query("SELECT query_id, n > 0 AND NOT hit AS notice FROM (SELECT doc_id % 10 AS query_id, count(*) AS n, bool_or(contains(text, 'idiot')) AS hit FROM documents GROUP BY 1)")
+@query(f"WITH {ARMS}, f AS (SELECT query_id, keyword_rank, row_number() OVER (PARTITION BY query_id ORDER BY {_WEIGHTED} DESC, id) AS r FROM both_arms WHERE vector_rank IS NOT NULL) SELECT query_id, NOT bool_or(keyword_rank IS NOT NULL) AS notice FROM f WHERE r <= 5 GROUP BY query_id")
 def semantic_notice(spark, sf):
-    d = _docs(spark, sf).select((F.col("doc_id") % 10).alias("query_id"), F.contains("text", F.lit("idiot")).alias("has_hit"))
-    return d.groupBy("query_id").agg(((F.count("*") > 0) & ~F.bool_or("has_hit")).alias("notice"))
-
-
-@query()
+    """Over the first five results that the vector arm knows: whether none of them has a literal hit."""
+    near = _fused(spark, sf, fuse.weighted).filter("vector_rank is not null").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("fused_rank"))).filter("r <= 5")
+    return present.semantic_only(near.withColumn("has_hit", F.col("keyword_rank").isNotNull()), ["query_id"])
+
+
+_SPANS = f"""top AS (SELECT * FROM keyword WHERE rank <= 200), o AS (SELECT chunk_id, s, s + len AS e FROM (
+        SELECT chunk_id, t, len, i, sum(length(part)) OVER (PARTITION BY chunk_id, t ORDER BY i) + (i - 1) * len AS s, count(*) OVER (PARTITION BY chunk_id, t) AS n FROM (
+            SELECT chunk_id, t, length(t) AS len, unnest(string_split(hay, t)) AS part, generate_subscripts(string_split(hay, t), 1) AS i FROM top, (SELECT unnest([{", ".join(f"'{t}'" for t in TERMS)}]) AS t))) WHERE i < n),
+    islands AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY chunk_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, max(e) OVER (PARTITION BY chunk_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT * FROM o))),
+    spans AS (SELECT chunk_id, min(s)::INT AS s, max(e)::INT AS e FROM islands GROUP BY chunk_id, g)"""
+_FLATTEN = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+', ' ', 'g')"
+_EX = "[。！？；，….!?;,\n]"
+
+
+@query(f"""WITH RECURSIVE {KEYWORD}, {_SPANS},
+    x AS (SELECT chunk_id, text, regexp_replace({_FLATTEN.format('text')}, ' $', '') AS flat FROM top), y AS (SELECT *, length(flat) AS n FROM x),
+    moved AS (SELECT y.chunk_id, least(length({_FLATTEN.format('substr(text, 1, s)')}), n) AS s, least(length({_FLATTEN.format('substr(text, 1, e)')}), n) AS e FROM y JOIN spans USING (chunk_id)),
+    j AS (SELECT chunk_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY chunk_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, max(e) OVER (PARTITION BY chunk_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM moved WHERE e > s)) GROUP BY chunk_id, g),
+    h AS (SELECT chunk_id, list({{'s': s, 'e': e}} ORDER BY s) AS hits FROM j GROUP BY chunk_id),
+    w1 AS (SELECT chunk_id, flat, n, coalesce(hits, []) AS hits, greatest(0, coalesce(hits[1].s, 0) - 14) AS lo FROM y LEFT JOIN h USING (chunk_id)), w2 AS (SELECT *, least(n, lo + 44) AS hi FROM w1),
+    w3 AS (SELECT * REPLACE (CASE WHEN hi = n THEN greatest(0, n - 44) ELSE lo END AS lo) FROM w2),
+    w4 AS (SELECT *, CASE WHEN regexp_matches(ahead, '{_EX}') THEN length(regexp_extract(ahead, '^([^。！？；，….!?;,\n]*)', 1)) + 1 ELSE 0 END AS p FROM (SELECT *, substr(flat, lo + 1, least(8, n - 1 - lo) + 1) AS ahead FROM w3)),
+    w5 AS (SELECT * REPLACE (CASE WHEN lo > 0 AND p > 0 THEN least(n - 1, lo + p) ELSE lo END AS lo) FROM w4),
+    w6 AS (SELECT *, greatest(0, hi - 8) AS low FROM w5), w7 AS (SELECT *, length(regexp_extract(substr(flat, low + 1, hi - low), '(?s)^(.*{_EX})', 1)) AS q FROM w6),
+    w8 AS (SELECT * REPLACE (CASE WHEN hi < n AND q > 0 THEN least(low + q, lo + 44) ELSE hi END AS hi) FROM w7),
+    w9 AS (SELECT * REPLACE (coalesce([x.s FOR x IN hits IF x.s < lo AND lo < x.e][1], lo) AS lo, coalesce([x.e FOR x IN hits IF x.s < hi AND hi < x.e][1], hi) AS hi) FROM w8), w10 AS (SELECT * REPLACE (least(n, greatest(hi, lo + 1)) AS hi) FROM w9),
+    z AS (SELECT *, CASE WHEN lo > 0 THEN 1 ELSE 0 END - lo AS shift FROM w10)
+    SELECT chunk_id, CASE WHEN n <= 44 THEN flat ELSE CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(flat, lo + 1, hi - lo) || CASE WHEN hi < n THEN '…' ELSE '' END END AS excerpt,
+        array_to_string(list_slice(CASE WHEN n <= 44 THEN [x.s || '-' || x.e FOR x IN hits] ELSE [(x.s + shift) || '-' || (x.e + shift) FOR x IN hits IF x.s >= lo AND x.e <= hi] END, 1, 6), ',') AS highlights FROM z""")
 def excerpts(spark, sf):
     hits = lexical.keyword_search(M.corpus(spark, sf), QUERY, 200)
     spans = hits.withColumn("spans", lexical.match_ranges(F.col("hay"), list(TERMS)))
@@ -377,7 +493,14 @@ def kind_counts(spark, sf):
     return notes.kind_counts(M.conversation_blocks(spark, sf))
 
 
-@query()
+_KINDS = "kinds AS (SELECT note_id, nullif(concat_ws(' · ', CASE WHEN a > 0 THEN a || ' 段文字' END, CASE WHEN c > 0 THEN c || ' 段录音' END, CASE WHEN f > 0 THEN f || ' 个文档' END), '') AS kinds FROM (SELECT note_id, count(*) FILTER (kind = 'text' AND t <> '') AS a, count(*) FILTER (kind = 'audio') AS c, count(*) FILTER (kind = 'file') AS f FROM b GROUP BY note_id))"
+# Markdown of conversation texts, as of documents above.
+_CMD = _MD.replace("doc_id", "block_id").replace("FROM documents", "FROM (SELECT block_id, coalesce(raw, '') AS text FROM b WHERE kind = 'text')")
+
+
+@query(rf"""WITH b AS ({_CB}), {_KINDS}, {_CMD}, f AS (SELECT b.note_id, b.ord, {TRIM.format("list_filter(string_split(plain, chr(10)), lambda x: x <> '')[1]")} AS line FROM b JOIN md USING (block_id)),
+    g AS (SELECT note_id, arg_min(line, ord) AS line FROM f WHERE line <> '' GROUP BY note_id)
+    SELECT note_id, coalesce(CASE WHEN length(note_id) % 2 = 0 THEN 'about ' || note_id END, CASE WHEN length(g.line) > 80 THEN substr(g.line, 1, 80) || '…' ELSE g.line END, kinds) AS line FROM kinds LEFT JOIN g USING (note_id)""")
 def secondary_line(spark, sf):
     b = M.conversation_blocks(spark, sf)
     one = b.select("note_id").distinct().select("note_id", F.when(F.length("note_id") % 2 == 0, F.concat(F.lit(" about "), F.col("note_id"))).alias("one_liner"))
@@ -402,11 +525,13 @@ def empty_sweep(spark, sf):
     return notes.empty_notes(b)
 
 
-@query()
+@query(rf"""WITH b AS ({_CB}), {_CMD}, s AS (SELECT b.note_id, b.ord, CASE b.kind WHEN 'text' THEN CASE WHEN plain <> '' THEN '【文字】' || chr(10) || plain END WHEN 'audio' THEN CASE WHEN t = '' THEN '【录音转写】(无转写文字)' ELSE '【录音转写】' || chr(10) || t END
+    ELSE '【文档:system.txt · txt】' || chr(10) || CASE WHEN t = '' THEN '(未提取到文字)' WHEN length(t) > 8000 THEN substr(t, 1, 8000) || chr(10) || '…(文档过长,已截断)' ELSE t END END AS x FROM b LEFT JOIN md USING (block_id))
+    SELECT note_id, sha256(whole) AS text_hash, length(whole) AS n FROM (SELECT note_id, concat_ws(chr(10) || chr(10), '【标题】' || note_id, string_agg(x, chr(10) || chr(10) ORDER BY ord)) AS whole FROM s GROUP BY note_id)""")
 def aggregate_text(spark, sf):
     b = M.conversation_blocks(spark, sf)
     out = notes.aggregate_text(b, b.select("note_id", F.col("note_id").alias("title")).distinct())
-    return out.select("note_id", F.sha2("text", 256).alias("text_hash"), F.length("text").alias("n"))
+    return out.select("note_id", F.sha2("text", 256).alias("text_hash"), F.length("text").cast("long").alias("n"))
 
 
 def _export_notes(b):
@@ -450,11 +575,14 @@ def folder_counts(spark, sf):
     return n.join(c, n.n_nationkey == c.c_nationkey, "left").groupBy(F.col("n_name").alias("folder")).agg(F.count("c_custkey").alias("cards"))
 
 
-@query(f"WITH {TEXTS} SELECT note_id, substr(text, 1, 60) AS preview FROM texts")
+@query(f"""WITH {TEXTS} SELECT 'n' || d.doc_id AS note_id, d.source AS title, coalesce(CASE WHEN length(t.text) > 60 THEN substr(t.text, 1, 60) || '…' ELSE nullif(t.text, '') END, '（无可检索文本）') AS preview,
+    row_number() OVER (ORDER BY d.n_chars DESC, 'n' || d.doc_id) AS place FROM documents d LEFT JOIN texts t ON t.note_id = 'n' || d.doc_id QUALIFY place <= 500""")
 def note_summaries(spark, sf):
+    """The 500 latest of the list, with their places."""
     t = M.texts(M.document_blocks(spark, sf))
     n = _docs(spark, sf).select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("note_id"), F.col("source").alias("title"), F.col("n_chars").alias("updated_at"))
-    return notes.note_summaries(t, n).select("note_id", "preview")
+    top = notes.note_summaries(t, n).limit(500)
+    return top.select("note_id", "title", "preview", F.row_number().over(Window.orderBy(F.desc("updated_at"), "note_id")).alias("place"))
 
 
 # Derived data
@@ -484,11 +612,15 @@ def stale_guard(spark, sf):
     return derive.guard(stored.withColumn("block_id", F.col("chunk_id")), current).select("chunk_id", "decision")
 
 
-@query(f"WITH {_STORED}, o AS (SELECT DISTINCT note_id FROM st WHERE note_id NOT IN (SELECT note_id FROM cur)) SELECT (SELECT count(DISTINCT note_id) FROM cur) AS live_notes, (SELECT count(*) FROM o) AS orphan_notes, (SELECT count(*) FROM o) = 0 AS is_consistent, true AS is_safe")
+@query(f"""WITH {_STORED}, o AS (SELECT DISTINCT note_id FROM st WHERE note_id NOT IN (SELECT note_id FROM cur)), n AS (SELECT (SELECT count(DISTINCT note_id) FROM cur) AS live, (SELECT count(*) FROM o) AS gone, (SELECT count(DISTINCT note_id) FROM st) AS stored)
+    SELECT library, live_notes, orphan_notes, orphan_notes = 0 AS is_consistent, NOT (live_notes = 0 AND orphan_notes > 0) AS is_safe FROM (
+        SELECT 'whole' AS library, live AS live_notes, gone AS orphan_notes FROM n UNION ALL SELECT 'emptied', 0, stored FROM n UNION ALL SELECT 'nothing stored', live, 0 FROM n)""")
 def consistency(spark, sf):
+    """Of the library as it is, of one that lost all notes (not safe to reconcile), and of one without derived data."""
     cur, stored = _stored(spark, sf)
     live = cur.select("note_id").distinct()
-    return derive.consistency(live, derive.orphans(live, embeddings=stored, index=stored.limit(0)))
+    of = lambda name, live, stored: derive.consistency(live, derive.orphans(live, embeddings=stored, index=stored.limit(0))).withColumn("library", F.lit(name))
+    return of("whole", live, stored).unionByName(of("emptied", live.limit(0), stored)).unionByName(of("nothing stored", live, stored.limit(0)))
 
 
 @query(f"WITH {_STORED}, n AS (SELECT chunk_id, 'e2' AS v FROM cur WHERE ends_with(chunk_id, '3')) SELECT coalesce(n.chunk_id, st.chunk_id) AS chunk_id, coalesce(n.v, st.v) AS embedding_version FROM st FULL JOIN n ON n.chunk_id = st.chunk_id")
@@ -581,9 +713,12 @@ def eval_groups(spark, sf):
     return _rounded(evaluate.metrics(evaluate.in_groups(_outcomes(spark, sf)), ["group"]))
 
 
-@query(f"WITH {RESULTS} SELECT case_id, is_positive FROM outcomes WHERE CASE WHEN is_positive THEN NOT hit_at5 ELSE NOT returned_none END")
+@query(f"""WITH {RESULTS}, f AS (SELECT case_id, is_positive FROM outcomes WHERE CASE WHEN is_positive THEN NOT hit_at5 ELSE NOT returned_none END)
+    SELECT f.case_id, f.is_positive, (SELECT min(rank) FROM results r JOIN cases c USING (case_id) WHERE r.case_id = f.case_id AND r.note_id = c.expected[1]) AS keyword_rank, NULL::INT AS vector_rank,
+        (SELECT min(rank) FROM results r JOIN cases c USING (case_id) WHERE r.case_id = f.case_id AND list_contains(c.expected, r.note_id)) AS hybrid_rank FROM f""")
 def eval_failures(spark, sf):
-    return evaluate.failures(_outcomes(spark, sf)).select("case_id", "is_positive")
+    r = _case_results(spark, sf).withColumns({"keyword_rank": F.col("rank"), "vector_rank": F.lit(None).cast("int")})
+    return evaluate.failure_ranks(evaluate.failures(_outcomes(spark, sf)), M.cases(spark, sf), r).select("case_id", "is_positive", "keyword_rank", "vector_rank", "hybrid_rank")
 
 
 @query("SELECT event_type, list_sort(list(value))[(count(*) // 2)::INT + 1] AS p50, list_sort(list(value))[least(count(*) - 1, floor(count(*) * 0.95::DOUBLE))::INT + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type")
@@ -591,12 +726,46 @@ def latency_percentiles(spark, sf):
     return evaluate.group_percentiles(M.read(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
-@query()
-def metric_deltas(spark, sf):
+def _arm_metrics(spark, sf):
+    """Metrics with latencies: of all cases, and of those in scope, against the latencies of two kinds of events."""
     o = _outcomes(spark, sf)
-    m = evaluate.metrics(o).select("recall_at1", "recall_at3", "recall_at5", "mrr")
-    b = evaluate.metrics(o.filter("scope = 'in_scope'")).select("recall_at1", "recall_at3", "recall_at5", "mrr")
-    return _rounded(evaluate.metric_deltas(m, b))
+    p = evaluate.group_percentiles(M.read(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    of = lambda o, kind: _rounded(evaluate.metrics(o).select("recall_at1", "recall_at3", "recall_at5", "mrr")).join(F.broadcast(p.filter(F.col("event_type") == kind).select("p50", "p95")))
+    return of(o, "view"), of(o.filter("scope = 'in_scope'"), "click")
+
+
+_LAT = "lat AS (SELECT event_type, list_sort(list(value))[(count(*) // 2)::INT + 1] AS p50, list_sort(list(value))[least(count(*) - 1, floor(count(*) * 0.95::DOUBLE))::INT + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type)"
+_DELTAS = f"""{RESULTS}, {_LAT}, cm AS (SELECT {METRICS} FROM outcomes), bm AS (SELECT {METRICS} FROM outcomes WHERE scope = 'in_scope'),
+    d AS (SELECT i, metric, label, cur AS current, base AS baseline, cur - base AS delta, low, CASE WHEN abs(cur - base) < 1e-9 THEN 'unchanged' WHEN (cur > base) <> low THEN 'better' ELSE 'worse' END AS direction FROM (
+        SELECT 1 AS i, 'recall_at1' AS metric, 'Recall@1' AS label, cm.recall_at1::DOUBLE AS cur, bm.recall_at1::DOUBLE AS base, false AS low FROM cm, bm UNION ALL SELECT 2, 'recall_at3', 'Recall@3', cm.recall_at3, bm.recall_at3, false FROM cm, bm UNION ALL SELECT 3, 'recall_at5', 'Recall@5', cm.recall_at5, bm.recall_at5, false FROM cm, bm UNION ALL SELECT 4, 'mrr', 'MRR', cm.mrr, bm.mrr, false FROM cm, bm
+        UNION ALL SELECT 5, 'p50', 'P50', a.p50, b.p50, true FROM lat a, lat b WHERE a.event_type = 'view' AND b.event_type = 'click' UNION ALL SELECT 6, 'p95', 'P95', a.p95, b.p95, true FROM lat a, lat b WHERE a.event_type = 'view' AND b.event_type = 'click'))"""
+
+
+@query(f"WITH {_DELTAS} SELECT metric, round(current, 6) AS current, round(baseline, 6) AS baseline, round(delta, 6) AS delta, direction FROM d")
+def metric_deltas(spark, sf):
+    return _rounded(evaluate.metric_deltas(*_arm_metrics(spark, sf)))
+
+
+@query(f"""WITH {_DELTAS}, t AS (SELECT coalesce(bool_or(NOT low AND direction = 'better'), false) AS up, coalesce(bool_or(NOT low AND direction = 'worse'), false) AS down, coalesce(bool_or(low AND direction = 'worse'), false) AS slow,
+        coalesce(string_agg(label || ' ' || CASE WHEN delta > 0 THEN '+' WHEN delta < 0 THEN '−' ELSE '' END || CASE WHEN low THEN round(abs(delta))::BIGINT || ' ms' ELSE printf('%.3f', abs(delta)) END, ' · ' ORDER BY i) FILTER (direction <> 'unchanged'), '') AS detail FROM d)
+    SELECT CASE WHEN up OR down OR slow THEN concat_ws('，', CASE WHEN up AND NOT down THEN '质量提升' WHEN down AND NOT up THEN '质量下降' WHEN up THEN '质量有涨有跌' END, CASE WHEN slow THEN '延迟回退' ELSE '延迟未回退' END) || '。' || detail || '。是否上线由 Release Gate 判定。' ELSE '与基线基本一致，没有可观察的差异。' END AS summary FROM t""")
+def tradeoff_summary(spark, sf):
+    return evaluate.tradeoff(evaluate.metric_deltas(*_arm_metrics(spark, sf)))
+
+
+@query(f"""WITH {_DELTAS} SELECT '| arms | Recall@1 | Recall@3 | Recall@5 | MRR | P50 | P95 | 建索引 |' || chr(10) || '|---|---|---|---|---|---|---|---|' || chr(10)
+    || (SELECT printf('| all | %.3f | %.3f | %.3f | %.3f | %.2f ms | %.2f ms | %.0f ms |', cm.recall_at1::DOUBLE, cm.recall_at3::DOUBLE, cm.recall_at5::DOUBLE, cm.mrr::DOUBLE, p50, p95, 12.0::DOUBLE) FROM cm, lat WHERE event_type = 'view') || chr(10)
+    || (SELECT printf('| in scope | %.3f | %.3f | %.3f | %.3f | %.2f ms | %.2f ms | %.0f ms |', bm.recall_at1::DOUBLE, bm.recall_at3::DOUBLE, bm.recall_at5::DOUBLE, bm.mrr::DOUBLE, p50, p95, 12.0::DOUBLE) FROM bm, lat WHERE event_type = 'click') AS report""")
+def experiment_report(spark, sf):
+    arm = lambda df, i, name: df.select(F.lit(i).alias("place"), F.lit(name).alias("arm"), "*", F.lit(12.0).alias("build_ms"))
+    a, b = _arm_metrics(spark, sf)
+    return evaluate.arms_table(arm(a, 1, "all").unionByName(arm(b, 2, "in scope")), "arms")
+
+
+@query(f"WITH {RESULTS} SELECT CASE WHEN case_id::BIGINT % 5 = 0 THEN 'exact_fact' ELSE 'paraphrase' END AS category, count(*) AS cases, count(*) FILTER (hit_at1) AS hits_at1, count(*) FILTER (hit_at3) AS hits_at3, count(*) FILTER (hit_at5) AS hits_at5, round(avg(hit_at1::INT), 6) AS recall_at1 FROM outcomes WHERE is_positive GROUP BY 1")
+def eval_category(spark, sf):
+    kinds = M.read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("case_id"), F.when(F.col("item_id") % 5 == 0, "exact_fact").otherwise("paraphrase").alias("category"))
+    return _rounded(evaluate.by_category(_outcomes(spark, sf), kinds))
 
 
 _SIGNALS = f"WITH {NEIGHBOURS}, r AS (SELECT *, round(similarity, 9) AS sim FROM ranked WHERE rank <= 10), s AS (SELECT query_id, max(sim) FILTER (rank = 1) AS top1, max(sim) FILTER (rank = 1) - max(sim) FILTER (rank = 2) AS margin, max(sim) FILTER (rank = 1) / avg(sim) FILTER (rank > 1) AS ratio, bool_or(id % 50 = 0) AS has_keyword, count(*) AS n FROM r GROUP BY query_id)"
@@ -617,19 +786,28 @@ def abstention_judge(spark, sf):
     return _signals(spark, sf).select("query_id", evaluate.abstain(floor=0.5, min_margin=0.2, floor_without_keyword=0.7).alias("confidence"))
 
 
-@query("""WITH s AS (SELECT value AS top1, event_id % 3 = 0 AS is_positive FROM events WHERE value IS NOT NULL)
+@query("""WITH s AS (SELECT value + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS top1, event_id % 3 = 0 AS is_positive FROM events WHERE value IS NOT NULL)
     SELECT min(top1) FILTER (is_positive) AS positive_min, max(top1) FILTER (NOT is_positive) AS negative_max, list_sort(list(top1) FILTER (is_positive))[(count(*) FILTER (is_positive) // 2)::INT + 1] AS positive_median,
-    list_sort(list(top1) FILTER (NOT is_positive))[(count(*) FILTER (NOT is_positive) // 2)::INT + 1] AS negative_median, count(*) FILTER (NOT is_positive AND top1 < (SELECT min(top1) FROM s WHERE is_positive)) AS negatives_below FROM s""")
+    list_sort(list(top1) FILTER (NOT is_positive))[(count(*) FILTER (NOT is_positive) // 2)::INT + 1] AS negative_median, count(*) FILTER (NOT is_positive AND top1 < (SELECT min(top1) FROM s WHERE is_positive)) AS negatives_below,
+    round(min(top1) FILTER (is_positive) - max(top1) FILTER (NOT is_positive), 6) AS gap, round(coalesce(min(top1) FILTER (is_positive) - max(top1) FILTER (NOT is_positive AND top1 < (SELECT min(top1) FROM s WHERE is_positive)), 0.0), 6) AS safety_margin FROM s""")
 def abstention_calibration(spark, sf):
-    s = M.read(spark, sf, "events").filter("value is not null").select(F.col("value").alias("top1"), (F.col("event_id") % 3 == 0).alias("is_positive"))
-    return evaluate.calibration(s).drop("gap")
-
-
-@query()
+    positive = F.col("event_id") % 3 == 0
+    s = M.read(spark, sf, "events").filter("value is not null").select((F.col("value") + F.when(positive, 1).otherwise(0)).alias("top1"), positive.alias("is_positive"))
+    return _rounded(evaluate.calibration(s))
+
+
+_M64 = "18446744073709551616::UHUGEINT"
+# The generator's draw t, and the differences of the positive cases in order of their ids.
+@query(f"""WITH {RESULTS}, x AS (SELECT row_number() OVER (ORDER BY case_id) - 1 AS i, reciprocal_rank - CASE WHEN case_id::INT % 2 = 0 THEN reciprocal_rank / 2 ELSE reciprocal_rank END AS d FROM outcomes WHERE is_positive),
+    n AS (SELECT count(*) AS n FROM x), t AS (SELECT b, (b * n + j + 1)::UHUGEINT AS t, n FROM n, (SELECT unnest(range(2000)) AS b), (SELECT unnest(range(100000)) AS j) WHERE j < n),
+    z0 AS (SELECT b, n, (1592594996::UHUGEINT + t * 11400714819323198485::UHUGEINT) % {_M64} AS z FROM t),
+    z1 AS (SELECT b, n, (xor(z, z >> 30) % {_M64} * 13787848793156543929::UHUGEINT) % {_M64} AS z FROM z0), z2 AS (SELECT b, n, (xor(z, z >> 27) % {_M64} * 10723151780598845931::UHUGEINT) % {_M64} AS z FROM z1),
+    m AS (SELECT b, avg(d) AS m FROM (SELECT b, (xor(z, z >> 31) % n)::BIGINT AS i FROM z2) JOIN x USING (i) GROUP BY b), r AS (SELECT list_sort(list(m)) AS ms FROM m)
+    SELECT round((SELECT avg(d) FROM x), 6) AS delta, round(ms[51], 6) AS lower, round(ms[1951], 6) AS upper, n AS pairs FROM r, n WHERE n >= 8""")
 def bootstrap_ci(spark, sf):
     o = _outcomes(spark, sf)
     base = o.withColumn("reciprocal_rank", F.when(F.col("case_id").cast("int") % 2 == 0, F.col("reciprocal_rank") / 2).otherwise(F.col("reciprocal_rank")))
-    return _rounded(stats.bootstrap(o, base, "reciprocal_rank", None))
+    return _rounded(stats.bootstrap(o, base, "reciprocal_rank", None)).withColumn("pairs", F.col("pairs").cast("long"))
 
 
 @query("SELECT doc_id, CASE WHEN (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 10 IN (0, 4, 7) THEN 'holdout' ELSE 'development' END AS split FROM documents")
@@ -663,7 +841,7 @@ def dangling_cases(spark, sf):
     return evaluate.dangling(M.cases(spark, sf), even)
 
 
-@query("SELECT sha256(string_agg(sha256(item_id || '|' || text), '' ORDER BY item_id)) AS checksum FROM benchmark")
+@query("SELECT sha256(string_agg(d, '' ORDER BY b)) AS checksum FROM (SELECT substr(d, 1, 4) AS b, sha256(string_agg(d, '' ORDER BY d)) AS d FROM (SELECT sha256(item_id || '|' || text) AS d FROM benchmark) GROUP BY 1)")
 def dataset_checksum(spark, sf):
     return evaluate.checksum(M.read(spark, sf, "benchmark"), "item_id", "text")
 
@@ -699,21 +877,37 @@ def keyword_participation(spark, sf):
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 600 SECOND THEN 0 ELSE 1 END AS new, event_id FROM events),
-    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, count(*) AS edits, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY user_id, k""")
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id AS note_id, count(*) AS edits, min(ts) AS started, max(ts) + INTERVAL 600 SECOND AS flushed FROM s GROUP BY user_id, k""")
 def session_debounce(spark, sf):
-    e = M.read(spark, sf, "events").groupBy("user_id", F.session_window("ts", "600 seconds"))
-    return e.agg(F.count("*").alias("edits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("session_window")
+    return edits.debounce(M.read(spark, sf, "events").select(F.col("user_id").alias("note_id"), "ts"), "600 seconds")
 
 
-@query("SELECT user_id, event_type, min(event_id) AS first_event, count(*) - 1 AS repeats FROM events GROUP BY ALL")
+@query("SELECT DISTINCT user_id::VARCHAR AS note_id, event_type AS block_id, (event_id % 3)::INT AS chunk_index, md5(event_type) AS content_hash, 'e1' AS embedding_version FROM events")
 def job_dedup(spark, sf):
-    return M.read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_event"), (F.count("*") - 1).alias("repeats"))
+    jobs = M.read(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("note_id"), F.col("event_type").alias("block_id"), (F.col("event_id") % 3).cast("int").alias("chunk_index"), F.md5("event_type").alias("content_hash"), F.lit("e1").alias("embedding_version"), "ts", "event_id"
+    )
+    return edits.deduplicate(jobs).select("note_id", "block_id", "chunk_index", "content_hash", "embedding_version")
+
 
+def _last_sql(key: str, n: int) -> str:
+    return f"SELECT {key} AS key, row_number() OVER (PARTITION BY {key} ORDER BY epoch_us(ts) DESC, lpad(event_id::VARCHAR, 12, '0')) AS place, lpad(event_id::VARCHAR, 12, '0') AS payload FROM events QUALIFY place <= {n}"
 
-@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events QUALIFY place <= 20")
+
+def _last(spark, sf, key, n):
+    t = M.read(spark, sf, "events").select(F.col(key).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("payload"))
+    return edits.last_traces_by_batch(t, n).select("key", "place", "payload")
+
+
+@query(_last_sql("user_id", 20))
 def trace_last_n(spark, sf):
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return M.read(spark, sf, "events").select("user_id", "event_id", place.alias("place")).filter("place <= 20")
+    return _last(spark, sf, "user_id", 20)
+
+
+@query(_last_sql("event_type", 500))
+def latency_samples(spark, sf):
+    """The last 500 samples of each kind."""
+    return _last(spark, sf, "event_type", 500)
 
 
 @query("SELECT count(*) FILTER (event_type = 'view') AS views, count(*) AS total, count(DISTINCT user_id) AS users FROM events")
@@ -721,7 +915,9 @@ def volume_counts(spark, sf):
     return M.read(spark, sf, "events").agg(F.count(F.when(F.col("event_type") == "view", 1)).alias("views"), F.count("*").alias("total"), F.countDistinct("user_id").alias("users"))
 
 
-@query(None)
+@query("""WITH h AS (SELECT item_id, sha256('0|' || text) || sha256('1|' || text) AS h FROM benchmark),
+    r AS (SELECT item_id, [(('0x' || substr(h, 2 * i + 1, 2))::INT - 128) / 128.0::DOUBLE FOR i IN range(48)] AS v FROM h), n AS (SELECT item_id, v, sqrt(list_sum([x * x FOR x IN v])) AS n FROM r)
+    SELECT item_id, array_to_string([printf('%.6f', x / n + 1e-12) FOR x IN v], ',') AS vector FROM n""")
 def mock_embedding(spark, sf):
     v = vector.mock_vector(F.col("text"), 48)
-    return M.read(spark, sf, "benchmark").select("item_id", F.array_join(F.transform(v, lambda x: F.format_number(x, 6)), ",").alias("vector"))
+    return M.read(spark, sf, "benchmark").select("item_id", F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x + 1e-12)), ",").alias("vector"))
