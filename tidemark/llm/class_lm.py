@@ -25,13 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import parallelism, table
 from .words import coded_words, groups
 
 #: Words whose counts are sent to all tasks (a bound, whatever the corpus); the others are joined.
 HEAD = 1 << 17
 #: A word is a unit of its own from so many occurrences on, up to so many words; the classes go to all tasks.
-OWN_COUNT, OWN_UNITS = 8, 1 << 15
+OWN_COUNT, OWN_UNITS = 8, 1 << 13
 #: Units that the other words share.
 ENDING_UNITS = 512
 #: Sweeps of the clustering at most; it ends when one gains less than this share of the likelihood.
@@ -39,11 +39,13 @@ ROUNDS, LEAST_GAIN = 14, 1e-4
 #: Weight of the class unigram in a class transition, in counts.
 PRIOR = 4.0
 #: Different bigrams that a task holds before it sends them on.
-HELD = 2_000_000
+HELD = 1_000_000
+#: Neighbours that a task looks at at a time.
+LOOKED_AT = 500_000
 
 
 def class_number(units: int) -> int:
-    """More classes for more units: 27 where none is a word's own, 106 for 32,768 words."""
+    """More classes for more units: 27 where none is a word's own, 62 for 8,192 words."""
     return 16 + math.isqrt(units) // 2
 
 
@@ -120,6 +122,17 @@ def neighbours(bigrams: DataFrame) -> DataFrame:
     return both.groupBy("unit").agg(pick(True).alias("after"), pick(False).alias("before"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of :func:`neighbours` in slices of about ``LOOKED_AT`` neighbours."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + LOOKED_AT, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _contexts(column: pa.Array, of: np.ndarray, k: int) -> np.ndarray:
     """Counts (row, class) of the neighbours in a column of arrays of (unit, n)."""
     lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -182,7 +195,7 @@ def exchange(units: DataFrame, n_units: int, rounds: int = ROUNDS) -> tuple[np.n
 
         def count(batches: Iterator[pa.RecordBatch], of: np.ndarray = of) -> Iterator[pa.RecordBatch]:
             c = np.zeros((k + 1, k + 1))
-            for batch in batches:
+            for batch in _pieces(batches):
                 np.add.at(c, of[batch.column(0).to_numpy()], _contexts(batch.column(1), of, k + 1))
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(c.ravel()[at].astype(np.int64))], names=["at", "n"])
@@ -199,7 +212,7 @@ def exchange(units: DataFrame, n_units: int, rounds: int = ROUNDS) -> tuple[np.n
         last = likelihood
 
         def move(batches: Iterator[pa.RecordBatch], of: np.ndarray = of, c: np.ndarray = c, r: int = r) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _pieces(batches):
                 unit = batch.column(0).to_numpy()
                 moving = np.flatnonzero((unit < n_units) & ((unit.astype(np.int64) * 2654435761 >> 7) % 2 == r % 2))
                 some = batch.take(pa.array(moving))
@@ -264,7 +277,8 @@ def fit(counts: DataFrame, texts: DataFrame, head: int = HEAD) -> Model:
     words, head_n = pa.concat_arrays(top.column(0).chunks or [pa.array([], pa.string())]), top.column(1).to_numpy()
     own = words.slice(0, min(OWN_UNITS, int((head_n >= OWN_COUNT).sum())))
     n_units = len(own) + ENDING_UNITS
-    of, c = exchange(table(neighbours(unit_bigrams(texts, own))), n_units)
+    spread = max(parallelism(texts.sparkSession), n_units // 256)
+    of, c = exchange(table(neighbours(unit_bigrams(texts, own)).repartition(spread, "unit")), n_units)
     k = len(c) - 1
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
