@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans.queries import ORACLE_SQL, QUERIES
+from tidemark.plans.catalog import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.segment import groups
+from ..functions.segment import Policy, groups
 from ..operators import derive, diff, evaluate, fuse, lexical, notes, present, stats, vector
 from ..operators.chunk import chunk
 from ..sources import io
@@ -185,11 +185,6 @@ def chunk_block(spark, sf):
     return chunk(M.texts(M.document_blocks(spark, sf)), "block").select("chunk_id", F.sha2("text", 256).alias("text_hash"), F.col("char_end").cast("long").alias("char_end"))
 
 
-@query()
-def chunk_sentence(spark, sf):
-    return chunk(M.texts(M.document_blocks(spark, sf)), "sentence", 240).select("chunk_id", F.sha2("text", 256).alias("text_hash"), "char_start", "char_end")
-
-
 # Keyword search
 
 
@@ -236,13 +231,13 @@ HAN_RESULTS = rf"""docs AS (SELECT doc_id, 'n' || doc_id || '/b/0' AS chunk_id,
     han AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)"""
 
 
-def _han_results(spark, sf, k):
+def _han_results(spark, sf, k, policy=Policy()):
     han = lambda c: F.translate(F.lower(c), _LETTERS, _HAN)
     note = F.concat(F.lit("n"), F.col("doc_id").cast("string"))
     c = _docs(spark, sf).select(F.concat(note, F.lit("/b/0")).alias("chunk_id"), note.alias("note_id"), F.lit("b").alias("block_id"), F.lit("text").alias("source"), han(F.col("text")).alias("text")).filter("text <> ''")
     words = han(F.array_join(F.slice(F.split("text", r"\s+"), 2, 2), " "))
     q = M.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, F.concat(words, F.lit(" src"))).otherwise(words).alias("query"))
-    return lexical.keyword_batch(c, q, k, digits=9)
+    return lexical.keyword_batch(c, q, k, policy, digits=9)
 
 
 @query(f"WITH {HAN_RESULTS} SELECT query_id, 'n' || doc_id AS note_id, rank, round(score, 6) AS score FROM han WHERE rank <= 10")
@@ -666,13 +661,18 @@ _DIFF = f"""WITH b AS ({_CB}), c AS (SELECT note_id, block_id, ord, kind, {_CHAS
         CASE WHEN old.h IS NULL THEN 'added' WHEN now.h IS NULL THEN 'deleted' WHEN now.h <> old.h THEN 'modified' END AS change FROM now FULL JOIN old ON now.block_id = old.block_id AND now.note_id = old.note_id)"""
 
 
-def _diff(spark, sf):
+def _snapshots(spark, sf):
+    """(now, as of the last summary): some blocks are new, some gone, some changed."""
     b = M.conversation_blocks(spark, sf)
     c = {x: F.col(x) for x in b.columns}
     cur = b.select("note_id", "block_id", "ord", T.content_hash(c).alias("hash"), "kind", T.brief(c).alias("brief"), F.when(F.col("kind") == "text", F.length(T.trim(F.col("text")))).otherwise(0).alias("text_length"))
     changed = F.col("ord") % 4 == 2
     old = cur.filter("ord % 6 <> 5").withColumns({"hash": F.when(changed, "x").otherwise(F.col("hash")), "text_length": F.when(changed, F.col("text_length") - 5).otherwise(F.col("text_length"))})
-    return diff.snapshot_diff(cur.filter("ord % 5 <> 3").drop("ord"), old.drop("ord"))
+    return cur.filter("ord % 5 <> 3").drop("ord"), old.drop("ord")
+
+
+def _diff(spark, sf):
+    return diff.snapshot_diff(*_snapshots(spark, sf))
 
 
 @query(_DIFF + " SELECT note_id, block_id, change, kind, delta FROM d WHERE change IS NOT NULL")
