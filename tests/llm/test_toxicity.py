@@ -87,3 +87,36 @@ def test_fit_takes_a_bounded_sample(spark, docs):
     lone = T.train(["a b", "c"], [0, 0])
     assert T.score_texts(lone, pa.array(["a b", "z"]))[0] < 0.01
     assert len(T.train([], []).vocabulary) == 0
+
+
+def test_forward_equals_plain_loops():
+    """The network by its formulas, one window and one word at a time."""
+    rng = np.random.default_rng(8)
+    h, dim = T.HIDDEN, T.WORD_DIM + T.CHAR_DIM
+    p = {"w_f": rng.normal(size=(dim, 3 * h)), "w_b": rng.normal(size=(dim, 3 * h)), "u_f": rng.normal(size=(h, 3 * h)), "u_b": rng.normal(size=(h, 3 * h)), "b_f": rng.normal(size=3 * h), "b_b": rng.normal(size=3 * h), "att": rng.normal(size=2 * h), "out": rng.normal(size=2 * h), "bias": rng.normal(size=1)}
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    table = np.vstack([rng.normal(size=(20, dim)), np.zeros(dim)]).astype(np.float32)
+    ids = rng.integers(0, 20, (5, 7))
+    ids[1, 3:] = 20
+    ids[2, 1:] = 20
+    s = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(row, side):
+        state, out = np.zeros(h), []
+        for i in row:
+            if i < 20:
+                x = table[i] @ p["w_" + side] + p["b_" + side]
+                g = state @ p["u_" + side][:, : 2 * h]
+                z, r = s(x[:h] + g[:h]), s(x[h : 2 * h] + g[h:])
+                c = np.tanh(x[2 * h :] + (r * state) @ p["u_" + side][:, 2 * h :])
+                state = (1 - z) * state + z * c
+            out.append(state)
+        return np.array(out)
+
+    want = []
+    for row in ids:
+        both = np.hstack([states(row, "f"), states(row[::-1], "b")[::-1]])
+        a = both @ p["att"]
+        a = np.where(row < 20, np.exp(a - a[row < 20].max()), 0)
+        want.append((a / a.sum()) @ both @ p["out"] + p["bias"][0])
+    assert np.allclose(T.forward(p, table, ids), want, atol=1e-4)

@@ -29,6 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_made: set[str] = set()
+
+
+def session_dir(spark: SparkSession) -> str:
+    """A folder of this session in the shared one, deleted when the driver ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/tidemark-{sc.applicationId}"
+    if path not in _made:
+        _made.add(path)
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts lineage and survives lost executors."""
     shared_dir(df.sparkSession)
@@ -36,9 +52,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table(df: DataFrame, **options: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: a compressed :func:`cut`."""
+    """Writes ``df`` as Parquet into the session's shared folder and reads it back: a compressed :func:`cut`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

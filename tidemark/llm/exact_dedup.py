@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, SPACE, cut, fresh, if_small, join_hot, parallelism, shared_dir, table
+from .common import HOT_ROWS, SPACE, cut, fresh, if_small, join_hot, parallelism, session_dir, table
 
 #: Bits of a filter: 2 MB in 64-bit words, whatever the number of digests; a fuller one lets more digests through, never fewer.
 FILTER_BITS = 1 << 24
@@ -57,7 +57,7 @@ class MergeIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
-        self.path = path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        self.path = path or f"{session_dir(spark)}/index-{uuid.uuid4().hex}"
         self.runs: list[str] = []
         self.level: DataFrame | None = None
         self.filter: DataFrame | None = None

@@ -17,16 +17,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_simhash_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of three-word shingles; components of fingerprints at two bits or fewer."""
     out = simhash.fingerprint_groups(documents(spark, sf_dir), shingle=3, radius=2)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: what it takes of each, next to its size, its source's size and target."""
     out = mixing.mix(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents, a row for each part: where, how long, whether it stays, and who has it first."""
     out = substrings.repeated_spans(documents(spark, sf_dir))
     return out.drop("doc").withColumnsRenamed({"id": "doc_id", "first_id": "first_doc_id"})
 
@@ -55,29 +58,34 @@ def url_list(pages: DataFrame) -> DataFrame:
 
 
 def op4_url_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture with the decision of the list entries active when it was fetched."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     captures = pages.withColumn("fetched", (_number(F.col("page_id").cast("string")) % 365).cast("int"))
     return url_filter.filter_urls(captures, url_list(pages))
 
 
 def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near-equal bytes."""
     # The checksum is taken before the exchange, which then carries no text.
     docs = documents(spark, sf_dir).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
     return shards.shard(docs, N_SHARDS).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-bigram and word-frequency scores of all documents; every seventh by hash is held out."""
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 7) == 2
     out = class_lm.score(documents(spark, sf_dir), ~held_out)
     return out.withColumnRenamed("id", "doc_id").withColumn("held_out", held_out)
 
 
 def op7_merge_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that are equal but for white space."""
     out = exact_dedup.exact_groups(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op8_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a network trained on the labels of two thirds of them."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 3) == 1
     net = toxicity.fit(docs, labels, ~held_out)
@@ -86,6 +94,7 @@ def op8_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_pack(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """The token pieces of all documents in sequences of 2,048 tokens."""
     pieces = packing.tokenize(documents(spark, sf_dir), tokenizer or default_tokenizer())
     digests = pieces.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(digests, ["doc_id", "piece", "start", "ids_crc32"])
@@ -98,6 +107,7 @@ def default_tokenizer() -> str:
 
 
 def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edits, and how like they are."""
     return syncmers.fingerprints_with_edits(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
