@@ -30,7 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near duplicates (five words, similarity 0.8)."""
+    """Keeps the smallest id of each group of near duplicates: texts that share 0.8 of their five-word shingles."""
     return simhash.drop_near(docs, shingle=5, similarity=0.8)
 
 
@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token pieces of all documents into sequences."""
+    """Packs the token pieces of all documents into sequences; a null text is one end mark, equal rows may change places."""
     pieces = packing.tokenize(docs, default_tokenizer())
     digests = pieces.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(digests, ["doc_id", "piece", "start", "ids_crc32"])

@@ -23,7 +23,7 @@ _DOC = "'n' || doc_id"
 
 
 def _new_path(spark, name: str) -> str:
-    return f"{io.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{io.session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _note(df: DataFrame) -> F.Column:

@@ -42,6 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_made: set[str] = set()
+
+
+def session_dir(spark: SparkSession) -> str:
+    """A folder of this session in the shared one, deleted when the driver ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/tidemark-{sc.applicationId}"
+    if path not in _made:
+        _made.add(path)
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return path
+
+
 _stored: dict[tuple, tuple[str, t.StructType]] = {}
 
 
@@ -50,7 +66,7 @@ def stored(spark: SparkSession, key: tuple, files: list[str], make: Callable[[],
     at = (spark.sparkContext.applicationId, *key, *sorted(files))
     if at not in _stored:
         df = make()
-        path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+        path = f"{session_dir(spark)}/stored-{uuid.uuid4().hex}"
         df.write.parquet(path)
         _stored[at] = (path, df.schema)
     path, schema = _stored[at]
