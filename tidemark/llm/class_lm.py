@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, table
+from .common import parallelism, table, text_batches
 from .words import coded_words, groups
 
 #: Words whose counts are sent to all tasks (a bound, whatever the corpus); the others are joined.
@@ -351,6 +351,7 @@ def score(df: DataFrame, training: F.Column, text: str = "text", id: str = "doc_
     of its unit.  A null text is empty and scores its end alone.  Without any training
     rows all types are unknown.  An empty table gives an empty result.
     """
+    text_batches(df.sparkSession)
     texts = df.filter(training).select(F.col(text).alias("text"))
     counts = table(word_counts(texts))
     model = fit(counts, texts, head)

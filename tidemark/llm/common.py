@@ -29,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Rows of an Arrow batch that carries whole texts.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session have at most ``TEXT_ROWS`` rows, as each holds a whole text: ten times as many take over 100 MB on both sides of a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 _made: set[str] = set()
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import encode
-from .common import cut, fresh, parallelism
+from .common import cut, fresh, parallelism, text_batches
 from .words import groups
 
 CAPACITY = 2048
@@ -47,6 +47,7 @@ def tokenize(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
                 data = pa.Array.from_buffers(pa.binary(), len(row), [None, ends.buffers()[1], pa.py_buffer(ids.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), data], names=["id", "piece", "start", "length", "ids"])
 
+    text_batches(df.sparkSession)
     source = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     return source.mapInArrow(pieces, "id long, piece int, start long, length long, ids binary")
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import each_part
-from .common import HOT_ROWS, cut, fresh, if_small, join_hot, table
+from .common import HOT_ROWS, cut, fresh, if_small, join_hot, table, text_batches
 from .graph import components
 from .words import groups
 
@@ -64,6 +64,7 @@ def fingerprints(df: DataFrame, shingle: int, bands: int = 0, rows: int = 4, tex
     without words (null too) has fingerprint zero and the band keys of no shingles.
     ``node`` is carried along.
     """
+    text_batches(df.sparkSession)
     salts = np.random.default_rng(7).integers(1, 1 << 63, (2, bands * rows), np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HOT_ROWS, cut, fresh, join_hot, parallelism, table
+from .common import HOT_ROWS, cut, fresh, join_hot, parallelism, table, text_batches
 
 #: Words of adjacent repeated chunks that make a passage.  A passage loses a few words of the chunks at its edges.
 MIN_WORDS = 34
@@ -78,6 +78,7 @@ def chunks(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
                 named = [pa.array(x.view(np.int64)) for x in (np.concatenate(doc), np.array(out, np.uint64))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(row))), named[0], *columns, named[1]], names=["id", "doc", "start", "span", "digest"])
 
+    text_batches(df.sparkSession)
     return df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, doc long, start int, span int, digest long")
 
 

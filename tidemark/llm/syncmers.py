@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import parallelism, text_batches
 
 K, S = 24, 8
 _BASE = 0x9E3779B97F4A7C15
@@ -188,6 +188,7 @@ def _with_next(df: DataFrame, id: str, text: str) -> DataFrame:
     The first row of each range is also sent, as an extra row at the end, to the range
     before it (that of the first range to the last), so each row's next row is in its task.
     """
+    text_batches(df.sparkSession)
     spark = df.sparkSession
     n = 4 * parallelism(spark)
     ids = df.select(F.coalesce(F.col(id).cast("long"), F.lit(_LEAST)).alias("id"))

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .words import coded_words, groups
 
 WINDOW, STRIDE = 32, 24
@@ -322,6 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, per_label: int = SAMPLE
             names=["name", "shape", "data", "words"],
         )
 
+    text_batches(docs.sparkSession)
     found = sample(docs, labels, use, per_label)
     one_more = found.sparkSession.range(1).select(F.lit(None).cast("string").alias("body"), F.lit(None).cast("int").alias("label"))  # an empty sample trains as well
     rows = found.union(one_more).repartition(1).mapInArrow(run, "name string, shape array<long>, data binary, words array<string>").collect()
@@ -334,6 +336,8 @@ def score(df: DataFrame, net: Network, text: str = "text", threshold: float = TH
     Null and empty texts score as an empty window.  Columns with these names are replaced.
     """
 
+    text_batches(df.sparkSession)
+
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
         return pa.array(score_texts(net, texts))
