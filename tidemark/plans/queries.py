@@ -802,7 +802,7 @@ _M64 = "18446744073709551616::UHUGEINT"
     n AS (SELECT count(*) AS n FROM x), t AS (SELECT b, (b * n + j + 1)::UHUGEINT AS t, n FROM n, (SELECT unnest(range(2000)) AS b), (SELECT unnest(range(100000)) AS j) WHERE j < n),
     z0 AS (SELECT b, n, (1592594996::UHUGEINT + t * 11400714819323198485::UHUGEINT) % {_M64} AS z FROM t),
     z1 AS (SELECT b, n, (xor(z, z >> 30) % {_M64} * 13787848793156543929::UHUGEINT) % {_M64} AS z FROM z0), z2 AS (SELECT b, n, (xor(z, z >> 27) % {_M64} * 10723151780598845931::UHUGEINT) % {_M64} AS z FROM z1),
-    m AS (SELECT b, avg(d) AS m FROM (SELECT b, (xor(z, z >> 31) % n)::BIGINT AS i FROM z2) JOIN x USING (i) GROUP BY b), r AS (SELECT list_sort(list(m)) AS ms FROM m)
+    m AS (SELECT b, avg(d) AS m FROM (SELECT b, (xor(z, z >> 31) % n::UHUGEINT)::BIGINT AS i FROM z2) JOIN x USING (i) GROUP BY b), r AS (SELECT list_sort(list(m)) AS ms FROM m)
     SELECT round((SELECT avg(d) FROM x), 6) AS delta, round(ms[51], 6) AS lower, round(ms[1951], 6) AS upper, n AS pairs FROM r, n WHERE n >= 8""")
 def bootstrap_ci(spark, sf):
     o = _outcomes(spark, sf)
