@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,15 +66,37 @@ def verdict(found: DataFrame, stale: str | None = None) -> DataFrame:
     return found.agg(F.when(F.bool_and("passed"), "pass").otherwise("blocked").alias("status"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("check")))), ",").alias("reason"))
 
 
-def disqualified(environment: dict[str, object], build: str = "release", device: str = "physical") -> str | None:
-    """Why a measuring environment has no say, or None."""
+# The budgets in milliseconds of each measured layer (p50, p95); None is recorded but not judged.
+BUDGETS: dict[str, tuple[float | None, float | None]] = {"first_result": (100.0, 250.0), "semantic_local": (None, 250.0), "semantic_cloud": (None, None)}
+
+
+def latency_checks(measured: DataFrame, budgets: dict[str, tuple[float | None, float | None]] = BUDGETS) -> DataFrame:
+    """``measured`` (layer, p50, p95 and so on) with ``passed``: whether both are within the layer's budget; null where the layer has none."""
+    passed = F.lit(None).cast("boolean")
+    for layer, limits in budgets.items():
+        within = [F.col(c) <= limit + EPSILON for c, limit in zip(("p50", "p95"), limits, strict=True) if limit is not None]
+        if within:
+            passed = F.when(F.col("layer") == layer, reduce(lambda x, y: x & y, within)).otherwise(passed)
+    return measured.withColumn("passed", passed)
+
+
+def disqualification(build: Column, device: Column, low_power: Column, thermal: Column, region: Column, needs_build: str = "release", needs_device: str = "physical", needs_region: str | None = None) -> Column:
+    """Why a measuring environment has no say (stale, not failed), null if it has: the first reason in this order."""
+    out = F.when(~build.eqNullSafe(F.lit(needs_build)), "build configuration").when(~device.eqNullSafe(F.lit(needs_device)), "device class").when(F.coalesce(low_power, F.lit(False)), "low-power mode").when(~thermal.eqNullSafe(F.lit("nominal")), "thermal state")
+    return out if needs_region is None else out.when(~region.eqNullSafe(F.lit(needs_region)), "region")
+
+
+def disqualified(environment: dict[str, object], build: str = "release", device: str = "physical", region: str | None = None) -> str | None:
+    """:func:`disqualification` of one environment on the driver."""
     if environment.get("build_configuration") != build:
         return "build configuration"
     if environment.get("device_class") != device:
         return "device class"
     if environment.get("low_power"):
         return "low-power mode"
-    return None if environment.get("thermal_state", "nominal") in ("nominal", "fair") else "thermal state"
+    if environment.get("thermal_state", "nominal") != "nominal":
+        return "thermal state"
+    return "region" if region is not None and environment.get("provider_region") != region else None
 
 
 @dataclass(frozen=True)

@@ -476,3 +476,29 @@ def gate_checks(spark, sf):
 def gate_verdict(spark, sf):
     parts = [gate.verdict(df).withColumn("baseline", F.lit(name)) for name, df in _checks(spark, sf).items()]
     return parts[0].unionByName(parts[1])
+
+
+@query(f"""WITH {Q._LAT}, m AS (SELECT CASE event_type WHEN 'view' THEN 'first_result' WHEN 'click' THEN 'semantic_local' ELSE 'semantic_cloud' END AS layer, event_type, p50 * 10 AS p50, p95 * 10 AS p95 FROM lat)
+    SELECT event_type, layer, CASE layer WHEN 'first_result' THEN p50 <= 100 AND p95 <= 250 WHEN 'semantic_local' THEN p95 <= 250 END AS passed FROM m""")
+def latency_gate(spark, sf):
+    p = evaluate.group_percentiles(M.read(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    layer = F.when(F.col("event_type") == "view", "first_result").when(F.col("event_type") == "click", "semantic_local").otherwise("semantic_cloud")
+    return gate.latency_checks(p.select("event_type", layer.alias("layer"), (F.col("p50") * 10).alias("p50"), (F.col("p95") * 10).alias("p95"))).select("event_type", "layer", "passed")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'build configuration' WHEN event_id % 3 = 0 THEN 'device class' WHEN event_id % 5 = 0 THEN 'low-power mode' WHEN event_id % 7 = 0 THEN 'thermal state' WHEN event_id % 11 = 0 THEN 'region' END AS reason FROM events""")
+def measuring_environment(spark, sf):
+    e = F.col("event_id")
+    r = gate.disqualification(F.when(e % 2 != 0, "release"), F.when(e % 3 == 0, "simulator").otherwise("physical"), e % 5 == 0, F.when(e % 7 == 0, "fair").otherwise("nominal"), F.when(e % 11 != 0, "here"), needs_region="here")
+    return M.read(spark, sf, "events").select("event_id", r.alias("reason"))
+
+
+@query(f"""WITH {Q._STORED}, o AS (SELECT DISTINCT note_id FROM st WHERE note_id NOT IN (SELECT note_id FROM cur)), s AS (SELECT * FROM st WHERE note_id NOT IN (SELECT note_id FROM o))
+    SELECT coalesce(cur.chunk_id, s.chunk_id) AS chunk_id, CASE WHEN cur.chunk_id IS NULL THEN 'orphan' WHEN s.h = cur.h AND s.v = 'e1' THEN 'up_to_date' ELSE 'pending' END AS state FROM cur FULL JOIN s ON cur.chunk_id = s.chunk_id""")
+def startup_plan(spark, sf):
+    """Load, reconcile, scan: the plan no longer holds the orphans of notes that are gone."""
+    cur, stored = Q._stored(spark, sf)
+    row = stored.select("chunk_id", "note_id", F.col("chunk_id").alias("block_id"), "content_hash", "embedding_version", F.lit("block").alias("chunk_strategy"), F.lit(1).alias("created_at"))
+    store = io.DerivedStore(spark, _new_path(spark, "store"), _RECORDS, buckets=8)
+    store.upsert(row)
+    return derive.start(store.load, cur.select("note_id").distinct(), lambda gone: store.delete(gone, "note_id"), lambda left: derive.work_plan(cur, left, "e1"))
