@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, name):
     same_rows(QUERIES[name](spark, DATA), con, ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", ["op1_simhash_bitsliced", "op2_entropy_mix", "op5_histogram_shards", "op6_class_bigrams", "op8_bigru_toxicity", "op10_closed_syncmers"])
+@pytest.mark.parametrize("name", ["op1_simhash_bitsliced", "op2_entropy_mix", "op5_histogram_shards", "op6_class_bigrams", "op8_bigru_toxicity", "op10_closed_syncmers", "op11_byte_cnn_language"])
 def test_one_row_for_each_document(spark, name):
     ids = sorted(r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
     assert sorted(r.doc_id for r in QUERIES[name](spark, DATA).collect()) == ids
@@ -105,3 +105,14 @@ def test_scores_are_told_apart(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
     bad, good = [r.score for r in rows if labels[r.doc_id] == 1], [r.score for r in rows if labels[r.doc_id] == 0]
     assert len(bad) > 5 and sum((b > g) + 0.5 * (b == g) for b in bad for g in good) >= 0.8 * len(bad) * len(good)
+
+
+def test_held_out_languages(spark):
+    data = os.environ.get("TEST_LEARN_DIR", "/root/testdata/sf0.01")
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    want = {r.doc_id: r.lang for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = QUERIES["op11_byte_cnn_language"](spark, data).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(want) and all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert len(held) > 100 and sum(r.lang_pred == want[r.doc_id] for r in held) >= 0.97 * len(held)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, exact_dedup, filter_audit, mixing, packing, shards, simhash, substrings, syncmers, toxicity, url_filter
+from . import class_lm, exact_dedup, filter_audit, language, maxscore, mixing, packing, shards, simhash, substrings, syncmers, toxicity, url_filter
 
 N_SHARDS = 40
 
@@ -111,6 +111,19 @@ def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints_with_edits(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op11_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents by a network trained on the languages of four fifths of them."""
+    docs = documents(spark, sf_dir)
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 5) == 0
+    net = language.fit(docs, ~held_out)
+    return language.identify(docs.select("doc_id", "text"), net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op12_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for each benchmark item."""
+    return maxscore.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters keep and remove of each source, in all 120 orders, step by step."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -119,7 +132,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_bitsliced, op2_entropy_mix, op3_chunk_dedup, op4_url_asof, op5_histogram_shards, op6_class_bigrams, op7_merge_index_dedup, op8_bigru_toxicity, op9_best_fit_pack, op10_closed_syncmers, op13_filter_audit)
+    for f in (op1_simhash_bitsliced, op2_entropy_mix, op3_chunk_dedup, op4_url_asof, op5_histogram_shards, op6_class_bigrams, op7_merge_index_dedup, op8_bigru_toxicity, op9_best_fit_pack, op10_closed_syncmers, op11_byte_cnn_language, op12_maxscore_search, op13_filter_audit)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -144,6 +157,16 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)""",
+    "op12_maxscore_search": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        whole AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        tf AS (SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term, CAST(len(terms) AS BIGINT) AS n FROM d) GROUP BY doc_id, term, n),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        part AS (SELECT doc_id, term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))) AS adds FROM tf JOIN df USING (term), whole),
+        scored AS (SELECT item_id, doc_id, CAST(sum(adds) AS BIGINT) AS score FROM q JOIN part USING (term) GROUP BY item_id, doc_id),
+        ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 10""",
     "op13_filter_audit": r"""
         WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
         l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
