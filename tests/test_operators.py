@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import TERMINATORS
-from tidemark.operators import chunk, derive, diff, evaluate, fuse, gate, lexical, notes, present, stats, vector
+from tidemark.operators import chunk, derive, diff, evaluate, fuse, gate, grams, lexical, notes, present, stats, vector
 
 
 def plain_fixed(text, size=240, overlap=40):
@@ -75,12 +75,12 @@ def test_batch_search_equals_single_searches(spark):
     q = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
     for k in (3, 200):
         got = {}
-        for r in lexical.keyword_batch(chunks, q, k).collect():
+        for r in grams.keyword_batch(chunks, q, k).collect():
             got.setdefault(r.query_id, []).append((r.rank, r.chunk_id, round(r.score, 9)))
         for i, text in enumerate(queries):
             want = [(r.rank, r.chunk_id, round(r.score, 9)) for r in lexical.keyword_search(chunks, text or "", k).collect()]
             assert sorted(got.get(i, [])) == sorted(want), text
-    assert lexical.keyword_batch(chunks, q.limit(0), 3).count() == 0
+    assert grams.keyword_batch(chunks, q.limit(0), 3).count() == 0
 
 
 def test_containing(spark, monkeypatch):

@@ -92,20 +92,20 @@ def block_pieces(text: Column) -> Column:
 STRATEGIES = {"sentence": sentence_pieces, "block": lambda text, *_: block_pieces(text)}
 
 
-def chunk(blocks: DataFrame, strategy: str = "fixed", *parameters: int) -> DataFrame:
-    """Chunks of ``blocks`` (note_id, block_id, ord, source, text, content_hash), one row each.
+def chunk(blocks: DataFrame, strategy: str = "fixed", *parameters: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of ``blocks`` (note_id, block_id, ord, source, text, content_hash), one row each; columns in ``keep`` come along.
 
     Blank pieces are left out before numbering, so ids are dense; offsets are those of
     the untrimmed piece.  The id is note/block/number.
     """
     name = strategy if strategy == "block" else f"{strategy}-{'-'.join(map(str, parameters or ((240, 40) if strategy == 'fixed' else (240,))))}"
-    some = blocks.filter(F.length("text") > 0).select("note_id", "block_id", "ord", "source", "content_hash", "text")
+    some = blocks.filter(F.length("text") > 0).select("note_id", "block_id", "ord", "source", "content_hash", *keep, "text")
     if strategy == "fixed":
         rows = fixed_chunks(some, *parameters)
     else:
         pieces = F.filter(STRATEGIES[strategy](F.col("text"), *parameters), lambda p: p["t"] != "")
-        rows = some.select("*", F.posexplode(pieces).alias("chunk_index", "p")).select("note_id", "block_id", "ord", "source", "content_hash", "chunk_index", "p.s", "p.e", "p.t")
+        rows = some.select("*", F.posexplode(pieces).alias("chunk_index", "p")).select("note_id", "block_id", "ord", "source", "content_hash", *keep, "chunk_index", "p.s", "p.e", "p.t")
     return rows.select(
         F.concat_ws("/", "note_id", "block_id", F.col("chunk_index").cast("string")).alias("chunk_id"), "note_id", "block_id", "ord", "source", "chunk_index",
-        F.col("t").alias("text"), F.col("s").alias("char_start"), F.col("e").alias("char_end"), "content_hash", F.lit(name).alias("strategy"),
+        F.col("t").alias("text"), F.col("s").alias("char_start"), F.col("e").alias("char_end"), "content_hash", F.lit(name).alias("strategy"), *keep,
     )

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,8 +75,6 @@ def query_groups(queries: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return queries.select("query_id", "query").mapInArrow(run, f"query_id {kind}, `group` int, terms array<string>, min_matched int, is_bigram boolean")
 
 
-#: Queries that one pass over the chunks answers; more take several passes.
-QUERIES_A_PASS = 2048
 #: Characters of patterns that one pass over the texts looks for.
 PATTERN_CHARS = 4_000_000
 
@@ -94,110 +89,6 @@ def _automaton(terms: list[str]):
     return found
 
 
-def _slices(df: DataFrame, by: str, most: int) -> Iterator[DataFrame]:
-    """``df`` in parts of about ``most`` rows, told apart by a hash of ``by``."""
-    n = -(-df.count() // most)
-    for i in range(n):
-        yield df if n == 1 else df.filter(F.pmod(F.xxhash64(by), F.lit(n)) == i)
-
-
-def keyword_batch(chunks: DataFrame, queries: DataFrame, k: int, policy: Policy = Policy(), digits: int | None = None) -> DataFrame:
-    """The ``k`` best chunks of each query at once: (query_id, chunk_id, note_id, block_id, source, text, score, rank); ties by chunk id.
-
-    Queries mean what they mean in :func:`keyword_search`, Han ones too.  A pass over the
-    chunks finds the different terms of all queries in one scan of each folded text, sums
-    them up by query, and keeps the ``k`` best of each query in each task, so the number of rows
-    exchanged depends on tasks, queries and ``k`` only.  ``digits`` rounds scores before ranking.
-    """
-    out = None
-    for part in _slices(queries, "query_id", QUERIES_A_PASS):
-        asked = [(r.query_id, groups(r.query or "", policy)) for r in part.select(F.col("query_id").cast("string"), "query").collect()]
-        some = _best_chunks(with_hay(chunks), [(q, g) for q, g in asked if g], k, digits)
-        out = some if out is None else out.unionByName(some)
-    if out is None:
-        out = _best_chunks(with_hay(chunks), [], k, digits)
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    kind = queries.schema["query_id"].dataType
-    return out.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).withColumn("query_id", F.col("query_id").cast(kind))
-
-
-def _best_chunks(chunks: DataFrame, asked: list[tuple[str, list[Group]]], k: int, digits: int | None) -> DataFrame:
-    """The ``k`` best chunks of each query within each task."""
-    terms = sorted({t for _, gs in asked for g in gs for t in g.terms})
-    place = {t: i for i, t in enumerate(terms)}
-    flat = [(q, g) for q, (_, gs) in enumerate(asked) for g in gs]
-    names = [q for q, _ in asked]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not asked:
-            return
-        found = _automaton(terms)
-        # Terms of each group, one after the other, and where groups and queries begin.
-        members = np.array([place[t] for _, g in flat for t in g.terms])
-        starts = np.cumsum([0, *(len(g.terms) for _, g in flat)])[:-1]
-        need = np.array([g.min_matched for _, g in flat])
-        width = np.array([len(g.terms) if g.is_bigram else 0 for _, g in flat])
-        first = np.searchsorted([q for q, _ in flat], np.arange(len(names)))
-        pairs = np.maximum(np.add.reduceat((width > 0).astype(float), first), 1e-9)
-        without = np.add.reduceat(width, first) == 0
-        best: list[list[tuple]] = [[] for _ in names]
-        turn = 0
-        for batch in batches:
-            hays, weight = batch.column(5).to_pylist(), np.array([SOURCE_WEIGHT.get(x, 0.0) for x in batch.column(3).to_pylist()])
-            norm = np.sqrt(np.maximum(1, pc.utf8_length(batch.column(4)).to_numpy(zero_copy_only=False)))
-            ids = batch.column(0).to_pylist()
-            rows = max(1, 2_000_000 // max(len(members), 1))
-            for lo in range(0, len(hays), rows):
-                tf = np.zeros((len(hays[lo : lo + rows]), len(terms)), np.int16)
-                for i, hay in enumerate(hays[lo : lo + rows]):
-                    after: dict[int, int] = {}
-                    for end, (t, n) in found.iter(hay or ""):
-                        # From left to right without overlap, and no more than count.
-                        if end - n >= after.get(t, -1) and tf[i, t] < TF_CAP:
-                            tf[i, t] += 1
-                            after[t] = end
-                each = tf[:, members]
-                matched = np.add.reduceat((each > 0).astype(np.int32), starts, axis=1)
-                fits = np.logical_and.reduceat(matched >= need, first, axis=1)
-                total = np.add.reduceat(np.add.reduceat(each.astype(np.float64), starts, axis=1), first, axis=1)
-                cover = np.add.reduceat(np.where(width > 0, matched / np.maximum(width, 1), 0.0), first, axis=1) / pairs
-                score = total / norm[lo : lo + rows, None] * np.where(without, 1.0, cover) * weight[lo : lo + rows, None]
-                score = score if digits is None else np.round(score, digits)
-                for i, q in zip(*np.nonzero(fits), strict=True):
-                    kept = best[q]
-                    at = lo + int(i)
-                    turn += 1
-                    item = (score[i, q], _Last(ids[at]), -turn, at, batch)
-                    if len(kept) < k:
-                        heapq.heappush(kept, item)
-                    elif item[:2] > kept[0][:2]:
-                        heapq.heapreplace(kept, item)
-            # What is kept is copied, so that no batch stays in memory for a row of it.
-            best = [[(s, i, n, 0, b if b.num_rows == 1 else b.take(pa.array([at]))) for s, i, n, at, b in kept] for kept in best]
-        rows = [(names[q], s, at, b) for q, kept in enumerate(best) for s, _, _, at, b in kept]
-        for lo in range(0, len(rows), 1000):
-            part = rows[lo : lo + 1000]
-            whole = pa.Table.from_batches([b for *_, b in part]).combine_chunks().to_batches()[0]
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, *_ in part]), *whole.columns[:5], pa.array([float(s) for _, s, _, _ in part])], names=["query_id", "chunk_id", "note_id", "block_id", "source", "text", "score"])
-
-    return chunks.select("chunk_id", "note_id", "block_id", "source", "text", "hay").mapInArrow(run, "query_id string, chunk_id string, note_id string, block_id string, source string, text string, score double")
-
-
-class _Last:
-    """A string that sorts the other way round: of equal scores the smallest id is the best."""
-
-    __slots__ = ("s",)
-
-    def __init__(self, s: str):
-        self.s = s
-
-    def __lt__(self, other: _Last) -> bool:
-        return self.s > other.s
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Last) and self.s == other.s
-
-
 def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Rows (pattern_id, text_id): which ``texts`` (text_id, text) contain which ``patterns`` (pattern_id, pattern) as substrings.
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, retrievable
-from ..operators.chunk import chunk
-from ..operators.lexical import containing, with_hay
-from ..sources.io import stored
+from ..operators.lexical import containing
+from ..sources.io import session_dir
+from ..sources.maintained import ChunkTable
 
 BLOCK_COLUMNS = ("text", "image_caption", "image_asset_ref", "transcript", "audio_asset_ref", "file_name", "file_type", "extracted_text", "url", "link_title", "link_description")
 
@@ -19,7 +21,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One block for each document, of the kind that its id gives."""
-    d = read(spark, sf_dir, "documents")
+    return blocks_of(read(spark, sf_dir, "documents"))
+
+
+def blocks_of(d: DataFrame, *keep: str) -> DataFrame:
+    """:func:`document_blocks` of some rows; columns in ``keep`` come along."""
     k = F.col("doc_id") % 5
     n = F.col("doc_id").cast("string")
     when = lambda i, c: F.when(k == i, c)
@@ -30,7 +36,7 @@ def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         when(1, F.col("text")).alias("transcript"), when(1, F.concat(F.lit("aud"), n)).alias("audio_asset_ref"),
         when(3, F.concat(F.lit("f"), n, F.lit(".txt"))).alias("file_name"), when(3, F.col("lang")).alias("file_type"), when(3, F.col("text")).alias("extracted_text"),
         when(4, F.concat(F.lit("https://example.org/"), n)).alias("url"), when(4, F.col("source")).alias("link_title"), when(4, F.col("text")).alias("link_description"),
-        F.lit(False).alias("extraction_unavailable"),
+        F.lit(False).alias("extraction_unavailable"), *keep,
     )
 
 
@@ -48,16 +54,24 @@ def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def texts(blocks: DataFrame) -> DataFrame:
+def texts(blocks: DataFrame, *keep: str) -> DataFrame:
     """(note_id, block_id, ord, source, text, content_hash) of the blocks that have text to search."""
-    b = {c: F.col(c) for c in blocks.columns}
-    return blocks.select("note_id", "block_id", "ord", retrievable(b).alias("r"), content_hash(b).alias("content_hash")).filter("r is not null").select("note_id", "block_id", "ord", "r.source", "r.text", "content_hash")
+    b = {c: F.col(c) for c in blocks.columns if c not in keep}
+    made = blocks.select("note_id", "block_id", "ord", retrievable(b).alias("r"), content_hash(b).alias("content_hash"), *keep)
+    return made.filter("r is not null").select("note_id", "block_id", "ord", "r.source", "r.text", "content_hash", *keep)
+
+
+def chunk_table(spark: SparkSession, sf_dir: str, strategy: str = "fixed", *parameters: int) -> ChunkTable:
+    """Chunks of all documents with their folded text and their index, in step with the files as they are now; kept in the session's folder."""
+    name = "-".join(["chunks", hashlib.md5(sf_dir.encode()).hexdigest(), strategy, *map(str, parameters)])
+    made = ChunkTable(spark, f"{session_dir(spark)}/{name}", lambda rows: texts(blocks_of(rows, "file"), "file"), strategy, *parameters)
+    made.refresh(f"{sf_dir}/documents.parquet")
+    return made
 
 
 def corpus(spark: SparkSession, sf_dir: str, strategy: str = "fixed", *parameters: int) -> DataFrame:
-    """The chunk table: chunks of all documents with their folded text, made once in a session and then scanned."""
-    files = read(spark, sf_dir, "documents").inputFiles()
-    return stored(spark, ("corpus", strategy, *parameters), files, lambda: with_hay(chunk(texts(document_blocks(spark, sf_dir)), strategy, *parameters)))
+    """The chunk table's rows."""
+    return chunk_table(spark, sf_dir, strategy, *parameters).load()
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.segment import Policy, groups
-from ..operators import derive, diff, evaluate, fuse, lexical, notes, present, stats, vector
+from ..operators import derive, diff, evaluate, fuse, grams, lexical, notes, present, stats, vector
 from ..operators.chunk import chunk
 from ..sources import io
 from ..streaming import edits
@@ -199,17 +199,25 @@ def term_frequency(spark, sf):
     return c.select("chunk_id", *[lexical.term_frequency(F.col("hay"), t).cast("long").alias(f"tf_{t}") for t in TERMS])
 
 
+@query(f"WITH RECURSIVE {CHUNKS}, t AS (SELECT unnest(['chi', 'ungein', 'verlich']) AS term), m AS (SELECT chunk_id, any_value(source) AS source, any_value(length(text)) AS n, count(*) AS met, sum(least((length(hay) - length(replace(hay, term, ''))) // length(term), 3)) AS tf FROM chunks JOIN t ON contains(hay, term) GROUP BY chunk_id HAVING count(*) >= 2) "
+       f"SELECT chunk_id, row_number() OVER (ORDER BY tf / sqrt(n::DOUBLE) * {WEIGHT} DESC, chunk_id) AS rank, round(tf / sqrt(n::DOUBLE) * {WEIGHT}, 9) AS score FROM m QUALIFY rank <= {K}")
+def indexed_search(spark, sf):
+    """A query of rarer terms, which reads only the chunks that the index names."""
+    c = M.chunk_table(spark, sf)
+    return grams.indexed_search(c.load(), c.index(), "chi ungein verlich", K).select("chunk_id", "rank", F.round("score", 9).alias("score"))
+
+
 @query(f"WITH {RESULTS} SELECT case_id, note_id, rank FROM results")
 def keyword_batch(spark, sf):
     return _case_results(spark, sf)
 
 
 def _case_results(spark, sf):
-    """The five best notes of each case over whole blocks, kept for all queries of a session; scores are rounded before ranking, so that any engine breaks ties alike."""
-    files = [f for t in ("documents", "benchmark") for f in M.read(spark, sf, t).inputFiles()]
-    c = M.corpus(spark, sf, "block")
-    found = lambda: lexical.keyword_batch(c, M.cases(spark, sf).select(F.col("case_id").alias("query_id"), "query"), 5, digits=9)
-    return io.stored(spark, ("case results",), files, lambda: found().select(F.col("query_id").alias("case_id"), "note_id", "rank"))
+    """The five best notes of each case over whole blocks; scores are rounded before ranking, so that any engine breaks ties alike."""
+    c = M.chunk_table(spark, sf, "block")
+    asked = M.cases(spark, sf).select(F.col("case_id").alias("query_id"), "query")
+    found = grams.indexed_batch(c.load(), c.index(), asked, 5, digits=9)
+    return io.kept(found.select(F.col("query_id").alias("case_id"), "note_id", "rank"))
 
 
 # Han queries: letters become Han characters, by place in the alphabet, in texts and queries alike.
@@ -237,7 +245,7 @@ def _han_results(spark, sf, k, policy=Policy()):
     c = _docs(spark, sf).select(F.concat(note, F.lit("/b/0")).alias("chunk_id"), note.alias("note_id"), F.lit("b").alias("block_id"), F.lit("text").alias("source"), han(F.col("text")).alias("text")).filter("text <> ''")
     words = han(F.array_join(F.slice(F.split("text", r"\s+"), 2, 2), " "))
     q = M.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, F.concat(words, F.lit(" src"))).otherwise(words).alias("query"))
-    return lexical.keyword_batch(c, q, k, policy, digits=9)
+    return grams.keyword_batch(c, q, k, policy, digits=9)
 
 
 @query(f"WITH {HAN_RESULTS} SELECT query_id, 'n' || doc_id AS note_id, rank, round(score, 6) AS score FROM han WHERE rank <= 10")
@@ -311,20 +319,15 @@ ARMS = TEXTS + f""", asked AS (SELECT vec_id AS query_id, {_WORDS5} AS query FRO
 
 
 def _arms(spark, sf):
-    """(query_id, id, keyword_rank) and (query_id, id, vector_rank), made once in a session."""
-    files = [f for t in ("documents", "embeddings") for f in M.read(spark, sf, t).inputFiles()]
+    """(query_id, id, keyword_rank) and (query_id, id, vector_rank)."""
     n = fuse.candidates(K)
-
-    def keyword():
-        words = F.array_join(F.slice(F.split(T.trim(F.col("text")), r"\s+"), 1, 5), " ")
-        ids = M.vectors(spark, sf).filter("id % 20 = 0").select(F.col("id").alias("doc_id"))
-        asked = _docs(spark, sf).join(ids, "doc_id").select(F.col("doc_id").alias("query_id"), words.alias("query"))
-        return lexical.keyword_batch(M.corpus(spark, sf, "block"), asked, n, digits=9).select("query_id", F.col("note_id").alias("id"), F.col("rank").alias("keyword_rank"))
-
-    def near():
-        return _near(spark, sf, n).select("query_id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.col("rank").alias("vector_rank"))
-
-    return io.stored(spark, ("keyword arm", n), files, keyword), io.stored(spark, ("vector arm", n), files, near)
+    words = F.array_join(F.slice(F.split(T.trim(F.col("text")), r"\s+"), 1, 5), " ")
+    ids = M.vectors(spark, sf).filter("id % 20 = 0").select(F.col("id").alias("doc_id"))
+    asked = _docs(spark, sf).join(ids, "doc_id").select(F.col("doc_id").alias("query_id"), words.alias("query"))
+    c = M.chunk_table(spark, sf, "block")
+    keyword = grams.indexed_batch(c.load(), c.index(), asked, n, digits=9).select("query_id", F.col("note_id").alias("id"), F.col("rank").alias("keyword_rank"))
+    near = _near(spark, sf, n).select("query_id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.col("rank").alias("vector_rank"))
+    return io.kept(keyword), io.kept(near)
 
 
 _RRF = "round(coalesce(1.0::DOUBLE / (60 + keyword_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0), 9)"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -22,8 +20,7 @@ from .queries import query
 _DOC = "'n' || doc_id"
 
 
-def _new_path(spark, name: str) -> str:
-    return f"{io.session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_new_path = io.new_path
 
 
 def _note(df: DataFrame) -> F.Column:

@@ -5,14 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
+from pyspark.sql.window import Window
 
 from ..functions.text import trim
-from ..operators.derive import upsert
+from .deltas import DeltaTable
 
 # The fields of an evaluation dataset and the file types that have text.
 _note = "struct<id:string,title:string,content:string,source:string,language:string,role:string,cluster:string>"
@@ -58,19 +58,15 @@ def session_dir(spark: SparkSession) -> str:
     return path
 
 
-_stored: dict[tuple, tuple[str, t.StructType]] = {}
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(spark: SparkSession, key: tuple, files: list[str], make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` returns, written as Parquet once in a session for ``key`` and the files it is made from, and read from there by all later queries."""
-    at = (spark.sparkContext.applicationId, *key, *sorted(files))
-    if at not in _stored:
-        df = make()
-        path = f"{session_dir(spark)}/stored-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        _stored[at] = (path, df.schema)
-    path, schema = _stored[at]
-    return spark.read.schema(schema).parquet(path)
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to a new folder of the session and read back: computed once for all uses within a query, and not kept for another."""
+    path = new_path(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def point(df: DataFrame, key: str, value: object) -> DataFrame:
@@ -133,64 +129,34 @@ def ocr_text(blocks: DataFrame, overlay: DataFrame, check_hash: bool = True) ->
 
 
 class DerivedStore:
-    """Embedding records as Parquet, partitioned by bucket of the note and by version.
+    """Embedding records as a :class:`DeltaTable`, parted by version and sorted by note.
 
-    A load of one version reads no other, and a write touches only the buckets of the notes
-    it is about: their partitions are overwritten together when the job commits, all others stay.
-    One writer at a time.  A partition that loses all its rows keeps an empty mark, a row without a chunk id.
+    A write costs what it writes, at any size of the store; each is one commit.  A load of one
+    version or note reads little of the others.  ``buckets``: files of a rewritten base.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: t.StructType, buckets: int = 64):
-        self.spark, self.path, self.schema, self.buckets = spark, path, schema, buckets
+    def __init__(self, spark: SparkSession, path: str, schema: t.StructType, buckets: int | None = None):
+        self.spark = spark
+        self.table = DeltaTable(spark, path, schema, "chunk_id", ("block_id", "note_id"), order="note_id", partition="embedding_version", files=buckets)
 
-    def _bucket(self, note_id: Column) -> Column:
-        return F.pmod(F.xxhash64(note_id), F.lit(self.buckets)).cast("int")
-
-    def _exists(self) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-    def _rows(self, buckets: list[int] | None = None) -> DataFrame:
-        """Rows with their bucket, marks too."""
-        schema = t.StructType([*[f for f in self.schema if f.name != "embedding_version"], t.StructField("bucket", t.IntegerType()), t.StructField("embedding_version", t.StringType())])
-        if not self._exists():
-            return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(self.path)
-        return df if buckets is None else df.filter(F.col("bucket").isin(buckets))
-
-    def load(self, version: str | None = None, note_id: str | None = None) -> DataFrame:
-        """All records, those of a version, or those of a note; other partitions are not read."""
-        df = self._rows() if note_id is None else self._rows([self.spark.range(1).select(self._bucket(F.lit(note_id))).first()[0]]).filter(F.col("note_id") == note_id)
+    def load(self, version: str | None = None, note_id: str | None = None, at: int | None = None) -> DataFrame:
+        """All records, those of an embedding version, or those of a note; as they are now or were at an entry of the log."""
+        df = self.table.load(at)
         df = df if version is None else df.filter(F.col("embedding_version") == version)
-        return df.filter("chunk_id is not null").select([f.name for f in self.schema])
-
-    def _replace(self, touched: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
-        """Overwrites the partitions of the touched buckets by what ``change`` makes of their rows."""
-        if not touched:
-            return
-        old = self._rows(touched)
-        columns = [f.name for f in self.schema]
-        new = change(old.filter("chunk_id is not null").select(columns)).select(columns).withColumn("bucket", self._bucket(F.col("note_id")))
-        marks = old.select("bucket", "embedding_version").distinct().select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema if f.name != "embedding_version"], "bucket", "embedding_version")
-        rows = new.unionByName(marks).repartition("bucket", "embedding_version")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "embedding_version").parquet(self.path)
-
-    def _touched(self, rows: DataFrame) -> list[int]:
-        """The buckets of the rows' notes, at most ``buckets`` numbers."""
-        return [r[0] for r in rows.select(self._bucket(F.col("note_id"))).distinct().collect()]
+        return df if note_id is None else df.filter(F.col("note_id") == note_id)
 
     def upsert(self, new: DataFrame) -> None:
-        """Writes records, each in place of what its chunk had, of any version."""
-        self._replace(self._touched(new), lambda old: upsert(old, new.select([f.name for f in self.schema])))
+        """Writes records, each in place of what its chunk had, of any version; of several for a chunk the latest by ``created_at``."""
+        latest = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("created_at")))
+        self.table.write(new.withColumn("_n", latest).filter("_n = 1").drop("_n"))
 
     def delete(self, gone: DataFrame, by: str = "chunk_id") -> None:
         """Removes records by chunk_id, block_id or note_id."""
-        mine = self.load().join(gone.select(by).distinct(), by, "left_semi")
-        self._replace(self._touched(mine), lambda old: old.join(gone.select(by).distinct(), by, "left_anti"))
+        self.table.write(gone={by: gone})
 
     def clear(self) -> None:
         """Removes everything, as after a change of strategy or provider."""
-        self._replace(self._touched(self.load()), lambda old: old.limit(0))
+        self.table.clear()
 
     def chunk_ids(self, block_id: str | None = None) -> DataFrame:
         """Chunk ids in the store, or those of a block, in order."""
