@@ -57,7 +57,8 @@ class ChunkTable(DeltaTable):
         m = F.col("_metadata")
         listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select(m["file_path"].alias("file"), m["file_size"].alias("size"), m["file_modification_time"].cast("string").alias("changed"))
         mark = F.xxhash64("file", "size", "changed")
-        digest = "-".join(map(str, listed.agg(F.count("*"), F.bit_xor(mark), F.sum(mark.cast("decimal(38,0)"))).first()))
+        found = listed.agg(F.count("*").alias("files"), F.bit_xor(mark), F.sum(mark.cast("decimal(38,0)"))).first()
+        digest = "-".join(map(str, found))
         last = self.entry()
         if last["notes"].get("digest") == digest:
             return last
@@ -79,6 +80,9 @@ class ChunkTable(DeltaTable):
             current = current.join(have, key, "left_anti")
         else:
             current = self.blocks(rows)
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        if found.files < tasks:  # a few large files would keep a few tasks busy
+            current = current.repartition(tasks)
         made = with_hay(chunk(current, self.strategy, *self.parameters, keep=("file",)))
         places = {"part": F.lit(None).cast("long"), "place": F.lit(None).cast("int")}
         return self.write(made.withColumns(places), gone, {"digest": digest, "manifest": manifest})
