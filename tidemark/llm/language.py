@@ -30,6 +30,8 @@ WIDTHS, FILTERS = (2, 3, 4), 16
 STRIDE = WINDOW - max(WIDTHS) + 1
 #: Labelled texts of each language that training takes at most, and windows of each, evenly spread over the whole text.
 PER_LANGUAGE, WINDOWS_A_TEXT = 400, 12
+#: Parts of a language whose smallest hashes are found side by side.
+SAMPLE_PARTS = 32
 EPOCHS, STEPS, BATCH, RATE = 6, 300, 64, 0.01
 UNKNOWN = "und"
 #: Texts are read in slices of about so many bytes, and windows scored so many at a time.
@@ -176,8 +178,11 @@ def sample(docs: DataFrame, use: Column, text: str = "text", lang: str = "lang",
     exchanged without the texts.  Null languages and texts give nothing.
     """
     known = docs.filter(use & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(text, lang).alias("key"), F.col(text).alias("body"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    picked = cut(known.select("lang", "key").distinct().withColumn("rank", rank).filter(F.col("rank") <= per_language).select("lang", "key"))
+    # The smallest of each of some parts of a language, then of all of it, so that no task has more rows of one than these.
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("key"))
+    keys = known.select("lang", "key", F.pmod("key", F.lit(SAMPLE_PARTS)).alias("part")).distinct()
+    least = keys.withColumn("rank", rank("part")).filter(F.col("rank") <= per_language)
+    picked = cut(least.withColumn("rank", rank()).filter(F.col("rank") <= per_language).select("lang", "key"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
