@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import TERMINATORS
-from tidemark.operators import chunk, derive, diff, evaluate, fuse, gate, grams, lexical, notes, present, stats, vector
+from tidemark.operators import chunk, derive, diff, evaluate, fuse, gate, grams, lexical, notes, present, ranks, registry, stats, vector
 
 
 def plain_fixed(text, size=240, overlap=40):
@@ -262,10 +262,31 @@ def test_bootstrap(spark):
     r = stats.bootstrap(cur, base, "reciprocal_rank").first()
     x = np.array([row[5] / 2 for row in rows])
     means = np.sort(np.cumsum(x[stats.draws(np.arange(1, 2000 * 30 + 1), 30).reshape(2000, 30)], axis=1)[:, -1] / 30)
-    assert (r.lower, r.upper, r.pairs) == (means[50], means[1950], 30) and r.delta == pytest.approx(x.mean())
+    assert (r.lower, r.upper, r.pairs) == (pytest.approx(means[50]), pytest.approx(means[1950]), 30) and r.delta == pytest.approx(x.mean())
     assert stats.bootstrap(cur.limit(5), base, "reciprocal_rank").count() == 0
 
 
+def test_intervals_of_several_metrics_over_blocks(spark, monkeypatch):
+    """Small blocks change nothing but the order of sums, and each metric has its own pairs."""
+    rng = random.Random(6)
+    rows = [(f"c{i:02}", "in_scope" if i % 9 else "other", True, 1 + i % 3, rng.random() < 0.5, rng.random()) for i in range(40)]
+    schema = "case_id string, scope string, is_positive boolean, expected_count int, hit_at1 boolean, reciprocal_rank double"
+    cur = spark.createDataFrame(rows, schema)
+    base = cur.withColumns({"reciprocal_rank": F.col("reciprocal_rank") * 0.5, "hit_at1": F.lit(True)}).filter("case_id <> 'c01'")
+    monkeypatch.setattr(stats, "BLOCK", 7)
+    got = {r.metric: r for r in stats.intervals(cur, base, ["hit_at1", "reciprocal_rank"], rounds=300).collect()}
+    for metric, x in (("hit_at1", [float(r[4]) - 1 for r in rows if r[1] == "in_scope" and r[3] == 1 and r[0] != "c01"]), ("reciprocal_rank", [r[5] / 2 for r in rows if r[1] == "in_scope" and r[0] != "c01"])):
+        n = len(x)
+        means = np.sort(np.array(x)[stats.draws(np.arange(1, 300 * n + 1), n).reshape(300, n)].mean(axis=1))
+        r = got[metric]
+        assert (r.pairs, r.delta, r.lower, r.upper) == (n, pytest.approx(np.mean(x)), pytest.approx(means[7]), pytest.approx(means[293]))
+    now = spark.createDataFrame([(1,)], "cases int")
+    r = gate.with_intervals(now, cur.withColumn("hit_at5", F.lit(False)), base.withColumn("hit_at5", F.lit(True))).first()
+    assert r.upper_recall_at5 == -1 and r.upper_mrr > 0
+    few = gate.with_intervals(now, cur.limit(3).withColumn("hit_at5", F.lit(False)), base.withColumn("hit_at5", F.lit(True))).first()
+    assert (few.upper_recall_at1, few.upper_recall_at5, few.upper_mrr) == (None, None, None)
+
+
 def test_gate(spark):
     schema = "cases long, recall_at1 double, recall_at5 double, mrr double, p50 double, p95 double, regression_rate double"
     base = spark.createDataFrame([(10, 0.5, 0.6, 0.55, 50.0, 100.0, 1.0)], schema)
@@ -281,17 +302,99 @@ def test_gate(spark):
     assert gate.disqualified({"build_configuration": "debug"}) and not gate.disqualified({"build_configuration": "release", "device_class": "physical"})
 
 
-def test_registry():
-    r = gate.Registry("v1")
-    r.nominate("v2")
-    r.nominate("v3")
-    assert r.records["v2"].state == "draft"
-    with pytest.raises(ValueError):
-        r.promote("v3", "pass", "v2", 1)
-    with pytest.raises(ValueError):
-        r.promote("v3", "blocked", "v3", 1)
-    r.promote("v3", "pass", "v3", 1)
-    assert r.records["v1"].state == "retired" and [x.version for x in r.history()] == ["v3"] and not r.replace_root("v9")
+def plain_registry(events, root, config):
+    """The rules one after the other, for one registry."""
+    production, candidate, configs, promoted, out = root, None, {root: config}, {}, []
+    for seq, kind, version, parent, new, of, ok in sorted(events):
+        error = None
+        if kind == "create":
+            error = "unknown_record" if parent not in configs else "version_exists" if version is None or version in configs else None
+            configs |= {} if error else {version: new or configs[parent]}
+        elif kind == "migrate":
+            error = "was_promoted" if production in promoted else "no_change" if configs[production] == new else None
+            configs |= {} if error else {production: new}
+        elif version not in configs:
+            error = "unknown_record"
+        elif kind == "nominate":
+            error = "cannot_edit_production" if version == production else None
+            candidate = candidate if error else version
+        elif kind == "promote":
+            error = "not_promotable" if version != candidate else "verdict_for_another" if of != version else None if ok else "blocked_by_gate"
+            if not error:
+                production, candidate, promoted = version, None, promoted | {version: seq}
+        elif kind == "remove":
+            error = "cannot_edit_production" if version in (production, candidate) else None
+            if not error:
+                del configs[version]
+                promoted.pop(version, None)
+        else:
+            error = "unknown_event"
+        out.append((seq, production, candidate, dict(configs), dict(promoted), error))
+    return out
+
+
+def test_registry(spark, tmp_path):
+    rng = random.Random(8)
+    kinds, names = ["create", "nominate", "promote", "migrate", "remove", "odd"], ["v0", "v1", "v2", None]
+    logs = {r: [(i, rng.choices(kinds, [3, 4, 6, 1, 2, 0.3])[0], rng.choice(names), rng.choice(["v0", "v1", "v8"]), rng.choice(["x", "y", None]), rng.choice(names), rng.choice([True, True, False, None])) for i in range(40)] for r in ("a", "b", "c")}
+    for log in logs.values():  # some of what is asked for makes sense
+        log[:4] = [(0, "create", "v1", "v0", None, None, None), (1, "nominate", "v1", None, None, None, None), (2, "promote", "v1", None, None, "v1", True), (3, "migrate", None, None, "z", None, None)]
+    store = registry.log_table(spark, str(tmp_path / "log"))
+    rows = [(r, *e) for r, log in logs.items() for e in log]
+    for part in (rows[:50], rows[50:]):
+        registry.append(store, spark.createDataFrame(part, registry.LOG))
+    after = registry.states(store.load(), "v0", "x")
+    got = {}
+    for r in after.orderBy("seq").collect():
+        got.setdefault(r.registry, []).append((r.seq, r.production, r.candidate, r.configs, r.promoted, r.error))
+    assert got == {r: plain_registry(log, "v0", "x") for r, log in logs.items()}
+    assert {e for log in got.values() for *_, e in log} >= {None, "unknown_record", "not_promotable", "was_promoted"}
+    want = {(r, v, at, v == log[-1][1]) for r, log in got.items() for v, at in log[-1][4].items()}
+    assert {tuple(x) for x in registry.history(after).collect()} == want
+
+
+def test_places_of_any_group(spark):
+    """Hot groups, nulls and ties; clashing names; no rows."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([1, 2, 3, None]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v int, _at int").repartition(7)
+    got = ranks.placed(df, ["g"], ["v", "_at"], "p")
+    assert got.columns == ["g", "v", "_at", "p"]
+    want = {}
+    for g, v, i in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2])):
+        want.setdefault(g, []).append((v, i))
+    assert {(r.g, r.p): (r.v, r["_at"]) for r in got.collect()} == {(g, k): x for g, xs in want.items() for k, x in enumerate(xs)}
+    assert sorted((r.g or "", r.p) for r in ranks.placed(df, ["g"], ["v"], "p").collect()) == sorted((g or "", k) for g, xs in want.items() for k in range(len(xs)))
+    assert ranks.placed(df.limit(0), ["g"], ["v"], "p").collect() == []
+    plan = evaluate.stratified_split(df, "g", "_at")._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan
+
+
+def test_lists_in_two_stages(spark):
+    kw = spark.createDataFrame([("fast", "a", 1), ("fast", "b", 2), ("slow", "a", 1), ("slow", "b", 2), ("only", "a", 1)], "q string, id string, rank int")
+    hy = spark.createDataFrame([("fast", "b", 1, 1500), ("fast", "c", 2, 1500), ("slow", "c", 1, 1501), ("slow", "b", 2, 1501), ("slow", "d", 3, 1501), ("none", "z", 1, 9999)], "q string, id string, rank int, after int")
+    got = {}
+    for r in present.two_stage(kw, hy, ["q"]).orderBy("place").collect():
+        got.setdefault(r.q, []).append((r.id, r.appended))
+    assert got == {"fast": [("b", False), ("c", False)], "slow": [("a", False), ("b", False), ("c", True), ("d", True)], "only": [("a", False)], "none": [("z", True)]}
+
+
+def test_similar_queries(spark):
+    """All pairs of different sets by brute force; equal ones are one class, however many."""
+    rng = random.Random(11)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    texts = {i: " ".join(rng.choices(words, k=rng.randrange(1, 7))) for i in range(60)} | {100: "x", 101: "xy", 102: "XY", 103: "", 104: None, 105: "aaaa", 106: "aaaaaa"} | {200 + i: "Alpha  beta" for i in range(2000)}
+    df = spark.createDataFrame(list(texts.items()), "id long, query string").repartition(4)
+    norm = {i: "".join((x or "").lower().split()) for i, x in texts.items()}
+    sets = {i: frozenset(x[k : k + 3] for k in range(len(x) - 2)) or frozenset([x]) for i, x in norm.items() if x}
+    least = {}
+    for i, g in sets.items():
+        least[g] = min(i, least.get(g, i))
+    assert {(r.id, r.rep) for r in evaluate.query_classes(df).collect()} == {(i, least[g]) for i, g in sets.items()}
+    for t in (0.2, 0.6, 1.0):
+        want = {(min(a, b), max(a, b)): len(g & h) / len(g | h) for g, a in least.items() for h, b in least.items() if a < b and len(g & h) / len(g | h) >= t}
+        got = {(r.a, r.b): r.similarity for r in evaluate.trigram_similarity(df, t).collect()}
+        assert got == pytest.approx(want)
 
 
 def test_cases_are_added_once(spark):

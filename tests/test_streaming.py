@@ -45,6 +45,57 @@ def test_last_traces(spark, tmp_path):
     assert {(r.key, r.place, r.payload) for r in edits.last_traces_by_batch(df, 5).collect()} == want
 
 
+def appended(spark, path, df_rows, schema):
+    spark.createDataFrame(df_rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def stateful(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def test_jobs_in_flight(spark, tmp_path):
+    """A key is taken until its job ends, across batches as within one; the batch form says the same."""
+    schema = "job_key string, at long, n long, event string"
+    first = [("k", 1, 0, "submitted"), ("k", 2, 0, "submitted"), ("k", 3, 0, "attempt"), ("m", 1, 0, "failed"), ("m", 2, 0, "submitted"), ("m", 3, 0, "cancelled"), ("m", 3, 1, "submitted")]
+    second = [("k", 9, 0, "submitted"), ("k", 10, 0, "succeeded"), ("k", 11, 0, "submitted"), ("k", 12, 0, "submitted"), ("m", 8, 0, "submitted")]
+    want = {("k", 1, False, 1), ("k", 2, True, 1), ("k", 9, True, 1), ("k", 11, False, 11), ("k", 12, True, 11), ("m", 2, False, 2), ("m", 3, False, 3), ("m", 8, True, 3)}
+    rows = lambda found: {(r.job_key, r.at, r.deduplicated, r.started) for r in found}
+    assert rows(edits.in_flight(spark.createDataFrame(first + second, schema)).collect()) == want
+    stateful(spark)
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    for part in (first, second):
+        appended(spark, path, part, schema)
+        found = edits.in_flight(spark.readStream.schema(schema).parquet(path))
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert rows(spark.read.parquet(out).collect()) == want
+
+
+def test_lists_in_two_stages(spark, tmp_path):
+    schema = "search_id string, stage string, at long, rank int, note_id string"
+    keyword = [(q, "keyword", 1000, i, n) for q in ("fast", "slow") for i, n in enumerate("ab", 1)]
+    hybrid = [("fast", "hybrid", 2500, 1, "b"), ("fast", "hybrid", 2500, 2, "c"), ("slow", "hybrid", 2501, 1, "c"), ("slow", "hybrid", 2501, 2, "b"), ("slow", "hybrid", 2501, 3, "d"), ("none", "hybrid", 9000, 1, "z")]
+    stateful(spark)
+    path, lists = str(tmp_path / "in"), []
+    for part in (keyword, hybrid):
+        appended(spark, path, part, schema)
+        q = edits.two_stage(spark.readStream.schema(schema).parquet(path)).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c"))
+        q.foreachBatch(lambda df, _: lists.extend(df.orderBy("search_id", "place").collect())).trigger(availableNow=True).start().awaitTermination(120)
+    shown = lambda some: [(r.search_id, r.note_id, r.appended) for r in some]
+    assert shown(lists[:4]) == [("fast", "a", False), ("fast", "b", False), ("slow", "a", False), ("slow", "b", False)]
+    assert shown(lists[4:]) == [("fast", "b", False), ("fast", "c", False), ("none", "z", False), ("slow", "a", False), ("slow", "b", False), ("slow", "c", True), ("slow", "d", True)]
+
+
+def test_last_traces_as_a_stream(spark, tmp_path):
+    schema = "key string, at long, payload string"
+    stateful(spark)
+    path, found = str(tmp_path / "in"), []
+    for part in ([("k", i, f"p{i}") for i in range(4)], [("k", 9, "p9"), ("m", 1, "x")]):
+        appended(spark, path, part, schema)
+        q = edits.last_traces(spark.readStream.schema(schema).parquet(path), 3).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c"))
+        q.foreachBatch(lambda df, _: found.append({(r.key, r.place, r.payload) for r in df.collect()})).trigger(availableNow=True).start().awaitTermination(120)
+    assert found == [{("k", 1, "p3"), ("k", 2, "p2"), ("k", 3, "p1")}, {("k", 1, "p9"), ("k", 2, "p3"), ("k", 3, "p2"), ("m", 1, "x")}]
+
+
 def test_maintained_store(spark, tmp_path):
     """Orphans go first, pending chunks are embedded once, and a second run over the same edits writes nothing new."""
     chunks = spark.createDataFrame([("n1/b/0", "n1", "b", "h1", "t1", "s"), ("n2/b/0", "n2", "b", "h2", "t2", "s")], "chunk_id string, note_id string, block_id string, content_hash string, text string, strategy string")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.io import kept
 from .lexical import containing
+from .ranks import placed
 
 KS = (1, 3, 5)
 
@@ -202,9 +204,9 @@ def dangling(cases: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def stratified_split(cases: DataFrame, by: str, order: str = "case_id") -> DataFrame:
-    """Adds ``split``: of each ten cases of a stratum, places 0, 4 and 7 are held out."""
-    i = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    return cases.withColumn("split", F.when((i % 10).isin(0, 4, 7), "holdout").otherwise("development"))
+    """Adds ``split``: of each ten cases of a stratum, places 0, 4 and 7 are held out.  No stratum is sorted in one task."""
+    of_ten = placed(cases, [by], [order], "_place").withColumn("_place", F.col("_place") % 10)
+    return of_ten.select(*cases.columns, F.when(F.col("_place").isin(0, 4, 7), "holdout").otherwise("development").alias("split"))
 
 
 def split_overlap(cases: DataFrame, key: str) -> DataFrame:
@@ -221,21 +223,36 @@ def leakage(cases: DataFrame, notes: DataFrame, least: int = 12, exempt: Column
     return found.select(F.col("pattern_id").alias("case_id"), F.col("text_id").alias("note_id"))
 
 
+def _trigrams(queries: DataFrame) -> DataFrame:
+    """Rows (id, g): the sorted set of trigrams of each query that isn't blank, case and white space apart; shorter ones whole."""
+    s = queries.select("id", F.regexp_replace(F.lower("query"), r"\s+", "").alias("s")).filter("s <> ''")
+    n = F.length("s")
+    some = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring("s", i, F.lit(3))))
+    return s.select("id", F.array_sort(F.when(n < 3, F.array("s")).otherwise(some)).alias("g"))
+
+
+def query_classes(queries: DataFrame) -> DataFrame:
+    """Rows (id, rep): queries with equal sets of trigrams are one class, known by its smallest id."""
+    g = _trigrams(queries)
+    return g.join(g.groupBy("g").agg(F.min("id").alias("rep")), "g").select("id", "rep")
+
+
 def trigram_similarity(queries: DataFrame, least: float = 0.6) -> DataFrame:
-    """Rows (a, b, similarity): pairs of queries whose trigram sets have a Jaccard similarity of ``least`` or more.
+    """Rows (a, b, similarity): pairs of classes (see :func:`query_classes`) whose trigram sets have a Jaccard similarity of ``least`` or more.
 
     Two such sets share one of their rarest trigrams, all but the first ``least`` share of each
-    set in order of frequency; only pairs that do are compared, so that common trigrams pair nothing.
+    set in order of frequency; and where they first meet there, enough of both must be left.
+    Only pairs for which both hold are compared, so common trigrams pair nothing.
     """
-    s = queries.select("id", F.regexp_replace(F.lower("query"), r"\s+", "").alias("s")).filter("s <> ''")
-    n = F.length("s")
-    grams = F.when(n < 3, F.array("s")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring("s", i, 3))))
-    g = s.select("id", grams.alias("g")).withColumn("n", F.size("g"))
+    g = kept(_trigrams(queries).groupBy("g").agg(F.min("id").alias("id")).withColumn("n", F.size("g")))
     each = g.select("id", "n", F.explode("g").alias("gram"))
     rare = each.join(each.groupBy("gram").agg(F.count("*").alias("f")), "gram").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("f", "gram")))
-    prefix = rare.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("id", "n", "gram")
-    near = (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n"))
-    pairs = prefix.alias("x").join(prefix.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    prefix = rare.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("id", "n", "gram", "place")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    near = F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - 1e-9
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + F.least("x.place", "y.place")
+    enough = left >= F.lit(least / (1 + least)) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & near & enough).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     sets = lambda side: g.select(F.col("id").alias(side), F.col("g").alias("g_" + side))
     shared = F.size(F.array_intersect("g_a", "g_b"))
     both = pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", (shared / (F.size("g_a") + F.size("g_b") - shared)).alias("similarity"))

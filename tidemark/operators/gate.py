@@ -1,13 +1,15 @@
-"""Release gate: checks over one-row metric tables, and the registry of configurations (driver side, a few records)."""
+"""Release gate: checks over one-row metric tables."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import stats
+
 EPSILON = 1e-9
 
 
@@ -59,6 +61,17 @@ def checks(current: DataFrame, baseline: DataFrame, thresholds: Thresholds = Thr
     return j.select(made.alias("r")).select("r.*")
 
 
+# The metrics of the gate and the columns of outcomes that they are means of.
+INTERVALS = {"recall_at1": "hit_at1", "recall_at5": "hit_at5", "mrr": "reciprocal_rank"}
+
+
+def with_intervals(current: DataFrame, now: DataFrame, before: DataFrame) -> DataFrame:
+    """``current`` (one row of metrics) with the upper ends of the paired test's intervals between two outcome tables, null where it has too few pairs; :func:`checks` judges by them."""
+    found = stats.intervals(now, before, list(INTERVALS.values()))
+    ends = [F.max(F.when(F.col("metric") == m, F.col("upper"))).alias("upper_" + name) for name, m in INTERVALS.items()]
+    return current.join(F.broadcast(found.agg(*ends)))
+
+
 def verdict(found: DataFrame, stale: str | None = None) -> DataFrame:
     """One row: stale (with its reason), pass if all checks pass, else blocked."""
     if stale is not None:
@@ -97,45 +110,3 @@ def disqualified(environment: dict[str, object], build: str = "release", device:
     if environment.get("thermal_state", "nominal") != "nominal":
         return "thermal state"
     return "region" if region is not None and environment.get("provider_region") != region else None
-
-
-@dataclass(frozen=True)
-class Record:
-    version: str
-    state: str = "draft"  # draft, candidate, production or retired
-    promoted_at: int | None = None
-
-
-class Registry:
-    """One configuration in production, one candidate at most; promotion needs a pass of that very version."""
-
-    def __init__(self, production: str):
-        self.records = {production: Record(production, "production")}
-
-    def nominate(self, version: str) -> None:
-        for v, r in self.records.items():
-            if r.state == "candidate":
-                self.records[v] = replace(r, state="draft")
-        if self.records.get(version, Record(version)).state == "production":
-            raise ValueError(f"{version} is in production")
-        self.records[version] = Record(version, "candidate")
-
-    def promote(self, version: str, status: str, of_version: str, at: int) -> None:
-        if self.records.get(version, Record(version)).state != "candidate":
-            raise ValueError(f"{version} is no candidate")
-        if status != "pass" or of_version != version:
-            raise ValueError("no pass for this version")
-        for v, r in self.records.items():
-            if r.state == "production":
-                self.records[v] = replace(r, state="retired")
-        self.records[version] = Record(version, "production", at)
-
-    def replace_root(self, version: str) -> bool:
-        """Another initial configuration, if none was ever promoted."""
-        if self.history():
-            return False
-        self.records = {v: r for v, r in self.records.items() if r.state != "production"} | {version: Record(version, "production")}
-        return True
-
-    def history(self) -> list[Record]:
-        return sorted((r for r in self.records.values() if r.promoted_at is not None), key=lambda r: -r.promoted_at)

@@ -50,13 +50,14 @@ def part_grams(hays: list[str], places: np.ndarray) -> tuple[list[str], np.ndarr
         whole = text[: len(gram)] == text[n - 1 :]
         mine, at = gram[whole], owner[: len(gram)][whole]
         if len(alphabet) ** n * PLACES < 1 << 62:
-            pairs = np.unique(mine * PLACES + at)
+            pairs = _different(mine * PLACES + at)
             mine, at = pairs // PLACES, pairs % PLACES
         else:
             found, mine = np.unique(mine, return_inverse=True)
-            pairs = np.unique(mine * PLACES + at)
+            pairs = _different(mine * PLACES + at)
             mine, at = found[pairs // PLACES], pairs % PLACES
-        some, count = np.unique(mine, return_counts=True)
+        first = np.flatnonzero(np.diff(mine, prepend=-1))
+        some, count = mine[first], np.diff(np.append(first, len(mine)))
         letters = np.stack([alphabet[some // len(alphabet) ** (n - 1 - i) % len(alphabet)] for i in range(n)], axis=1) if len(some) else np.zeros((0, n), "<u4")
         joined = np.ascontiguousarray(letters, "<u4").tobytes().decode("utf-32-le")
         names += [joined[i : i + n] for i in range(0, len(joined), n)]
@@ -65,6 +66,12 @@ def part_grams(hays: list[str], places: np.ndarray) -> tuple[list[str], np.ndarr
     return names, np.cumsum(np.concatenate(lengths)), np.concatenate(held)
 
 
+def _different(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once; on mostly different numbers faster than ``np.unique``, which hashes."""
+    x = np.sort(x)
+    return x[np.diff(x, prepend=x[:1] - 1) != 0]
+
+
 def build(chunks: DataFrame) -> DataFrame:
     """The index (gram, part, n, places) of ``chunks`` (part, place, hay), sorted by gram within files, so that a look-up skips most pages."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import upkeep_queries  # noqa: F401  registers its queries
+from . import state_queries, upkeep_queries  # noqa: F401  register their queries
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -393,11 +393,10 @@ def fusion_sweep(spark, sf):
     """Both methods over their parameters in one job; the mean reciprocal rank of the note that each query is taken from."""
     kw, near = _arms(spark, sf)
     params = spark.createDataFrame(_SWEEP, "method string, k int, a double, b double")  # a dozen rows
-    part = lambda r: F.coalesce(F.lit(1.0) / (F.col("k") + F.col(r)), F.lit(0.0))
-    weight = lambda w, r: F.coalesce(F.col(w) / F.col(r), F.lit(0.0))
-    score = F.when(F.col("method") == "rrf", part("keyword_rank") + part("vector_rank")).otherwise(weight("a", "keyword_rank") + weight("b", "vector_rank"))
-    f = kw.join(near, ["query_id", "id"], "full").crossJoin(F.broadcast(params)).withColumn("s", F.round(score, 9))
-    top = f.withColumn("r", F.row_number().over(Window.partitionBy("method", "k", "a", "query_id").orderBy(F.desc("s"), "id"))).filter(F.col("r") <= K)
+    ranks = F.col("keyword_rank"), F.col("vector_rank")
+    score = F.when(F.col("method") == "rrf", fuse.rrf(*ranks, F.col("k"))).otherwise(fuse.weighted(*ranks, F.col("a"), F.col("b")))
+    each = kw.crossJoin(F.broadcast(params)), near.crossJoin(F.broadcast(params))
+    top = fuse.fuse(*each, F.round(score, 9), ["method", "k", "a", "b", "query_id"]).withColumnRenamed("fused_rank", "r").filter(F.col("r") <= K)
     own = F.when(F.col("id") == F.concat(F.lit("n"), F.col("query_id").cast("string")), F.lit(1.0) / F.col("r")).otherwise(0.0)
     return top.groupBy("method", "k", F.col("a").alias("keyword_weight")).agg((F.sum(own) / F.countDistinct("query_id")).alias("mrr"), F.count("*").alias("n"))
 
@@ -826,13 +825,22 @@ def leakage(spark, sf):
 
 
 @query(r"""WITH s AS (SELECT item_id AS id, regexp_replace(lower(text), '[ \t\n\v\f\r]+', '', 'g') AS s FROM benchmark), g AS (SELECT DISTINCT id, substr(s, i::INT, 3) AS gram FROM (SELECT id, s, unnest(generate_series(1, length(s) - 2)) AS i FROM s)),
-    n AS (SELECT id, count(*) AS n FROM g GROUP BY id), m AS (SELECT x.id AS a, y.id AS b, count(*) AS m FROM g x JOIN g y ON x.gram = y.gram AND x.id < y.id GROUP BY 1, 2)
+    l AS (SELECT id, list(gram ORDER BY gram) AS grams FROM g GROUP BY id), r AS (SELECT min(id) AS id, len(grams) AS n FROM l GROUP BY grams), n AS (SELECT id, n FROM r),
+    m AS (SELECT x.id AS a, y.id AS b, count(*) AS m FROM g x JOIN g y ON x.gram = y.gram AND x.id < y.id AND x.id IN (SELECT id FROM r) AND y.id IN (SELECT id FROM r) GROUP BY 1, 2)
     SELECT a, b, round(m::DOUBLE / (p.n + q.n - m), 6) AS similarity FROM m JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE m::DOUBLE / (p.n + q.n - m) >= 0.2""")
 def trigram_jaccard(spark, sf):
     q = M.read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("query"))
     return _rounded(evaluate.trigram_similarity(q, 0.2))
 
 
+@query(r"""WITH s AS (SELECT item_id AS id, left(regexp_replace(lower(text), '[ \t\n\v\f\r]+', '', 'g'), 5) AS s FROM benchmark), g AS (SELECT DISTINCT id, substr(s, i::INT, 3) AS gram FROM (SELECT id, s, unnest(generate_series(1, greatest(length(s) - 2, 1))) AS i FROM s WHERE s <> '')),
+    l AS (SELECT id, list(gram ORDER BY gram) AS grams FROM g GROUP BY id) SELECT id, min(id) OVER (PARTITION BY grams) AS rep FROM l""")
+def trigram_classes(spark, sf):
+    """Items whose first five letters have the same trigrams are one class."""
+    start = F.substring(F.regexp_replace(F.lower("text"), r"\s+", ""), 1, 5)
+    return evaluate.query_classes(M.read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), start.alias("query")))
+
+
 @query("SELECT sha256(text) AS text_hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_text(spark, sf):
     return _docs(spark, sf).groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")

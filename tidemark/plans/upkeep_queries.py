@@ -119,7 +119,7 @@ def resolved_text(spark, sf):
 
 
 def _dataset(spark, sf):
-    """An evaluation set as one JSON object, written and read again."""
+    """An evaluation set in sixteen files, one JSON object each, written and read again."""
     b = M.read(spark, sf, "benchmark")
     i = F.col("item_id")
     s = i.cast("string")
@@ -129,10 +129,10 @@ def _dataset(spark, sf):
     )
     negative = F.struct(F.concat(F.lit("x"), s).alias("id"), F.lit("nothing").alias("query"), F.when(i % 5 == 1, "holdout").alias("split"))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("item_id", c.alias("c")))), lambda x: x["c"])
-    one = b.agg(F.lit("1").alias("version"), ordered(F.struct(F.concat(F.lit("n"), s).alias("id"), F.lit("t").alias("title"), F.col("text").alias("content"))).alias("notes"), ordered(F.to_json(candidate)).alias("c"), ordered(negative).alias("negatives"))
+    each = b.groupBy((i % 16).alias("part")).agg(F.lit("1").alias("version"), ordered(F.struct(F.concat(F.lit("n"), s).alias("id"), F.lit("t").alias("title"), F.col("text").alias("content"))).alias("notes"), ordered(F.to_json(candidate)).alias("c"), ordered(negative).alias("negatives"))
     schema = next(f.dataType.elementType for f in spark.createDataFrame([], io.DATASET).schema if f.name == "candidates")
     path = _new_path(spark, "dataset")
-    io.write_json(one.withColumn("candidates", F.transform("c", lambda x: F.from_json(x, schema))).drop("c"), path)
+    io.write_json(each.withColumn("candidates", F.transform("c", lambda x: F.from_json(x, schema))).drop("c"), path, "part")
     return io.eval_dataset(spark, path)
 
 
@@ -157,10 +157,12 @@ def dataset_notes(spark, sf):
     return io.dataset_notes(_dataset(spark, sf)).select("id", F.sha2("content", 256).alias("content_hash"))
 
 
-@query("SELECT sha256(string_agg(replace(text, chr(10), ' '), chr(10) ORDER BY item_id) || chr(10)) AS text_hash, 'txt' AS file_type, false AS extraction_unavailable FROM benchmark")
+@query("SELECT sha256(string_agg(replace(text, chr(10), ' '), chr(10) ORDER BY item_id) || chr(10)) AS text_hash, 'txt' AS file_type, false AS extraction_unavailable FROM benchmark GROUP BY item_id % 16")
 def document_import(spark, sf):
+    """Sixteen text files, written by as many tasks as there are, and read back one row each."""
     path = _new_path(spark, "texts")
-    M.read(spark, sf, "benchmark").orderBy("item_id").select(F.regexp_replace("text", "\n", " ").alias("value")).coalesce(1).write.text(path)
+    lines = M.read(spark, sf, "benchmark").select((F.col("item_id") % 16).alias("part"), "item_id", F.regexp_replace("text", "\n", " ").alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "item_id").select("part", "value").write.partitionBy("part").text(path)
     return io.documents(spark, path).select(F.sha2("extracted_text", 256).alias("text_hash"), "file_type", "extraction_unavailable")
 
 
@@ -390,10 +392,19 @@ def provider_decision(spark, sf):
     return d.select("event_id", "route", derive.provider(r, e % 13 != 0, e % 17 != 0).alias("provider"), derive.skip_semantic(r, han).alias("skips"), derive.offer_upgrade(r, cloud, consent, han, e % 2 == 1, e % 19 != 0).alias("upgrade"))
 
 
-@query("SELECT s AS state, s IN ('ready', 'rebuilding', 'stale') AS vector, true AS keyword FROM (SELECT unnest(['ready', 'building', 'rebuilding', 'stale', 'failed']) AS s)")
+# The index of each user's events: views are pending, clicks running, errors its failure, purchases what is embedded already.
+_USER_STATE = """u AS (SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'view') AS pending, count(*) FILTER (event_type = 'click') AS running, count(*) FILTER (event_type = 'purchase') > 0 AS has, count(*) FILTER (event_type = 'error') > 2 AS down FROM events GROUP BY user_id),
+    s AS (SELECT user_id, CASE WHEN down AND pending > 0 THEN 'failed' WHEN pending = 0 THEN 'ready' WHEN NOT has THEN 'building' WHEN running > 0 THEN 'rebuilding' ELSE 'stale' END AS state FROM u)"""
+
+
+@query(f"WITH {_USER_STATE} SELECT user_id, state, state IN ('ready', 'rebuilding', 'stale') AS vector, true AS keyword FROM s")
 def allowed_arms(spark, sf):
-    s = spark.range(1).select(F.explode(F.array(*map(F.lit, ("ready", "building", "rebuilding", "stale", "failed")))).alias("state"))
-    return s.select("state", derive.allows_vector(F.col("state")).alias("vector"), derive.allows_keyword(F.col("state")).alias("keyword"))
+    """Which searches the index of each user allows, by the state that its counts give."""
+    is_ = lambda kind: F.count(F.when(F.col("event_type") == kind, 1))
+    u = M.read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("total"), is_("view").alias("pending"), is_("click").alias("running"), (is_("purchase") > 0).alias("has"), F.when(is_("error") > 2, "down").alias("failure"))
+    c = F.col
+    s = u.select("user_id", derive.index_state(c("total"), c("pending"), c("running"), c("has"), c("failure"))["state"].alias("state"))
+    return s.select("user_id", "state", derive.allows_vector(c("state")).alias("vector"), derive.allows_keyword(c("state")).alias("keyword"))
 
 
 _LOG = """log AS (SELECT epoch_us(ts) // 1000000 AS moment, user_id AS job_key, CASE event_type WHEN 'view' THEN 'submitted' WHEN 'click' THEN 'attempt' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'retried' END AS event FROM events)"""

@@ -116,8 +116,10 @@ def write_exports(exports: DataFrame, path: str) -> None:
     exports.select("note_id", "text").write.mode("overwrite").json(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, part: str | None = None) -> None:
+    """One JSON object a row; with ``part``, a folder for each value of that column."""
+    w = df.write.mode("overwrite")
+    (w.partitionBy(part) if part else w).json(path)
 
 
 def ocr_text(blocks: DataFrame, overlay: DataFrame, check_hash: bool = True) -> DataFrame:
