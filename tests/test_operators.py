@@ -103,8 +103,9 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
         a, b = np.array(a or [], np.float32).astype(float), np.array(b or [], np.float32).astype(float)
         return 0.0 if len(a) != len(b) or not len(a) or not a.any() or not b.any() else float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
 
-    for block in (vector.BLOCK, 10):
+    for block, together in ((vector.BLOCK, 4096), (10, 3)):
         monkeypatch.setattr(vector, "BLOCK", block)
+        monkeypatch.setattr(vector, "TOGETHER", together)
         got = {(r.query_id, r.rank): (r.id, round(r.similarity, 9)) for r in vector.nearest(index, queries, 7).collect()}
         for q, v in rows:
             if q % 20 == 3 or q in (100, 103):
@@ -112,6 +113,23 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
                 assert [got[q, r + 1] for r in range(7)] == [(i, pytest.approx(-s, abs=1e-6)) for s, i in want]
 
 
+def test_blocks_that_cannot_win_are_skipped(spark, monkeypatch):
+    """Vectors in tight groups: the answer is that of a product of matrices, and most blocks are never looked at."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 16))
+    x = np.repeat(centres, 50, axis=0) + rng.normal(scale=0.02, size=(1000, 16))
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
+    queries = index.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    monkeypatch.setattr(vector, "BLOCK", 20)
+    got = {(r.query_id, r.rank): r.id for r in vector.nearest(index, queries, 5).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 1000, 20):
+        want = np.lexsort((np.arange(1000), -np.round(u @ u[q], 12)))[:5]
+        assert [got[q, r] for r in range(1, 6)] == want.tolist()
+    seen = vector.visits(index, queries, 5).collect()
+    assert len(seen) == 50 and sum(r.visited for r in seen) < 0.3 * sum(r.blocks for r in seen)
+
+
 def test_percentiles_and_calibration(spark, monkeypatch):
     random.seed(13)
     rows = [(random.choice(["a", "b", None]), random.choice([float(random.randrange(20)), random.random(), None])) for _ in range(900)] + [("hot", 1.0)] * 500 + [("one", 2.0), ("none", None)]
