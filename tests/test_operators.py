@@ -103,8 +103,9 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
         a, b = np.array(a or [], np.float32).astype(float), np.array(b or [], np.float32).astype(float)
         return 0.0 if len(a) != len(b) or not len(a) or not a.any() or not b.any() else float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
 
-    for block, together in ((vector.BLOCK, 4096), (10, 3)):
+    for block, together, direct in ((vector.BLOCK, 4096, vector.DIRECT), (10, 3, 0)):
         monkeypatch.setattr(vector, "BLOCK", block)
+        monkeypatch.setattr(vector, "DIRECT", direct)
         monkeypatch.setattr(vector, "TOGETHER", together)
         got = {(r.query_id, r.rank): (r.id, round(r.similarity, 9)) for r in vector.nearest(index, queries, 7).collect()}
         for q, v in rows:
@@ -121,6 +122,7 @@ def test_blocks_that_cannot_win_are_skipped(spark, monkeypatch):
     index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
     queries = index.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
     monkeypatch.setattr(vector, "BLOCK", 20)
+    monkeypatch.setattr(vector, "DIRECT", 0)
     got = {(r.query_id, r.rank): r.id for r in vector.nearest(index, queries, 5).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     for q in range(0, 1000, 20):
