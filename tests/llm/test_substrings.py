@@ -1,5 +1,8 @@
+import os
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import substrings as S
@@ -54,7 +57,7 @@ def brute(rows, min_words=S.MIN_WORDS):
                     run = []
                 run.append((start, span, t))
         for run in [*runs, run]:
-            if run and max(s + n for s, n, _ in run) - run[0][0] >= min_words:
+            if run and max(s + n for s, n, _ in run) - run[0][0] >= min_words - S.EDGE:
                 part = []
                 for start, span, t in run:
                     kept = seen[t][:2] == (d, start)
@@ -68,7 +71,6 @@ def brute(rows, min_words=S.MIN_WORDS):
 
 
 def xx(t):
-    import numpy as np
     import xxhash
 
     return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join((t or "").encode().split()) + b" ")).view(np.int64))
@@ -123,6 +125,37 @@ def test_planted_passages(spark, docs):
     assert out[min(holds[0])[0]] == dict(rows)[min(holds[0])[0]]
 
 
+def test_repeated_words_are_cut():
+    """Where all words are candidates, or none is, chunks stay short."""
+    random.seed(5)
+    for t in ("spam " * 1000, "ham " * 999, "a b " * 500, " ".join(words(8)) + " ", " ".join(words(8) * 100), " ".join(words(23) * 40)):
+        _, ends, cuts = S.cut_points(t.encode())
+        assert len(ends) < 30 or np.diff(cuts).max() <= 30, t[:30]
+
+
+def test_recall_of_exact_repeats(spark):
+    """Of the words of a whole table that lie in an exact repeat of so many words, how many lie in the spans."""
+    data = os.environ.get("TEST_LEARN_DIR", "/root/testdata/sf0.01")
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(f"{data}/documents.parquet")
+    texts = {r.doc_id: (r.text or "").split() for r in df.select("doc_id", "text").collect()}
+    got = {i: np.zeros(len(w), bool) for i, w in texts.items()}
+    for r in S.repeated_spans(df).collect():
+        got[r.id][r.start_word : r.start_word + r.n_words] = True
+    for least, share in ((S.MIN_WORDS, 0.95), (50, 0.97), (80, 0.98)):
+        places = {}
+        for i, w in texts.items():
+            for a in range(len(w) - least + 1):
+                places.setdefault(hash(tuple(w[a : a + least])), []).append((i, a))
+        true = {i: np.zeros(len(w), bool) for i, w in texts.items()}
+        for found in places.values():
+            for i, a in found if len(found) > 1 else ():
+                true[i][a : a + least] = True
+        assert sum((x & got[i]).sum() for i, x in true.items()) >= share * sum(x.sum() for x in true.values())
+        assert not [i for i, x in true.items() if x.any() and not (x & got[i]).any()]
+
+
 def test_nothing(spark, docs):
     assert S.repeated_spans(docs((1, "a")).limit(0)).count() == 0
     same = " ".join(map(str, range(80)))

@@ -1,13 +1,15 @@
 """Substring dedup by content-defined chunking.
 
 A gear hash rolls over the words of a text (white space apart); a word end is a
-cut where three bits of the hash, which see the last 16 bytes only, are zero.
-Cuts too close to the one before are dropped, and in long gaps a weaker
-condition cuts as well; both rules look at nothing but nearby text, so an
-insertion moves only the cuts around it.  As single chunks of common words recur
+cut where two bits of the hash, which see the last 16 bytes only, are zero.
+Of cuts that follow each other every other one is dropped.  In long gaps a weaker
+condition cuts as well, and in those that are left a word whose hash is the least around; all
+rules look at nothing but nearby text, so an insertion moves only the cuts around it,
+and repeated words are cut as any others.  As single chunks of common words recur
 by chance, a digest covers ``WINDOW`` chunks in a row.  Windows with equal digests,
 in several documents or in one, are repeats, and runs of adjacent repeats of at least
-``min_words`` words are the passages to remove, all but their first place.
+``min_words`` words, less those that its edges may lose, are the passages to remove,
+all but their first place.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from pyspark.sql.window import Window
 
 from .common import HOT_ROWS, cut, fresh, join_hot, parallelism, table, text_batches
 
-#: Words of adjacent repeated chunks that make a passage.  A passage loses a few words of the chunks at its edges.
-MIN_WORDS = 34
+#: Words of a passage, and how many of them the chunks at its edges may lose.
+MIN_WORDS, EDGE = 34, 10
 LONG_GAP = 8
+#: In gaps that are long still, a word is a cut if its hash is the least of so many words to either side.
+NEAR = 4
 #: Adjacent chunks under one digest.
 WINDOW = 3
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, np.uint32)
@@ -42,17 +46,24 @@ def cut_points(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     for width in (1, 2, 4, 8):
         h[width:] += h[:-width] << np.uint32(width)
     at = h[ends]
-    strong = np.flatnonzero((at >> 13) & 3 == 0)
-    weak = np.flatnonzero((at >> 12) & 1 == 0)
-    strong = strong[np.diff(strong, prepend=-9) > 1]
-    edges = np.concatenate([[-1], strong, [len(ends) - 1]])
-    gap = np.diff(edges)
-    weak = weak[np.diff(weak, prepend=-9) > 1]
-    inside = gap[np.minimum(np.searchsorted(edges, weak) - 1, len(gap) - 1)] > LONG_GAP
-    cuts = np.unique(np.concatenate([strong, weak[inside], [len(ends) - 1]]))
+    padded = np.pad(at, NEAR, mode="edge")
+    least = np.lib.stride_tricks.sliding_window_view(padded, 2 * NEAR + 1).min(axis=1)
+    cuts = np.array([len(ends) - 1])
+    for candidates in ((at >> 13) & 3 == 0, (at >> 12) & 1 == 0, at == least):
+        edges = np.concatenate([[-1], cuts])
+        some = _thinned(np.flatnonzero(candidates))
+        wide = np.diff(edges)[np.minimum(np.searchsorted(edges, some) - 1, len(cuts) - 1)] > (LONG_GAP if len(cuts) > 1 else 0)
+        cuts = np.union1d(cuts, some[wide])
     return norm, ends, cuts
 
 
+def _thinned(some: np.ndarray) -> np.ndarray:
+    """Every other of numbers that follow each other, the first of them included: where all words are candidates, too, cuts are two words apart."""
+    first = np.diff(some, prepend=-9) > 1
+    turn = np.arange(len(some)) - np.maximum.accumulate(np.where(first, np.arange(len(some)), 0)) if len(some) else some
+    return some[turn % 2 == 0]
+
+
 def chunks(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Rows (id, doc, start, span, digest): each window of chunks of each text by its first word, its number of words and its digest.
 
@@ -116,7 +127,7 @@ def repeated_spans(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
     reached = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
     runs = marked.withColumn("new", F.when(F.col("start") <= reached, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
     whole = Window.partitionBy(*who, "run")
-    runs = runs.withColumn("words", F.max(end).over(whole) - F.min("start").over(whole)).filter(F.col("words") >= min_words)
+    runs = runs.withColumn("words", F.max(end).over(whole) - F.min("start").over(whole)).filter(F.col("words") >= min_words - EDGE)
     in_run = whole.orderBy("start")
     parts = runs.withColumn("turn", F.when(F.lag("kept").over(in_run) == F.col("kept"), 0).otherwise(1)).withColumn("part", F.sum("turn").over(in_run))
     return parts.groupBy(*who, "run", "part").agg(
