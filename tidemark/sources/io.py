@@ -39,9 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
         if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        _drop_at_exit(spark, sc.getCheckpointDir())  # a folder of this session's own within the named one
     return sc.getCheckpointDir()
 
 
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+
+
 _made: set[str] = set()
 
 
@@ -51,10 +60,7 @@ def session_dir(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/tidemark-{sc.applicationId}"
     if path not in _made:
         _made.add(path)
-        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
-        files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
-        files.mkdirs(folder)
-        files.deleteOnExit(folder)
+        _drop_at_exit(spark, path)
     return path
 
 
