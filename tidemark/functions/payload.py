@@ -77,11 +77,24 @@ def transcript(body: Column) -> Column:
     return F.struct(F.when(error.isNull(), trim(text)).alias("text"), error.alias("error"))
 
 
-def embeddings_in_order(body: Column, dimension: int) -> Column:
-    """Vectors of an embedding answer by their index; null if one has another dimension."""
+def embeddings_in_order(body: Column, dimension: int, expected: Column | None = None) -> Column:
+    """Vectors of an embedding answer by their index; null if one has another dimension, or if there are not as many as ``expected``."""
     rows = F.from_json(body, "data array<struct<index:int,embedding:array<float>>>")["data"]
     ordered = F.transform(F.array_sort(rows), lambda r: r["embedding"])
-    return F.when(F.forall(ordered, lambda v: F.size(v) == dimension), ordered)
+    fits = F.forall(ordered, lambda v: F.size(v) == dimension)
+    return F.when(fits if expected is None else fits & (F.size(ordered) == expected), ordered)
+
+
+def prompt_tokens(body: Column) -> Column:
+    """The tokens that a service says it counted, ``usage.prompt_tokens`` or else ``usage.total_tokens``; null if it doesn't say, or not in whole numbers.
+
+    It has no say in whether the answer itself can be used.
+    """
+    parsed = F.try_parse_json(body)
+    field = lambda name: F.try_variant_get(parsed, f"$.usage.{name}", "variant")
+    whole = lambda name: F.coalesce(F.schema_of_variant(field(name)).isin("BIGINT", "VOID"), F.lit(True))
+    value = lambda name: F.try_variant_get(parsed, f"$.usage.{name}", "bigint")
+    return F.when(whole("prompt_tokens") & whole("total_tokens"), F.coalesce(value("prompt_tokens"), value("total_tokens")))
 
 
 #: Audio types by file extension.

@@ -92,6 +92,21 @@ def start(load: Callable[[], DataFrame], live: DataFrame, delete: Callable[[Data
     return scan(stored)
 
 
+def bring_up(chunks: DataFrame, load: Callable[[], DataFrame], delete: Callable[[DataFrame], None], embed: Callable[[DataFrame], DataFrame], commit: Callable[[DataFrame], None], version: str, clear: Callable[[], None] | None = None) -> None:
+    """Indexes the whole library anew after a change: of the chunk strategy, or, with ``clear``, of the provider.
+
+    Records of another provider's version are no use, so they all go first.  Records of another
+    strategy have ids that no chunk has now: they are orphans of the plan, which are deleted
+    before anything is embedded, so the store never holds both.
+    """
+    if clear is not None:
+        clear()
+    plan = work_plan(chunks, load(), version)
+    delete(plan.filter("state = 'orphan'").select("chunk_id"))
+    pending = chunks.join(plan.filter("state = 'pending'").select("chunk_id"), "chunk_id", "left_semi")
+    commit(embed(pending).withColumn("embedding_version", F.lit(version)))
+
+
 def state_totals(plans: DataFrame, running: DataFrame) -> DataFrame:
     """One row (total, pending, running) over the work plans (note_id, state) of all notes and the running jobs."""
     live = plans.filter("state <> 'orphan'")

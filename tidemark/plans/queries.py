@@ -715,12 +715,24 @@ def eval_groups(spark, sf):
     return _rounded(evaluate.metrics(evaluate.in_groups(_outcomes(spark, sf)), ["group"]))
 
 
-@query(f"""WITH {RESULTS}, f AS (SELECT case_id, is_positive FROM outcomes WHERE CASE WHEN is_positive THEN NOT hit_at5 ELSE NOT returned_none END)
-    SELECT f.case_id, f.is_positive, (SELECT min(rank) FROM results r JOIN cases c USING (case_id) WHERE r.case_id = f.case_id AND r.note_id = c.expected[1]) AS keyword_rank, NULL::INT AS vector_rank,
-        (SELECT min(rank) FROM results r JOIN cases c USING (case_id) WHERE r.case_id = f.case_id AND list_contains(c.expected, r.note_id)) AS hybrid_rank FROM f""")
+@query(f"""WITH {RESULTS}, f AS (SELECT case_id, is_positive FROM outcomes WHERE CASE WHEN is_positive THEN NOT hit_at5 ELSE NOT returned_none END),
+    v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    vec AS (SELECT q.vec_id::VARCHAR AS case_id, 'n' || v.vec_id AS note_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.e, q.e), 9) DESC, v.vec_id) AS vector_rank FROM v, v AS q WHERE q.vec_id IN (SELECT item_id FROM benchmark) QUALIFY vector_rank <= 5),
+    arms AS (SELECT case_id, note_id, r.rank AS keyword_rank, vector_rank FROM results r FULL JOIN vec USING (case_id, note_id)),
+    fused AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(coalesce(0.7::DOUBLE / keyword_rank, 0) + coalesce(0.3::DOUBLE / vector_rank, 0), 9) DESC, note_id) AS rank FROM arms),
+    x AS (SELECT fused.*, c.expected[1] = note_id AS is_first, list_contains(c.expected, note_id) AS is_any FROM fused JOIN cases c USING (case_id))
+    SELECT f.case_id, f.is_positive, min(keyword_rank) FILTER (is_first) AS keyword_rank, min(vector_rank) FILTER (is_first) AS vector_rank, min(rank) FILTER (is_any) AS hybrid_rank FROM f LEFT JOIN x USING (case_id) GROUP BY f.case_id, f.is_positive""")
 def eval_failures(spark, sf):
-    r = _case_results(spark, sf).withColumns({"keyword_rank": F.col("rank"), "vector_rank": F.lit(None).cast("int")})
-    return evaluate.failure_ranks(evaluate.failures(_outcomes(spark, sf)), M.cases(spark, sf), r).select("case_id", "is_positive", "keyword_rank", "vector_rank", "hybrid_rank")
+    """Where each arm and both together rank what the failed cases expect; a case's vector is that of its number."""
+    v = M.vectors(spark, sf)
+    asked = v.join(M.read(spark, sf, "benchmark").select(F.col("item_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    near = vector.nearest(v.select("id", "vector"), asked, 5).select(F.col("query_id").cast("string").alias("case_id"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.col("rank").alias("vector_rank"))
+    found = _case_results(spark, sf)
+    kw = found.select("case_id", F.col("note_id").alias("id"), F.col("rank").alias("keyword_rank"))
+    both = fuse.fuse(kw, near, F.round(fuse.weighted(F.col("keyword_rank"), F.col("vector_rank")), 9), ["case_id"]).select("case_id", F.col("id").alias("note_id"), "keyword_rank", "vector_rank", F.col("fused_rank").alias("rank"))
+    cases = M.cases(spark, sf)
+    of = evaluate.outcomes(cases, evaluate.returned_notes(found))
+    return evaluate.failure_ranks(evaluate.failures(of), cases, both).select("case_id", "is_positive", "keyword_rank", "vector_rank", "hybrid_rank")
 
 
 @query("SELECT event_type, list_sort(list(value))[(count(*) // 2)::INT + 1] AS p50, list_sort(list(value))[least(count(*) - 1, floor(count(*) * 0.95::DOUBLE))::INT + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type")

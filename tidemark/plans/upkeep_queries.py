@@ -183,10 +183,23 @@ def embedding_answers(spark, sf):
     v = M.read(spark, sf, "embeddings").withColumn("request", F.floor(F.col("vec_id") / 4))
     item = F.struct((F.col("vec_id") % 4).cast("int").alias("index"), F.when((F.col("request") % 9 == 0) & (F.col("vec_id") % 4 == 1), F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("embedding"))
     body = v.groupBy("request").agg(F.to_json(F.struct(F.reverse(F.array_sort(F.collect_list(item))).alias("data"))).alias("body"))
-    rows = body.select("request", F.posexplode(payload.embeddings_in_order(F.col("body"), 64)).alias("place", "v"))
+    sent = v.groupBy("request").agg(F.count("*").alias("sent"))
+    rows = body.join(sent, "request").select("request", F.posexplode(payload.embeddings_in_order(F.col("body"), 64, F.col("sent"))).alias("place", "v"))
     return rows.select("request", F.col("place").cast("long").alias("place"), F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("first"), F.size("v").cast("long").alias("dimension"))
 
 
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id % 97 WHEN 1 THEN event_id % 89 WHEN 2 THEN event_id % 83 END AS tokens FROM events""")
+def embedding_usage(spark, sf):
+    """The tokens that each answer says it took: as prompt or total tokens, in no whole number, or not at all."""
+    e = F.col("event_id")
+    n = lambda m: (e % m).cast("string")
+    bodies = (
+        F.concat(F.lit('{"usage":{"prompt_tokens":'), n(97), F.lit(',"total_tokens":1}}')), F.concat(F.lit('{"usage":{"prompt_tokens":null,"total_tokens":'), n(89), F.lit("}}")),
+        F.concat(F.lit('{"data":[],"usage":{"total_tokens":'), n(83), F.lit("}}")), F.lit('{"usage":{"prompt_tokens":"7","total_tokens":7}}'), F.lit('{"usage":null}'),
+    )
+    return M.read(spark, sf, "events").select("event_id", payload.prompt_tokens(F.element_at(F.array(*bodies), (e % 5 + 1).cast("int"))).alias("tokens"))
+
+
 def _answers(spark, sf):
     return _docs(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("n"))
 
@@ -510,3 +523,26 @@ def startup_plan(spark, sf):
     store = io.DerivedStore(spark, _new_path(spark, "store"), _RECORDS, buckets=8)
     store.upsert(row)
     return derive.start(store.load, cur.select("note_id").distinct(), lambda gone: store.delete(gone, "note_id"), lambda left: derive.work_plan(cur, left, "e1"))
+
+
+def _rebuilt(spark, sf, chunks, version, clear):
+    """The store after the library was indexed anew, from records of the old strategy and provider."""
+    cur, stored = Q._stored(spark, sf)
+    row = lambda df, strategy, at: df.select("chunk_id", "note_id", F.col("chunk_id").alias("block_id"), "content_hash", "embedding_version", strategy.alias("chunk_strategy"), F.lit(at).alias("created_at"))
+    store = io.DerivedStore(spark, _new_path(spark, "store"), _RECORDS)
+    store.upsert(row(stored, F.lit("block"), 1))
+    embed = lambda pending: row(pending.withColumn("embedding_version", F.lit(version)), F.col("strategy"), 2)
+    derive.bring_up(chunks(cur), store.load, store.delete, embed, store.upsert, version, store.clear if clear else None)
+    return store.load().select("chunk_id", "note_id", "embedding_version", "chunk_strategy", "created_at")
+
+
+@query(f"WITH {Q._STORED} SELECT chunk_id || '/0' AS chunk_id, note_id, 'e1' AS embedding_version, 'fixed-240-40' AS chunk_strategy, 2 AS created_at FROM cur")
+def strategy_change(spark, sf):
+    """Another way of chunking: no record of the old one is left, and every new chunk has one."""
+    return _rebuilt(spark, sf, lambda cur: cur.withColumns({"chunk_id": F.concat("chunk_id", F.lit("/0")), "strategy": F.lit("fixed-240-40")}), "e1", False)
+
+
+@query(f"WITH {Q._STORED} SELECT chunk_id, note_id, 'e3' AS embedding_version, 'block' AS chunk_strategy, 2 AS created_at FROM cur")
+def provider_change(spark, sf):
+    """Another provider: all records go at once, and every chunk is embedded again."""
+    return _rebuilt(spark, sf, lambda cur: cur, "e3", True)
