@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import graph, simhash
+from tidemark.llm import common, graph, simhash
 
 
 def plain_fingerprint(text, n):
@@ -201,3 +202,29 @@ def test_recall_on_the_corpus(spark):
     assert pairs and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
     linked = {frozenset(p) for p in pairs}
     assert got == roots(ids, lambda a, b: frozenset((a, b)) in linked)
+
+
+def test_texts_that_share_a_hash(spark, docs, monkeypatch):
+    """With a first hash of three values nearly all texts clash; nothing changes but their names."""
+    rng = random.Random(5)
+    base = [" ".join(rng.choices("abcdefghijklmnop", k=60)) for _ in range(6)]
+    rows = [(i, base[i % 6] + (" tail" if i > 8 else "")) for i in range(14)] + [(20, None), (21, ""), (None, base[0]), (3, base[1])]
+    want = sorted(((r.id, r.component_id, r.stays) for r in simhash.similar_groups(docs(*rows)).collect()), key=str)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.drop_near(docs(*rows)).collect()), key=str)
+    whole = simhash._hash
+    monkeypatch.setattr(simhash, "_hash", lambda t, n: whole(t, n) if n else F.pmod(whole(t, 0), F.lit(3)))
+    assert sorted(((r.id, r.component_id, r.stays) for r in simhash.similar_groups(docs(*rows)).collect()), key=str) == want
+    assert sorted(((r.doc_id, r.text) for r in simhash.drop_near(docs(*rows)).collect()), key=str) == kept
+    monkeypatch.setattr(simhash, "CLASHES", 1)
+    with pytest.raises(ValueError):
+        simhash.similar_groups(docs(*rows))
+
+
+def test_too_many_hot_keys_to_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(k, i) for k in "abcd" for i in range(50)] + [("e", 0), (None, 1)], "k string, i int").repartition(3)
+    side = spark.createDataFrame([(k, n, k * 2) for k, n in zip("abcdf", (50, 50, 50, 2, 9))], "k string, n int, v string")
+    for most in (1_000_000, 2):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        for how in ("inner", "left"):
+            rows = lambda d: sorted(map(str, d.select("k", "i", "n", "v").collect()))
+            assert rows(common.join_hot(df, side, ["k"], F.col("n") > 10, how)) == rows(df.join(side, "k", how))

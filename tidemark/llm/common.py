@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import session_dir, shared_dir
+
 #: White space as all contracts here define it: blank and the bytes 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is made.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 #: Rows of an Arrow batch that carries whole texts.
 TEXT_ROWS = 1000
 
@@ -40,22 +25,6 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_ROWS))
 
 
-_made: set[str] = set()
-
-
-def session_dir(spark: SparkSession) -> str:
-    """A folder of this session in the shared one, deleted when the driver ends."""
-    sc = spark.sparkContext
-    path = f"{shared_dir(spark)}/tidemark-{sc.applicationId}"
-    if path not in _made:
-        _made.add(path)
-        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
-        files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
-        files.mkdirs(folder)
-        files.deleteOnExit(folder)
-    return path
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts lineage and survives lost executors."""
     shared_dir(df.sparkSession)
@@ -81,6 +50,8 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 #: Rows of one key from which on a join treats the key as hot.
 HOT_ROWS = 10_000
+#: Places that a hot key is spread over where hot keys are too many to broadcast.
+SALTS = 16
 
 
 def join_hot(df: DataFrame, side: DataFrame, on: list[str], hot: Column, how: str = "inner") -> DataFrame:
@@ -88,13 +59,18 @@ def join_hot(df: DataFrame, side: DataFrame, on: list[str], hot: Column, how: st
 
     Rows of ``df`` whose key is ``hot`` (a condition on ``side``) stay where they are: the
     rows of ``side`` for those keys, at most one for each ``HOT_ROWS`` rows of ``df``, are
-    broadcast if their number allows.  All other rows are exchanged by the key.
+    broadcast if their number allows; else each of them meets its rows in ``SALTS`` places,
+    told apart by all columns of ``df``.  All other rows are exchanged by the key.
     """
-    (seen,) = fresh(df, "seen")
+    seen, salt = fresh(df, "seen", "salt")
     few = side.filter(hot).withColumn(seen, F.lit(True))
     if few.isEmpty():
         return df.join(side, on, how)
-    marked = df.join(if_small(few), on, "left")
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        marked = df.join(F.broadcast(few), on, "left")
+    else:
+        spread = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = df.withColumn(salt, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")).join(spread, [*on, salt], "left").drop(salt)
     met = marked.filter(F.col(seen)).drop(seen)
     rest = marked.filter(F.col(seen).isNull()).select(*df.columns).join(side.filter(~hot), on, how)
     return met.unionByName(rest)

@@ -57,19 +57,19 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, shingle: int, bands: int = 0, rows: int = 4, text: str = "text", id: str = "doc_id", node: Column | None = None) -> DataFrame:
-    """Rows (id, node, fp, bands, digest): 64-bit fingerprint and, if asked for, min-hash band keys of each text and a digest of its set of shingles.
+def fingerprints(df: DataFrame, shingle: int, bands: int = 0, rows: int = 4, text: str = "text", id: str = "doc_id", node: Column | None = None, mark: Column | None = None) -> DataFrame:
+    """Rows (id, node, mark, fp, bands, digest): 64-bit fingerprint and, if asked for, min-hash band keys of each text and a digest of its set of shingles.
 
     With bands, the fingerprint counts each distinct shingle once, as the bands do.  A text
     without words (null too) has fingerprint zero and the band keys of no shingles.
-    ``node`` is carried along.
+    ``node`` and ``mark`` are carried along.
     """
     text_batches(df.sparkSession)
     salts = np.random.default_rng(7).integers(1, 1 << 63, (2, bands * rows), np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, part in groups(batch.column(2)):
+            for lo, part in groups(batch.column(3)):
                 fps, keys, digests = [], [], []
                 for t in part.cast(pa.binary()):
                     h = shingle_hashes(t.as_py(), shingle)
@@ -77,11 +77,12 @@ def fingerprints(df: DataFrame, shingle: int, bands: int = 0, rows: int = 4, tex
                     fps.append(fingerprint(h) if len(h) else 0)
                     keys.append(_bands(h, salts, bands, rows) if bands else [])
                     digests.append(xxhash.xxh64_intdigest(h.tobytes()) if bands else 0)
-                named = [batch.column(c).slice(lo, len(part)) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*named, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(digests, np.uint64).view(np.int64))], names=["id", "node", "fp", "bands", "digest"])
+                named = [batch.column(c).slice(lo, len(part)) for c in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([*named, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(digests, np.uint64).view(np.int64))], names=["id", "node", "mark", "fp", "bands", "digest"])
 
-    source = df.select(F.col(id).cast("long").alias("id"), (F.lit(None) if node is None else node).cast("long").alias("node"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "id long, node long, fp long, bands array<long>, digest long")
+    carried = [(F.lit(None) if c is None else c).cast("long").alias(name) for name, c in (("node", node), ("mark", mark))]
+    source = df.select(F.col(id).cast("long").alias("id"), *carried, F.col(text).alias("text"))
+    return source.mapInArrow(run, "id long, node long, mark long, fp long, bands array<long>, digest long")
 
 
 def _bands(h: np.ndarray, salts: np.ndarray, bands: int, rows: int) -> list[int]:
@@ -269,8 +270,30 @@ BANDS, ROWS = 24, 4
 LEADERS = 3
 
 
-def similar_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id", radius: int = WIDE, bands: int = BANDS, salt: int = 0) -> DataFrame:
-    """Rows (id, node, component_id, stays, salt), one for each row of ``df``.
+#: Different texts that share a 64-bit hash, at most: N texts have some N * N / 2 ** 65 such pairs, 300 if there are 10 ** 11.
+CLASHES = 100_000
+
+
+def _hash(text: Column, n: int) -> Column:
+    """Hash n of a text; null is empty."""
+    return F.xxhash64(F.lit(n), F.coalesce(text, F.lit("")))
+
+
+def _named(first: Column, second: Column, clashes: list[int]) -> Column:
+    """The node of a text with these two hashes: the first of them, or one of both for texts whose first hash another text has."""
+    return F.when(first.isin(clashes), F.xxhash64(first, second)).otherwise(first) if clashes else first
+
+
+def _clashes(docs: DataFrame) -> list[int]:
+    """First hashes (``node``) that occur with different second ones (``mark``)."""
+    found = docs.groupBy("node").agg(F.min("mark").alias("x"), F.max("mark").alias("y")).filter("x <> y").select("node").limit(CLASHES + 1).collect()
+    if len(found) > CLASHES:
+        raise ValueError(f"over {CLASHES} hashes of texts clash")
+    return [r.node for r in found]
+
+
+def similar_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id", radius: int = WIDE, bands: int = BANDS) -> DataFrame:
+    """Rows (id, node, component_id, stays), one for each row of ``df``.
 
     Texts link if they share ``similarity`` or more of their distinct shingles, which is
     twice the shingles in common over the shingles of both (Dice).  Candidates share a min-hash
@@ -279,16 +302,21 @@ def similar_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, tex
     held against those in its middle.  Wherever a group is not joined into one by then, all
     its texts but those of its largest cluster are compared exactly with the whole group.
 
-    Equal texts are one ``node``, the hash of the text (should two texts share a hash,
-    another ``salt`` is taken).  Texts without words, null ones too, link with each other.
+    Equal texts are one ``node``, a hash of the text; the few texts that share it with
+    another one are named by two hashes.  Texts without words, null ones too, link with each other.
     Rows that share an id but not the text are told apart.  ``component_id`` is the smallest
     id that can be reached, null only if all are null; ``stays`` marks the row to keep, the one
     of smallest id (null last, then by node), and rows that repeat both id and text alike.
     """
-    name = lambda t: F.xxhash64(F.lit(salt), F.coalesce(t, F.lit("")))
-    docs = table(fingerprints(df, shingle, bands, ROWS, text, id, name(F.col(text))))
-    if not docs.groupBy("node").agg(F.min("digest").alias("x"), F.max("digest").alias("y"), F.min("fp").alias("u"), F.max("fp").alias("v")).filter("x <> y or u <> v").isEmpty():
-        return similar_groups(df, shingle, similarity, text, id, radius, bands, salt + 1)
+    return _similar(df, shingle, similarity, text, id, radius, bands)[0]
+
+
+def _similar(df: DataFrame, shingle: int, similarity: float, text: str, id: str, radius: int = WIDE, bands: int = BANDS) -> tuple[DataFrame, list[int]]:
+    """:func:`similar_groups`, and the hashes that name several texts."""
+    docs = table(fingerprints(df, shingle, bands, ROWS, text, id, _hash(F.col(text), 0), _hash(F.col(text), 1)))
+    clashes = _clashes(docs)
+    docs = docs.withColumn("node", _named(F.col("node"), F.col("mark"), clashes)).drop("mark")
+    name = lambda t: _named(_hash(t, 0), _hash(t, 1), clashes)
     uniq = table(docs.drop("id").dropDuplicates(["node"]))
     # Equal sets of shingles: one text stands for them.
     alike = cut(uniq.groupBy("fp", "digest").agg(F.min("node").alias("rep"), F.count("*").alias("texts")))
@@ -319,7 +347,7 @@ def similar_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, tex
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("node"))
     kept = cut(named.groupBy("root").agg(F.min(rank).alias("kept"), F.count("*").alias("members")))
     whole = join_hot(named, kept, ["root"], F.col("members") > HOT_ROWS)
-    return whole.select("id", "node", F.col("kept.id").alias("component_id"), (rank == F.col("kept")).alias("stays"), F.lit(salt).alias("salt"))
+    return whole.select("id", "node", F.col("kept.id").alias("component_id"), (rank == F.col("kept")).alias("stays")), clashes
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -439,13 +467,11 @@ def drop_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: st
     both, one stays.  All columns are kept; an empty table stays empty.
     """
     gone_id, gone_node, node = fresh(df, "gone_id", "gone_node", "node")
-    found = cut(similar_groups(df, shingle, similarity, text, id))
-    one = found.select("salt").first()
-    if one is None:
-        return df
+    found, clashes = _similar(df, shingle, similarity, text, id)
+    found = cut(found)
     gone = found.filter("not stays").select(F.col("id").alias(gone_id), F.col("node").alias(gone_node)).distinct()
     again = found.filter("stays").groupBy("id", "node").count().filter("count > 1")
-    named = df.withColumn(node, F.xxhash64(F.lit(one.salt), F.coalesce(F.col(text), F.lit(""))))
+    named = df.withColumn(node, _named(_hash(F.col(text), 0), _hash(F.col(text), 1), clashes))
     kept = named.join(if_small(cut(gone)), (F.col(node) == F.col(gone_node)) & F.col(id).cast("long").eqNullSafe(F.col(gone_id)), "left_anti")
     if not again.isEmpty():
         kept = kept.dropDuplicates([id, node])
