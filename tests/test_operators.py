@@ -417,6 +417,24 @@ def test_similar_queries(spark):
         assert got == pytest.approx(want)
 
 
+def test_canonical_checksum(spark, tmp_path):
+    """The same object whatever its order on disk, by the law of a plain JSON dump with sorted keys."""
+    import hashlib
+    import json
+
+    from tidemark.sources import io
+
+    notes = [{"id": "b", "title": "周四 \"x\"", "content": "a\n\\ é/"}, {"id": "a", "title": "t", "content": ""}]
+    cases = [{"id": "c2", "query": "q", "relevance": {"z": 1, "a": 2}, "expectedNoteIDs": ["b", "a"], "isRegression": True}, {"id": "c1", "query": "r", "expectedNoteIDs": []}]
+    whole = {"version": "5", "notes": notes, "candidates": cases, "negatives": [{"id": "n", "query": "z"}]}
+    sorted_whole = {**whole, "notes": sorted(notes, key=lambda n: n["id"]), "candidates": sorted(cases, key=lambda c: c["id"])}
+    want = "sha256:" + hashlib.sha256(json.dumps(sorted_whole, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    for i, one in enumerate(({**whole, "checksum": "old"}, dict(reversed(sorted_whole.items())))):
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(one, indent=1))
+        assert evaluate.dataset_checksum(io.eval_dataset(spark, str(path))).first().computed == want
+
+
 def test_cases_are_added_once(spark):
     schema = "case_id string, query string, expected array<string>"
     have = spark.createDataFrame([("1", "a", ["x", "y"])], schema)

@@ -96,3 +96,46 @@ def test_payloads(spark):
     assert get(payload.embeddings_in_order(F.col("t"), 2), '{"data":[{"index":1,"embedding":[3,4]},{"index":0,"embedding":[1,2]}]}') == [[1.0, 2.0], [3.0, 4.0]]
     assert get(payload.embeddings_in_order(F.col("t"), 3), '{"data":[{"index":0,"embedding":[1,2]}]}') is None
     assert get(payload.audio_type(F.col("t")), "a.b.MP3") == "audio/mpeg"
+
+
+CLUSTERED = ["", "plain text.", "e\u0301a\u0300\u0323", "👩‍👩‍👧👍🏽", "🇩🇪🇫🇷🇪", "a\r\nb\rc", "각각", "नमस्ते", "周四👨‍👩‍👦。改", "x" * 30 + "e\u0301. " * 20, "©️1️⃣"]
+
+
+def test_graphemes(spark):
+    from tidemark.functions import graphemes as G
+
+    by_hand = {"e\u0301a\u0300\u0323": 2, "👩‍👩‍👧👍🏽": 2, "🇩🇪🇫🇷🇪": 3, "a\r\nb\rc": 5, "plain text.": 11, "©️1️⃣": 2, "각각": 2}
+    for t in CLUSTERED:
+        parts = G.clusters(t)
+        assert "".join(parts) == t and G.edges(t).tolist() == [sum(map(len, parts[:i])) for i in range(len(parts) + 1)]
+        assert len(parts) == by_hand.get(t, len(parts))
+        assert not G.is_simple(t) or parts == list(t) == __import__("regex").findall(r"\X", t)
+    # Every range stands alone: next to itself and to a letter.
+    for a, b in G.ALONE:
+        for c in {a, b, (a + b) // 2}:
+            t = f"a{chr(c)}{chr(c)}b"
+            assert __import__("regex").findall(r"\X", t) == list(t), hex(c)
+    df = spark.createDataFrame([(t, list(range(len(t) + 1))) for t in CLUSTERED] + [(None, [0])], "t string, p array<int>")
+    rows = df.select("t", G.grapheme_count(F.col("t")).alias("n"), G.grapheme_places(F.col("t"), F.col("p")).alias("p")).collect()
+    for r in rows:
+        if r.t is None:
+            assert (r.n, r.p) == (None, None)
+            continue
+        parts = G.clusters(r.t)
+        assert r.n == len(parts) and r.p == [i for i, x in enumerate(parts) for _ in x] + [len(parts)]
+
+
+def test_chunks_by_grapheme(spark):
+    from test_operators import plain_fixed
+    from tidemark.functions.graphemes import clusters
+    from tidemark.operators.chunk import fixed_chunks
+
+    texts = [t * 7 + ". " + t for t in CLUSTERED]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {}
+    for r in fixed_chunks(df, 12, 3, "t").orderBy("i", "chunk_index").collect():
+        got.setdefault(r.i, []).append((r.s, r.e, r.t))
+    for i, t in enumerate(texts):
+        parts = clusters(t)
+        want = [(s, e, "".join(parts[s:e]).strip(" \t\n\v\f\r")) for s, e in plain_fixed(parts, 12, 3)]
+        assert got.get(i, []) == [w for w in want if w[2]]

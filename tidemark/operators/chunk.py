@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.graphemes import clusters, is_simple
 from ..functions.text import TERMINATORS, trim
 
 SPANS = "array<struct<s:int,e:int>>"
@@ -18,7 +20,8 @@ def fixed_chunks(df: DataFrame, size: int = 240, overlap: int = 40, text: str =
     """``df`` with a row for each piece of its text that isn't blank: columns chunk_index, s, e and t (trimmed) in place of the text.
 
     Pieces are windows [s, e) of ``size`` characters that end after a terminator within the
-    last quarter, if there is one; the next begins ``overlap`` before.
+    last quarter, if there is one; the next begins ``overlap`` before.  Characters are
+    graphemes: one of several code points counts once and is never cut.
 
     One pass of Arrow batches emits the rows.  A fold over built-in functions says the same,
     but looks up each window from the start of the text, which takes quadratic time on long texts.
@@ -42,15 +45,22 @@ def fixed_chunks(df: DataFrame, size: int = 240, overlap: int = 40, text: str =
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         owner, index, starts, stops, pieces = [], [], [], [], []
         for i, text in enumerate(batch.column(len(rest)).to_pylist()):
-            n, start, k = len(text or ""), 0, 0
+            text = text or ""
+            # A text, or its graphemes: both are cut by place, and only the latter are joined again.
+            units = text if is_simple(text) else clusters(text)
+            marks = None if units is text else [n + 1 for n, u in enumerate(units) if u in TERMINATORS]
+            n, start, k = len(units), 0, 0
             while start < n:
                 stop = hard = min(start + size, n)
                 if hard < n:
                     # Exclusive bounds: the last quarter without its first place, and never the first of the window.
                     low = max(hard - back + 1, start + 1)
-                    at = [m.end() for m in ends.finditer(text, low, hard)]
+                    if marks is None:
+                        at = [m.end() for m in ends.finditer(text, low, hard)]
+                    else:
+                        at = marks[bisect_right(marks, low) : bisect_right(marks, hard)]
                     stop = at[-1] if at else hard
-                piece = text[start:stop].strip(" \t\n\v\f\r")
+                piece = (units[start:stop] if marks is None else "".join(units[start:stop])).strip(" \t\n\v\f\r")
                 if piece:
                     owner.append(i), index.append(k), starts.append(start), stops.append(stop), pieces.append(piece)
                     k += 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 from pyspark.sql.window import Window
 
 from ..sources.io import kept
@@ -260,7 +261,7 @@ def trigram_similarity(queries: DataFrame, least: float = 0.6) -> DataFrame:
 
 
 def checksum(df: DataFrame, key: str, value: str) -> DataFrame:
-    """One row: SHA-256 over the digests of all rows, whatever their order.
+    """One row: SHA-256 over the digests of all rows, whatever their order; for tables too large for :func:`dataset_checksum`, which has another law.
 
     Rows are dealt by the first four digits of their digests; a bucket's digests in order
     make one digest, and those of the 65,536 buckets at most make the checksum.
@@ -270,6 +271,33 @@ def checksum(df: DataFrame, key: str, value: str) -> DataFrame:
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("checksum"))
 
 
+def canonical_json(value: Column, kind: t.DataType) -> Column:
+    """A struct as JSON with its keys in order at every depth, no blanks, and nulls left out; letters stay as they are."""
+
+    def ordered(c: Column, k: t.DataType) -> Column:
+        if isinstance(k, t.StructType):
+            made = F.struct(*[ordered(c[f.name], f.dataType).alias(f.name) for f in sorted(k.fields, key=lambda f: f.name)])
+            return F.when(c.isNotNull(), made)
+        if isinstance(k, t.ArrayType):
+            return F.transform(c, lambda x: ordered(x, k.elementType))
+        if isinstance(k, t.MapType):
+            return F.map_from_entries(F.array_sort(F.map_entries(c)))
+        return c
+
+    return F.to_json(ordered(value, kind))
+
+
+def dataset_checksum(dataset: DataFrame) -> DataFrame:
+    """``dataset`` (one row for each JSON file) with ``computed``: ``sha256:`` and the digest of its canonical JSON without the checksum itself.
+
+    Notes, cases and negatives are taken in order of their ids, so a file's order doesn't matter.
+    """
+    by_id = lambda c: F.array_sort(c, lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
+    fields = [f for f in dataset.schema if f.name != "checksum"]
+    whole = F.struct(*[(by_id(F.col(f.name)) if isinstance(f.dataType, t.ArrayType) else F.col(f.name)).alias(f.name) for f in fields])
+    return dataset.withColumn("computed", F.concat(F.lit("sha256:"), F.sha2(canonical_json(whole, t.StructType(fields)), 256)))
+
+
 def profile(df: DataFrame, by: list[str]) -> DataFrame:
     """Counts and shares of each value of each column: (field, value, n, share).  One row of totals is broadcast."""
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in by])).alias("r")).select("r.*")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from ..functions import graphemes as G
 from ..functions import payload
 from ..functions import text as T
 from ..functions.segment import Policy
@@ -152,6 +153,14 @@ def dataset_holdout(spark, sf):
     return io.dataset_cases(_dataset(spark, sf), "holdout").select("case_id")
 
 
+@query("""WITH n AS (SELECT item_id % 16 AS part, 'n' || item_id AS id, '{"content":' || to_json(text)::VARCHAR || ',"id":"n' || item_id || '","title":"t"}' AS note FROM benchmark)
+    SELECT 'sha256:' || sha256('{"notes":[' || string_agg(note, ',' ORDER BY id) || '],"version":"1"}') AS checksum, count(*) AS notes FROM n GROUP BY part""")
+def dataset_canonical(spark, sf):
+    """The canonical checksum of each of the sixteen objects, of their notes and version."""
+    d = _dataset(spark, sf).select("version", "checksum", "notes")
+    return evaluate.dataset_checksum(d).select(F.col("computed").alias("checksum"), F.size("notes").cast("long").alias("notes"))
+
+
 @query("SELECT 'n' || item_id AS id, sha256(text) AS content_hash FROM benchmark")
 def dataset_notes(spark, sf):
     return io.dataset_notes(_dataset(spark, sf)).select("id", F.sha2("content", 256).alias("content_hash"))
@@ -248,6 +257,22 @@ def embedding_jobs(spark, sf):
     return edits.run_jobs(jobs, lambda texts: [[float(len(x))] for x in texts]).select("chunk_id", F.get("vector", F.lit(0)).alias("first"), "tries")
 
 
+@query("""SELECT item_id::VARCHAR AS chunk_id, CASE WHEN length(text) % 3 = 2 THEN length(text)::DOUBLE END AS first, CASE WHEN length(text) % 3 = 1 THEN 3 ELSE 1 END AS tries, CASE length(text) % 3 WHEN 0 THEN 'ValueError' WHEN 1 THEN 'ConnectionError' END AS error FROM benchmark""")
+def embedding_failures(spark, sf):
+    """A service that refuses some texts, which fail at once, and is never reached for others, which are tried three times."""
+
+    def work(texts):
+        n = len(texts[0])
+        if n % 3 == 0:
+            raise ValueError
+        if n % 3 == 1:
+            raise ConnectionError
+        return [[float(n)]]
+
+    jobs = M.read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), "text")
+    return edits.run_jobs(jobs, work, wait=0.0, size=1).select("chunk_id", F.get("vector", F.lit(0)).alias("first"), "tries", "error")
+
+
 # Text
 
 
@@ -278,6 +303,21 @@ def chunk_sentence(spark, sf):
     return c.select("chunk_id", F.sha2("text", 256).alias("text_hash"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
 
 
+@query(f"WITH RECURSIVE {Q.CHUNKS} SELECT chunk_id, char_start, char_end FROM chunks")
+def chunk_graphemes(spark, sf):
+    """Texts with an accent after every e as a character of its own: cut where the plain texts are."""
+    t = M.texts(M.document_blocks(spark, sf)).withColumn("text", F.replace("text", F.lit("e"), F.lit("e\u0301")))
+    return C.chunk(t).select("chunk_id", "char_start", "char_end")
+
+
+@query("SELECT doc_id, length_grapheme(t) AS graphemes, length(t) AS code_points, length_grapheme(text) AS place FROM (SELECT doc_id, text, text || '👩‍👩‍👧e' || chr(769) || '🇩🇪🇫🇷' AS t FROM documents)")
+def grapheme_lengths(spark, sf):
+    """Texts with a family, an accent and two flags after them."""
+    d = _docs(spark, sf).withColumn("t", F.concat("text", F.lit("👩‍👩‍👧e\u0301🇩🇪🇫🇷")))
+    place = G.grapheme_places(F.col("t"), F.array(F.length("text") + 2))
+    return d.select("doc_id", G.grapheme_count(F.col("t")).cast("long").alias("graphemes"), F.length("t").cast("long").alias("code_points"), F.get(place, F.lit(0)).cast("long").alias("place"))
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id % 4 = 0 AND doc_id % 3 = 0")
 def scope_unfiled(spark, sf):
     d = _docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("folder"), (F.col("doc_id") % 3 == 0).alias("is_pinned"), F.array().cast("array<string>").alias("tags"))
