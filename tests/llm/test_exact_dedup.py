@@ -33,38 +33,72 @@ def test_texts_with_one_digest_stay_apart(spark, docs):
     assert {r.id: (r.keep_id, r.group_size) for r in out.collect()} == groups(TEXTS)
 
 
-def test_a_second_batch_is_looked_up(spark, docs, monkeypatch):
-    entries = lambda rows: docs(*rows).select(F.col("doc_id").alias("id"), exact_dedup.sha256(exact_dedup.normalised(F.col("text"))).alias("digest"))
+def entries_of(docs, rows):
+    return docs(*rows).select(F.col("doc_id").alias("id"), exact_dedup.sha256(exact_dedup.normalised(F.col("text"))).alias("digest"))
+
+
+def test_later_batches_are_looked_up_in_all_runs(spark, docs, monkeypatch):
     index = exact_dedup.MergeIndex(spark)
-    assert index.lookup(entries(TEXTS)).count() == 0
-    index.flush(entries(TEXTS[:4]))
-    index.flush(entries(TEXTS[4:6]))
-    assert len(index.runs) == 2
-    index.compact()
-    assert not index.runs
-    for bits, hot in ((exact_dedup.FILTER_BITS, exact_dedup.HOT_ROWS), (64, 1)):  # a filter that lets everything through changes nothing
-        monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
+    assert index.lookup(entries_of(docs, TEXTS)).count() == 0 and index.compact().count() == 0
+    index.flush(entries_of(docs, TEXTS[:4]))
+    index.flush(entries_of(docs, TEXTS[4:5]))
+    index.flush(entries_of(docs, TEXTS[:0]))
+    assert [r.entries for r in index.runs] == [2, 1]
+    have = groups(TEXTS[:5])
+    by = {norm(t): have[i] for i, t in TEXTS[:5]}
+    rows = [*TEXTS[5:], (5, "a b"), (5, "a b")]
+    want = sorted((i, *by[norm(t)]) for i, t in rows if norm(t) in by)
+    for bits, hot in ((exact_dedup.SLICE_BITS, exact_dedup.HOT_ROWS), (64, 0)):  # a filter that lets everything through changes nothing
+        monkeypatch.setattr(exact_dedup, "SLICE_BITS", bits)
         monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot)
-        index.compact()
-        have = groups(TEXTS[:6])
-        by = {norm(t): have[i] for i, t in TEXTS[:6]}
-        assert {r.id: (r.keep, r.n) for r in index.lookup(entries(TEXTS[6:])).collect()} == {i: by[norm(t)] for i, t in TEXTS[6:] if norm(t) in by}
-    index.flush(entries(TEXTS[6:]))
+        for run in index.runs:
+            run._filter = None
+        assert sorted((r.id, r.keep, r.n) for r in index.lookup(entries_of(docs, rows)).collect()) == want
+    index.flush(entries_of(docs, TEXTS[5:]))
     merged = {bytes(r.digest).hex(): (r.keep, r.n) for r in index.compact().collect()}
-    want = groups(TEXTS)
-    assert merged == {hashlib.sha256(norm(t).encode()).hexdigest(): want[i] for i, t in TEXTS}
-    # Files of the level are sorted and don't overlap.
-    files = [[bytes(r.digest) for r in spark.read.parquet(f).collect()] for f in index.level.inputFiles()]
-    assert all(f == sorted(f) for f in files) and all(a[-1] < b[0] for a, b in zip(sorted(filter(None, files)), sorted(filter(None, files))[1:]))
+    whole = groups(TEXTS)
+    assert merged == {hashlib.sha256(norm(t).encode()).hexdigest(): whole[i] for i, t in TEXTS}
+
+
+def test_a_small_batch_rewrites_no_large_run(spark):
+    batch = lambda lo, hi: spark.range(lo, hi).select("id", F.unhex(F.sha2((F.col("id") % 2000).cast("string"), 256)).alias("digest"))
+    index = exact_dedup.MergeIndex(spark)
+    index.flush(batch(0, 1000))
+    for i in range(4):
+        before = index.written
+        index.flush(batch(1000 + 20 * i, 1020 + 20 * i))
+        assert index.written - before <= 20 * (1 + 2 + 4) and index.runs[0].entries == 1000
+    sizes = [r.entries for r in index.runs]
+    assert sizes == [1000, 80] and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+    # All runs answer: the ids 1000 to 1009 are in a late run, those from 2000 on repeat the first one's digests, 1200 to 1209 are in none.
+    asked = batch(1000, 1010).unionByName(batch(2000, 2010)).unionByName(batch(1200, 1210))
+    assert sorted((r.id, r.keep) for r in index.lookup(asked).collect()) == [*((i, i) for i in range(1000, 1010)), *((i, i - 2000) for i in range(2000, 2010))]
+    assert index.compact().count() == 1080 and len(index.runs) == 1
+
+
+def test_runs_are_merged_without_exchange_or_sort(spark):
+    index = exact_dedup.MergeIndex(spark)
+    for lo, hi in ((0, 3000), (2900, 3900)):
+        index.flush(spark.range(lo, hi).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest")))
+    a, b = index.runs
+    with exact_dedup._sorted_scans(spark):
+        plan = index.merged(a.rows, b.rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+    files = [[bytes(r.digest) for r in spark.read.parquet(f).collect()] for f in index.compact().inputFiles()]
+    assert len(files) <= index.buckets and all(f == sorted(f) for f in files) and sum(map(len, files)) == 3900
 
 
 def test_filters_miss_nothing(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "FILTER_BITS", 1 << 14)
-    df = spark.range(3000).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
-    bits = exact_dedup.filter_of(df.filter("id < 500"))
-    passed = {r.id for r in df.join(F.broadcast(bits)).filter(exact_dedup.may_hold(F.col("bits"), F.col("digest"))).collect()}
-    assert passed >= set(range(500)) and len(passed) < 700
-    assert df.join(exact_dedup.filter_of(df.limit(0))).filter(exact_dedup.may_hold(F.col("bits"), F.col("digest"))).count() == 0
+    monkeypatch.setattr(exact_dedup, "SLICE_BITS", 1 << 11)
+    df = spark.range(3000).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.lit(1).alias("bits"))
+    for slices in (8, 512):
+        bits = exact_dedup.Filter.of(df.filter("id < 500"), 500 * slices // 8)
+        assert bits.slices >= min(slices, 4) and bits.rows.count() == bits.slices
+        passed = exact_dedup.Filter.passing(bits, df)
+        ids = {r.id for r in passed.collect()}
+        assert passed.columns == df.columns and ids >= set(range(500)) and len(ids) < 900
+    assert exact_dedup.Filter.of(df.limit(0), 0).passing(df).count() == 0
 
 
 def test_drop_copies(spark, docs):
