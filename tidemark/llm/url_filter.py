@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HOT_ROWS, cut, fresh, join_hot, parallelism, table
+from .common import HOT_ROWS, cut, fresh, join_hot, table
 
-#: Intervals that are broadcast at most (about 100 bytes each); beyond it the join is salted and shuffles.
+#: Intervals that are broadcast at most (about 100 bytes each); beyond it patterns are exchanged, and only those asked for often broadcast.
 BROADCAST_ROWS = 200_000
 
 
@@ -64,10 +64,12 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     if spans.count() <= BROADCAST_ROWS:
         met = keys.join(F.broadcast(spans), holds)
     else:
-        # A host with many captures is met in as many places as there are tasks.
-        n = parallelism(captures.sparkSession)
-        salted = spans.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        met = keys.withColumn("salt", F.pmod(F.xxhash64("url", "day"), F.lit(n)).cast("int")).join(salted, (F.col("salt") == F.col("s_salt")) & holds)
+        # A pattern has one interval for each of its days at most, so its intervals go as one row; only patterns that many captures ask for are broadcast.
+        often = keys.groupBy("key").agg(F.count("*").alias("asked"))
+        listed = spans.groupBy(F.col("pattern").alias("key")).agg(F.collect_list(F.struct("valid_from", "valid_to", "action")).alias("spans"))
+        found = join_hot(keys, cut(listed.join(often, "key")), ["key"], F.col("asked") > HOT_ROWS)
+        active = F.filter("spans", lambda s: (F.col("day") >= s["valid_from"]) & (s["valid_to"].isNull() | (F.col("day") < s["valid_to"])))
+        met = found.select("url", "day", F.col("key").alias("pattern"), F.get(active, F.lit(0))["action"].alias("action")).filter(F.col("action").isNotNull())
     best = met.groupBy("url", "day").agg(F.max(F.struct(F.length("pattern").alias("n"), "action", "pattern")).alias("best"))
     k_url, k_day, decision, pattern, times = fresh(captures, "k_url", "k_day", "k_decision", "k_pattern", "k_times")
     side = seen.join(best, ["url", "day"]).select(F.col("url").alias(k_url), F.col("day").alias(k_day), F.col("best.action").alias(decision), F.col("best.pattern").alias(pattern), F.col("times").alias(times))
