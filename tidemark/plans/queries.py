@@ -845,12 +845,11 @@ def trigram_jaccard(spark, sf):
     return _rounded(evaluate.trigram_similarity(q, 0.2))
 
 
-@query(r"""WITH s AS (SELECT item_id AS id, left(regexp_replace(lower(text), '[ \t\n\v\f\r]+', '', 'g'), 5) AS s FROM benchmark), g AS (SELECT DISTINCT id, substr(s, i::INT, 3) AS gram FROM (SELECT id, s, unnest(generate_series(1, greatest(length(s) - 2, 1))) AS i FROM s WHERE s <> '')),
+@query(r"""WITH s AS (SELECT doc_id AS id, regexp_replace(lower(text), '[ \t\n\v\f\r]+', '', 'g') AS s FROM documents), g AS (SELECT DISTINCT id, substr(s, i::INT, 3) AS gram FROM (SELECT id, s, unnest(generate_series(1, greatest(length(s) - 2, 1))) AS i FROM s WHERE s <> '')),
     l AS (SELECT id, list(gram ORDER BY gram) AS grams FROM g GROUP BY id) SELECT id, min(id) OVER (PARTITION BY grams) AS rep FROM l""")
 def trigram_classes(spark, sf):
-    """Items whose first five letters have the same trigrams are one class."""
-    start = F.substring(F.regexp_replace(F.lower("text"), r"\s+", ""), 1, 5)
-    return evaluate.query_classes(M.read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), start.alias("query")))
+    """Documents whose whole texts have the same trigrams are one class."""
+    return evaluate.query_classes(_docs(spark, sf).select(F.col("doc_id").alias("id"), F.col("text").alias("query")))
 
 
 @query("SELECT sha256(text) AS text_hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")

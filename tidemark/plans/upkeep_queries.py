@@ -125,7 +125,7 @@ def _dataset(spark, sf):
     i = F.col("item_id")
     s = i.cast("string")
     candidate = F.struct(
-        s.alias("id"), F.substring("text", 1, 30).alias("query"), F.when(i % 3 == 1, F.array(F.concat(F.lit("n"), s), F.lit("m"))).alias("expectedNoteIDs"), F.when(i % 4 != 0, F.when(i % 4 == 1, "in_scope").otherwise("cross_language")).alias("scope"),
+        s.alias("id"), F.col("text").alias("query"), F.when(i % 3 == 1, F.array(F.concat(F.lit("n"), s), F.lit("m"))).alias("expectedNoteIDs"), F.when(i % 4 != 0, F.when(i % 4 == 1, "in_scope").otherwise("cross_language")).alias("scope"),
         F.when(i % 2 == 0, "fact").alias("category"), F.when(i % 5 == 0, "holdout").alias("split"), F.when(i % 3 == 0, F.create_map(F.concat(F.lit("z"), s), F.lit(3), F.lit("a"), F.lit(2), F.lit("low"), F.lit(1))).alias("relevance"), (i % 7 == 0).alias("isRegression"),
     )
     negative = F.struct(F.concat(F.lit("x"), s).alias("id"), F.lit("nothing").alias("query"), F.when(i % 5 == 1, "holdout").alias("split"))
@@ -137,7 +137,7 @@ def _dataset(spark, sf):
     return io.eval_dataset(spark, path)
 
 
-_CASES = """c AS (SELECT item_id::VARCHAR AS case_id, substr(text, 1, 30) AS query, CASE WHEN item_id % 3 = 0 THEN 'a,z' || item_id WHEN item_id % 3 = 1 THEN 'n' || item_id || ',m' ELSE '' END AS expected, CASE item_id % 4 WHEN 0 THEN 'in_scope' WHEN 1 THEN 'in_scope' ELSE 'cross_language' END AS scope,
+_CASES = """c AS (SELECT item_id::VARCHAR AS case_id, text AS query, CASE WHEN item_id % 3 = 0 THEN 'a,z' || item_id WHEN item_id % 3 = 1 THEN 'n' || item_id || ',m' ELSE '' END AS expected, CASE item_id % 4 WHEN 0 THEN 'in_scope' WHEN 1 THEN 'in_scope' ELSE 'cross_language' END AS scope,
     CASE WHEN item_id % 7 = 0 THEN 'regression' ELSE 'golden' END AS origin, CASE WHEN item_id % 5 = 0 THEN 'holdout' ELSE 'development' END AS split FROM benchmark
     UNION ALL SELECT 'x' || item_id, 'nothing', '', 'in_scope', 'golden', CASE WHEN item_id % 5 = 1 THEN 'holdout' ELSE 'development' END FROM benchmark)"""
 
@@ -481,9 +481,10 @@ def cluster_sizes(spark, sf):
     return evaluate.clusters(_docs(spark, sf), "source")
 
 
-@query("SELECT substr(text, 1, 4) AS value, count(*) AS n FROM benchmark GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(text) AS value, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_queries(spark, sf):
-    return evaluate.duplicates(M.read(spark, sf, "benchmark").select(F.substring("text", 1, 4).alias("q")), "q")
+    """Texts that are asked more than once, each by its hash."""
+    return evaluate.duplicates(_docs(spark, sf), "text").withColumn("value", F.sha2("value", 256))
 
 
 @query("SELECT coalesce(sum(event_id % 100) FILTER (event_type = 'view'), 0)::BIGINT AS tokens, count(*) FILTER (event_type = 'view') AS reported_calls, count(*) FILTER (event_type <> 'view') AS unreported_calls FROM events")
@@ -497,12 +498,12 @@ def split_overlap(spark, sf):
     return evaluate.split_overlap(s, "lang")
 
 
-@query("SELECT query, string_agg(e, ',' ORDER BY e) AS expected FROM (SELECT DISTINCT trim(substr(text, 1, 20)) AS query, item_id % 2 AS k, unnest(['a', 'b' || item_id % 2]) AS e FROM benchmark) GROUP BY query, k")
+@query("SELECT query, string_agg(e, ',' ORDER BY e) AS expected FROM (SELECT DISTINCT trim(text) AS query, item_id % 2 AS k, unnest(['a', 'b' || item_id % 2]) AS e FROM benchmark) GROUP BY query, k")
 def cases_added(spark, sf):
     """Cases of the first half of the items, then all of them with padded queries and the labels turned round: none is there twice."""
     i = F.col("item_id") % 2
     label = F.concat(F.lit("b"), i.cast("string"))
-    b = M.read(spark, sf, "benchmark").withColumn("query", T.trim(F.substring("text", 1, 20)))
+    b = M.read(spark, sf, "benchmark").withColumn("query", T.trim(F.col("text")))
     have = b.filter("item_id % 2 = 0").select(F.col("item_id").cast("string").alias("case_id"), "query", F.array(F.lit("a"), label).alias("expected"))
     have = have.dropDuplicates(["query", "expected"])
     new = b.select(F.concat(F.lit("x"), F.col("item_id").cast("string")).alias("case_id"), F.concat(F.lit(" "), "query", F.lit("\n")).alias("query"), F.array(label, F.lit("a")).alias("expected"))
