@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -44,6 +45,28 @@ def test_links_equal_brute_force():
             assert {(int(a), int(b)) for i, j in simhash.links(fps, np.array(starts), radius) for a, b in zip(i, j)} == want
 
 
+def test_exact_links_of_long_texts_take_bounded_memory(monkeypatch):
+    """A group of long texts is compared some shingles at a time, with the same links."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    sets = [base[rng.random(len(base)) < keep] for keep in (*[0.95] * 60, *[0.5] * 60)] + [base[:0]] * 2
+    ends, values = np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate(sets)
+    alone, asks = np.arange(len(sets)), np.ones(len(sets), bool)
+
+    def found():
+        tracemalloc.start()
+        out = list(simhash.links_of(values, ends, alone, asks, alone, 0.8))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak
+
+    out, peak = found()
+    assert peak < 20e6
+    assert sorted(out) == [(0, q) for q in range(1, 60)] + [(120, 121)]
+    monkeypatch.setattr(simhash, "VALUES", 1)
+    assert found()[0] == out
+
+
 def test_components(spark):
     random.seed(3)
     edges = [(random.randrange(200), random.randrange(200)) for _ in range(130)] + [(500 + i, 501 + i) for i in range(40)]

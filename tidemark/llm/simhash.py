@@ -214,7 +214,7 @@ def _linked_and_met(groups: DataFrame, key: list[str], radius: int) -> DataFrame
         yield pa.RecordBatch.from_arrays([met.column(0), pa.nulls(met.num_rows, pa.int64()), *[met.column(k) for k in key]], names=["a", "b", *key])
 
     schema = ", ".join(["a long", "b long", *[f"{k} {groups.schema[k].dataType.simpleString()}" for k in key]])
-    return each_part(groups, key, ["node", "fp", *key], run, schema, 20_000)
+    return each_part(groups, key, ["node", "fp", *key], run, schema, WIDE_ROWS)
 
 
 def block_keys(fp: str, radius: int, blocks: int) -> F.Column:
@@ -266,8 +266,12 @@ def _finer_keys(keyed: DataFrame, radius: int) -> DataFrame:
 WIDE = 24
 #: Min-hash bands of so many rows: two texts that share 0.8 of their shingles meet in one with probability 0.995.
 BANDS, ROWS = 24, 4
+#: Rows of band groups that are compared at a time: within ``WIDE`` bits all pairs of a group may link.
+WIDE_ROWS = 5_000
 #: How often a crowded band group is held against one of its own texts.
 LEADERS = 3
+#: Shingles of other texts that one text is held against at a time.
+VALUES = 1 << 18
 
 
 #: Different texts that share a 64-bit hash, at most: N texts have some N * N / 2 ** 65 such pairs, 300 if there are 10 ** 11.
@@ -449,11 +453,19 @@ def links_of(values: np.ndarray, ends: np.ndarray, rows: np.ndarray, asks: np.nd
         if not len(near):
             continue
         m = sizes[near]
-        at = np.repeat(ends[rows[near]] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-        x = values[at]
-        place = np.minimum(np.searchsorted(own, x), max(len(own) - 1, 0))
-        found = own[place] == x if len(own) else np.zeros(len(x), bool)
-        shared = np.bincount(np.repeat(np.arange(len(near)), m), weights=found, minlength=len(near))
+        total = np.cumsum(m)
+        shared = np.zeros(len(near), np.int64)
+        lo = 0
+        while lo < len(near):
+            before = total[lo] - m[lo]
+            hi = max(lo + 1, int(np.searchsorted(total, before + VALUES, side="right")))
+            n = m[lo:hi]
+            at = np.repeat(ends[rows[near[lo:hi]]] - (total[lo:hi] - n - before), n) + np.arange(n.sum())
+            x = values[at]
+            place = np.minimum(np.searchsorted(own, x), max(len(own) - 1, 0))
+            found = own[place] == x if len(own) else np.zeros(len(x), bool)
+            shared[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), n)[found], minlength=hi - lo)
+            lo = hi
         for q in near[2 * shared >= similarity * (m + len(own)) - 1e-9]:
             if label[q] != label[k]:
                 yield int(rows[k]), int(rows[q])
