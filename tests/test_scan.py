@@ -93,3 +93,21 @@ def test_vectors_are_sent_once_a_group(spark, monkeypatch):
     looked = sum(r.visited for r in vector.visits(index, queries, 7).collect())
     assert looked > 60 * 100 and max(s.count() for s in stored if "v" in s.columns and "block" not in s.columns) <= 60 * 4
     assert all(s.schema["v"].dataType.simpleString() == "array<float>" for s in stored if "v" in s.columns)
+
+
+def test_sets_of_trigrams_are_sent_as_digests(spark):
+    """Long texts: what is stored and exchanged for the classes doesn't grow with them."""
+    from tidemark.operators import evaluate
+
+    rng = random.Random(4)
+    long = ["".join(rng.choices("abcdefghij klmno\n", k=3000)) for _ in range(30)]
+    texts = [*long, *(x.upper().replace(" ", " \t") for x in long[:10]), long[0] + long[0][-3:], "a", "A ", "ab", "a\0", "a\0\0", "\0a", "", " ", None, "abab", "ababab", "aba", "😀😀😀", "😀😀", "😀 😀😀😀"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, query string").repartition(3)
+    norm = ["".join((x or "").lower().split()) for x in texts]
+    sets = {i: frozenset(x[k : k + 3] for k in range(len(x) - 2)) or frozenset([x]) for i, x in enumerate(norm) if x}
+    before = folders(spark)
+    got = evaluate.query_classes(df)
+    assert {(r.id, r.rep) for r in got.collect()} == {(i, min(j for j, h in sets.items() if h == g)) for i, g in sets.items()}
+    path = io.session_dir(spark).removeprefix("file:")
+    made = [os.path.getsize(f"{path}/{n}/{f}") for n in folders(spark) - before for f in os.listdir(f"{path}/{n}")]
+    assert made and sum(made) < 30_000 and "array" not in got._jdf.queryExecution().optimizedPlan().toString()

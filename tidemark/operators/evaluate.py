@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -232,9 +238,31 @@ def _trigrams(queries: DataFrame) -> DataFrame:
     return s.select("id", F.array_sort(F.when(n < 3, F.array("s")).otherwise(some)).alias("g"))
 
 
+def trigram_digest(text: str) -> bytes:
+    """SHA-256 of the set of trigrams of a text that isn't empty, of fewer characters of the whole; equal for equal sets."""
+    c = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    if len(c) >= 3:
+        c = np.sort(c[:-2] << 42 | c[1:-1] << 21 | c[2:])  # code points have 21 bits
+        c = c[np.diff(c, prepend=-1) != 0]
+        return hashlib.sha256(b"3" + c.tobytes()).digest()
+    return hashlib.sha256(b"%d" % len(c) + c.tobytes()).digest()
+
+
 def query_classes(queries: DataFrame) -> DataFrame:
-    """Rows (id, rep): queries with equal sets of trigrams are one class, known by its smallest id."""
-    g = _trigrams(queries)
+    """Rows (id, rep): queries with equal sets of trigrams are one class, known by its smallest id.
+
+    Sets are sent and compared as SHA-256 digests, as they take more room than their texts.
+    """
+    kind = queries.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pc.greater(pc.binary_length(batch.column(1)), 0))
+            digests = pa.array([trigram_digest(x.as_py()) for x in some.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([some.column(0), digests], names=["id", "g"])
+
+    squeezed = F.regexp_replace(F.lower("query"), r"\s+", "")
+    g = kept(queries.select("id", squeezed.alias("s")).mapInArrow(run, f"id {kind}, g binary"))
     return g.join(g.groupBy("g").agg(F.min("id").alias("rep")), "g").select("id", "rep")
 
 
