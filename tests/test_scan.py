@@ -111,3 +111,15 @@ def test_sets_of_trigrams_are_sent_as_digests(spark):
     path = io.session_dir(spark).removeprefix("file:")
     made = [os.path.getsize(f"{path}/{n}/{f}") for n in folders(spark) - before for f in os.listdir(f"{path}/{n}")]
     assert made and sum(made) < 30_000 and "array" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_of_as_many_counts_tie(spark):
+    """Three and one of two terms score as two and two do, and ties go by id; summed term by term they differ in the last bit."""
+    n = next(n for n in range(40, 240) if 3 / n**0.5 + 1 / n**0.5 < 4 / n**0.5)
+    made = lambda a, b: ("chi " * a + "ungein " * b).ljust(n, "x")
+    df = spark.createDataFrame([("c1", made(3, 1), "text"), ("c2", made(2, 2), "text"), ("c3", made(1, 1), "text")], "chunk_id string, text string, source string")
+    found = lexical.keyword_search(df, "chi ungein verlich", 3, summed=True).collect()
+    assert [r.chunk_id for r in sorted(found, key=lambda r: r.rank)] == ["c1", "c2", "c3"] and len({r.score for r in found}) == 2
+    chunks = grams.numbered(lexical.with_hay(df), 1)
+    found = grams.indexed_search(chunks, grams.build(chunks), "chi ungein verlich", 3, summed=True).collect()
+    assert [r.chunk_id for r in sorted(found, key=lambda r: r.rank)] == ["c1", "c2", "c3"]

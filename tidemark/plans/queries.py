@@ -204,7 +204,7 @@ def term_frequency(spark, sf):
 def indexed_search(spark, sf):
     """A query of rarer terms, which reads only the chunks that the index names."""
     c = M.chunk_table(spark, sf)
-    return grams.indexed_search(c.load(), c.index(), "chi ungein verlich", K).select("chunk_id", "rank", F.round("score", 9).alias("score"))
+    return grams.indexed_search(c.load(), c.index(), "chi ungein verlich", K, summed=True).select("chunk_id", "rank", F.round("score", 9).alias("score"))
 
 
 @query(f"WITH {RESULTS} SELECT case_id, note_id, rank FROM results")
