@@ -123,3 +123,12 @@ def test_scores_of_as_many_counts_tie(spark):
     chunks = grams.numbered(lexical.with_hay(df), 1)
     found = grams.indexed_search(chunks, grams.build(chunks), "chi ungein verlich", 3, summed=True).collect()
     assert [r.chunk_id for r in sorted(found, key=lambda r: r.rank)] == ["c1", "c2", "c3"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_policies_are_swept_in_one_scan(spark):
+    from tidemark.plans import upkeep_queries as U
+
+    before = folders(spark)
+    plan = U.segmentation_sweep(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("documents") <= 1 and plan.count("_n#") and plan.count("MapInArrow run(hay") == 1 and folders(spark) == before

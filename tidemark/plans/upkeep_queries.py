@@ -11,7 +11,7 @@ from ..functions import payload
 from ..functions import text as T
 from ..functions.segment import Policy
 from ..operators import chunk as C
-from ..operators import derive, diff, evaluate, gate, lexical, notes, present
+from ..operators import derive, diff, evaluate, gate, lexical, notes, present, scan
 from ..sources import io
 from ..streaming import edits
 from . import mapping as M
@@ -335,12 +335,12 @@ def _swept(ratio: float, floor: int, latin: bool) -> str:
 @query(" UNION ALL ".join(f"SELECT {r}::DOUBLE AS ratio, {f} AS floor, {x} AS latin_relaxes, count(DISTINCT query_id) AS answered, count(*) AS hits FROM (WITH {_swept(r, f, x)} SELECT query_id FROM han WHERE rank <= 10)" for r, f, x in _POLICIES))
 def segmentation_sweep(spark, sf):
     """How many queries with Han characters are answered, and by how much, under several rules of matching."""
-    out = None
-    for ratio, floor, latin in _POLICIES:
-        found = Q._han_results(spark, sf, 10, Policy(ratio, floor, latin))
-        one = found.agg(F.countDistinct("query_id").alias("answered"), F.count("*").alias("hits")).select(F.lit(ratio).alias("ratio"), F.lit(floor).alias("floor"), F.lit(latin).alias("latin_relaxes"), "answered", "hits")
-        out = one if out is None else out.unionByName(one)
-    return out
+    c, q = Q._han_parts(spark, sf)
+    found = scan.scanned_policies(c, q, 10, [Policy(*p) for p in _POLICIES], digits=9, keep=())
+    hits = found.groupBy("policy").agg(F.countDistinct("query_id").alias("answered"), F.count("*").alias("hits"))
+    swept = spark.createDataFrame([(i, *p) for i, p in enumerate(_POLICIES)], "policy int, ratio double, floor int, latin_relaxes boolean")  # four rows
+    none = F.lit(0).cast("long")
+    return swept.join(hits, "policy", "left").select("ratio", "floor", "latin_relaxes", F.coalesce("answered", none).alias("answered"), F.coalesce("hits", none).alias("hits"))
 
 
 # Notes
